@@ -201,10 +201,12 @@ def average_color(spark, sf):
 
 @query("average_color_luma709", "A6 P23", sql("""
 SELECT frame_id, round(avg(b), 6) AS b, round(avg(g), 6) AS g, round(avg(r), 6) AS r,
-  round(0.2126 * avg(r) + 0.7152 * avg(g) + 0.0722 * avg(b), 4) AS ylum FROM fx_rgb GROUP BY 1""", "fx_rgb"))
+  round((0.2126 * avg(r) + 0.7152 * avg(g) + 0.0722 * avg(b)) * 64, 4) AS ylum_x64 FROM fx_rgb GROUP BY 1""", "fx_rgb"))
 def average_color_luma709(spark, sf):
     out = imaging.frame_color(fx.frames_rgb(spark, sf), KEY, space="BGR", y_method="luma709", as_int=False)
-    return out.select("frame_id", *[F.round(c, 4 if c == "ylum" else 6).alias(c) for c in ("r", "g", "b", "ylum")])
+    # 64 pixels and 4-decimal weights: times 64 the value has 4 decimals, so rounding meets no ties
+    return out.select("frame_id", *[F.round(c, 6).alias(c) for c in ("r", "g", "b")],
+                      F.round(F.col("ylum") * 64, 4).alias("ylum_x64"))
 
 
 @query("average_color_hsv", "A7 A8 P24", sql(f"""
