@@ -187,11 +187,13 @@ _CTES = dict(flags=FLAGS, conf=CONF, typical=TYPICAL, posgap=POSGAP)
 
 
 @query("neighbour_constraints", "J6 C13", sql("""
-SELECT sample_id, pair_idx, n AS n_neighbours, overlap_min, overlap_max, overlap_predicted, y_predicted, y_range FROM constraints""",
-  "fx_pairs", **_CTES, constraints=CONSTRAINTS))
+SELECT sample_id, pair_idx, n AS n_neighbours, coalesce(overlap_min, 0) AS overlap_min, coalesce(overlap_max, 0) AS overlap_max,
+  coalesce(overlap_predicted, 0) AS overlap_predicted, coalesce(y_predicted, 0) AS y_predicted, coalesce(y_range, 0) AS y_range
+FROM constraints""", "fx_pairs", **_CTES, constraints=CONSTRAINTS))
 def neighbour_constraints(spark, sf):
     out = pair_ops.neighbour_constraints(pair_ops.flag_outliers(_coord_pairs(spark, sf)))
-    return out.select("sample_id", "pair_idx", "n_neighbours", "overlap_min", "overlap_max", "overlap_predicted", "y_predicted", "y_range")
+    bounds = ("overlap_min", "overlap_max", "overlap_predicted", "y_predicted", "y_range")
+    return out.select("sample_id", "pair_idx", "n_neighbours", *[F.coalesce(c, F.lit(0)).alias(c) for c in bounds])
 
 
 @query("refinement_plan", "C13", sql("""
@@ -416,7 +418,7 @@ _register_stack()
 @query("rotated_frames", "P28", sql("""
 SELECT frame_id, x AS y, y AS x, g FROM fx_px""", "fx_px"))
 def rotated_frames(spark, sf):
-    # counter-clockwise for the scan axis, then clockwise twice: one clockwise turn, mirrored back by the SQL's own turn
+    # one counter-clockwise turn of the pixels; flipping its rows is the transpose the SQL states
     from scanframe.functions import geometry
     turned = frame_ops.rotate(fx.frames_gray(spark, sf), ["frame_id"], geometry.rotations("y"))
     return frame_ops.pixels(turned, ["frame_id"]).select("frame_id", (F.lit(7) - F.col("y")).alias("y"), "x", "g")
