@@ -262,14 +262,14 @@ def warp_pieces(frames: DataFrame, homographies: DataFrame, tile: int = 1024) ->
     The canvas is shifted only by the part of its extent that is negative.
     """
     corners = warp_extents(frames, homographies)
-    located = (frames.join(homographies.select("sample_id", "seq", "h"), ["sample_id", "seq"])
+    located = (frames.join(homographies.select("sample_id", "seq", F.col("h").alias("matrix")), ["sample_id", "seq"])
                .join(corners.select("sample_id", "tx", "ty", "canvas_w", "canvas_h"), "sample_id"))
-    keys = ["sample_id", "seq", "h", "tx", "ty", "canvas_w", "canvas_h"]
+    keys = ["sample_id", "seq", "matrix", "tx", "ty", "canvas_w", "canvas_h"]
 
     def one(img, key):
         rows, cols = img.shape[:2]
         shift = np.array([[1, 0, key["tx"]], [0, 1, key["ty"]], [0, 0, 1]], float)
-        matrix = shift @ np.asarray(key["h"], float).reshape(3, 3)
+        matrix = shift @ np.asarray(key["matrix"], float).reshape(3, 3)
         back = np.linalg.inv(matrix)
         edge = matrix @ np.array([[0, cols, cols, 0], [0, 0, rows, rows], [1, 1, 1, 1]], float)
         ex, ey = edge[0] / edge[2], edge[1] / edge[2]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import kernels
 from scanframe.operators import ordered
+from scanframe.session import cut_lineage
 
 PAIR = ["sample_id", "pair_idx"]
 BLOCK = 2048
@@ -37,15 +38,15 @@ def two_nearest(descriptors: DataFrame) -> DataFrame:
     spread = lambda: F.explode(F.sequence(F.lit(0), F.col("other") - 1))
     queries = blocks.join(after, image).select("sample_id", F.col("seq").alias("pair_idx"), F.col("block").alias("qb"),
                                                spread().alias("tb"), "kp_id", "desc")
-    trains = blocks.join(before, image).select("sample_id", (F.col("seq") - 1).alias("pair_idx"), spread().alias("qb"),
-                                               F.col("block").alias("tb"), "kp_id", "desc")
-    key = [*PAIR, "qb", "tb"]
+    trains = blocks.join(before, image).select(
+        F.col("sample_id").alias("t_sample"), (F.col("seq") - 1).alias("t_pair"), spread().alias("t_qb"),
+        F.col("block").alias("t_tb"), F.col("kp_id").alias("t_id"), F.col("desc").alias("t_desc"))
 
     def nearest(k: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame(columns=["sample_id", "pair_idx", "query", "train", "distance"])
-        a, b = (np.stack(d["desc"].to_numpy()).astype(np.float64) for d in (q, t))
-        ids, rows = t["kp_id"].to_numpy(), []
+        a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (q["desc"], t["t_desc"]))
+        ids, rows = t["t_id"].to_numpy(), []
         for lo in range(0, len(a), 32):
             d2 = ((a[lo:lo + 32, None, :] - b[None]) ** 2).sum(2)
             for i, line in enumerate(d2):
@@ -54,7 +55,7 @@ def two_nearest(descriptors: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["sample_id", "pair_idx", "query", "train", "distance"])
 
     kind = descriptors.schema["sample_id"].dataType.simpleString()
-    found = queries.groupBy(*key).cogroup(trains.groupBy(*key)).applyInPandas(
+    found = queries.groupBy(*PAIR, "qb", "tb").cogroup(trains.groupBy("t_sample", "t_pair", "t_qb", "t_tb")).applyInPandas(
         nearest, f"sample_id {kind}, pair_idx long, query long, train long, distance double")
     rank = F.row_number().over(Window.partitionBy(*PAIR, "query").orderBy("distance", "train"))  # two rows per block
     return found.withColumn("rank", rank).filter("rank <= 2")
@@ -145,9 +146,10 @@ def pair_homographies(points: DataFrame, every_pair: DataFrame, min_matches: int
     matches, the most supported hypothesis wins, then it is fitted to all its inliers. Identity where matches are too
     few or nothing fits; ``status`` says which.
     """
+    points = cut_lineage(points)        # read four times below; matching again would cost far more than storing it
     counts = points.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_matches"))
     enough = points.join(counts.filter(F.col("n_matches") >= min_matches).select(*PAIR), PAIR, "left_semi")
-    hyps = _hypotheses(enough, trials, sample_size)
+    hyps = cut_lineage(_hypotheses(enough, trials, sample_size))
     error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
     votes = (enough.join(hyps, PAIR).select(*PAIR, "x1", "y1", "x2", "y2", F.posexplode("hs").alias("number", "h"))
              .filter(error <= reach_px * reach_px).groupBy(*PAIR, "number").agg(F.count(F.lit(1)).alias("inliers")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.operators import canvas, match
+from scanframe.session import cut_lineage
 
 
 def match_descriptors(descriptors: DataFrame, ratio: float = 0.75) -> DataFrame:
@@ -27,6 +28,7 @@ def image_maps(descriptors: DataFrame, images: DataFrame, ratio: float = 0.75, m
 
 def warp_blend(frames: DataFrame, maps: DataFrame, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Blended canvas tiles and, per sample, the box of covered pixels the picture is cropped to."""
+    maps = cut_lineage(maps)            # one small row per image, needed for the canvas size and for the pixels
     tiles = canvas.blend(canvas.warp_pieces(frames, maps, tile), tile)
     return tiles, canvas.covered_box(tiles)
 

@@ -248,13 +248,13 @@ def _report(spark, sf):
 
 
 @query("sampling_report", "P42 P43 P44 J13 C28", sql(f"""
-SELECT title, mag, round(p_nyq, 6) AS p_nyq_um, round(p_obj, 6) AS p_obj_um, round(s, 6) AS s, round(nx * p_obj, 6) AS fov_x_um, round(airy, 6) AS airy_um,
+SELECT title, mag, round(p_nyq, 6) AS p_nyq_um, round(p_obj, 8) AS p_obj_um, round(s, 6) AS s, round(nx * p_obj, 6) AS fov_x_um, round(airy, 6) AS airy_um,
   round({MTF}, 6) AS mtf, round(airy / p_obj, 6) AS px_per_airy, CASE WHEN s <= 1 THEN 1 WHEN s <= 2 THEN 2 WHEN s <= 3 THEN 3 WHEN s <= 4 THEN 4 ELSE 8 END AS binning,
   round(25400 / p_obj, 4) AS dpi FROM opt""", "fx_cameras", opt=OPT))
 def sampling_report(spark, sf):
     r = _report(spark, sf)
     six = lambda c, a=None: F.round(c, 6).alias(a or c)
-    return r.select("title", "mag", six("p_nyq_um"), six("p_obj_um"), six("s"), six("fov_x_um"), six("airy_um"),
+    return r.select("title", "mag", six("p_nyq_um"), F.round("p_obj_um", 8).alias("p_obj_um"), six("s"), six("fov_x_um"), six("airy_um"),
                     six("mtf"), six("px_per_airy"), "binning", F.round("dpi", 4).alias("dpi"))
 
 
