@@ -112,8 +112,8 @@ TRIANGLE = [(i, j) for i in range(9) for j in range(i, 9)]
 SCALE = 1024.0
 
 
-@F.pandas_udf("array<double>")
 def _smallest_direction(sums: pd.Series) -> pd.Series:
+    """Eigenvector of the smallest eigenvalue of the summed 9x9 matrix, back in pixels."""
     def solve(values) -> list[float] | None:
         if values is None:
             return None
@@ -134,8 +134,9 @@ def _least_squares(inliers: DataFrame) -> DataFrame:
     first = (-x, -y, -one, zero, zero, zero, u * x, u * y, u)
     second = (zero, zero, zero, -x, -y, -one, v * x, v * y, v)
     sums = [F.sum(first[i] * first[j] + second[i] * second[j]).alias(f"m{i}{j}") for i, j in TRIANGLE]
+    smallest = F.pandas_udf(_smallest_direction, "array<double>")
     return inliers.groupBy(*PAIR).agg(*sums).select(
-        *PAIR, _smallest_direction(F.array(*[F.col(f"m{i}{j}") for i, j in TRIANGLE])).alias("fitted"))
+        *PAIR, smallest(F.array(*[F.col(f"m{i}{j}") for i, j in TRIANGLE])).alias("fitted"))
 
 
 def pair_homographies(points: DataFrame, every_pair: DataFrame, min_matches: int = 8, reach_px: float = 5.0, trials: int = 256,
