@@ -115,48 +115,60 @@ def close_cross(plane: np.ndarray) -> np.ndarray:
     return sweep(sweep(plane, np.maximum, 0), np.minimum, 255)
 
 
-def region_sums(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
-    """n, sum a, sum b, sum a2, sum b2, sum ab of two equal regions."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    return (a.size, int(a.sum()), int(b.sum()), int(np.einsum("ij,ij->", a, a)), int(np.einsum("ij,ij->", b, b)),
-            int(np.einsum("ij,ij->", a, b)))
-
-
-def correlation(sums: tuple[int, int, int, int, int, int]) -> float | None:
+def correlation(n: int, sa: int, sb: int, saa: int, sbb: int, sab: int) -> float | None:
     """Normalised cross-correlation from exact sums; None where a region is flat."""
-    n, sa, sb, saa, sbb, sab = sums
     va, vb = n * saa - sa * sa, n * sbb - sb * sb
     return None if va <= 0 or vb <= 0 else (n * sab - sa * sb) / (va ** 0.5 * vb ** 0.5)
 
 
-def overlap_regions(left: np.ndarray, right: np.ndarray, overlap: int, dy: int,
-                    min_height: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Right strip of ``left`` against left strip of ``right``; a positive dy starts ``left`` lower."""
-    if overlap <= 0 or overlap > min(left.shape[1], right.shape[1]):
-        return None
-    top_l, top_r = max(dy, 0), max(-dy, 0)
-    height = min(left.shape[0] - top_l, right.shape[0] - top_r)
-    if height <= min_height:
-        return None
-    return (left[top_l:top_l + height, left.shape[1] - overlap:], right[top_r:top_r + height, :overlap])
+def _table(plane: np.ndarray) -> np.ndarray:
+    """Summed-area table with a zero row and column in front."""
+    return np.pad(plane.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+
+
+def _box(table: np.ndarray, y: int, x: int, h: int, w: int) -> int:
+    return int(table[y + h, x + w] - table[y, x + w] - table[y + h, x] + table[y, x])
+
+
+def pair_scorer(left: np.ndarray, right: np.ndarray, min_height: int):
+    """Function (overlap, dy) -> correlation of the right strip of ``left`` with the left strip of ``right``.
+
+    A positive dy starts ``left`` lower. None where nothing (or not more than ``min_height`` rows) overlaps or a region is
+    flat. Sums and squares come from tables made once, so a candidate costs one multiply-add per pixel.
+    """
+    a, b = left.astype(np.float64), right.astype(np.float64)
+    ta, tb = _table(left), _table(right)
+    taa, tbb = _table(left.astype(np.int64) ** 2), _table(right.astype(np.int64) ** 2)
+
+    def score(overlap: int, dy: int) -> float | None:
+        if overlap <= 0 or overlap > min(a.shape[1], b.shape[1]):
+            return None
+        y1, y2 = max(dy, 0), max(-dy, 0)
+        h = min(a.shape[0] - y1, b.shape[0] - y2)
+        if h <= min_height:
+            return None
+        x1 = a.shape[1] - overlap
+        # whole numbers below 2**53 stay exact in double precision
+        sab = int(np.einsum("ij,ij->", a[y1:y1 + h, x1:], b[y2:y2 + h, :overlap]))
+        return correlation(h * overlap, _box(ta, y1, x1, h, overlap), _box(tb, y2, 0, h, overlap),
+                           _box(taa, y1, x1, h, overlap), _box(tbb, y2, 0, h, overlap), sab)
+    return score
 
 
 def pair_score(left: np.ndarray, right: np.ndarray, overlap: int, dy: int, min_height: int) -> float | None:
-    regions = overlap_regions(left, right, overlap, dy, min_height)
-    return None if regions is None else correlation(region_sums(*regions))
+    return pair_scorer(left, right, min_height)(overlap, dy)
 
 
-def best_of(left: np.ndarray, right: np.ndarray, candidates, min_height: int, start: tuple[int, int, float],
-            ) -> tuple[int, int, float, int]:
+def best_of(score, candidates, start: tuple[int, int, float]) -> tuple[int, int, float, int]:
     """First strictly best (overlap, dy, score) of the candidates, never below ``start``; and how many were scored."""
     (overlap, dy, best), tried = start, 0
     for candidate in candidates:
-        score = pair_score(left, right, candidate[0], candidate[1], min_height)
-        if score is None:
+        value = score(*candidate)
+        if value is None:
             continue
         tried += 1
-        if score > best:
-            overlap, dy, best = candidate[0], candidate[1], score
+        if value > best:
+            overlap, dy, best = candidate[0], candidate[1], value
     return overlap, dy, best, tried
 
 
@@ -198,3 +210,25 @@ def solve_dlt(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
         return None
     h = np.linalg.inv(t_dst) @ vt[-1].reshape(3, 3) @ t_src
     return None if abs(h[2, 2]) < 1e-12 or not np.isfinite(h).all() else h / h[2, 2]
+
+
+def hsv(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit HSV planes (hue 0..179) of whole-number channels."""
+    v = np.maximum(np.maximum(r, g), b)
+    diff = v - np.minimum(np.minimum(r, g), b)
+    sat = np.where(v > 0, np.rint(255.0 * 4096 / np.maximum(v, 1)), 0)
+    hue = np.where(diff > 0, np.rint(180.0 * 4096 / (6.0 * np.maximum(diff, 1))), 0)
+    sector = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
+    h = np.floor((sector * hue + 2048) / 4096)
+    return np.where(h < 0, h + 180, h), np.floor((diff * sat + 2048) / 4096), v
+
+
+def relative_luminance(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Linear BT.709 luminance of 8-bit sRGB planes."""
+    u = np.arange(256) / 255.0
+    linear = np.where(u <= 0.04045, u / 12.92, ((u + 0.055) / 1.055) ** 2.4)
+    return 0.2126 * linear[r] + 0.7152 * linear[g] + 0.0722 * linear[b]
+
+
+def lightness(y: np.ndarray) -> np.ndarray:
+    return 116.0 * np.where(y > (6.0 / 29.0) ** 3, np.cbrt(y), y / (3.0 * (6.0 / 29.0) ** 2) + 4.0 / 29.0) - 16.0

@@ -95,7 +95,10 @@ def find_alignments(pair_strips: DataFrame, search: Search = Search(), planned:
             low, high = max(low, int(row.overlap_mean - buffer)), min(high, int(row.overlap_mean + buffer))
         step = max(search.coarse_step, (high - low) // 40)
         flat = ((o, 0) for o in range(low, high, step))
-        coarse_o, _, coarse_s, coarse_n = kernels.best_of(left, right, flat, 0, (low, 0, -1.0))
+        any_height = kernels.pair_scorer(left, right, 0)
+        tall = lambda dy: min(left.shape[0] - max(dy, 0), right.shape[0] - max(-dy, 0)) > search.min_height
+        score = lambda overlap, dy: any_height(overlap, dy) if tall(dy) else None
+        coarse_o, _, coarse_s, coarse_n = kernels.best_of(any_height, flat, (low, 0, -1.0))
         y0, reach = 0, search.y_radius(coarse_s)
         if planned and row.y_mean is not None and not np.isnan(row.y_mean):
             y0 = int(round(row.y_mean))
@@ -105,11 +108,11 @@ def find_alignments(pair_strips: DataFrame, search: Search = Search(), planned:
         x_lo, x_hi = max(low, coarse_o - search.x_range), min(high, coarse_o + search.x_range)
         grid = ((x, y) for x in range(x_lo, x_hi + 1, search.grid[0])
                 for y in range(y0 - reach, y0 + reach + 1, search.grid[1]))
-        gx, gy, gs, gn = kernels.best_of(left, right, grid, search.min_height, (coarse_o, y0, -1.0))
+        gx, gy, gs, gn = kernels.best_of(score, grid, (coarse_o, y0, -1.0))
         (rx, ry), (sx, sy) = search.fine_radius, search.fine_step
         fine = ((x, y) for x in range(gx - rx, gx + rx + 1, sx) if x_lo <= x <= x_hi
                 for y in range(gy - ry, gy + ry + 1, sy) if abs(y - y0) <= reach)
-        fx, fy, fs, fn = kernels.best_of(left, right, fine, search.min_height, (gx, gy, gs))
+        fx, fy, fs, fn = kernels.best_of(score, fine, (gx, gy, gs))
         return fx, fy, float(fs), coarse_o, float(coarse_s), coarse_n, gn + fn, int(row.a_full_w), int(row.a_full_h)
 
     rows = pair_strips.withColumns({"a_full_w": F.col("a.full_w"), "a_full_h": F.col("a.full_h")})
@@ -154,7 +157,7 @@ def score_at(pair_strips: DataFrame, offsets: DataFrame, min_height: int = 10) -
         overlap, dy = int(row.x_overlap), int(row.y_offset)
         if overlap <= 0 or overlap > min(left.shape[1], right.shape[1]):
             return None, "No overlap"
-        if kernels.overlap_regions(left, right, overlap, dy, min_height) is None:
+        if min(left.shape[0] - max(dy, 0), right.shape[0] - max(-dy, 0)) <= min_height:
             return None, "Insufficient height"
         return kernels.pair_score(left, right, overlap, dy, min_height), "OK"
 
@@ -171,10 +174,11 @@ def refine(pair_strips: DataFrame, plan: DataFrame, min_overlap_px: int = 50, mi
         c, low, high, y0, reach, rx, sx, sy, frx, fry = (int(getattr(row, s)) for s in steps)
         ok = lambda x: max(low, min_overlap_px) <= x <= high
         coarse = ((x, y) for x in range(c - rx, c + rx + 1, sx) if ok(x) for y in range(y0 - reach, y0 + reach + 1, sy))
-        bx, by, bs, n1 = kernels.best_of(left, right, coarse, min_height, (c, y0, -1.0))
+        score = kernels.pair_scorer(left, right, min_height)
+        bx, by, bs, n1 = kernels.best_of(score, coarse, (c, y0, -1.0))
         fine = ((x, y) for x in range(bx - frx, bx + frx + 1, 2) if ok(x)
                 for y in range(by - fry, by + fry + 1) if abs(y - y0) <= reach + 2)
-        fx, fy, fs, n2 = kernels.best_of(left, right, fine, min_height, (bx, by, bs))
+        fx, fy, fs, n2 = kernels.best_of(score, fine, (bx, by, bs))
         return fx, fy, float(fs), n1 + n2
 
     rows = plan.select(*PAIR, *steps).join(pair_strips, PAIR)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanframe.functions import color
+from scanframe.functions import color, kernels
 from scanframe.operators.frames import map_frames
 
 
@@ -61,49 +61,51 @@ def black_frames(frames: DataFrame, keys: list[str], margins: tuple[float, float
     return every.withColumn("is_black", is_black(F.col("std_r"), F.col("std_g"), F.col("std_b"), threshold))
 
 
-def color_sums(frames: DataFrame, keys: list[str], roi: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Distinct colours of the (clamped) region with their counts; an empty region gives no rows."""
+def average_color(frames: DataFrame, keys: list[str], roi: tuple[int, int, int, int] | None = None, space: str = "RGB",
+                  y_method: str = "luma601", as_int: bool = True) -> DataFrame:
+    """Average colour per frame over the (clamped) region: three channels named by their space, and ``ylum``.
+
+    ``y_method``: luma601, luma709 (on the channel means), relY_linear or LabLstar (per pixel). An empty region gives no
+    row. Narrow: one row of sums per frame leaves Python, the means are Columns.
+    """
+    space, method = space.upper(), y_method.lower()
+    if space not in ("RGB", "BGR", "HSV"):
+        raise ValueError("space must be RGB, BGR or HSV")
+    if method not in ("luma601", "luma709", "rely_linear", "lablstar"):
+        raise ValueError("unknown y_method")
+
     def one(img, _):
         h, w = img.shape[:2]
         x, y, rw, rh = roi or (0, 0, w, h)
         x0, x1 = max(0, min(x, w)), max(0, min(x + rw, w))
         y0, y1 = max(0, min(y, h)), max(0, min(y + rh, h))
-        cut = img[y0:y1, x0:x1, :3].astype(np.int64)
-        if cut.size == 0:
+        if x1 <= x0 or y1 <= y0:
             return
-        if cut.shape[2] == 1:
-            cut = np.repeat(cut, 3, axis=2)
-        packed, n = np.unique((cut[:, :, 2] << 16 | cut[:, :, 1] << 8 | cut[:, :, 0]).ravel(), return_counts=True)
-        for p, k in zip(packed.tolist(), n.tolist()):
-            yield p >> 16, p >> 8 & 255, p & 255, k
-    return map_frames(frames, keys, "r int, g int, b int, n long", one)
-
-
-def average_color(colors: DataFrame, keys: list[str], space: str = "RGB", y_method: str = "luma601",
-                  as_int: bool = True) -> DataFrame:
-    """Average colour per frame from counted colours: three channels named by their space, and ``ylum``.
-
-    ``y_method``: luma601, luma709 (on the channel means), relY_linear or LabLstar (per pixel).
-    """
-    r, g, b, n = F.col("r"), F.col("g"), F.col("b"), F.col("n")
-    mean = lambda c: F.sum(c * n) / F.sum(n)
-    space = space.upper()
-    if space not in ("RGB", "BGR", "HSV"):
-        raise ValueError("space must be RGB, BGR or HSV")
-    mr, mg, mb = mean(r), mean(g), mean(b)
+        cut = img[y0:y1, x0:x1].astype(np.int64)
+        b, g, r = (cut[:, :, c if cut.shape[2] >= 3 else 0] for c in range(3))
+        sums = [float(r.size), float(r.sum()), float(g.sum()), float(b.sum())]
+        if space == "HSV":
+            hue, s, v = kernels.hsv(r, g, b)
+            angle = hue * (2.0 * np.pi / 180.0)
+            sums += [float(np.sin(angle).sum()), float(np.cos(angle).sum()), float(s.sum()), float(v.sum())]
+        else:
+            sums += [0.0] * 4
+        if method in ("rely_linear", "lablstar"):
+            luminance = kernels.relative_luminance(r, g, b)
+            sums.append(float((kernels.lightness(luminance) if method == "lablstar" else luminance).sum()))
+        else:
+            sums.append(0.0)
+        yield sums
+
+    names = ("n", "r", "g", "b", "sin", "cos", "s", "v", "y")
+    raw = map_frames(frames, keys, ", ".join(f"sum_{c} double" for c in names), one)
+    mean = {c: F.col(f"sum_{c}") / F.col("sum_n") for c in names[1:]}
     if space == "HSV":
-        h, s, v = color.hsv(r, g, b)
-        first = {"h": color.circular_hue(mean(F.sin(color.hue_angle(h))), mean(F.cos(color.hue_angle(h)))),
-                 "s": mean(s), "v": mean(v)}
+        first = {"h": color.circular_hue(mean["sin"], mean["cos"]), "s": mean["s"], "v": mean["v"]}
     else:
-        channels = {"r": mr, "g": mg, "b": mb}
-        first = {c.lower(): channels[c.lower()] for c in space}
-    linear = color.relative_luminance(r, g, b)
-    y, scale = {
-        "luma601": (color.weighted(color.LUMA601, mr, mg, mb), 1.0),
-        "luma709": (color.weighted(color.LUMA709, mr, mg, mb), 1.0),
-        "rely_linear": (mean(linear), 255.0),
-        "lablstar": (mean(color.lightness(linear)), 255.0 / 100.0)}[y_method.lower()]
+        first = {c.lower(): mean[c.lower()] for c in space}
+    rgb = (mean["r"], mean["g"], mean["b"])
+    y, scale = {"luma601": (color.weighted(color.LUMA601, *rgb), 1.0), "luma709": (color.weighted(color.LUMA709, *rgb), 1.0),
+                "rely_linear": (mean["y"], 255.0), "lablstar": (mean["y"], 255.0 / 100.0)}[method]
     finish = (lambda c, k=1.0: F.bround(c * k).cast("int")) if as_int else (lambda c, k=1.0: c)
-    columns: list[Column] = [finish(c).alias(name) for name, c in first.items()]
-    return colors.groupBy(*keys).agg(*columns, finish(y, scale).alias("ylum"))
+    return raw.select(*keys, *[finish(c).alias(name) for name, c in first.items()], finish(y, scale).alias("ylum"))

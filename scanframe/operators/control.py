@@ -56,26 +56,30 @@ def ack_outcomes(commands: DataFrame, replies: DataFrame, deadline_s: float = 60
                  bucket_s: int = 60) -> DataFrame:
     """Per command: first deciding reply (ok, processing or error) of its device within the deadline, else timeout.
 
-    The interval join is an equality on (device, time bucket): a reply is offered to the buckets its deadline reaches
-    back to. Only the earliest reply per command is kept, already before the shuffle of the aggregate.
+    Commands and replies go together through one sort per (device, time bucket), newest first, in which every command
+    sees the last reply passed; a reply is also copied to the buckets its deadline reaches back to. No command is paired
+    with more than one reply, however busy a device is.
     """
-    bucket = lambda ts: F.floor(F.unix_micros(ts) / (bucket_s * 1_000_000)).cast("bigint")
+    micros = F.unix_micros("ts")
+    bucket = F.floor(micros / (bucket_s * 1_000_000)).cast("bigint")
     reach = int(-(-deadline_s // bucket_s))
-    kind = bands.response_class(F.col("reply"))
-    deciding = (replies.withColumn("kind", kind).filter(F.col("kind").isin("ok", "processing", "error"))
-                .select("device", F.col("ts").alias("reply_ts"), "reply_seq", "kind",
-                        F.explode(F.sequence(bucket(F.col("ts")) - reach, bucket(F.col("ts")))).alias("bucket")))
-    sent = commands.withColumn("bucket", bucket(F.col("ts")))
-    waited = (F.unix_micros("reply_ts") - F.unix_micros("ts")) / F.lit(1e6)
-    matched = (sent.join(deciding, ["device", "bucket"])
-               .filter((F.col("reply_ts") > F.col("ts")) & (waited <= deadline_s))
-               .groupBy("device", "seq").agg(F.min(F.struct("reply_ts", "reply_seq", "kind")).alias("first")))
-    joined = commands.join(matched, ["device", "seq"], "left")
-    return joined.select(
-        *commands.columns, F.col("first.reply_seq").alias("reply_seq"),
-        F.round((F.unix_micros("first.reply_ts") - F.unix_micros("ts")) / F.lit(1e6), 6).alias("latency_s"),
-        F.coalesce(F.when(F.col("first.kind") == "error", "fault").when(F.col("first.kind").isNotNull(), "acknowledged"),
-                   F.lit("timeout")).alias("outcome"))
+    sent = commands.select("device", "ts", bucket.alias("bucket"), F.lit(0).alias("is_reply"), F.col("seq").alias("number"),
+                           F.lit(None).cast("struct<ts:timestamp,reply_seq:bigint,kind:string>").alias("answer"),
+                           F.struct(*commands.columns).alias("row"))
+    answer = F.struct("ts", F.col("reply_seq").cast("bigint").alias("reply_seq"), "kind")
+    heard = (replies.withColumn("kind", bands.response_class(F.col("reply"))).filter(F.col("kind").isin("ok", "processing", "error"))
+             .select("device", "ts", F.explode(F.sequence(bucket - reach, bucket)).alias("bucket"), F.lit(1).alias("is_reply"),
+                     F.col("reply_seq").alias("number"), answer.alias("answer"),
+                     F.lit(None).cast(sent.schema["row"].dataType).alias("row")))
+    newest_first = (Window.partitionBy("device", "bucket").orderBy(F.desc("ts"), "is_reply", F.desc("number"))
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    seen = sent.unionByName(heard).withColumn("next", F.last("answer", ignorenulls=True).over(newest_first))
+    waited = (F.unix_micros("next.ts") - micros) / F.lit(1e6)
+    in_time = waited <= deadline_s
+    outcome = (F.when(in_time & (F.col("next.kind") == "error"), "fault").when(in_time, "acknowledged").otherwise("timeout"))
+    return seen.filter("is_reply = 0").select(
+        *[F.col(f"row.{c}").alias(c) for c in commands.columns], F.when(in_time, F.col("next.reply_seq")).alias("reply_seq"),
+        F.when(in_time, F.round(waited, 6)).alias("latency_s"), outcome.alias("outcome"))
 
 
 def freshest(captures: DataFrame, keys: list[str], prefer: str = "latest") -> DataFrame:

@@ -45,15 +45,14 @@ def red_thresholds(frames: DataFrame, keys: list[str], percentile: float = 75.0)
         (threshold_of(red_plane(img), percentile), int((red_plane(img) > 0).sum()))])
 
 
-def classify(components: DataFrame, heights: DataFrame, keys: list[str], min_area: int = 50, max_area: int = 10000,
+def classify(components: DataFrame, keys: list[str], min_area: int = 50, max_area: int = 10000,
              max_aspect: float = 3.0) -> DataFrame:
-    """Components of a mark-like shape with a status: ``valid``, ``upper_half`` or ``outlier``.
+    """Components (with their ``image_h``) of a mark-like shape with a status: ``valid``, ``upper_half`` or ``outlier``.
 
     Outliers lie beyond 1.5 interquartile ranges in x; they are looked for only where more than three marks are left.
     """
     shaped = components.filter(bands.mark_shape_ok(F.col("area"), F.col("w"), F.col("h"), min_area, max_area, max_aspect))
-    placed = shaped.join(heights.select(*keys, F.col("height").alias("image_h")), keys).withColumn(
-        "lower", bands.in_lower_half(F.col("cy"), F.col("image_h")))
+    placed = shaped.withColumn("lower", bands.in_lower_half(F.col("cy"), F.col("image_h")))
     frame = Window.partitionBy(*keys)  # bounded: the marks of one frame
     x = F.when(F.col("lower"), F.col("cx"))
     q = placed.withColumns({"q1": F.percentile(x, 0.25).over(frame), "q3": F.percentile(x, 0.75).over(frame),

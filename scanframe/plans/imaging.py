@@ -36,25 +36,20 @@ def focus_counts(tiles: DataFrame, keys: list[str]) -> DataFrame:
 def frame_focus(frames: DataFrame, keys: list[str], margins: Margins = NO_MARGINS, ksize: int = 7, scale: float = 1.0,
                 black_threshold: float = 5.0) -> DataFrame:
     """Focus score per frame with quadrants; NULL score for black frames (and frames the margins leave empty)."""
-    scores = focus.frame_scores(focus.quadrant_scores(frames, keys, ksize, margins, scale), keys)
-    black = channels.black_frames(frames, keys, margins, black_threshold).select(*keys, "is_black")
-    seen = ~F.col("is_black")
-    return black.join(scores, keys, "left").select(
-        *keys, "is_black", F.when(seen, F.col("score")).alias("score"), F.when(seen, F.col("quadrants")).alias("quadrants"),
-        F.when(seen, F.col("best")).alias("best"))
+    return focus.frame_scores(frames, keys, ksize, margins, scale, black_threshold)
 
 
 def frame_color(frames: DataFrame, keys: list[str], space: str = "RGB", roi: tuple[int, int, int, int] | None = None,
                 y_method: str = "luma601", as_int: bool = True) -> DataFrame:
-    return channels.average_color(channels.color_sums(frames, keys, roi), keys, space, y_method, as_int)
+    return channels.average_color(frames, keys, roi, space, y_method, as_int)
 
 
 def registration_marks(frames: DataFrame, keys: list[str], percentile: float = 75.0, min_area: int = 50,
                        max_area: int = 10000, max_aspect: float = 3.0, tile: int | None = None) -> DataFrame:
     """Red marks of every frame with their status. With ``tile`` the masks are cut and joined across tile borders."""
     masks = marks.red_masks(frames, keys, percentile, tile)
-    found = components.components(masks, keys, whole_images=tile is None)
-    return marks.classify(found, frames.select(*keys, "height"), keys, min_area, max_area, max_aspect)
+    found = components.components(masks, [*keys, "image_h"], whole_images=tile is None)
+    return marks.classify(found, keys, min_area, max_area, max_aspect)
 
 
 def red_dominance(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,9 +76,9 @@ def test_arrow_and_relational_paths_agree(spark):
     mirror = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * (n - 1) - v).otherwise(v)
 
     def stencil(src, taps, n):
-        kernel = spark.createDataFrame([(dy, dx, w) for dy, dx, w in taps if w], "dy int, dx int, wt int")
-        reach = src.crossJoin(F.broadcast(kernel)).select(
-            "frame_id", "y", "x", "wt", mirror(F.col("y") + F.col("dy"), n).alias("sy"), mirror(F.col("x") + F.col("dx"), n).alias("sx"))
+        kernel = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("wt")) for dy, dx, w in taps if w]))
+        reach = src.select("frame_id", "y", "x", kernel.alias("k")).select(
+            "frame_id", "y", "x", "k.wt", mirror(F.col("y") + F.col("k.dy"), n).alias("sy"), mirror(F.col("x") + F.col("k.dx"), n).alias("sx"))
         right = src.select("frame_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "g")
         return reach.join(right, ["frame_id", "sy", "sx"]).groupBy("frame_id", "y", "x").agg(F.sum(F.col("wt") * F.col("g")).alias("s"))
 

@@ -43,8 +43,7 @@ def test_status_of_marks(spark):
     rows += [(1, 8, 100, 700, 300, 10, 10, 705.0, 310.0), (1, 9, 100, 90, 10, 10, 10, 100.0, 20.0), (1, 10, 30, 0, 0, 5, 6, 1., 300.),
              (1, 11, 100, 0, 0, 50, 2, 1., 300.)]
     found = spark.createDataFrame(rows, "frame_id long, component long, area long, x int, y int, w int, h int, cx double, cy double")
-    heights = spark.createDataFrame([(1, 400)], "frame_id long, height int")
-    graded = marks.classify(found, heights, ["frame_id"])
+    graded = marks.classify(found.withColumn("image_h", F.lit(400)), ["frame_id"])
     assert {r.component: r.status for r in graded.collect()} == {
         **{i: "valid" for i in range(5)}, 8: "outlier", 9: "upper_half"}
     assert marks.rejected(graded).count() == 2
