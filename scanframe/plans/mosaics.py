@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import bands, geometry, names
 from scanframe.operators import align, canvas, ordered, pairs as pair_ops, sequence
+from scanframe.session import cut_lineage
 
 SAMPLE = "sample_id"
 
@@ -14,9 +15,10 @@ SAMPLE = "sample_id"
 def frame_sequence(listing: DataFrame, axis: str = "y", max_gap: int = 2) -> DataFrame:
     """Frames to stitch: best per coordinate, numbered; samples with a hole above ``max_gap`` are left out.
 
-    Works on names only; pixels are joined afterwards.
+    Works on names only; pixels are joined afterwards. The numbered listing is stored once: the gap check and everything
+    that follows read it again.
     """
-    seq = sequence.numbered(sequence.best_per_coordinate(sequence.with_coordinates(listing, axis)))
+    seq = cut_lineage(sequence.numbered(sequence.best_per_coordinate(sequence.with_coordinates(listing, axis))))
     blocked = sequence.blocked_samples(sequence.gaps(seq), max_gap)
     return seq.join(blocked.select(SAMPLE), SAMPLE, "left_anti")
 

@@ -12,6 +12,9 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # few bytes can be much work here (Python kernels): do not merge small partitions below one per core
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows that carry pixels are large: small Arrow batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
@@ -38,3 +41,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals an input of fewer splits than cores (one small file) out to all of them before heavy per-row work.
+
+    Inputs that already have enough splits, as on a cluster, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import names
 from scanframe.operators import ordered
+from scanframe.session import spread
 
 ACK_REPLIES = ("ok", "processing", "error: probe", "echo: busy")
 
@@ -33,7 +34,7 @@ def bytes_of(values: Column) -> Column:
 
 def frames_gray(spark: SparkSession, sf: str) -> DataFrame:
     """8x8 one-channel frames, one per vector; ``seq`` runs along the sample."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("frame_id"), F.col("label").alias("sample_id"), F.lit(8).alias("width"),
         F.lit(8).alias("height"), F.lit(1).alias("n_channels"), bytes_of(gray_array()).alias("data"))
 
@@ -71,7 +72,8 @@ def rgb(spark: SparkSession, sf: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Scan frame names, one per line item."""
-    item = table(spark, sf, "lineitem")
+    item = spread(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+                                                      "l_extendedprice", "l_discount", "l_tax"))
     f = F.floor("l_quantity").cast("bigint") * 100 + F.col("l_linenumber")
     name = F.concat(F.lit("Y"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.lit(" X"),
                     F.col("l_linenumber").cast("string"), F.lit(" Z29 F"), f.cast("string"), F.lit(".tiff"))
@@ -85,10 +87,10 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 def first_frames(spark: SparkSession, sf: str) -> DataFrame:
     """One frame per sample and coordinate (highest F, then smallest path and price), numbered along y."""
     best = (frames(spark, sf).withColumn("y", names.coordinate(names.stem(F.col("name")), "Y"))
-            .withColumn("f", names.f_number(names.stem(F.col("name")))).filter("y is not null")
+            .withColumn("f", names.f_number(names.stem(F.col("name"))))
             .groupBy("sample_id", "y")
             .agg(F.min(F.struct((-F.col("f")).alias("nf"), "path", "l_extendedprice", "l_discount", "l_tax", "name",
-                                "l_partkey")).alias("s"))
+                                "l_partkey")).alias("s"), F.count("y").alias("n")).filter("n > 0")
             .select("sample_id", "y", "s.path", "s.name", (-F.col("s.nf")).alias("f"), "s.l_extendedprice",
                     "s.l_discount", "s.l_tax", "s.l_partkey"))
     return ordered.dense_index(best, ["sample_id"], ["y"], ordered.chunk_of(F.col("y")), "seq")
