@@ -165,6 +165,29 @@ def score_at(pair_strips: DataFrame, offsets: DataFrame, min_height: int = 10) -
     return map_pairs(rows, [*PAIR, "x_overlap", "y_offset"], "score double, status string", one)
 
 
+def overlap_sums(pixels: DataFrame, overlaps: Column, shifts: Column, width: int) -> DataFrame:
+    """Relational form for very small frames: sums per pair, overlap and dy from pixel rows (sample_id, seq, y, x, g).
+
+    Every candidate turns the pixels of the first frame into the coordinates of the second, so the match is an equality
+    join; ``correlation_of`` finishes the score. The kernel path does the same on whole strips.
+    """
+    right = pixels.select("sample_id", (F.col("seq") - 1).alias("pair_idx"), F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("g").alias("b"))
+    left = (pixels.select("sample_id", F.col("seq").alias("pair_idx"), "y", "x", F.col("g").alias("a"), F.explode(overlaps).alias("overlap"))
+            .withColumn("dy", F.explode(shifts))
+            .withColumns({"ry": F.col("y") - F.col("dy"), "rx": F.col("x") - (width - F.col("overlap"))}).filter("rx >= 0"))
+    both = left.join(right, ["sample_id", "pair_idx", "ry", "rx"])
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    return both.groupBy(*PAIR, "overlap", "dy").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"),
+        F.sum(a * b).alias("sab"))
+
+
+def correlation_of(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
+    """Correlation from exact sums; NULL where a region is flat."""
+    va, vb = n * saa - sa * sa, n * sbb - sb * sb
+    return F.when((va > 0) & (vb > 0), (n * sab - sa * sb) / (F.sqrt(va.cast("double")) * F.sqrt(vb.cast("double"))))
+
+
 def refine(pair_strips: DataFrame, plan: DataFrame, min_overlap_px: int = 50, min_height: int = 50) -> DataFrame:
     """Second search of the planned (weak) pairs only: new_overlap, new_y_offset, new_score, tried."""
     steps = ["search_center", "search_min", "search_max", "search_y", "search_y_range", "coarse_x_radius", "coarse_x_step",

@@ -8,50 +8,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanframe.functions import kernels
-from scanframe.operators import ordered
 from scanframe.session import cut_lineage
 
 PAIR = ["sample_id", "pair_idx"]
 BLOCK = 2048
 
 
-def _blocks(side: DataFrame, image: list[str]) -> DataFrame:
-    """Descriptors numbered per image and cut into blocks of at most BLOCK rows; ``n_blocks`` of the image joined on."""
-    numbered = ordered.dense_index(side, image, ["kp_id"], ordered.chunk_of(F.col("kp_id")), "kp_no")
-    blocked = numbered.withColumn("block", F.floor(F.col("kp_no") / BLOCK).cast("int"))
-    counts = side.groupBy(*image).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    return blocked.join(counts, image)
+def _nearest_two(queries: np.ndarray, trains: np.ndarray, ids: np.ndarray) -> list[list[tuple[int, float]]]:
+    """Two nearest trains (id, distance) per query, smaller id on a tie.
+
+    A matrix product picks the few candidates that can be among the two (with a margin for its rounding); their distances
+    are then taken exactly.
+    """
+    aa, bb = (queries ** 2).sum(1), (trains ** 2).sum(1)
+    rough = aa[:, None] + bb[None] - 2.0 * (queries @ trains.T)
+    second = np.partition(rough, min(1, len(trains) - 1), axis=1)[:, min(1, len(trains) - 1)]
+    margin = 1e-9 * (aa + bb.max())
+    found = []
+    for i, line in enumerate(rough):
+        near = np.flatnonzero(line <= second[i] + margin[i])
+        exact = ((queries[i] - trains[near]) ** 2).sum(1)
+        order = np.lexsort((ids[near], exact))[:2]
+        found.append([(int(ids[near[j]]), float(np.sqrt(exact[j]))) for j in order])
+    return found
 
 
 def two_nearest(descriptors: DataFrame) -> DataFrame:
     """Exact two nearest descriptors (L2) of the next image for every descriptor: query, train, distance, rank.
 
-    ``descriptors``: sample_id, seq, kp_id, desc. Images are cut into bounded blocks; a task compares one block of an
-    image with one block of the next and hands on two candidates per query, so neither an image nor the product of two
-    images ever meets in one place, and the result does not depend on the cut.
+    ``descriptors``: sample_id, seq, kp_id, desc. Images are dealt into blocks of about BLOCK rows; a task compares one
+    block of an image with one block of the next and hands on two candidates per query, so neither an image nor the
+    product of two images ever meets in one place, and the result does not depend on the cut.
     """
     image = ["sample_id", "seq"]
-    blocks = _blocks(descriptors, image)
-    sizes = blocks.select(*image, "n_blocks").distinct()
-    after = sizes.select("sample_id", (F.col("seq") - 1).alias("seq"), F.col("n_blocks").alias("other"))
-    before = sizes.select("sample_id", (F.col("seq") + 1).alias("seq"), F.col("n_blocks").alias("other"))
-    spread = lambda: F.explode(F.sequence(F.lit(0), F.col("other") - 1))
-    queries = blocks.join(after, image).select("sample_id", F.col("seq").alias("pair_idx"), F.col("block").alias("qb"),
-                                               spread().alias("tb"), "kp_id", "desc")
-    trains = blocks.join(before, image).select(
-        F.col("sample_id").alias("t_sample"), (F.col("seq") - 1).alias("t_pair"), spread().alias("t_qb"),
-        F.col("block").alias("t_tb"), F.col("kp_id").alias("t_id"), F.col("desc").alias("t_desc"))
+    sizes = descriptors.groupBy(*image).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    shifted = lambda by: sizes.select("sample_id", (F.col("seq") + by).alias("seq"), F.col("n_blocks").alias("other"))
+    block = F.pmod(F.xxhash64("kp_id"), F.col("n_blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+    own = descriptors.join(sizes, image)
+    queries = own.join(shifted(-1), image).select(
+        "sample_id", F.col("seq").alias("pair_idx"), block.alias("qb"), others.alias("tb"), "kp_id", "desc")
+    trains = own.join(shifted(1), image).select(
+        F.col("sample_id").alias("t_sample"), (F.col("seq") - 1).alias("t_pair"), others.alias("t_qb"), block.alias("t_tb"),
+        F.col("kp_id").alias("t_id"), F.col("desc").alias("t_desc"))
 
     def nearest(k: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame(columns=["sample_id", "pair_idx", "query", "train", "distance"])
-        a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (q["desc"], t["t_desc"]))
-        ids, rows = t["t_id"].to_numpy(), []
-        for lo in range(0, len(a), 32):
-            d2 = ((a[lo:lo + 32, None, :] - b[None]) ** 2).sum(2)
-            for i, line in enumerate(d2):
-                for j in np.lexsort((ids, line))[:2]:
-                    rows.append((k[0], k[1], q["kp_id"].iat[lo + i], ids[j], float(np.sqrt(line[j]))))
+        rows = []
+        if len(q) and len(t):
+            a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (q["desc"], t["t_desc"]))
+            ids, who = t["t_id"].to_numpy(), q["kp_id"].to_numpy()
+            for lo in range(0, len(a), 256):
+                for i, pair in enumerate(_nearest_two(a[lo:lo + 256], b, ids)):
+                    rows.extend((k[0], k[1], who[lo + i], train, distance) for train, distance in pair)
         return pd.DataFrame(rows, columns=["sample_id", "pair_idx", "query", "train", "distance"])
 
     kind = descriptors.schema["sample_id"].dataType.simpleString()
@@ -107,6 +115,13 @@ def _hypotheses(points: DataFrame, trials: int, sample_size: int) -> DataFrame:
     return sample.groupBy(*PAIR).applyInPandas(solve, f"sample_id {kind}, pair_idx long, hs array<array<double>>")
 
 
+def count_inliers(points: DataFrame, hypotheses: DataFrame, reach_px: float) -> DataFrame:
+    """Matches within ``reach_px`` of every hypothesis (``hs``: array of maps per pair), counted before the shuffle."""
+    error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
+    return (points.join(hypotheses, PAIR).select(*PAIR, "x1", "y1", "x2", "y2", F.posexplode("hs").alias("number", "h"))
+            .filter(error <= reach_px * reach_px).groupBy(*PAIR, "number").agg(F.count(F.lit(1)).alias("inliers")))
+
+
 # rows of the direct linear transform as products: upper triangle of a symmetric 9x9 matrix
 TRIANGLE = [(i, j) for i in range(9) for j in range(i, 9)]
 SCALE = 1024.0
@@ -152,8 +167,7 @@ def pair_homographies(points: DataFrame, every_pair: DataFrame, min_matches: int
     enough = points.join(counts.filter(F.col("n_matches") >= min_matches).select(*PAIR), PAIR, "left_semi")
     hyps = cut_lineage(_hypotheses(enough, trials, sample_size))
     error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
-    votes = (enough.join(hyps, PAIR).select(*PAIR, "x1", "y1", "x2", "y2", F.posexplode("hs").alias("number", "h"))
-             .filter(error <= reach_px * reach_px).groupBy(*PAIR, "number").agg(F.count(F.lit(1)).alias("inliers")))
+    votes = count_inliers(enough, hyps, reach_px)
     winner = votes.groupBy(*PAIR).agg(F.max_by("number", F.struct("inliers", -F.col("number"))).alias("number"),
                                       F.max("inliers").alias("n_inliers"))
     best = winner.join(hyps, PAIR).select(*PAIR, "n_inliers", F.get("hs", F.col("number")).alias("h"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import bands, geometry
 from scanframe.operators import ordered, settings
+from scanframe.session import cut_lineage
 
 
 def enabled_positions(enabled: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +113,7 @@ def refine_around(cache: DataFrame, centers: DataFrame, search: FocusSearch = Fo
 
 def best_focus(sweep: DataFrame, start: Column, search: FocusSearch = FocusSearch()) -> DataFrame:
     """Descent search on recorded sweeps (stack_id, seq, z, score): best height and score, Δbase and why it stopped."""
-    cache = sweep_cache(sweep, start, "descent")
+    cache = cut_lineage(sweep_cache(sweep, start, "descent"))      # small, read by the march and both climbs
     march = coarse_march(cache, search)
     coarse = march.groupBy("stack_id").agg(
         F.max_by("z", F.struct("score", -F.col("k"))).alias("center"), F.max("score").alias("center_score"),
@@ -130,7 +131,7 @@ def best_focus(sweep: DataFrame, start: Column, search: FocusSearch = FocusSearc
 def fine_focus(sweep: DataFrame, center: Column, search: FocusSearch = FocusSearch(no_improve=1)) -> DataFrame:
     """Fine search in the small window around a centre height (half-even quantised)."""
     quantised = geometry.quantize_even(center)
-    cache = sweep_cache(sweep.withColumn("__c", quantised), F.col("__c"), "fine")
+    cache = cut_lineage(sweep_cache(sweep.withColumn("__c", quantised), F.col("__c"), "fine"))
     centers = cache.filter(F.col("z") == F.col("start")).select("stack_id", F.col("start").alias("center"), F.col("score").alias("center_score"))
     return refine_around(cache, centers, search).join(centers, "stack_id").select(
         "stack_id", "z", "score", (F.col("score") - F.col("center_score")).alias("delta_base"))
@@ -143,7 +144,7 @@ def alternating_focus(sweep: DataFrame, start: Column, improve: float = 1000.0,
     The alternating order is a function of side and step, so the search is a prefix of a sorted sweep: probes before the
     bias alternate, probes after it stay on the biased side (and turn to the other one when that side is used up).
     """
-    cache = sweep_cache(sweep, start, "alternating")
+    cache = cut_lineage(sweep_cache(sweep, start, "alternating"))  # small, read by every stage
     offset = F.col("z") - F.col("start")
     grid = cache.filter(offset % search.coarse_step == 0).withColumns({
         "k": F.abs(offset / search.coarse_step).cast("int"), "side": F.when(offset > 0, "right").when(offset < 0, "left").otherwise("start")})
@@ -176,7 +177,7 @@ def alternating_focus(sweep: DataFrame, start: Column, improve: float = 1000.0,
         F.first("bias_side").alias("bias_side"), F.max("stop_reason").alias("stop_reason"), F.count(F.lit(1)).alias("probes"))
     starts = sweep.select("stack_id", geometry.quantize_floor(start).alias("start")).distinct()
     above = F.col("score") > F.col("baseline")
-    centers = coarse.join(starts, "stack_id").select(
+    centers = cut_lineage(coarse.join(starts, "stack_id")).select(
         "stack_id", F.when(above, F.col("z")).otherwise(F.col("start")).alias("center"),
         F.greatest("score", "baseline").alias("center_score"), "baseline", "bias_side", "stop_reason", "probes")
     middle = refine_march(cache, centers.select("stack_id", "center", "center_score"), 12)

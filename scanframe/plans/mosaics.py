@@ -43,7 +43,8 @@ def align_pairs(frames: DataFrame, axis: str = "x", rotate: int = 0, search: ali
                 min_acceptable: float = 0.7, history: bool = False) -> DataFrame:
     """Alignment of consecutive frames (sample_id, seq, pixels) with flags and confidence, up to the first failure."""
     cut = align.strips(frames, axis, rotate, search.max_overlap)
-    found = align.align_with_history(cut, search) if history else align.find_alignments(cut, search)
+    # the search is the costly part and its few rows are read twice below: store them
+    found = align.align_with_history(cut, search) if history else cut_lineage(align.find_alignments(cut, search))
     return pair_ops.accepted_prefix(pair_ops.flag_outliers(found), min_acceptable)
 
 
@@ -54,10 +55,12 @@ def refine_pairs(pairs: DataFrame, frames: DataFrame, axis: str = "x", rotate: i
     Only weak pairs reach the pixels: their frames are picked first, then decoded and searched.
     Returns all pairs with accepted replacements, and the judged weak pairs.
     """
-    plan = pair_ops.refinement_plan(pair_ops.neighbour_constraints(pairs))
+    pairs = cut_lineage(pairs)
+    plan = cut_lineage(pair_ops.refinement_plan(pair_ops.neighbour_constraints(pairs)))
     needed = plan.select(SAMPLE, F.explode(F.array(F.col("pair_idx"), F.col("pair_idx") + 1)).alias("seq")).distinct()
     cut = align.strips(frames.join(needed, [SAMPLE, "seq"], "left_semi"), axis, rotate, max_overlap)
-    judged = pair_ops.judge_refinement(plan.join(align.refine(cut, plan, min_overlap_px, min_height), align.PAIR, "left"))
+    judged = cut_lineage(pair_ops.judge_refinement(
+        plan.join(align.refine(cut, plan, min_overlap_px, min_height), align.PAIR, "left")))
     taken = judged.filter("accepted").select(*align.PAIR, "new_overlap", "new_y_offset", "new_score", "new_confidence", "new_flags")
     merged = pairs.join(taken, align.PAIR, "left")
     new = lambda c, n: F.coalesce(F.col(n), F.col(c)).alias(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,14 @@ def parse_slots(lines: DataFrame) -> DataFrame:
         *[c for c in lines.columns if c != "value"], "slot", *[number(a).alias(f"{a}_mm") for a in "xyz"])
 
 
-def read_settings(spark: SparkSession, root: str) -> DataFrame:
-    """Settings below ``root``: scope = folder, layer = active (settings.yaml) or default (default_settings.yaml)."""
+def read_settings(spark: SparkSession, root: str, scope_namer: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """Settings below ``root``: scope = folder, layer = active (settings.yaml) or default (default_settings.yaml).
+
+    ``scope_namer`` turns the folder name into the scope.
+    """
     name = F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*settings.yaml").text(root)
-             .withColumn("scope", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1))
+             .withColumn("scope", scope_namer(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1)))
              .withColumn("layer", F.when(F.startswith(name, F.lit("default_")), "default").otherwise("active")))
     return parse_flat(lines).select("scope", "layer", "key", "value")
 

@@ -58,6 +58,17 @@ def frames_rgb(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(8).alias("height"), F.lit(3).alias("n_channels"), bytes_of(woven).alias("data"))
 
 
+def frames_bgra(spark: SparkSession, sf: str) -> DataFrame:
+    """8x8 frames with alpha, four vectors per frame; alpha is stretched to 0..255 (the values lie around 128)."""
+    plane = lambda c: F.max_by(gray_array(), F.when(F.col("vec_id") % 4 == c, 1))
+    planes = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).cast("bigint").alias("frame_id")).agg(
+        plane(0).alias("b"), plane(1).alias("g"), plane(2).alias("r"), plane(3).alias("a"), F.count(F.lit(1)).alias("n")).filter("n = 4")
+    stretched = F.transform("a", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), (v - 96) * 4)))
+    woven = F.flatten(F.transform(F.arrays_zip("b", "g", "r", stretched.alias("a")), lambda p: F.array(p["b"], p["g"], p["r"], p["a"])))
+    return planes.select("frame_id", (F.col("frame_id") % 5).cast("int").alias("sample_id"), F.lit(8).alias("width"),
+                         F.lit(8).alias("height"), F.lit(4).alias("n_channels"), bytes_of(woven).alias("data"))
+
+
 def rgb(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of the three-channel frames."""
     spread = table(spark, sf, "embeddings").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanframe.operators import canvas, control as ctl, match, ordered
@@ -290,6 +291,21 @@ def match_descriptors(spark, sf):
     return panorama.match_descriptors(_descriptors(spark, sf), 0.97).select("pair_idx", "query", "train", "x1", "y1", "x2", "y2")
 
 
+@query("homography_inliers", "C24", sql("""
+SELECT m.pair_idx::BIGINT AS pair_idx, (rk - 1)::INTEGER AS number, count(*) AS inliers FROM m JOIN (SELECT pair_idx, x1 - x2 AS dx, y1 - y2 AS dy,
+  row_number() OVER (PARTITION BY pair_idx ORDER BY query) AS rk FROM m) h ON h.pair_idx = m.pair_idx AND h.rk <= 3
+WHERE (x2 + dx - x1) ** 2 + (y2 + dy - y1) ** 2 <= 14400 GROUP BY 1, 2""", "fx_desc", near=NEAREST, m=MATCHES))
+def homography_inliers(spark, sf):
+    points = panorama.match_descriptors(_descriptors(spark, sf), 1.1)
+    rank = F.row_number().over(Window.partitionBy(*match.PAIR).orderBy("query"))
+    shift = F.array(*[F.lit(v) for v in (1.0, 0.0)], F.col("x1") - F.col("x2"), *[F.lit(v) for v in (0.0, 1.0)], F.col("y1") - F.col("y2"),
+                    *[F.lit(v) for v in (0.0, 0.0, 1.0)])
+    first = points.withColumn("rank", rank).filter("rank <= 3")
+    hyps = first.groupBy(*match.PAIR).agg(F.sort_array(F.collect_list(F.struct("rank", shift.alias("h")))).alias("s")).select(
+        *match.PAIR, F.transform("s", lambda v: v["h"]).alias("hs"))
+    return match.count_inliers(points, hyps, 120.0).select("pair_idx", "number", "inliers")
+
+
 @query("pair_homographies", "C24")
 def pair_homographies(spark, sf):
     d = _descriptors(spark, sf)

@@ -81,7 +81,25 @@ def name_render(spark, sf):
 TEMPLATES = ("Y{y} X{x} Z{z} F{f}", "{sample}_{i}", "Y{y", "y}x", "{d:%Y} {f:.2f}", "{{literal}} {d}", "plain", "{x}{x}{foo}")
 
 
-@query("template_report", "P8")
+_TRUTH = {  # template number: valid, issues, recognized, unknown, positions, focus, index, date, default date
+    0: (True, "", "y,x,z,f", "", 1, 1, 0, 0, 0), 1: (True, "Unknown placeholder {sample} at pos @.", "i", "sample", 0, 0, 1, 0, 0),
+    2: (False, "Unbalanced braces detected.", "", "", 0, 0, 0, 0, 0),
+    3: (False, "Unmatched '}' at position #. Unbalanced braces detected.", "", "", 0, 0, 0, 0, 0),
+    4: (False, "Formatting is only supported for {d}. Found on {f:.2f}.", "d,f", "", 0, 1, 0, 1, 0),
+    5: (False, "Unknown placeholder {literal} at pos +.", "d", "literal", 0, 0, 0, 1, 1), 6: (True, "", "", "", 0, 0, 0, 0, 0),
+    7: (False, "Unknown placeholder {foo} at pos *.", "x", "foo", 1, 0, 0, 0, 0)}
+
+
+def _template_truth() -> str:
+    q = lambda v: "'" + str(v).replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {q(TEMPLATES[k])}, {q(t[1])}, {q(t[2])}, {q(t[3])}, {', '.join(str(bool(b)) for b in t[4:])})" for k, t in _TRUTH.items())
+    spots = "replace(replace(replace(replace(i, '@', n::VARCHAR), '#', (n + 1)::VARCHAR), '+', (n + 1)::VARCHAR), '*', (n + 6)::VARCHAR)"
+    return f"""SELECT p_partkey, p_name || ' ' || t AS template, i = '' AS is_valid, {spots} AS issues, rec AS recognized, unk AS unknown,
+  a AS needs_positions, b AS needs_focus, c AS needs_index, d AS needs_date, e AS uses_default_date FROM (SELECT *, length(p_name) + 1 AS n FROM part)
+  JOIN (VALUES {rows}) v(k, t, i, rec, unk, a, b, c, d, e) ON k = p_partkey % 8"""
+
+
+@query("template_report", "P8", _template_truth())
 def template_report(spark, sf):
     options = F.array(*[F.lit(t) for t in TEMPLATES])
     rows = fx.table(spark, sf, "part").select(

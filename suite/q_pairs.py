@@ -422,3 +422,13 @@ def rotated_frames(spark, sf):
     from scanframe.functions import geometry
     turned = frame_ops.rotate(fx.frames_gray(spark, sf), ["frame_id"], geometry.rotations("y"))
     return frame_ops.pixels(turned, ["frame_id"]).select("frame_id", (F.lit(7) - F.col("y")).alias("y"), "x", "g")
+
+
+@query("overlap_ncc_relational", "J7 A21 F7", sql("""
+SELECT sample_id, pair_idx, ov::INTEGER AS overlap, dy::INTEGER AS dy, n, coalesce(round(s, 6), -2) AS score FROM ncc WHERE ov BETWEEN 3 AND 8 AND abs(dy) <= 1""",
+  "fx_px", px=SEQ, cand=CANDIDATES, ncc=NCC))
+def overlap_ncc_relational(spark, sf):
+    px = frame_ops.pixels(_gray_sequence(spark, sf), ["sample_id", "seq"])
+    sums = align.overlap_sums(px, F.sequence(F.lit(3), F.lit(8)), F.sequence(F.lit(-1), F.lit(1)), 8)
+    score = align.correlation_of(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    return sums.select("sample_id", "pair_idx", "overlap", "dy", "n", F.coalesce(F.round(score, 6), F.lit(-2.0)).alias("score"))

@@ -421,3 +421,34 @@ def hot_clear(spark, sf):
     size = hot.union_size(old).withColumn("one", F.lit(1))
     return (kept.groupBy(*hot.GRID).agg(F.count(F.lit(1)).alias("kept")).withColumn("one", F.lit(1))
             .join(F.broadcast(size), "one").drop("one"))
+
+
+BGRA = """SELECT frame_id // 4 AS frame_id, y, x, max(g) FILTER (frame_id % 4 = 0) AS b, max(g) FILTER (frame_id % 4 = 1) AS g,
+  max(g) FILTER (frame_id % 4 = 2) AS r, greatest(0, least(255, (max(g) FILTER (frame_id % 4 = 3) - 96) * 4)) AS a FROM fx_px GROUP BY 1, 2, 3 HAVING count(*) = 4"""
+
+
+@query("flatten_alpha", "P27", sql("""
+SELECT frame_id, y, x, ((r * a + 255 * (255 - a) + 127) // 255)::INTEGER AS r, ((g * a + 255 * (255 - a) + 127) // 255)::INTEGER AS g,
+  ((b * a + 255 * (255 - a) + 127) // 255)::INTEGER AS b FROM bgra""", "fx_px", bgra=BGRA))
+def flatten_alpha(spark, sf):
+    from scanframe.sources import images
+    return frame_ops.pixels(images.flatten_alpha(fx.frames_bgra(spark, sf), KEY), KEY)
+
+
+@query("frame_tile_store", "S9 P49", sql("""
+SELECT kind, sample_id, frame_id, count(*) AS n_pixels, sum(r)::BIGINT AS sum_r, sum(b)::BIGINT AS sum_b FROM (
+  SELECT 'gray' AS kind, sample_id, frame_id, g AS r, g AS b FROM fx_px UNION ALL SELECT 'alpha', (frame_id % 5)::INTEGER, frame_id, r, b FROM bgra)
+GROUP BY 1, 2, 3""", "fx_px", bgra=BGRA))
+def frame_tile_store(spark, sf):
+    # gray and alpha frames are brought to storage form, written as tiles per sample, and read back
+    from scanframe.sources import sinks
+    from scanframe.streaming.live import shared_folder
+    columns = ["kind", "sample_id", "frame_id", "width", "height", "n_channels", "data"]
+    every = fx.frames_gray(spark, sf).withColumn("kind", F.lit("gray")).select(*columns).unionByName(
+        fx.frames_bgra(spark, sf).withColumn("kind", F.lit("alpha")).select(*columns))
+    good, _ = frame_ops.normalise_for_storage(every)
+    path = shared_folder(spark, "tiles")
+    sinks.write_frame_tiles(frame_ops.cut_tiles(good, ["kind", "sample_id", "frame_id"], 5), path)
+    back = spark.read.parquet(path).withColumnsRenamed({"w": "width", "h": "height"})
+    px = frame_ops.pixels(back, ["kind", "sample_id", "frame_id"])
+    return px.groupBy("kind", "sample_id", "frame_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("r").alias("sum_r"), F.sum("b").alias("sum_b"))

@@ -86,6 +86,8 @@ def test_settings_files(spark, tmp_path):
     (tmp_path / "Ender" / "settings.yaml").write_text("max_x: 7\n")
     got = {(r.layer, r.key): r.value for r in settings_files.read_settings(spark, str(tmp_path)).collect()}
     assert got == {("default", "name"): "Mar#lin", ("default", "max_x"): "22000", ("default", "list"): "[0, 0, 0]", ("active", "max_x"): "7"}
+    upper = settings_files.read_settings(spark, str(tmp_path), F.upper)
+    assert {r.scope for r in upper.collect()} == {"ENDER"}
     slots = {r.slot: (r.x_mm, r.y_mm, r.z_mm) for r in settings_files.read_slots(spark, str(tmp_path)).collect()}
     assert slots == {1: (22.12, 200.0, 29.0), 2: (1.5, 2.0, None)}
     from scanframe.plans import control
