@@ -57,7 +57,8 @@ def strips(frames: DataFrame, axis: str = "x", rotate: int = 0, max_overlap: flo
     cut = map_frames(frames, ["sample_id", "seq"], "pair_idx long, side int, w int, h int, full_w int, full_h int, data binary",
                      one)
     side = lambda s: F.any_value(F.when(F.col("side") == s, F.struct("w", "h", "full_w", "full_h", "data")), True)
-    return cut.groupBy(*PAIR).agg(side(0).alias("a"), side(1).alias("b")).filter("a is not null and b is not null")
+    # shuffled before it is aggregated: with two rows per key there is nothing to combine, or to sort, on the map side
+    return cut.repartition(*PAIR).groupBy(*PAIR).agg(side(0).alias("a"), side(1).alias("b")).filter("a is not null and b is not null")
 
 
 def map_pairs(rows: DataFrame, keep: list[str], fields: str, one) -> DataFrame:

@@ -45,11 +45,9 @@ def best_single(files: DataFrame, folder: str = "folder") -> DataFrame:
 
 def score_stats(files: DataFrame, folder: str = "folder") -> DataFrame:
     """Count, range and automatic thresholds per folder."""
-    deviation = F.when(F.count("f") > 1, F.try_divide(
-        F.sum(F.col("f") * F.col("f")) - F.sum("f") * F.sum("f") / F.count("f"), F.count("f") - 1)).otherwise(F.lit(0.0))
     return files.groupBy(folder).agg(
         F.count("f").alias("n"), F.min("f").alias("f_min"), F.max("f").alias("f_max"),
-        (F.avg("f") + 0.5 * F.sqrt(F.greatest(F.lit(0.0), deviation))).alias("auto_absolute"),
+        (F.avg("f") + 0.5 * F.coalesce(F.stddev_samp("f"), F.lit(0.0))).alias("auto_absolute"),
         (F.max("f") * 0.7).alias("auto_relative"))
 
 
@@ -72,14 +70,14 @@ def stackable(chosen: DataFrame, folder: str = "folder", at_least: int = 2) -> D
 
 
 def grid_groups(chosen: DataFrame, by: str, at_least: int = 2) -> DataFrame:
-    """Rows (by y, along x) or columns (by x, along y) to stitch: frames with their place; lone frames are left out.
+    """Rows (by y, along x), columns (by x, along y) or all frames of a strategy (by ``all``, along x and y) to stitch.
 
-    ``chosen`` carries strategy, x and y.
+    ``chosen`` carries strategy, x and y; frames come with their place in the group, groups that are too small are left out.
     """
-    along = "x" if by == "y" else "y"
-    placed = ordered.dense_index(chosen, ["strategy", by], [along, "path"], ordered.chunk_of(F.col(along)), "place")
-    size = chosen.groupBy("strategy", by).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") >= at_least)
-    return placed.join(size, ["strategy", by])
+    keys, along = {"y": (["strategy", "y"], ["x"]), "x": (["strategy", "x"], ["y"]), "all": (["strategy"], ["x", "y"])}[by]
+    placed = ordered.dense_index(chosen, keys, [*along, "path"], ordered.chunk_of(F.col(along[0])), "place")
+    size = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") >= at_least)
+    return placed.join(size, keys)
 
 
 def merge_tree(members: DataFrame, group: str, index: str = "idx", failed: DataFrame | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def run_all_strategies(files: DataFrame, n: int = 5) -> DataFrame:
 
 
 def mosaic_groups(results: DataFrame, by: str) -> DataFrame:
-    """Row (``y``) or column (``x``) groups of stacked results, whose keys look like ``X{x}Y{y}_{strategy}``."""
+    """Row (``y``), column (``x``) or panorama (``all``) groups of stacked results keyed ``X{x}Y{y}_{strategy}``."""
     k = names.stem(F.col("key"))
     placed = results.withColumns({"x": names.folder_x(k), "y": names.folder_y(k), "strategy": names.strategy_of(k)})
     return select.grid_groups(placed.filter("x is not null and y is not null"), by)

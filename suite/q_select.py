@@ -101,6 +101,13 @@ def column_groups(spark, sf):
     return selection.mosaic_groups(_results(spark, sf), "x").select("strategy", "x", "path", "place", "group_size")
 
 
+@query("panorama_groups", "C20 K10", sql("""
+SELECT strategy, path, x, y, row_number() OVER (PARTITION BY strategy ORDER BY x, y, path) - 1 AS place, count(*) OVER (PARTITION BY strategy) AS group_size
+FROM keys""", "fx_frames", keys=KEYS))
+def panorama_groups(spark, sf):
+    return selection.mosaic_groups(_results(spark, sf), "all").select("strategy", "path", "x", "y", "place", "group_size")
+
+
 TREE = """SELECT sample_id, level::INTEGER AS level, seq // (1 << level) AS node, seq AS "left", CASE WHEN seq + (1 << (level - 1)) < n
   THEN seq + (1 << (level - 1)) ELSE -1 END AS "right", CASE WHEN seq + (1 << (level - 1)) >= n THEN 'carry'
   WHEN (seq // (1 << level) + level + sample_id) % 17 = 0 THEN 'keep_left' ELSE 'merge' END AS action FROM (
