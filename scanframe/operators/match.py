@@ -209,6 +209,7 @@ def _prefix(steps: DataFrame, width: int, levels: int) -> DataFrame:
     local = keyed.withColumn("h", F.aggregate(F.collect_list("h").over(window), identity, product))
     if levels <= 1:
         return local.drop("chunk")
+    local = cut_lineage(local)          # one small row per image, read for the chunk products and for the result
     totals = local.groupBy("sample_id", F.col("chunk").alias("seq")).agg(F.max_by("h", "seq").alias("h"))
     upto = _prefix(totals, width, levels - 1).select("sample_id", (F.col("seq") + 1).alias("chunk"), F.col("h").alias("carry"))
     return local.join(upto, ["sample_id", "chunk"], "left").select(
