@@ -48,14 +48,14 @@ def key_value_tokens(spark, sf):
 
 
 @query("ack_outcomes", "J16 C31 P50 R5", sql("""
-SELECT c.device, c.seq, coalesce(r.reply_seq, -1) AS reply_seq, coalesce(round(epoch_us(r.ts) / 1e6 - epoch_us(c.ts) / 1e6, 3), -1) AS latency_s,
+SELECT c.device, c.seq, coalesce(r.reply_seq, -1) AS reply_seq, coalesce(round((epoch_us(r.ts) - epoch_us(c.ts)) / 1e6::DOUBLE, 6), -1) AS latency_s,
   CASE WHEN r.reply IS NULL THEN 'timeout' WHEN starts_with(r.reply, 'error') THEN 'fault' ELSE 'acknowledged' END AS outcome
 FROM fx_cmdlog c LEFT JOIN LATERAL (SELECT * FROM fx_replies p WHERE p.device = c.device AND p.ts > c.ts AND epoch_us(p.ts) - epoch_us(c.ts) <= 7200000000
   AND p.reply NOT LIKE 'echo%' ORDER BY p.ts, p.reply_seq LIMIT 1) r ON true""", "fx_cmdlog", "fx_replies"))
 def ack_outcomes(spark, sf):
     out = ctl.ack_outcomes(fx.commands(spark, sf), fx.replies(spark, sf), 7200.0, 3600)
     return out.select("device", "seq", F.coalesce("reply_seq", F.lit(-1).cast("bigint")).alias("reply_seq"),
-                      F.coalesce(F.round("latency_s", 3), F.lit(-1.0)).alias("latency_s"), "outcome")
+                      F.coalesce("latency_s", F.lit(-1.0)).alias("latency_s"), "outcome")
 
 
 @query("response_classes", "P50", sql("""

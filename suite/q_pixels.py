@@ -67,11 +67,12 @@ def focus_tiles_top(spark, sf):
 
 
 @query("tile_scores_whole", "A1", sql(f"SELECT frame_id, count(*) AS n, sum(v)::BIGINT AS s1, sum(v * v)::BIGINT AS s2, "
-                                      f"quantile_cont(v, 0.9) AS p90, round({SCORE}, 6) AS score FROM lap GROUP BY 1",
+                                      f"quantile_cont(v, 0.9) AS p90, round({SCORE} * 81920) AS score_x81920 FROM lap GROUP BY 1",
                                       "fx_px", whole=WHOLE, blurred=blur_cte("whole"), lap=lap_cte("blurred", 3)))
 def tile_scores_whole(spark, sf):
     return focus.tile_scores(fx.frames_gray(spark, sf), KEY, 8, 8).select(
-        "frame_id", "n", "s1", "s2", "p90", F.round("score", 6).alias("score"))
+        # 64 pixels and a percentile in tenths: times 81920 the score is whole, so rounding meets no ties
+        "frame_id", "n", "s1", "s2", "p90", F.round(F.col("score") * 81920).alias("score_x81920"))
 
 
 @query("focus_tiles_bands", "P32 P33 P16 P14 J4 A13", sql("""
