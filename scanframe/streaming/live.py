@@ -190,19 +190,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", partitions: int | None = None) -> DataFrame:
     """Runs a stream over everything that is there and returns what it wrote, with ``batch_id``.
 
     Every micro-batch replaces its own folder, so a batch that is run again after a failure leaves no doubles.
+    ``partitions`` is the number of state partitions, which a stream keeps for its whole life; by default the session's.
     """
     spark = stream.sparkSession
     root = shared_folder(spark, name)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
-             .foreachBatch(save).trigger(availableNow=True).start())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions or before))
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+                 .foreachBatch(save).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
     return spark.read.schema(schema).parquet(f"{root}/out")

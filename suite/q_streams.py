@@ -17,20 +17,24 @@ def _events(spark, sf):
                       F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def _run(stream, mode, name):
+    return live.run_available(stream, mode, name, stream.sparkSession.sparkContext.defaultParallelism)
+
+
 @query("stream_positions", "R8 S6", ORACLES["position_track"])
 def stream_positions(spark, sf):
-    out = live.run_available(live.positions(fx.commands_of(_events(spark, sf))), "append", "positions")
+    out = _run(live.positions(fx.commands_of(_events(spark, sf))), "append", "positions")
     return out.drop("batch_id")
 
 
 @query("stream_segments", "R4 S12", ORACLES["sweep_segments"])
 def stream_segments(spark, sf):
-    return live.run_available(live.segments(fx.series_of(_events(spark, sf))), "append", "segments").drop("batch_id")
+    return _run(live.segments(fx.series_of(_events(spark, sf))), "append", "segments").drop("batch_id")
 
 
 @query("stream_sample_bounds", "R3", ORACLES["sample_bounds"])
 def stream_sample_bounds(spark, sf):
-    out = live.run_available(live.sample_bounds(fx.series_of(_events(spark, sf))), "update", "bounds")
+    out = _run(live.sample_bounds(fx.series_of(_events(spark, sf))), "update", "bounds")
     columns = ("y_min", "y_max", "positions", "captured", "end_found")
     return out.groupBy("sample_id").agg(*[F.max_by(c, "batch_id").alias(c) for c in columns])
 
@@ -38,25 +42,25 @@ def stream_sample_bounds(spark, sf):
 @query("stream_latest_capture", "R2 S8", sql("""
 SELECT camera, arg_max(event_id, (ts, source = 'still', event_id)) AS event_id FROM fx_captures GROUP BY 1""", "fx_captures"))
 def stream_latest_capture(spark, sf):
-    out = live.run_available(live.latest_capture(fx.captures_of(_events(spark, sf)), ["camera"]), "update", "captures")
+    out = _run(live.latest_capture(fx.captures_of(_events(spark, sf)), ["camera"]), "update", "captures")
     return out.groupBy("camera").agg(F.max_by("event_id", "batch_id").alias("event_id"))
 
 
 @query("stream_hot_windows", "R1", ORACLES["hot_windows"])
 def stream_hot_windows(spark, sf):
     hits = live.hot_tile_windows(fx.tile_hits_of(_events(spark, sf)), "1 day", 3, "40 days")
-    out = live.run_available(hits, "update", "hot")
+    out = _run(hits, "update", "hot")
     return out.groupBy("window_start", "grid_w", "grid_h", "col", "row").agg(F.max_by("hits", "batch_id").alias("hits"))
 
 
 @query("stream_scan_sessions", "R6")
 def stream_scan_sessions(spark, sf):
-    return live.run_available(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours"), "append", "sessions").drop("batch_id")
+    return _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours"), "append", "sessions").drop("batch_id")
 
 
 @query("stream_rolling_focus", "R7")
 def stream_rolling_focus(spark, sf):
-    return live.run_available(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day"), "append", "rolling").drop("batch_id")
+    return _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day"), "append", "rolling").drop("batch_id")
 
 
 @query("stream_ack_timeouts", "R5")
@@ -66,4 +70,4 @@ def stream_ack_timeouts(spark, sf):
     replies = _events(spark, sf).filter(F.col("event_type").isin("view", "error")).select(
         F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"),
         F.get(options, (F.col("event_id") % 4).cast("int")).alias("reply"))
-    return live.run_available(live.ack_timeouts(fx.commands_of(ev), replies), "append", "timeouts").drop("batch_id")
+    return _run(live.ack_timeouts(fx.commands_of(ev), replies), "append", "timeouts").drop("batch_id")

@@ -80,14 +80,14 @@ def test_arriving_files_are_decoded_per_batch(spark, folder, tmp_path):
 
 
 def test_settings_files(spark, tmp_path):
-    (tmp_path / "Ender").mkdir()
-    (tmp_path / "Ender" / "default_settings.yaml").write_text(
-        '# head\nname: "Mar#lin"\nmax_x: 22000  # steps\nlist: [0, 0, 0]\nempty:\nslots:\n  1: { x: 22.12, y: 200.00, z: 29.00 }\n  2: { x: 1.5, y: 2 }\n')
-    (tmp_path / "Ender" / "settings.yaml").write_text("max_x: 7\n")
+    (tmp_path / "rig").mkdir()
+    (tmp_path / "rig" / "default_settings.yaml").write_text(
+        '# head\nname: "first#second"\nmax_x: 22000  # steps\nlist: [0, 0, 0]\nempty:\nslots:\n  1: { x: 22.12, y: 200.00, z: 29.00 }\n  2: { x: 1.5, y: 2 }\n')
+    (tmp_path / "rig" / "settings.yaml").write_text("max_x: 7\n")
     got = {(r.layer, r.key): r.value for r in settings_files.read_settings(spark, str(tmp_path)).collect()}
-    assert got == {("default", "name"): "Mar#lin", ("default", "max_x"): "22000", ("default", "list"): "[0, 0, 0]", ("active", "max_x"): "7"}
+    assert got == {("default", "name"): "first#second", ("default", "max_x"): "22000", ("default", "list"): "[0, 0, 0]", ("active", "max_x"): "7"}
     upper = settings_files.read_settings(spark, str(tmp_path), F.upper)
-    assert {r.scope for r in upper.collect()} == {"ENDER"}
+    assert {r.scope for r in upper.collect()} == {"RIG"}
     slots = {r.slot: (r.x_mm, r.y_mm, r.z_mm) for r in settings_files.read_slots(spark, str(tmp_path)).collect()}
     assert slots == {1: (22.12, 200.0, 29.0), 2: (1.5, 2.0, None)}
     from scanframe.plans import control
