@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import packing, pieces, quality
-from scanframe.llm.common import table
+from scanframe.llm import avi, packing, pieces, quality, warc
+from scanframe.llm.common import shared_dir, table
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +20,17 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), uri)
+    return warc.read(spark, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return avi.digests(avi.to_avi(docs))
+
+
 def op8_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(docs, tokenizer("piece_bpe_32k.model"))
@@ -30,5 +42,5 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_cost_packing, op8_distinct_chunks, op9_adaptive_quality)}
+    f.__name__: f for f in (op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
 ORACLES: dict[str, str] = {}
