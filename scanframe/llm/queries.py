@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import avi, packing, pieces, quality, warc
+from scanframe.llm import avi, packing, pieces, quality, simhash, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.groups(docs).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -42,5 +47,5 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
+    f.__name__: f for f in (op1_gray_simhash, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
 ORACLES: dict[str, str] = {}
