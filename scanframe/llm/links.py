@@ -11,7 +11,8 @@ from scanframe.llm.common import cut
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links (u, v) with u > v. Large star: neighbours above a node go to its least neighbour; small star: those below."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so that both sides of the join are plain exchanges and Spark can split a node with very many links
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     moved = both.join(least, "u")
     if large:
         moved = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

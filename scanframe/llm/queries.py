@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scanframe.llm import avi, packing, pieces, quality, simhash, warc
+from scanframe.llm import avi, lines, packing, pieces, quality, simhash, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -21,6 +22,13 @@ def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.without_copies(table(spark, sf_dir, "documents"))
+    gone = F.coalesce(F.size("deleted"), F.lit(0))
+    return docs.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.when(gone > 0, gone).otherwise(0).cast("bigint").alias("n_deleted"),
+                       F.coalesce(F.array_join("deleted", ","), F.lit("")).alias("deleted_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -47,5 +55,5 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_gray_simhash, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
+    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
 ORACLES: dict[str, str] = {}
