@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm import avi, lines, packing, pieces, quality, simhash, warc
+from scanframe.llm import avi, lines, packing, pieces, quality, secrets, simhash, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -29,6 +29,12 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.coalesce(F.array_join("deleted", ","), F.lit("")).alias("deleted_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    per_kind = [secrets.count_of(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *per_kind, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -55,5 +61,5 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
+    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
 ORACLES: dict[str, str] = {}
