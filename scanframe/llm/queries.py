@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm import avi, lines, packing, pieces, quality, secrets, simhash, warc
+from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -60,6 +60,12 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality)}
+    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality,
+                           op10_pitman_yor)}
 ORACLES: dict[str, str] = {}
