@@ -23,6 +23,7 @@ MIN_GROUP = 30
 #: measure -> (low fence too, spreads from the median, slack in the measure's unit). Slack keeps a group without any
 #: spread (no symbols at all, say) from rejecting a document for a trace.
 FENCES = {"word_len": (True, 16, 60), "symbols": (False, 10, 150), "dup_lines": (False, 10, 400), "repeats": (False, 10, 450)}
+PLACE = "__place"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"q_{m}" for m in FENCES)]
 
 
@@ -61,7 +62,9 @@ def measured(docs: DataFrame) -> DataFrame:
           .withColumn("q_symbols", F.floor(1000 * F.col("n_symbols") / n).cast("bigint"))
           .withColumn("q_dup_lines", F.floor(1000 * F.col("n_dup_lines") / F.greatest("__n_lines", F.lit(1))).cast("bigint"))
           .withColumn("q_repeats", F.floor(1000 * F.col("n_repeat_words") / n).cast("bigint")))
-    return df.select(*[c for c in df.columns if not c.startswith("__")])
+    # a column that isn't deterministic: no filter on the measures is pushed below them, which would write each measure
+    # out in terms of the text, over and over
+    return df.select(*[c for c in df.columns if not c.startswith("__")], F.spark_partition_id().alias(PLACE))
 
 
 def bucket(v: Column) -> Column:
@@ -79,8 +82,8 @@ def value(b: Column) -> Column:
 def sketches(measures: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) of the documents that the base rules keep. Merging is adding n."""
     stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(f"q_{m}")).alias("bucket")) for m in FENCES]))
-    return (measures.filter(~F.col("base_failed")).select("lang", "source", stacked.alias("s"))
-            .groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n")))
+    return (measures.select("lang", "source", "base_failed", stacked.alias("s"))
+            .groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")).filter("n > 0"))
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ def judged(measures: DataFrame, fences: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for m in FENCES:
         inside = inside & F.col(f"q_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select(*measures.columns, "kept")
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True)) & (F.col(PLACE) >= 0)
+    return joined.withColumn("kept", kept).select(*[c for c in measures.columns if c != PLACE], "kept")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Texts are scanned twice, once to train and once to cut, rather than shuffled.
     """
     n = docs.count()
-    model = train(scanned(docs.withColumn("ordinary", _ordinary(n))), F.col("ordinary").isNotNull())
-    found = _with_model(scanned(docs), model)
+    thin = cut(scanned(docs.withColumn("ordinary", _ordinary(n))).select("base", "ordinary"))
+    found = _with_model(scanned(docs), train(thin, F.col("ordinary").isNotNull()))
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["e"]).alias("at"),
         F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"))

@@ -14,6 +14,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanframe.llm.common import cut
+from scanframe.llm.common import cut, text_of
 from scanframe.llm.links import components
 
 SEED = 42
@@ -199,24 +200,36 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[child], names[label[child]]
 
 
-def _search(batches: Iterator[pa.RecordBatch], limit: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def outermost(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every entry's links, those to its least and its greatest neighbour."""
+    x, y = np.concatenate([u, v]), np.concatenate([v, u])
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    edge = np.flatnonzero(np.diff(x)) + 1
+    ends = np.unique(np.concatenate([[0], edge, edge - 1, [len(x) - 1]]))
+    return x[ends], y[ends]
+
+
+REDUCED = {"all": lambda u, v: (u, v), "connecting": spanning, "outermost": outermost}
+
+
+def _search(batches: Iterator[pa.RecordBatch], limit: int, links: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
             a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ma", "mb"))
             u, v = close_pairs(a, b, limit)
             if not len(u):
                 continue
-            if not whole:
-                u, v = spanning(u, v)
+            u, v = REDUCED[links](u, v)
             t = np.full(len(u), batch.column("t")[i].as_py(), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["t", "u", "v"])
 
 
-def near_fingerprints(entries: DataFrame, limit: int, whole: bool = False) -> DataFrame:
+def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting") -> DataFrame:
     """Links (t, u, v) between different fingerprints ``fp`` of the same table ``t`` that differ in ``limit`` bits or fewer.
 
-    Each surviving pair of leaves gives links enough to connect what it connects; ``whole`` gives all of them (an entry
-    has a bounded number of neighbours, 2,080 at 64 bits and a limit of 2). A pair may appear more than once.
+    Each surviving pair of leaves gives links enough to connect what it connects, or all (an entry has a bounded number
+    of neighbours, 2,080 at 64 bits and a limit of 2), or every entry's outermost. A pair may appear more than once.
     """
     entries = entries.select("t", "fp").distinct().withColumn("rank", gray_rank(F.col("fp")))
     dealt = entries.repartitionByRange("t", "rank").sortWithinPartitions("t", "rank")
@@ -225,7 +238,7 @@ def near_fingerprints(entries: DataFrame, limit: int, whole: bool = False) -> Da
     part = leaves.select("node", "members")
     both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
             .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("t", "ma", "mb"))
-    return both.mapInArrow(lambda it: _search(it, limit, whole), "t int, u long, v long")
+    return both.mapInArrow(lambda it: _search(it, limit, links), "t int, u long, v long")
 
 
 def groups(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
@@ -237,3 +250,123 @@ def groups(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp")
+
+
+# ---- near duplicates by similarity ---------------------------------------------------------------------------------
+
+def angle_share(similarity: float) -> float:
+    """Share of SimHash bits in which two texts of that Jaccard similarity (and equal size) differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables_for(n: int, similarity: float, limit: int, miss: float) -> tuple[int, int]:
+    """(bits of a table's fingerprints, number of tables) for n texts.
+
+    Bits grow with the logarithm of n, so that a text has few chance neighbours at any n; there are as many tables as
+    keep the chance to meet in none, at the least similarity, below ``miss``.
+    """
+    p = angle_share(similarity)
+    bits = min(64, max(16, math.ceil(math.log2(n + 1)) + 11))
+    meet = sum(math.comb(bits, d) * p ** d * (1 - p) ** (bits - d) for d in range(limit + 1))
+    return bits, math.ceil(math.log(miss) / math.log(1 - meet))
+
+
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 x words bits: every word mixes the shingles' hashes anew."""
+    counts = np.zeros((words, 64), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1 << 13):
+            part = hashes[i:i + (1 << 13)]
+            for w in range(words):
+                z = part + np.uint64(w + 1) * np.uint64(0x9E3779B97F4A7C15)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                counts[w] += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [sketch(shingle_hashes(t.as_py() or b"", size), words).tobytes() for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, pa.binary())], names=["doc_id", "text_key", "sketch"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """(t, fp, id): table t has the bits from t x bits on."""
+    for batch in batches:
+        for i in range(0, len(batch), 4096):
+            part = batch.slice(i, 4096)
+            flat = np.unpackbits(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(part), -1), axis=1)
+            own = np.zeros((len(part), tables, 64), np.uint8)
+            own[:, :, 64 - bits:] = flat[:, :bits * tables].reshape(len(part), tables, bits)
+            fp = np.packbits(own, axis=2).reshape(-1, 8).view(">u8").ravel().astype(np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(fp),
+                                              pa.array(np.repeat(part.column("id").to_numpy(), tables))], names=["t", "fp", "id"])
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    """Of the sets of shingles; two texts without words are alike."""
+    x, y = (np.unique(shingle_hashes(t, size)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb"))
+        good = [jaccard(x or b"", y or b"", size) >= similarity for x, y in zip(a, b, strict=True)]
+        yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 2, miss: float = 0.02) -> DataFrame:
+    """(doc_id, text_key, root) of the different texts with their group; ``stays`` marks the one with the least doc_id.
+
+    Texts are sketched by SimHash bits; several tables of fingerprints are searched through the index; pairs that meet
+    in one, between the least text of each fingerprint and the others of it or the least of a near one, are compared by
+    their whole sketches and, if these come near, by the Jaccard similarity of their shingle sets.
+    """
+    n = docs.count()
+    bits, tables = tables_for(n, similarity, limit, miss)
+    words = max(10, -(-bits * tables // 64))
+    keyed = docs.select("doc_id", F.md5(text_of()).alias("text_key"), "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first")
+    thin = keyed.mapInArrow(lambda it: _sketched(it, size, words), "doc_id long, text_key string, sketch binary")
+    entries = cut(cut(thin.groupBy("text_key").agg(first, F.first("sketch").alias("sketch"))).withColumn("id", F.monotonically_increasing_id()))
+    dealt = cut(entries.select("id", "sketch").mapInArrow(lambda it: _dealt(it, bits, tables), "t int, fp long, id long"))
+    least = cut(dealt.groupBy("t", "fp").agg(F.min("id").alias("least")))
+    links = near_fingerprints(least.select("t", "fp"), limit, "outermost")
+    inside = dealt.join(least, ["t", "fp"]).filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    ends = least.select("t", F.col("fp").alias("f"), "least")
+    across = (links.join(ends, (links["t"] == ends["t"]) & (links["u"] == ends["f"])).select(links["t"], F.col("v").alias("w"), F.col("least").alias("a")))
+    across = across.join(ends, (across["t"] == ends["t"]) & (across["w"] == ends["f"])).select(F.greatest("a", "least").alias("u"), F.least("a", "least").alias("v"))
+    pairs = cut(inside.unionByName(across).distinct())
+
+    sketches = entries.select("id", F.col("sketch").alias("s"))
+    far = math.ceil(64 * words * min(0.5, angle_share(similarity) + 0.05))
+    compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
+                .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
+    near = cut(compared.mapInArrow(lambda it: _near(it, far), "u long, v long"))
+    wanted = cut(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
+    texts = cut(keyed.select("text_key", "text").join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
+    beside = (near.join(texts.withColumnRenamed("text", "ta"), near["u"] == F.col("id")).drop("id")
+              .join(texts.withColumnRenamed("text", "tb"), near["v"] == F.col("id")).drop("id"))
+    roots = components(beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long"))
+    named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "id").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("best"))
+    return named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
+
+
+def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("su", "sv"))
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= far))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """For the pipeline: of each group of near duplicates, the document with the least id; repeated rows count once."""
+    kept = near_duplicates(docs, **options).filter("stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    kept = cut(kept)
+    keyed = docs.withColumn("__text_key", F.md5(text_of()))
+    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__text_key"] == kept["__key"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
