@@ -100,17 +100,19 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later copies of repeated runs deleted; adds n_lines and ``deleted`` (line numbers, or null)."""
+    """The documents with later copies of repeated runs deleted: (own, text, n_lines, deleted).
+
+    ``own`` holds the columns as they were, ``deleted`` the line numbers (null if there are none).
+    """
     gone = cut(later_copies(docs, min_words)).withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key")
-    split = docs.withColumn("__lines", F.split(text_of(), "\n")).withColumn("__text_key", _key())
-    joined = split.join(gone, split["doc_id"].eqNullSafe(gone["__doc"]) & (split["__text_key"] == gone["__key"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("deleted"))
-    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n"))
-    return joined.withColumn("text", text).withColumn("n_lines", F.size("__lines")).select(*docs.columns, "n_lines", "deleted")
+    split = docs.select(F.struct(*docs.columns).alias("own"), "doc_id", F.split(text_of(), "\n").alias("lines"), _key().alias("text_key"))
+    joined = split.join(gone, split["doc_id"].eqNullSafe(gone["__doc"]) & (split["text_key"] == gone["__key"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("deleted"))
+    text = F.when(F.col("deleted").isNull(), F.col("own.text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n"))
+    return joined.select("own", text.alias("text"), F.size("lines").alias("n_lines"), "deleted")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For the pipeline: the documents' own columns, ``n_chars`` following the text. Emptied documents stay, empty."""
-    return without_copies(docs, min_words).withColumn("n_chars", F.when(F.col("deleted").isNull(), F.col("n_chars")).otherwise(
-        F.length("text").cast("bigint"))).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("deleted").isNull(), F.col("own.n_chars")).otherwise(F.length("text").cast("bigint"))}
+    return without_copies(docs, min_words).select(*[changed.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 TABLE = 1 << 18
+DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 LONG = 1 << 12
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -93,15 +94,15 @@ def _rows(batches: Iterator[pa.RecordBatch], model_file: str, end: bool) -> Iter
             counts.append(n + len(pieces.end))
             ids_sha.append(ids.hexdigest())
             text_sha.append(out.hexdigest())
-        keep = [c for c in batch.schema.names if c != "text"]
+        keep = [c for c in batch.schema.names if c not in ("text", *DIGEST)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                                         names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                                         names=[*keep, *DIGEST])
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 in place of the text. No shuffle."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType(kept + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    kept = [f for f in docs.schema.fields if f.name not in ("text", *DIGEST)]
+    schema = T.StructType(kept + [T.StructField(n, T.LongType() if n == "n_tokens" else T.StringType()) for n in DIGEST])
     return docs.mapInArrow(lambda it: _rows(it, model_file, True), schema)
 
 

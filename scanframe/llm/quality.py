@@ -6,7 +6,7 @@ order and with the same result. Fences follow from the quartiles of a document's
 ``MIN_GROUP`` documents is judged by the merged sketch of its language, and a language that small by that of all.
 
 Defined results: a null text has no words; null languages and sources are groups of their own; repeated rows are
-judged alike; an empty table gives an empty result; other columns pass through untouched (measure names are taken).
+judged alike; an empty table gives an empty result; ``keep_good`` hands on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
           .withColumn("q_repeats", F.floor(1000 * F.col("n_repeat_words") / n).cast("bigint")))
     # a column that isn't deterministic: no filter on the measures is pushed below them, which would write each measure
     # out in terms of the text, over and over
-    return df.select(*[c for c in df.columns if not c.startswith("__")], F.spark_partition_id().alias(PLACE))
+    return df.select(*docs.columns, *MEASURES, F.spark_partition_id().alias(PLACE))
 
 
 def bucket(v: Column) -> Column:
@@ -126,12 +126,13 @@ def judged(measures: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """The documents' columns but the text, the measures and ``kept``. Texts are measured once."""
-    thin = cut(measured(docs).drop("text"))
+    """(doc_id, lang, source), the measures and ``kept``. Texts are measured once."""
+    thin = cut(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"))
     return judged(thin, cutoffs(sketches(thin)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns. Texts are read twice rather than shuffled."""
-    fences = cut(cutoffs(sketches(measured(docs))))
-    return judged(measured(docs), fences).filter("kept").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("__own"), "lang", "source", "text")
+    fences = cut(cutoffs(sketches(measured(docs.select("lang", "source", "text")))))
+    return judged(measured(own), fences).filter("kept").select("__own.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, warc
+from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, sql, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -25,7 +25,7 @@ def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.without_copies(table(spark, sf_dir, "documents"))
     gone = F.coalesce(F.size("deleted"), F.lit(0))
-    return docs.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.when(gone > 0, gone).otherwise(0).cast("bigint").alias("n_deleted"),
+    return docs.select("own.doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.when(gone > 0, gone).otherwise(0).cast("bigint").alias("n_deleted"),
                        F.coalesce(F.array_join("deleted", ","), F.lit("")).alias("deleted_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -68,4 +68,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality,
                            op10_pitman_yor)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_runs": sql.line_runs(lines.MIN_WORDS),
+    "op9_adaptive_quality": sql.quality(quality.FENCES, quality.MIN_WORDS, quality.MAX_REPEAT_PERCENT, quality.MIN_GROUP),
+}

@@ -125,9 +125,9 @@ def _ordinary(n: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The documents' columns but the text, ``base``, ``added`` and ``spans``. Texts are read once."""
+    """(doc_id, base, added, spans). Texts are read once."""
     n = docs.count()
-    thin = cut(scanned(docs.withColumn("ordinary", _ordinary(n))).drop("text"))
+    thin = cut(scanned(docs.select("doc_id", "text", _ordinary(n).alias("ordinary"))).drop("text"))
     model = train(thin, F.col("ordinary").isNotNull())
     return _with_model(thin, model).drop("ordinary")
 
@@ -149,8 +149,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Texts are scanned twice, once to train and once to cut, rather than shuffled.
     """
     n = docs.count()
-    thin = cut(scanned(docs.withColumn("ordinary", _ordinary(n))).select("base", "ordinary"))
-    found = _with_model(scanned(docs), train(thin, F.col("ordinary").isNotNull()))
+    thin = cut(scanned(docs.select("doc_id", "text", _ordinary(n).alias("ordinary"))).select("base", "ordinary"))
+    own = docs.select(F.struct(*docs.columns).alias("own"), "text")
+    found = _with_model(scanned(own), train(thin, F.col("ordinary").isNotNull()))
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["e"]).alias("at"),
         F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"))
@@ -158,5 +159,5 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                           lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     some = F.size("spans") > 0
     text = F.when(some, cut_out).otherwise(F.col("text"))
-    return (found.withColumn("text", text).withColumn("n_chars", F.when(some, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-            .select(*docs.columns))
+    changed = {"text": F.col("new"), "n_chars": F.when(some, F.length("new").cast("bigint")).otherwise(F.col("own.n_chars"))}
+    return found.withColumn("new", text).select(*[changed.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])

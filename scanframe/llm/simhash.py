@@ -242,8 +242,8 @@ def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting")
 
 
 def groups(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
-    """The documents' columns but the text, ``fingerprint`` (hex) and ``component_id``, the least ``doc_id`` reachable."""
-    prints = cut(fingerprints(docs, size))
+    """(doc_id, fingerprint, component_id): 16 hex digits, and the least ``doc_id`` reachable."""
+    prints = cut(fingerprints(docs.select("doc_id", "text"), size))
     entries = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_fingerprints(entries.select(F.lit(0).alias("t"), "fp"), limit).select("u", "v"))
     rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
