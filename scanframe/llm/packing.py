@@ -13,8 +13,11 @@ result. Nothing is keyed by ``doc_id``, so null and repeated ids do no harm.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,10 @@ END = 2
 TASK_CHARS = 1 << 25
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Words in a task's table of distinct words, and characters given to the tokenizer at once.
-TABLE, BATCH_CHARS = 1 << 18, 1 << 20
+TABLE, BATCH_CHARS = 1 << 20, 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: What may follow a word's letters and is then a pre-token of its own.
+MARKS = b".,;:!?*#$%&+=-~^)(]["
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = "__task int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -37,42 +43,87 @@ def cost(length: int) -> float:
 
 
 class Words:
-    """Ids of whole texts from a table of distinct words: this tokenizer drops white space, so words stand alone."""
+    """Ids of whole texts from a table of distinct words: this tokenizer drops white space, so words stand alone, and a
+    pre-token's last id is one that ends a word. The first ``TABLE`` words stay in the table, among them all common ones."""
 
     def __init__(self, tokenizer_file: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(tokenizer_file)
+        self.ends = np.zeros(1 << 16, bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.table: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 16-bit ids (the vocabulary has 49,408)."""
-        out = []
-        words = text.split()  # of bytes: the six ASCII white-space characters
-        for i in range(0, len(words), BATCH_CHARS):
-            part = words[i:i + BATCH_CHARS]
-            table = self.table
-            new = [w for w in set(part) if w not in table]
-            if new:
-                if len(table) + len(new) > TABLE:
-                    table.clear()
-                    new = list(set(part))
-                self._learn(new)
-            out.append(b"".join([table[w] for w in part]))
-        return b"".join(out)
-
-    def _learn(self, new: list[bytes]) -> None:
-        at = 0
-        while at < len(new):
-            size, upto = 0, at
-            while upto < len(new) and (size == 0 or size + len(new[upto]) <= BATCH_CHARS):
-                size += len(new[upto])
-                upto += 1
-            part = new[at:upto]
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids (the vocabulary has 49,408) of each text. New words of all are learnt at once."""
+        # the tokenizer lowers letters itself; a special token's string has to stay as it is
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]  # the six ASCII white-space characters
+        table = self.table
+        new = set().union(*words).difference(table)
+        if new:
+            learnt = self._learn(new)
+            if len(table) + len(learnt) <= TABLE:
+                table.update(learnt)
+            else:
+                table = ChainMap(learnt, table)
+        return [b"".join(map(table.__getitem__, w)) for w in words]
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Letters alone, and what is left of them, are encoded by the thousand; other words one by one."""
+        letters, rest, ended = set(), set(), {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if not _plain(core):
+                rest.add(w)
+            else:
+                letters.add(core)
+                if len(core) < len(w):
+                    ended[w] = core
+                    rest.add(w[len(core):])
+        found: dict[bytes, bytes] = {}
+        for part in _parts(letters, 1 << 16):
+            ids = np.array(self.lib.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(part, (2 * stops).tolist(), strict=True):
+                    found[w], at = raw[at:stop], stop
+            else:
+                rest.update(part)
+        for part in _parts(rest, BATCH_CHARS):
             for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.table[w] = np.array(e.ids, "<u2").tobytes()
-            at = upto
+                found[w] = np.array(e.ids, "<u2").tobytes()
+        for w, core in ended.items():
+            found[w] = found[core] + found[w[len(core):]]
+        return found
+
+
+def _plain(word: bytes) -> bool:
+    """Letters of the Latin blocks only: one pre-token."""
+    if word.isalpha():
+        return True
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250"
+
+
+def _parts(words: set[bytes], size: int) -> Iterator[list[bytes]]:
+    part, held = [], 0
+    for w in words:
+        if part and held + len(w) > size:
+            yield part
+            part, held = [], 0
+        part.append(w)
+        held += len(w) + 1
+    if part:
+        yield part
+
+
+@lru_cache(maxsize=1)
+def _words(tokenizer_file: str) -> Words:
+    """One table to a worker process, which Spark uses for task after task."""
+    return Words(tokenizer_file)
 
 
 def crc(ids: bytes) -> int:
@@ -80,15 +131,41 @@ def crc(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"))
 
 
+def _between_spaces(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + BATCH_CHARS)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _tokenised(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[int | None, bytes]]:
+    docs, texts, held = [], [], 0
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+        docs.append(doc)
+        texts.append(text.as_py() or b"")
+        held += len(texts[-1])
+        if len(texts[-1]) > 4 * BATCH_CHARS:  # by parts that end at white space
+            long = texts.pop()
+            yield from zip(docs, words.ids(texts), strict=False)
+            yield doc, b"".join(words.ids([part])[0] for part in _between_spaces(long))
+            docs, texts, held = [], [], 0
+        elif held > BATCH_CHARS:
+            yield from zip(docs, words.ids(texts), strict=True)
+            docs, texts, held = [], [], 0
+    yield from zip(docs, words.ids(texts), strict=True)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer_file: str, tasks: int, length: int, end: int) -> Iterator[pa.RecordBatch]:
     """Whole-sequence pieces (ids left out) and rests with their ids, dealt to tasks by content."""
-    words = Words(tokenizer_file)
+    words = _words(tokenizer_file)
     tail = np.array([end], "<u2").tobytes()
     for batch in batches:
         rows: list[tuple] = []
         held = 0
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = words.ids((text or "").encode()) + tail
+        for doc, ids in _tokenised(batch, words):
+            ids += tail
             n = len(ids) // 2
             task = zlib.crc32(ids, (doc or 0) & 0xFFFFFFFF) % tasks
             for at in range(0, n - n % length, length):
