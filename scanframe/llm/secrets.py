@@ -3,7 +3,7 @@
 Base spans come from three patterns (``KINDS``). A candidate is a token of ``MIN_TOKEN`` or more characters with a letter
 and a digit that overlaps no base span. Two first-order character models, of random strings and of ordinary
 identifiers, are trained on labelled samples of the scanned texts: the values of all base spans are random strings; the
-tokens of about ``SAMPLE_DOCS`` documents without a base span, chosen by hash, are ordinary. A candidate whose
+tokens, other than candidates, of about ``SAMPLE_DOCS`` documents without a base span, chosen by hash, are ordinary. A candidate whose
 log-likelihood ratio exceeds ``MIN_RATIO`` a character is a secret of kind ``markov``.
 
 Defined results: a null text is empty and has no spans; rows are scanned each on their own, so null and repeated ids do
@@ -34,7 +34,7 @@ TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ORDINARY = "[A-Za-z0-9+/_=-]{6,}+"
 SAMPLE_DOCS = 4096
 MIN_RATIO = 0.3
-SMOOTHING = 0.5
+SMOOTHING, PRIOR = 0.5, 8
 _SPAN = "struct<s:int,k:int,e:int,v:string>"
 
 
@@ -64,11 +64,15 @@ def _base(text: Column) -> list[Column]:
     return out
 
 
+def _mixed(token: Column) -> Column:
+    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """Adds ``base`` and ``candidates`` (arrays of s, k, e, v); one pass over each text, no shuffle."""
     text = text_of()
     base = F.sort_array(F.concat(*_base(text)))
-    mixed = _located(text, TOKEN, len(KINDS), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+    mixed = _located(text, TOKEN, len(KINDS), _mixed)
     df = docs.withColumn("base", base).withColumn("__mixed", mixed)
     apart = F.filter("__mixed", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return df.withColumn("candidates", apart).drop("__mixed")
@@ -92,14 +96,20 @@ def train(scan: DataFrame, sample: Column) -> list[int] | None:
     value = F.transform("base", lambda b: F.when(b["k"] == 0, F.regexp_extract(b["v"], KINDS["assign"][0], 2)).otherwise(b["v"]))
     random = scan.select(F.lit(1).alias("label"), F.explode(value).alias("t"))
     plain = scan.filter(sample & (F.size("base") == 0)).select(F.lit(0).alias("label"), F.explode("ordinary").alias("t"))
+    plain = plain.filter(~((F.length("t") >= MIN_TOKEN) & _mixed(F.col("t"))))  # candidates have no label
     steps = random.unionByName(plain).select("label", F.explode(_steps(_codes(F.col("t")))).alias("step"))
     counts = {(r["label"], r["step"]): r["n"] for r in steps.groupBy("label", "step").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not any(label for label, _ in counts):
         return None
     rows = {(label, i): sum(counts.get((label, i * STATES + j), 0) for j in range(STATES)) for label in (0, 1) for i in range(STATES)}
+    to = {(label, j): sum(counts.get((label, i * STATES + j), 0) for i in range(STATES)) for label in (0, 1) for j in range(STATES)}
+    all_steps = {label: sum(rows[label, i] for i in range(STATES)) for label in (0, 1)}
 
     def log_p(label: int, step: int) -> float:
-        return math.log((counts.get((label, step), 0) + SMOOTHING) / (rows[label, step // STATES] + SMOOTHING * STATES))
+        """A step's share after its state, drawn to the share of the next character anywhere."""
+        i, j = divmod(step, STATES)
+        anywhere = (to[label, j] + SMOOTHING) / (all_steps[label] + SMOOTHING * STATES)
+        return math.log((counts.get((label, step), 0) + PRIOR * anywhere) / (rows[label, i] + PRIOR))
 
     return [round(1000 * (log_p(1, s) - log_p(0, s))) for s in range(STATES * STATES)]
 
