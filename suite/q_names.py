@@ -78,7 +78,8 @@ def name_render(spark, sf):
     return rows.select("sample_id", "seq", text.alias("name"))
 
 
-TEMPLATES = ("Y{y} X{x} Z{z} F{f}", "{sample}_{i}", "Y{y", "y}x", "{d:%Y} {f:.2f}", "{{literal}} {d}", "plain", "{x}{x}{foo}")
+TEMPLATES = ("Y{y} X{x} Z{z} F{f}", "{sample}_{i}", "Y{y", "y}x", "{d:%Y} {f:.2f}", "{{literal}} {d}", "plain", "{x}{x}{foo}",
+             "{foo}_{foo}", "{ foo }_{foo}", "{x:1}_{foo}", "{d:%Y} {d} {d:%Q}", "{{}}{i}")
 
 
 _TRUTH = {  # template number: valid, issues, recognized, unknown, positions, focus, index, date, default date
@@ -87,27 +88,37 @@ _TRUTH = {  # template number: valid, issues, recognized, unknown, positions, fo
     3: (False, "Unmatched '}' at position #. Unbalanced braces detected.", "", "", 0, 0, 0, 0, 0),
     4: (False, "Formatting is only supported for {d}. Found on {f:.2f}.", "d,f", "", 0, 1, 0, 1, 0),
     5: (False, "Unknown placeholder {literal} at pos +.", "d", "literal", 0, 0, 0, 1, 1), 6: (True, "", "", "", 0, 0, 0, 0, 0),
-    7: (False, "Unknown placeholder {foo} at pos *.", "x", "foo", 1, 0, 0, 0, 0)}
+    7: (False, "Unknown placeholder {foo} at pos *.", "x", "foo", 1, 0, 0, 0, 0),
+    8: (False, "Unknown placeholder {foo} at pos @. Unknown placeholder {foo} at pos *.", "", "foo", 0, 0, 0, 0, 0),
+    9: (False, "Unknown placeholder {foo} at pos @. Unknown placeholder {foo} at pos =.", "", "foo", 0, 0, 0, 0, 0),
+    10: (False, "Formatting is only supported for {d}. Found on {x:1}. Unknown placeholder {foo} at pos *.", "x", "foo", 1, 0, 0, 0, 0),
+    11: (False, "Invalid date format in {d:%Q}: unsupported directive", "d", "", 0, 0, 0, 1, 1),
+    12: (True, "", "i", "", 0, 0, 1, 0, 0)}
+_DATES = {4: "d:%Y=%Y", 5: "d=%Y%m%d", 11: "d:%Y=%Y d=%Y%m%d d:%Q=%Q!"}
 
 
 def _template_truth() -> str:
     q = lambda v: "'" + str(v).replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {q(TEMPLATES[k])}, {q(t[1])}, {q(t[2])}, {q(t[3])}, {', '.join(str(bool(b)) for b in t[4:])})" for k, t in _TRUTH.items())
-    spots = "replace(replace(replace(replace(i, '@', n::VARCHAR), '#', (n + 1)::VARCHAR), '+', (n + 1)::VARCHAR), '*', (n + 6)::VARCHAR)"
+    rows = ", ".join(f"({k}, {q(TEMPLATES[k])}, {q(t[1])}, {q(t[2])}, {q(t[3])}, {', '.join(str(bool(b)) for b in t[4:])}, {q(_DATES.get(k, ''))})" for k, t in _TRUTH.items())
+    spots = "i"
+    for mark, ahead in {"@": 0, "#": 1, "+": 1, "*": 6, "=": 8}.items():
+        spots = f"replace({spots}, 'pos {mark}', 'pos ' || (n + {ahead})::VARCHAR)"
+    spots = f"replace({spots}, 'position #', 'position ' || (n + 1)::VARCHAR)"
     return f"""SELECT p_partkey, p_name || ' ' || t AS template, i = '' AS is_valid, {spots} AS issues, rec AS recognized, unk AS unknown,
-  a AS needs_positions, b AS needs_focus, c AS needs_index, d AS needs_date, e AS uses_default_date FROM (SELECT *, length(p_name) + 1 AS n FROM part)
-  JOIN (VALUES {rows}) v(k, t, i, rec, unk, a, b, c, d, e) ON k = p_partkey % 8"""
+  a AS needs_positions, b AS needs_focus, c AS needs_index, d AS needs_date, e AS uses_default_date, dates AS date_tokens FROM (SELECT *, length(p_name) + 1 AS n FROM part)
+  JOIN (VALUES {rows}) v(k, t, i, rec, unk, a, b, c, d, e, dates) ON k = p_partkey % {len(TEMPLATES)}"""
 
 
 @query("template_report", "P8", _template_truth())
 def template_report(spark, sf):
     options = F.array(*[F.lit(t) for t in TEMPLATES])
     rows = fx.table(spark, sf, "part").select(
-        "p_partkey", F.concat("p_name", F.lit(" "), F.get(options, (F.col("p_partkey") % 8).cast("int"))).alias("template"))
+        "p_partkey", F.concat("p_name", F.lit(" "), F.get(options, (F.col("p_partkey") % len(TEMPLATES)).cast("int"))).alias("template"))
     return rows.select("p_partkey", "template", names.template_report(F.col("template"), strict=True).alias("r")).select(
         "p_partkey", "template", "r.is_valid", F.array_join("r.issues", " ").alias("issues"),
         F.array_join("r.recognized", ",").alias("recognized"), F.array_join("r.unknown", ",").alias("unknown"),
-        "r.needs_positions", "r.needs_focus", "r.needs_index", "r.needs_date", "r.uses_default_date")
+        "r.needs_positions", "r.needs_focus", "r.needs_index", "r.needs_date", "r.uses_default_date",
+        F.array_join(F.transform("r.date_tokens", lambda d: F.concat(d["raw"], F.lit("="), d["format"], F.when(d["valid"], "").otherwise("!"))), " ").alias("date_tokens"))
 
 
 @query("stage_units", "P9 P10 P51", sql(r"""

@@ -35,6 +35,7 @@ def test_render(spark):
     render = lambda t, **k: one(spark, names.render_name(t, now=now, **k))
     assert render("{x} {{x}} {who} {d:%Y%m%d_%H%M%S}") == "0.00 {x} {who} 20240305_070809"
     assert render("{d}") == "20240305"
+    assert render("{{{x}}}") == "{{x}}" and render("{x}}") == "{x}" and render("a{ b") == "a{ b" and render("{x}}}") == "{x}}"
     assert render("Y{y}", y=F.lit(-0.04), pad=True, axis_max_mm={"y": 220}) == "Y-000.04"
     assert render("Y{y}", y=F.lit(1234.5), pad=True, axis_max_mm={"y": 220}, delimiter="_") == "Y1234_50"
     assert render("{x}", x=F.lit(2.0), decimals=0) == "2"
@@ -62,6 +63,10 @@ def test_template_report_requirements(spark):
         ["y", "f", "d", "i"], True, True, True, True, True)
     strict = one(spark, names.template_report(F.lit("a{who}"), strict=True))
     assert strict.issues == ["Unknown placeholder {who} at pos 1."]
+    assert r.date_tokens == [("d", "%Y%m%d", True)] and not r.padding.enabled
+    padded = one(spark, names.template_report(F.lit("{y}"), pad=True, axis_max_mm={"y": 220}))
+    assert padded.padding == (True, 1, 3, 1)
+    assert one(spark, names.template_report(F.lit(""))).is_valid
 
 
 def test_rotations_and_ranges(spark):
