@@ -62,16 +62,16 @@ def seam_edges(local: DataFrame, keys: list[str]) -> DataFrame:
     return one_way.unionByName(one_way.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def merge_labels(edges: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def merge_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest node reachable from every node that has an edge: (keys, node, component).
 
     Every round takes the smallest neighbouring label and then follows that label one step; rounds grow with the
-    logarithm of the component's extent in tiles for most shapes. Only numbers per node move, never a component.
+    logarithm of the component's extent in tiles for most shapes, and go on until no label moves. Only numbers per node move, never a component.
     """
     edges = cut_lineage(edges)
     labels = cut_lineage(edges.groupBy(*keys, F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         theirs = labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("theirs"))
         lowest = edges.join(theirs, [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(
             F.min("theirs").alias("lowest"))
@@ -83,7 +83,6 @@ def merge_labels(edges: DataFrame, keys: list[str], max_rounds: int = 200) -> Da
         labels = moved.drop("before")
         if moved.filter("component <> before").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def components(masks: DataFrame, keys: list[str], whole_images: bool = False) -> DataFrame:

@@ -92,22 +92,26 @@ def _reprojection(h: Column, x: Column, y: Column, u: Column, v: Column) -> Colu
     return dx * dx + dy * dy
 
 
-def _hypotheses(points: DataFrame, trials: int, sample_size: int) -> DataFrame:
-    """Candidate maps per pair from deterministic quadruples of a hash-picked sample of its matches (bounded size)."""
-    pick = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.xxhash64("query", "train"), "query"))
-    sample = points.withColumn("pick", pick).filter(F.col("pick") <= sample_size)
+def _hypotheses(points: DataFrame, counts: DataFrame, trials: int) -> DataFrame:
+    """Candidate maps per pair, one from each of ``trials`` draws of four matches.
+
+    All matches of a pair are dealt to the draws by hash, a pair of few matches several times over (about eight to a
+    draw at least); a draw keeps the four of lowest hash, so no task sees a pair's matches together.
+    """
+    deals = points.join(counts, PAIR).withColumn("deal", F.explode(F.sequence(F.lit(1), F.ceil(8 * trials / F.col("n_matches")).cast("int"))))
+    drawn = deals.withColumn("draw", F.pmod(F.xxhash64("query", "train", "deal"), F.lit(trials))).dropDuplicates([*PAIR, "draw", "query", "train"])
+    pick = F.row_number().over(Window.partitionBy(*PAIR, "draw").orderBy(F.xxhash64("train", "query", "draw"), "query", "train"))
+    sample = drawn.withColumn("pick", pick).filter(F.col("pick") <= 4)
     kind = points.schema["sample_id"].dataType.simpleString()
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pick")
-        src, dst = rows[["x2", "y2"]].to_numpy(float), rows[["x1", "y1"]].to_numpy(float)
-        rng, out, seen = np.random.default_rng(len(rows)), [], set()
-        for _ in range(trials if len(rows) >= 4 else 0):
-            four = tuple(sorted(rng.choice(len(rows), 4, replace=False)))
-            if four in seen:
+        out, seen = [], set()
+        for _, four in rows.sort_values(["draw", "query", "train"]).groupby("draw"):
+            which = tuple(zip(four["query"], four["train"], strict=True))
+            if len(which) < 4 or which in seen:
                 continue
-            seen.add(four)
-            h = kernels.solve_dlt(src[list(four)], dst[list(four)])
+            seen.add(which)
+            h = kernels.solve_dlt(four[["x2", "y2"]].to_numpy(float), four[["x1", "y1"]].to_numpy(float))
             if h is not None:
                 out.append(h.ravel().tolist())
         return pd.DataFrame([(key[0], key[1], out)], columns=["sample_id", "pair_idx", "hs"])
@@ -155,17 +159,18 @@ def _least_squares(inliers: DataFrame) -> DataFrame:
 
 
 def pair_homographies(points: DataFrame, every_pair: DataFrame, min_matches: int = 8, reach_px: float = 5.0, trials: int = 256,
-                      sample_size: int = 512, refit: bool = True) -> DataFrame:
+                      refit: bool = True) -> DataFrame:
     """3x3 map (row-major, 9 numbers) from image ``pair_idx + 1`` to image ``pair_idx`` for every pair.
 
-    Hypotheses come from a bounded sample, but every match votes: inliers are counted with map-side combine over all
-    matches, the most supported hypothesis wins, then it is fitted to all its inliers. Identity where matches are too
+    ``trials`` is the number of hypotheses, as the wanted confidence asks for: with half of the matches right, 256 draws
+    of four miss once in ten million. Every match can be drawn and every match votes: inliers are counted with map-side
+    combine, the most supported hypothesis wins, then it is fitted to all its inliers. Identity where matches are too
     few or nothing fits; ``status`` says which.
     """
     points = cut_lineage(points)        # read four times below; matching again would cost far more than storing it
     counts = points.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_matches"))
     enough = points.join(counts.filter(F.col("n_matches") >= min_matches).select(*PAIR), PAIR, "left_semi")
-    hyps = cut_lineage(_hypotheses(enough, trials, sample_size))
+    hyps = cut_lineage(_hypotheses(enough, counts, trials))
     error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
     votes = count_inliers(enough, hyps, reach_px)
     winner = votes.groupBy(*PAIR).agg(F.max_by("number", F.struct("inliers", -F.col("number"))).alias("number"),
@@ -189,28 +194,29 @@ def product(a: Column, b: Column) -> Column:
     return F.transform(F.array(*cells), lambda v: v / cells[8])
 
 
-def global_homographies(pair_maps: DataFrame, width: int = 32, levels: int = 3) -> DataFrame:
+def global_homographies(pair_maps: DataFrame, width: int = 32) -> DataFrame:
     """Map of every image to the first one of its sample: ordered prefix product of the pair maps.
 
     Products are associative: images are multiplied within chunks of ``width``, the chunk products the same way, and so
-    on for ``levels`` levels, so no list of a whole sample is built (``width ** levels`` images before the last level grows).
+    on until one chunk is left, so no list is longer than ``width``.
     """
     identity = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
     steps = pair_maps.select("sample_id", (F.col("pair_idx") + 1).alias("seq"), "h")
     first = steps.select("sample_id").distinct().select("sample_id", F.lit(0).cast("bigint").alias("seq"), identity.alias("h"))
-    return _prefix(steps.unionByName(first), width, levels)
+    steps = cut_lineage(steps.unionByName(first))
+    return _prefix(steps, width, steps.agg(F.max("seq")).first()[0] or 0)
 
 
-def _prefix(steps: DataFrame, width: int, levels: int) -> DataFrame:
+def _prefix(steps: DataFrame, width: int, last: int) -> DataFrame:
+    """``last`` is the largest ``seq`` of any sample."""
     identity = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
-    chunk = F.floor(F.col("seq") / width).cast("bigint") if levels > 1 else F.lit(0).cast("bigint")
-    keyed = steps.withColumn("chunk", chunk)
+    keyed = steps.withColumn("chunk", F.floor(F.col("seq") / width).cast("bigint"))
     window = Window.partitionBy("sample_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.withColumn("h", F.aggregate(F.collect_list("h").over(window), identity, product))
-    if levels <= 1:
+    if last < width:
         return local.drop("chunk")
     local = cut_lineage(local)          # one small row per image, read for the chunk products and for the result
     totals = local.groupBy("sample_id", F.col("chunk").alias("seq")).agg(F.max_by("h", "seq").alias("h"))
-    upto = _prefix(totals, width, levels - 1).select("sample_id", (F.col("seq") + 1).alias("chunk"), F.col("h").alias("carry"))
+    upto = _prefix(totals, width, last // width).select("sample_id", (F.col("seq") + 1).alias("chunk"), F.col("h").alias("carry"))
     return local.join(upto, ["sample_id", "chunk"], "left").select(
         "sample_id", "seq", product(F.coalesce("carry", identity), F.col("h")).alias("h"))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanframe.session import cut_lineage
+
 CHUNK = "__chunk"
 CHUNK_ROWS = 4096
 
@@ -66,6 +68,26 @@ def dense_index(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
             .drop(CHUNK, "__local", "__base"))
 
 
+def range_index(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
+    """Adds 0, 1, 2, ... in the given order inside each group, however the values are spread.
+
+    Rows are split by ranges of (group, order), numbered in place and stored; a group that spans several ranges gets an
+    offset per range. No task holds a group, and ranges are as even as the rows allow.
+    """
+    keys = [*group, *order]
+    row = F.monotonically_increasing_id()
+    placed = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__row", row).withColumn("__range", F.shiftright("__row", 33)))
+    per = placed.groupBy(*group, "__range").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = per.select(*group, "__range", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    right = base.select(*[F.col(c).alias(f"__of_{c}") for c in group], F.col("__range").alias("__at"), "__shift")
+    same = F.col("__range") == F.col("__at")
+    for c in group:
+        same = same & placed[c].eqNullSafe(right[f"__of_{c}"])
+    return placed.join(right, same).withColumn(name, F.col("__row") + F.col("__shift")).drop(
+        "__row", "__range", "__at", "__shift", *[f"__of_{c}" for c in group])
+
+
 def running(df: DataFrame, group: Sequence[str], order: str, specs: dict[str, tuple[str, Column]],
             inclusive: bool = True, width: int = CHUNK_ROWS) -> DataFrame:
     """Adds running values along a whole-number ``order`` that is unique in its group.

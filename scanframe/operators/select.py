@@ -75,7 +75,7 @@ def grid_groups(chosen: DataFrame, by: str, at_least: int = 2) -> DataFrame:
     ``chosen`` carries strategy, x and y; frames come with their place in the group, groups that are too small are left out.
     """
     keys, along = {"y": (["strategy", "y"], ["x"]), "x": (["strategy", "x"], ["y"]), "all": (["strategy"], ["x", "y"])}[by]
-    placed = ordered.dense_index(chosen, keys, [*along, "path"], ordered.chunk_of(F.col(along[0])), "place")
+    placed = ordered.range_index(chosen, keys, [*along, "path"], "place")
     size = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") >= at_least)
     return placed.join(size, keys)
 

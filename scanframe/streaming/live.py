@@ -6,7 +6,6 @@ reports. Keyed states are small and fixed-size: a few numbers per sample, device
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scanframe.functions import bands
 from scanframe.operators import control
+from scanframe.session import shared_dir
 from scanframe.streaming import twins
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -185,9 +185,8 @@ def sample_bounds(series: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster names for checkpoints; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names for checkpoints."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", partitions: int | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scanframe.functions import names
 from scanframe.operators import ordered
-from scanframe.session import spread
 
 ACK_REPLIES = ("ok", "processing", "error: probe", "echo: busy")
 
@@ -34,7 +33,7 @@ def bytes_of(values: Column) -> Column:
 
 def frames_gray(spark: SparkSession, sf: str) -> DataFrame:
     """8x8 one-channel frames, one per vector; ``seq`` runs along the sample."""
-    return spread(table(spark, sf, "embeddings")).select(
+    return table(spark, sf, "embeddings").repartition("vec_id").select(
         F.col("vec_id").alias("frame_id"), F.col("label").alias("sample_id"), F.lit(8).alias("width"),
         F.lit(8).alias("height"), F.lit(1).alias("n_channels"), bytes_of(gray_array()).alias("data"))
 
@@ -83,7 +82,7 @@ def rgb(spark: SparkSession, sf: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Scan frame names, one per line item."""
-    item = spread(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+    item = (table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
                                                       "l_extendedprice", "l_discount", "l_tax"))
     f = F.floor("l_quantity").cast("bigint") * 100 + F.col("l_linenumber")
     name = F.concat(F.lit("Y"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.lit(" X"),

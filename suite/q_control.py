@@ -95,12 +95,12 @@ def status_log(spark, sf):
 
 
 @query("focus_log", "S7 W10", sql("""
-SELECT stack_id, seq, 'AF-Descent' AS phase, z / 100.0::DOUBLE AS z_mm, round_even(score, 1) AS score FROM fx_zsweep WHERE z >= 0 AND seq % 5 = 0""", "fx_zsweep"))
+SELECT stack_id, seq, 'AF-Descent' AS phase, z / 100.0::DOUBLE AS z_mm, round_even(score, 1) AS score FROM fx_zsweep WHERE z >= 0""", "fx_zsweep"))
 def focus_log(spark, sf):
     c = F.col
     text = F.concat(F.lit("[AF-Descent] ↓0.20mm  Z="), F.format_string("%.2f", c("z") / 100.0), F.when(c("z") == 0, " (FLOOR)").otherwise(""),
                     F.lit("  score="), F.bround("score", 1).cast("string"), F.lit("  Δbase=+1.5"))
-    lines = fx.zsweep(spark, sf).filter("z >= 0 and seq % 5 = 0").select("stack_id", "seq", text.alias("line"))
+    lines = fx.zsweep(spark, sf).filter("z >= 0").select("stack_id", "seq", text.alias("line"))
     return logs.parse_focus(lines).select("stack_id", "seq", "phase", "z_mm", "score")
 
 

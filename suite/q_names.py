@@ -41,7 +41,7 @@ SELECT sample_id, k, key, split_part(path, '/', 3) AS folder,
   split_part(key, '_', 1) || '_uncorrected.tiff' AS uncorrected
 FROM (SELECT *, 'X' || l_linenumber || 'Y' || l_partkey || coalesce('_' || s, '') AS key FROM (SELECT *,
   CASE k % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'top5' WHEN 2 THEN 'thresh_auto' WHEN 3 THEN 'thresh_70pct' END AS s
-  FROM fx_frames)) WHERE NOT starts_with(split_part(path, '/', 3), 'sample_9')""", "fx_frames"))
+  FROM fx_frames))""", "fx_frames"))
 def folder_keys(spark, sf):
     tags = F.array(*[F.lit(s) for s in names.STRATEGIES])
     tag = F.get(tags, (F.col("k") % 5).cast("int"))
@@ -50,7 +50,6 @@ def folder_keys(spark, sf):
     k = F.col("key")
     sample_folder = names.parent_name(names.parent_path(F.col("path")))
     return (fx.frames(spark, sf).withColumn("key", key).withColumn("folder", sample_folder)
-            .filter(~F.col("folder").startswith("sample_9"))
             .select("sample_id", "k", "key", "folder", names.folder_x(k).alias("x"), names.folder_y(k).alias("y"),
                     names.strategy_of(k).alias("strategy"), names.without_strategy(k).alias("base"),
                     names.result_name(names.without_strategy(k), F.coalesce(names.strategy_of(k), F.lit("best_single")))
@@ -201,14 +200,14 @@ def tile_grid(spark, sf):
 
 
 @query("quadrants_and_turns", "P20 P28", sql("""
-SELECT frame_id, x, y, CASE WHEN y < 4 AND x < 3 THEN 'Top Left' WHEN y < 4 THEN 'Top Right' WHEN x < 3 THEN 'Bottom Left'
-  ELSE 'Bottom Right' END AS quadrant, y AS ccw_x, 6 - x AS ccw_y, 7 - y AS cw_x, x AS cw_y, 6 - x AS half_x, 7 - y AS half_y,
-  x AS scan_cw_x, y AS scan_cw_y FROM fx_px WHERE x < 7""", "fx_px"))
+SELECT frame_id, x, y, CASE WHEN y < 4 AND x < 4 THEN 'Top Left' WHEN y < 4 THEN 'Top Right' WHEN x < 4 THEN 'Bottom Left'
+  ELSE 'Bottom Right' END AS quadrant, y AS ccw_x, 7 - x AS ccw_y, 7 - y AS cw_x, x AS cw_y, 7 - x AS half_x, 7 - y AS half_y,
+  x AS scan_cw_x, y AS scan_cw_y FROM fx_px""", "fx_px"))
 def quadrants_and_turns(spark, sf):
-    x, y, w, h = F.col("x"), F.col("y"), F.lit(7), F.lit(8)
+    x, y, w, h = F.col("x"), F.col("y"), F.lit(8), F.lit(8)
     turn = lambda *a: geometry.rotate_point(x, y, w, h, geometry.rotations(*a))
     ccw, cw, half, both = turn("y"), turn("x", 90), turn("x", 180), turn("y", 90)
-    return fx.px(spark, sf).filter("x < 7").select(
+    return fx.px(spark, sf).select(
         "frame_id", "x", "y", geometry.quadrant(x, y, w, h).alias("quadrant"), ccw[0].alias("ccw_x"),
         ccw[1].alias("ccw_y"), cw[0].alias("cw_x"), cw[1].alias("cw_y"), half[0].alias("half_x"),
         half[1].alias("half_y"), both[0].alias("scan_cw_x"), both[1].alias("scan_cw_y"))

@@ -48,7 +48,7 @@ def blocked_samples(spark, sf):
 
 
 @query("frame_sequence", "C12 W1 W2", sql("""
-SELECT sample_id, y AS coord, seq, path FROM fx_seq WHERE sample_id NOT IN (SELECT sample_id FROM gaps WHERE gap_size > 20)""",
+SELECT sample_id, y AS coord, seq, path FROM fx_seq s ANTI JOIN (SELECT sample_id FROM gaps WHERE gap_size > 20) g USING (sample_id)""",
   "fx_seq", gaps=GAPS))
 def frame_sequence(spark, sf):
     listing = fx.frames(spark, sf).select("sample_id", "name", "path")

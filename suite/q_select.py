@@ -58,7 +58,7 @@ def frames_above_threshold(spark, sf):
     return select.above_threshold(select.scored(_files(spark, sf))).select("folder", "path", "f")
 
 
-@query("folders_without_scores", "J18", sql("SELECT DISTINCT folder FROM files WHERE folder NOT IN (SELECT folder FROM scored)", "fx_frames", **_CT))
+@query("folders_without_scores", "J18", sql("SELECT DISTINCT folder FROM files ANTI JOIN scored USING (folder)", "fx_frames", **_CT))
 def folders_without_scores(spark, sf):
     return select.without_scores(_files(spark, sf))
 
@@ -78,11 +78,11 @@ def selection_strategies(spark, sf):
 
 KEYS = """SELECT 'X' || l_linenumber || 'Y' || (l_partkey % 400) || CASE WHEN sample_id % 2 = 0 THEN '_all' ELSE '_top5' END || '.tiff' AS key, path,
   l_linenumber AS x, l_partkey % 400 AS y, CASE WHEN sample_id % 2 = 0 THEN 'all' ELSE 'top5' END AS strategy
-  FROM (SELECT DISTINCT sample_id, l_partkey, l_linenumber, path FROM fx_frames WHERE l_partkey % 5 = 0)"""
+  FROM (SELECT DISTINCT sample_id, l_partkey, l_linenumber, path FROM fx_frames)"""
 
 
 def _results(spark, sf):
-    rows = fx.frames(spark, sf).filter("l_partkey % 5 = 0").select("sample_id", "l_partkey", "l_linenumber", "path").distinct()
+    rows = fx.frames(spark, sf).select("sample_id", "l_partkey", "l_linenumber", "path").distinct()
     tag = F.when(F.col("sample_id") % 2 == 0, "_all").otherwise("_top5")
     return rows.select(F.concat(F.lit("X"), "l_linenumber", F.lit("Y"), F.col("l_partkey") % 400, tag, F.lit(".tiff")).alias("key"), "path")
 
@@ -128,8 +128,8 @@ def merge_tree(spark, sf):
 
 
 @query("merge_survivors", "C21", sql("""
-SELECT sample_id, seq FROM fx_seq WHERE (sample_id, seq) NOT IN (SELECT (s.sample_id, s.seq) FROM fx_seq s JOIN tree t ON t.sample_id = s.sample_id
-  AND t.action = 'keep_left' AND s.seq >= t."right" AND s.seq < t."left" + (1 << t.level))""", "fx_seq", tree=TREE))
+SELECT sample_id, seq FROM fx_seq ANTI JOIN lost USING (sample_id, seq)""", "fx_seq", tree=TREE,
+  lost="""SELECT DISTINCT sample_id, unnest(range("right", "left" + (1 << level))) AS seq FROM tree WHERE action = 'keep_left' AND "right" >= 0"""))
 def merge_survivors(spark, sf):
     members, plan = _tree(spark, sf)
     return select.tree_survivors(members, "sample_id", "seq", plan)
@@ -231,11 +231,10 @@ SELECT step, kind, value FROM (
   SELECT (k - 1) * 3 + 2, 'PRINTER', 'G0 X' || printf('%.2f', trunc(x_mm * 100) / 100) || ' Y200.00 Z29.00' FROM e UNION ALL
   SELECT (k - 1) * 3 + 3, 'SCAN_SAMPLE_BOUNDS', '[' || k || '/' || n || ' ' || round_even((k - 1) / n::DOUBLE * 100, 0)::INTEGER || '%] Scanning ' || n_name FROM e UNION ALL
   SELECT max(n) * 3 + 1, 'PRINTER', 'G28' FROM e UNION ALL SELECT max(n) * 3 + 2, 'STATUS', 'Scanning Complete : ' || max(n) || ' Samples Scanned' FROM e)""",
-  slots=SLOTS, e="""SELECT n_name, x_mm, row_number() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS n FROM nation JOIN slots ON slot = n_nationkey + 1
-  WHERE n_nationkey % 2 = 0"""))
+  slots=SLOTS, e="""SELECT n_name, x_mm, row_number() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS n FROM nation JOIN slots ON slot = n_nationkey + 1"""))
 def scan_plan(spark, sf):
     from scanframe.plans import control
-    enabled = fx.table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(
+    enabled = fx.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("row_idx"), F.col("n_name").alias("name"))
     plan = control.scan_plan(enabled, settings_files.slot_map(spark))
     text = F.when(F.col("kind") == "SCAN_SAMPLE_BOUNDS", F.col("message")).otherwise(F.col("value"))

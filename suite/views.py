@@ -74,6 +74,6 @@ def sql(body: str, *views: str, recursive: bool = False, **ctes: str) -> str:
 
     for view in views:
         add(view)
-    parts = [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in wanted] + [f"{n} AS ({t})" for n, t in ctes.items()]
+    parts = [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in wanted] + [f"{n} AS {'' if recursive else 'MATERIALIZED '}({t})" for n, t in ctes.items()]
     head = f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else ""
     return head + body

@@ -50,3 +50,12 @@ def test_halo_windows_match_plain_windows(rows):
 def test_no_task_sees_a_whole_group(rows):
     chunks = ordered.halo(ordered.dense_index(rows, ["g"], ["k"], ordered.chunk_of(F.col("k"), 16), "i"), ["g"], "i", 2, 2, width=8)
     assert chunks.groupBy("g", ordered.CHUNK).count().agg(F.max("count")).first()[0] <= 8 + 4
+
+
+def test_range_index_splits_a_group(spark):
+    rows = [(g, (7 * i) % 501, f"p{i}") for g in ("a", None) for i in range(400)] + [("b", 1, "x")]
+    df = spark.createDataFrame(rows, "g string, x long, path string")
+    got = {(r.g, r.x, r.path): r.place for r in ordered.range_index(df, ["g"], ["x", "path"], "place").collect()}
+    for g in ("a", None, "b"):
+        mine = sorted((x, p) for k, x, p in rows if k == g)
+        assert [got[g, x, p] for x, p in mine] == list(range(len(mine)))
