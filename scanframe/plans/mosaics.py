@@ -85,41 +85,44 @@ def offset_report(pairs: DataFrame) -> DataFrame:
 
 
 def alignment_document(frames_meta: DataFrame, pairs: DataFrame, axis: str, rotate: int, created: Column,
-                       chunk: int = 4096) -> DataFrame:
-    """Alignment documents as rows of one JSON text per sample and chunk of images.
+                       timings: DataFrame | None = None) -> DataFrame:
+    """Alignment documents as rows of JSON: (sample_id, part, number, document), the same form at every size.
 
-    A sample's arrays are bounded by ``chunk``: document 0 carries the whole of a usual sample, a longer one goes on in
-    documents 1, 2, ... with the same header. Sizes are given after the turn of the scan axis.
+    A sample has one ``header`` (metadata, parameters, timing, final canvas), one ``image`` per frame and one ``pair`` per
+    alignment, numbered along the scan. Sizes are given after the turn of the scan axis. ``timings``: sample_id,
+    category, seconds.
     """
     w, h = (F.col("height"), F.col("width")) if axis == "y" else (F.col("width"), F.col("height"))
     meta = frames_meta.withColumns({"__w": w, "__h": h}).withColumns({"width": F.col("__w"), "height": F.col("__h")}).drop("__w", "__h")
-    placed = canvas.placements(meta, pairs)
-    size = canvas.extents(placed)
-    n_images = placed.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("num_images"))
-    image = F.struct(F.col("seq").alias("index"), F.col("name").alias("filename"), "path", "width", "height",
-                     F.col("x_pos").alias("final_x_position"), F.col("y_pos").alias("final_y_position"))
-    images = placed.groupBy(SAMPLE, ordered.chunk_of(F.col("seq"), chunk).alias("part")).agg(
-        F.sort_array(F.collect_list(image)).alias("images"))
+    placed = cut_lineage(canvas.placements(meta, pairs))
+    rows = lambda df, part, number, what: df.select(
+        SAMPLE, F.lit(part).alias("part"), number.cast("bigint").alias("number"), F.to_json(what).alias("document"))
+    images = rows(placed, "image", F.col("seq"), F.struct(
+        F.col("seq").alias("index"), F.col("name").alias("filename"), "path", "width", "height",
+        F.col("x_pos").alias("final_x_position"), F.col("y_pos").alias("final_y_position")))
     named = (pairs.join(placed.select(SAMPLE, F.col("seq").alias("pair_idx"), F.col("name").alias("image1")), [SAMPLE, "pair_idx"])
              .join(placed.select(SAMPLE, (F.col("seq") - 1).alias("pair_idx"), F.col("name").alias("image2")), [SAMPLE, "pair_idx"]))
-    pair = F.struct(F.col("pair_idx").alias("pair_index"), F.col("pair_idx").alias("image1_index"),
-                    (F.col("pair_idx") + 1).alias("image2_index"), F.col("image1").alias("image1_filename"),
-                    F.col("image2").alias("image2_filename"), "x_overlap", "y_offset", "score", "confidence",
-                    F.col("flags").alias("outlier_flags"))
-    pair_lists = named.groupBy(SAMPLE, ordered.chunk_of(F.col("pair_idx"), chunk).alias("part")).agg(
-        F.sort_array(F.collect_list(pair)).alias("alignment_pairs"))
-    header = size.join(n_images, SAMPLE)
+    aligned = rows(named, "pair", F.col("pair_idx"), F.struct(
+        F.col("pair_idx").alias("pair_index"), F.col("pair_idx").alias("image1_index"), (F.col("pair_idx") + 1).alias("image2_index"),
+        F.col("image1").alias("image1_filename"), F.col("image2").alias("image2_filename"), "x_overlap", "y_offset", "score", "confidence",
+        F.col("flags").alias("outlier_flags")))
+    header = canvas.extents(placed).join(placed.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("num_images")), SAMPLE)
+    timing = None
+    if timings is not None:  # a sample has few categories
+        sums = timings.groupBy(SAMPLE, "category").agg(F.count(F.lit(1)).alias("count"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"),
+                                                       F.min("seconds").alias("min"), F.max("seconds").alias("max"))
+        per = sums.groupBy(SAMPLE).agg(F.map_from_entries(F.sort_array(F.collect_list(
+            F.struct("category", F.struct("count", "total", "mean", "min", "max"))))).alias("timing"))
+        header, timing = header.join(per, SAMPLE, "left"), F.col("timing")
     turn = lambda k: F.lit(rotate == k)
-    document = F.struct(
+    heads = rows(header, "header", F.lit(0), F.struct(
         F.struct(created.alias("created"), F.lit("1.0").alias("version")).alias("metadata"),
         F.struct(F.lit(axis).alias("axis"), turn(180).alias("rotate_180"), turn(90).alias("rotate_90"),
                  turn(270).alias("rotate_270"), "num_images").alias("parameters"),
-        "images", F.coalesce("alignment_pairs", F.array()).alias("alignment_pairs"),
+        *([] if timing is None else [timing.alias("timing")]),
         F.struct(F.col("canvas_w").alias("width"), F.col("canvas_h").alias("height"), F.col("min_y").alias("min_y_offset"))
-        .alias("final_canvas"))
-    return images.join(pair_lists, [SAMPLE, "part"], "left").join(header, SAMPLE).select(
-        SAMPLE, "part", F.size("images").alias("n_images"), F.size(F.coalesce("alignment_pairs", F.array())).alias("n_pairs"),
-        F.to_json(document).alias("document"))
+        .alias("final_canvas")))
+    return heads.unionByName(images).unionByName(aligned)
 
 
 def annotations(placed: DataFrame, pairs: DataFrame, scale: float = 1.0) -> DataFrame:

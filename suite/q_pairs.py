@@ -374,11 +374,13 @@ def alignment_document(spark, sf):
     frames = _gray_sequence(spark, sf)
     docs = mosaics.alignment_document(_meta(frames), _graded(_fixed_pairs(frames)), "x", 0, F.lit("2024-01-01T00:00:00"))
     at = lambda p, kind="bigint": F.get_json_object("document", p).cast(kind)
-    return docs.select("sample_id", at("$.parameters.num_images").alias("n_images"), F.col("n_pairs").cast("bigint").alias("n_pairs"),
-                       at("$.final_canvas.width").alias("width"), at("$.final_canvas.height").alias("height"),
-                       at("$.final_canvas.min_y_offset").alias("min_y_offset"), at("$.images[0].filename", "string").alias("first_name"),
-                       F.element_at(F.from_json(F.get_json_object("document", "$.images[*].final_x_position"), "array<bigint>"), -1)
-                       .alias("last_x"))
+    head = lambda p: F.max(F.when(F.col("part") == "header", at(p)))
+    image = F.when(F.col("part") == "image", F.col("number"))
+    return docs.groupBy("sample_id").agg(
+        head("$.parameters.num_images").alias("n_images"), F.count(F.when(F.col("part") == "pair", 1)).alias("n_pairs"),
+        head("$.final_canvas.width").alias("width"), head("$.final_canvas.height").alias("height"),
+        head("$.final_canvas.min_y_offset").alias("min_y_offset"), F.min_by(at("$.filename", "string"), image).alias("first_name"),
+        F.max_by(at("$.final_x_position"), image).alias("last_x"))
 
 
 @query("annotations", "C18", sql("""

@@ -104,13 +104,16 @@ def test_document(spark):
                                    "sample_id int, seq long, width int, height int, name string, path string")
     pairs = spark.createDataFrame([(1, 0, 50, 3, .99, "HIGH", []), (1, 1, 60, -2, .9, "MEDIUM", ["LOW_FINAL_SCORE(0.9000)"])],
                                   "sample_id int, pair_idx long, x_overlap int, y_offset int, score double, confidence string, flags array<string>")
-    doc = json.loads(mosaics.alignment_document(frames, pairs, "y", 90, F.lit("now")).first().document)
+    timings = spark.createDataFrame([(1, "load", 1.0), (1, "load", 3.0)], "sample_id int, category string, seconds double")
+    rows = mosaics.alignment_document(frames, pairs, "y", 90, F.lit("now"), timings).orderBy("part", "number").collect()
+    assert [(r.part, r.number) for r in rows] == [("header", 0), ("image", 0), ("image", 1), ("image", 2), ("pair", 0), ("pair", 1)]
+    doc = json.loads(rows[0].document)
+    doc |= {"images": [json.loads(r.document) for r in rows[1:4]], "alignment_pairs": [json.loads(r.document) for r in rows[4:]]}
+    assert doc["timing"] == {"load": {"count": 2, "total": 4.0, "mean": 2.0, "min": 1.0, "max": 3.0}}
     assert doc["parameters"] == {"axis": "y", "rotate_180": False, "rotate_90": True, "rotate_270": False, "num_images": 3}
     assert [i["final_x_position"] for i in doc["images"]] == [0, 100, 190] and doc["images"][0]["width"] == 150
     assert doc["final_canvas"] == {"width": 340, "height": 205, "min_y_offset": -2}
     assert doc["alignment_pairs"][1]["outlier_flags"] == ["LOW_FINAL_SCORE(0.9000)"]
-    parts = mosaics.alignment_document(frames, pairs, "y", 90, F.lit("now"), chunk=2).orderBy("part").collect()
-    assert [(p.n_images, p.n_pairs) for p in parts] == [(2, 2), (1, 0)]
 
 
 def test_parameter_checks():
