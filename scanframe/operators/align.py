@@ -99,7 +99,9 @@ def find_alignments(pair_strips: DataFrame, search: Search = Search(), planned:
         any_height = kernels.pair_scorer(left, right, 0)
         tall = lambda dy: min(left.shape[0] - max(dy, 0), right.shape[0] - max(-dy, 0)) > search.min_height
         score = lambda overlap, dy: any_height(overlap, dy) if tall(dy) else None
-        coarse_o, _, coarse_s, coarse_n = kernels.best_of(any_height, flat, (low, 0, -1.0))
+        even = min(left.shape[0], right.shape[0])  # the coarse scan compares the middle rows of unequal frames
+        middle = [s[(s.shape[0] - even) // 2:][:even] for s in (left, right)]
+        coarse_o, _, coarse_s, coarse_n = kernels.best_of(kernels.pair_scorer(*middle, 0), flat, (low, 0, -1.0))
         y0, reach = 0, search.y_radius(coarse_s)
         if planned and row.y_mean is not None and not np.isnan(row.y_mean):
             y0 = int(round(row.y_mean))

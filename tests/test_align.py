@@ -120,3 +120,11 @@ def test_parameter_checks():
     assert mosaics.search_errors(0.3, 0.95, 0.7, (False, False, False)) == []
     assert len(mosaics.search_errors(0.0, 1.5, 2.0, (True, True, False))) == 4
     assert len(mosaics.search_errors(0.9, 0.5, 0.7, (False, False, False))) == 1
+
+
+def test_unequal_heights_are_compared_in_the_middle(spark):
+    picture = smooth(H, 400, 5)
+    rows = [frame_row(0, picture[:, :W], sample_id=1, seq=0), frame_row(1, picture[20:H - 20, W - 80:2 * W - 80], sample_id=1, seq=1)]
+    frames = frames_df(spark, rows, "frame_id long, sample_id int, seq long")
+    got = align.find_alignments(align.strips(frames, "x", 0, 0.95), FULL).first()
+    assert abs(got.coarse_overlap - 80) <= 4 and got.coarse_score > 0.9
