@@ -27,12 +27,9 @@ def keyed_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def read_table(spark: SparkSession, pattern: str, max_files: int | None = None) -> DataFrame:
-    """Stream of parquet files; the schema is the one the files have now."""
-    reader = spark.readStream.schema(spark.read.parquet(pattern).schema)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(pattern)
+def read_table(spark: SparkSession, pattern: str, max_files: int = 64) -> DataFrame:
+    """Stream of parquet files, ``max_files`` to a micro-batch; the schema is the one the files have now."""
+    return spark.readStream.schema(spark.read.parquet(pattern).schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
 def on_event_time(stream: DataFrame, delay: str = "60 seconds", ts: str = "ts") -> DataFrame:

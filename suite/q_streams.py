@@ -53,14 +53,20 @@ def stream_hot_windows(spark, sf):
     return out.groupBy("window_start", "grid_w", "grid_h", "col", "row").agg(F.max_by("hits", "batch_id").alias("hits"))
 
 
-@query("stream_scan_sessions", "R6")
+@query("stream_scan_sessions", "R6", ORACLES["scan_sessions"])
 def stream_scan_sessions(spark, sf):
-    return _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours"), "append", "sessions").drop("batch_id")
+    # sessions that are still open at the end count too: every batch gives all of them, the last one is whole
+    out = _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours"), "complete", "sessions")
+    last = out.groupBy().agg(F.max("batch_id").alias("last"))
+    return out.join(F.broadcast(last), F.col("batch_id") == F.col("last")).drop("batch_id", "last")
 
 
-@query("stream_rolling_focus", "R7")
+@query("stream_rolling_focus", "R7", ORACLES["rolling_focus"])
 def stream_rolling_focus(spark, sf):
-    return _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day"), "append", "rolling").drop("batch_id")
+    # windows are given whenever they change; the last batch that has one has all of it
+    out = _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day", "40 days"), "update", "rolling")
+    last = out.groupBy("sample_id", "window_start").agg(F.max_by(F.struct("mean_hard", "max_soft", "n"), "batch_id").alias("v"))
+    return last.select("sample_id", "window_start", F.round("v.mean_hard", 6).alias("mean_hard"), "v.max_soft", "v.n")
 
 
 @query("stream_ack_timeouts", "R5")
