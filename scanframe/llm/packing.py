@@ -30,7 +30,7 @@ END = 2
 TASK_CHARS = 1 << 25
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Words in a task's table of distinct words, and characters given to the tokenizer at once.
-TABLE, BATCH_CHARS = 1 << 20, 1 << 20
+TABLE, BATCH_CHARS = 3 << 19, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: What may follow a word's letters and is then a pre-token of its own.
 MARKS = b".,;:!?*#$%&+=-~^)(]["
@@ -49,8 +49,12 @@ class Words:
     def __init__(self, tokenizer_file: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.lib = Tokenizer.from_file(tokenizer_file)
+        # lower-case Latin letters between spaces need no normalising and no pattern to be told apart
+        self.letters = Tokenizer.from_file(tokenizer_file)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 << 16, bool)
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -84,7 +88,7 @@ class Words:
                     rest.add(w[len(core):])
         found: dict[bytes, bytes] = {}
         for part in _parts(letters, 1 << 16):
-            ids = np.array(self.lib.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 raw, at = ids.tobytes(), 0
@@ -101,11 +105,11 @@ class Words:
 
 
 def _plain(word: bytes) -> bool:
-    """Letters of the Latin blocks only: one pre-token."""
+    """Lower-case letters of the Latin blocks only: one pre-token, as it stands."""
     if word.isalpha():
-        return True
+        return word.islower()
     text = word.decode()
-    return text.isalpha() and max(text) < "\u0250"
+    return text.isalpha() and text == text.lower() and max(text) < "\u0250"
 
 
 def _parts(words: set[bytes], size: int) -> Iterator[list[bytes]]:
