@@ -3,62 +3,74 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import color, kernels
 from scanframe.operators.frames import map_frames
 
 
-def channel_counts(frames: DataFrame, keys: list[str], margins: tuple[float, float, float, float] = (0, 0, 0, 0),
-                   ) -> DataFrame:
-    """Counts per frame, channel (r, g, b) and value: what every channel statistic needs, exactly.
+_MARGINS = tuple[float, float, float, float]
 
-    ``margins`` are left, right, top, bottom shares cut off first (rounded half-even per edge).
-    """
+
+def _planes(img: np.ndarray, margins: _MARGINS) -> list[tuple[str, np.ndarray]]:
+    """Counts of the 256 values of each channel inside the margins (left, right, top, bottom shares, rounded half-even
+    per edge); none where nothing is left."""
     left, right, top, bottom = margins
+    h, w = img.shape[:2]
+    l, r, t, b = (int(round(w * left)), int(round(w * right)), int(round(h * top)), int(round(h * bottom)))
+    cut = img[t:max(t, h - b), l:max(l, w - r)]
+    if cut.size == 0:
+        return []
+    return [(name, np.bincount(cut[:, :, plane if img.shape[2] >= 3 else 0].ravel(), minlength=256))
+            for name, plane in (("r", 2), ("g", 1), ("b", 0))]
+
+
+def _moments(counts: np.ndarray) -> tuple[int, int, int]:
+    values = np.arange(256, dtype=np.int64)
+    return int(counts.sum()), int((values * counts).sum()), int((values * values * counts).sum())
+
 
+def _spread(n: str, s1: str, s2: str) -> tuple[Column, Column]:
+    """Mean and population deviation from whole-number sums."""
+    mean = F.try_divide(F.col(s1), F.col(n).cast("double"))
+    return mean, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(s2), F.col(n).cast("double")) - mean * mean))
+
+
+def channel_stats(frames: DataFrame, keys: list[str], margins: _MARGINS = (0, 0, 0, 0)) -> DataFrame:
+    """mean, median, std (population), min, max per frame and channel (r, g, b). Narrow: sums leave the frame's task."""
     def one(img, _):
-        h, w = img.shape[:2]
-        l, r, t, b = (int(round(w * left)), int(round(w * right)), int(round(h * top)), int(round(h * bottom)))
-        cut = img[t:max(t, h - b), l:max(l, w - r)]
-        if cut.size == 0:
-            return
-        for name, plane in (("r", 2), ("g", 1), ("b", 0)):
-            source = cut[:, :, plane if img.shape[2] >= 3 else 0]
-            counts = np.bincount(source.ravel(), minlength=256)
-            for value in np.flatnonzero(counts):
-                yield name, int(value), int(counts[value])
-    return map_frames(frames, keys, "channel string, value int, n long", one)
-
-
-def channel_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """mean, median, std (population), min, max per frame and channel, from the counts."""
-    v, n = F.col("value").cast("bigint"), F.col("n")
-    total, s1, s2 = F.sum(n).cast("double"), F.sum(v * n), F.sum(v * v * n)
-    mean = s1 / total
-    return counts.groupBy(*keys, "channel").agg(
-        mean.alias("mean"), F.percentile("value", 0.5, F.col("n")).alias("median"),
-        F.sqrt(F.greatest(F.lit(0.0), s2 / total - mean * mean)).alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-
-
-def zero_filled(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """All 256 values per frame and channel, 0 where none was counted."""
-    present = counts.select(*keys, "channel").distinct().withColumn("value", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    return (present.join(counts, [*keys, "channel", "value"], "left")
-            .select(*keys, "channel", "value", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
-
-
-def black_frames(frames: DataFrame, keys: list[str], margins: tuple[float, float, float, float] = (0, 0, 0, 0),
-                 threshold: float = 5.0) -> DataFrame:
-    """Per frame: the three interior standard deviations and whether any of them says black."""
+        for name, counts in _planes(img, margins):
+            n, s1, s2 = _moments(counts)
+            upto, present = np.cumsum(counts), np.flatnonzero(counts)
+            low, high = (int(np.searchsorted(upto, k, side="right")) for k in ((n - 1) // 2, n // 2))
+            yield name, n, s1, s2, (low + high) / 2.0, int(present[0]), int(present[-1])
+
+    mean, std = _spread("n", "s1", "s2")
+    raw = map_frames(frames, keys, "channel string, n long, s1 long, s2 long, median double, min int, max int", one)
+    return raw.select(*keys, "channel", mean.alias("mean"), "median", std.alias("std"), "min", "max")
+
+
+def channel_histogram(frames: DataFrame, keys: list[str], margins: _MARGINS = (0, 0, 0, 0)) -> DataFrame:
+    """Count of all 256 values per frame and channel, 0 where none is. Narrow: one array per channel leaves the task."""
+    def one(img, _):
+        for name, counts in _planes(img, margins):
+            yield name, counts.tolist()
+
+    return map_frames(frames, keys, "channel string, counts array<long>", one).select(
+        *keys, "channel", F.posexplode("counts").alias("value", "n"))
+
+
+def black_frames(frames: DataFrame, keys: list[str], margins: _MARGINS = (0, 0, 0, 0), threshold: float = 5.0) -> DataFrame:
+    """Per frame: the three interior standard deviations and whether any of them says black (an empty interior does)."""
     from scanframe.functions.bands import is_black
-    stats = channel_stats(channel_counts(frames, keys, margins), keys)
-    pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("std")))
-    per_frame = stats.groupBy(*keys).agg(pick("r").alias("std_r"), pick("g").alias("std_g"), pick("b").alias("std_b"))
-    every = frames.select(*keys).join(per_frame, keys, "left")  # a frame with an empty interior counts as black
-    return every.withColumn("is_black", is_black(F.col("std_r"), F.col("std_g"), F.col("std_b"), threshold))
+
+    def one(img, _):
+        yield [v for _, counts in _planes(img, margins) for v in _moments(counts)] or [0] * 9
+
+    raw = map_frames(frames, keys, ", ".join(f"{v}_{c} long" for c in "rgb" for v in ("n", "s1", "s2")), one)
+    stats = raw.select(*keys, *[_spread(f"n_{c}", f"s1_{c}", f"s2_{c}")[1].alias(f"std_{c}") for c in "rgb"])
+    return stats.withColumn("is_black", is_black(F.col("std_r"), F.col("std_g"), F.col("std_b"), threshold))
 
 
 def average_color(frames: DataFrame, keys: list[str], roi: tuple[int, int, int, int] | None = None, space: str = "RGB",

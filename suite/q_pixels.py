@@ -145,7 +145,7 @@ CHANNELS = ("SELECT frame_id, y, x, c.channel, CASE c.channel WHEN 'r' THEN r WH
 SELECT frame_id, channel, round(avg(v), 6) AS mean, quantile_cont(v, 0.5)::DOUBLE AS median, round(stddev_pop(v), 6) AS std,
   min(v) AS min, max(v) AS max FROM ch GROUP BY 1, 2""", "fx_rgb", ch=CHANNELS))
 def channel_stats(spark, sf):
-    stats = channels.channel_stats(channels.channel_counts(fx.frames_rgb(spark, sf), KEY), KEY)
+    stats = channels.channel_stats(fx.frames_rgb(spark, sf), KEY)
     return stats.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
@@ -154,7 +154,7 @@ SELECT f.frame_id, f.channel, v.v AS value, count(ch.v) AS n FROM (SELECT DISTIN
 CROSS JOIN (SELECT unnest(range(256))::INTEGER AS v) v LEFT JOIN ch ON ch.frame_id = f.frame_id AND ch.channel = f.channel
   AND ch.v = v.v GROUP BY 1, 2, 3""", "fx_rgb", ch=CHANNELS))
 def channel_histogram(spark, sf):
-    return channels.zero_filled(channels.channel_counts(fx.frames_rgb(spark, sf), KEY), KEY)
+    return channels.channel_histogram(fx.frames_rgb(spark, sf), KEY)
 
 
 @query("black_frames", "P36 A10 P14", sql("""
