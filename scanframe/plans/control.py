@@ -55,24 +55,38 @@ class FocusSearch:
     peak_drop: float = 5000.0
     base_drop: float = 3000.0
     no_improve: int = 2
+    preview_below: float = 90000.0
 
 
-def sweep_cache(sweep: DataFrame, start: Column, kind: str) -> DataFrame:
-    """First score per stack and quantised height inside the reach: at most a few hundred rows per stack."""
-    z = geometry.quantize_floor(F.col("z"))
+def sweep_cache(sweep: DataFrame, start: Column, kind: str, scorer: Column | None = None) -> DataFrame:
+    """First score per stack and quantised height inside the reach: at most a few hundred rows per stack.
+
+    ``scorer`` is the score of a row (its ``score`` by default); a row that says ``is_black`` scores minus infinity.
+    ``preview_score``, where the sweep has it, goes along for the coarse march.
+    """
+    z, score = geometry.quantize_floor(F.col("z")), F.col("score") if scorer is None else scorer
+    gate = lambda s: F.when(F.col("is_black"), F.lit(float("-inf"))).otherwise(s) if "is_black" in sweep.columns else s
+    preview = [F.min_by(gate(F.col("preview_score")), "seq").alias("preview_score")] if "preview_score" in sweep.columns else []
     return (sweep.withColumn("start", geometry.quantize_floor(start)).withColumn("z", z)
             .filter(geometry.in_envelope(F.col("z"), F.col("start"), kind))
-            .groupBy("stack_id", "start", "z").agg(F.min_by("score", "seq").alias("score")))
+            .groupBy("stack_id", "start", "z").agg(F.min_by(gate(score), "seq").alias("score"), *preview))
 
 
 def coarse_march(cache: DataFrame, search: FocusSearch = FocusSearch()) -> DataFrame:
-    """Downward march in coarse steps: probes in order with Δbase, running best, and where it stops and why."""
+    """Downward march in coarse steps: probes in order with Δbase, running best, and where it stops and why.
+
+    The first probe is a still; where it scores below ``preview_below`` and there are previews, the others are previews.
+    """
     probes = cache.withColumn("k", ((F.col("start") - F.col("z")) / search.coarse_step).cast("int")).filter(
         (F.col("start") - F.col("z")) % search.coarse_step == 0)
     order = Window.partitionBy("stack_id").orderBy("k")     # bounded: reach / coarse step rows per stack
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     first = F.first("score").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    seen = probes.withColumns({"baseline": first, "peak": F.max("score").over(so_far)})
+    based = probes.withColumn("baseline", first)
+    if "preview_score" in cache.columns:
+        take = (F.col("k") > 0) & (F.col("baseline") < search.preview_below)
+        based = based.withColumn("score", F.when(take, F.coalesce("preview_score", "score")).otherwise(F.col("score")))
+    seen = based.withColumn("peak", F.max("score").over(so_far))
     base_stop = (F.col("peak") <= F.col("baseline")) & (F.col("baseline") - F.col("score") >= search.base_drop)
     peak_stop = F.col("peak") - F.col("score") >= search.peak_drop
     reason = F.when(F.col("k") > 0, F.when(base_stop, "baseline-drop").when(peak_stop, "peak-drop"))
@@ -111,9 +125,10 @@ def refine_around(cache: DataFrame, centers: DataFrame, search: FocusSearch = Fo
                        F.when(take_up, F.col("up_s")).otherwise(F.col("down_s")).alias("score"))
 
 
-def best_focus(sweep: DataFrame, start: Column, search: FocusSearch = FocusSearch()) -> DataFrame:
-    """Descent search on recorded sweeps (stack_id, seq, z, score): best height and score, Δbase and why it stopped."""
-    cache = cut_lineage(sweep_cache(sweep, start, "descent"))      # small, read by the march and both climbs
+def best_focus(sweep: DataFrame, start: Column, search: FocusSearch = FocusSearch(), scorer: Column | None = None) -> DataFrame:
+    """Descent search on recorded sweeps (stack_id, seq, z, score and, if known, preview_score and is_black): best height
+    and score, Δbase and why it stopped."""
+    cache = cut_lineage(sweep_cache(sweep, start, "descent", scorer))      # small, read by the march and both climbs
     march = coarse_march(cache, search)
     coarse = march.groupBy("stack_id").agg(
         F.max_by("z", F.struct("score", -F.col("k"))).alias("center"), F.max("score").alias("center_score"),

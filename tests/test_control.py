@@ -46,8 +46,18 @@ def test_fine_search_prefers_up_on_a_tie(spark):
 def test_pluggable_scorer(spark):
     base = sweep(spark, {1600: 5, 1580: 9, 1560: 7})
     assert control.best_focus(base, F.lit(1600)).first().best_z == 1580
-    inverted = base.withColumn("score", -F.col("score"))       # a scorer is just the column the sweep carries
-    assert control.best_focus(inverted, F.lit(1600)).first().best_z == 1600
+    assert control.best_focus(base, F.lit(1600), scorer=-F.col("score")).first().best_z == 1600
+
+
+def test_black_rows_and_previews(spark):
+    base = sweep(spark, {1600: 5, 1580: 9, 1560: 7})
+    black = base.withColumn("is_black", F.col("z") == 1580)
+    got = control.best_focus(black, F.lit(1600)).first()
+    assert (got.best_z, got.stop_reason) == (1600, "baseline-drop")
+    previews = base.withColumn("preview_score", F.when(F.col("z") == 1560, 50.0).otherwise(1.0))
+    assert control.best_focus(previews, F.lit(1600)).first().best_z == 1560       # the first still scores below 90,000
+    stills = control.FocusSearch(preview_below=0.0)
+    assert control.best_focus(previews, F.lit(1600), stills).first().best_z == 1580
 
 
 def test_nested_macros_expand_in_order(spark):
