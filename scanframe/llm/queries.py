@@ -70,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                            op10_pitman_yor)}
 ORACLES: dict[str, str] = {
     "op2_line_runs": sql.line_runs(lines.MIN_WORDS),
+    "op6_warc_shards": sql.warc(),
     "op9_adaptive_quality": sql.quality(quality.FENCES, quality.MIN_WORDS, quality.MAX_REPEAT_PERCENT, quality.MIN_GROUP),
 }

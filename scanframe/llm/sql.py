@@ -63,3 +63,12 @@ flagged as (select s.doc_id, s.t, s.line, s.l, g.pos is not null as gone from sp
 per as (select doc_id, t, count(*) as n_lines, count(*) filter (gone) as n_deleted, coalesce(string_agg(line::varchar, ',' order by line) filter (gone), '') as deleted_lines,
         coalesce(string_agg(l, chr(10) order by line) filter (not gone), '') as rest from flagged group by doc_id, t)
 select per.doc_id, n_lines, n_deleted, deleted_lines, sha256(rest) as text_sha256 from per join d using (t) , range(copies) where per.doc_id is not distinct from d.doc_id"""
+
+
+def warc() -> str:
+    return """
+with h as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as x, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, strlen(t)::bigint as payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(x, (5 * (k // 4) + 1)::int, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31) + 1)::int, 1) for k in range(32)], '') as payload_digest,
+  case when last is null or page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from last then last end as refers_to from h"""

@@ -20,9 +20,16 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+PAGES = [(1, "http://a/x y", "<p>one</p>"), (7, "http://b", "<p>one</p>"), (3, None, None), (4, "u", ""), (None, "http://n", "<p>one</p>"),
+         (None, "http://n", "null id"), (5, "http://c", "é" * 5000), (9, "http://d", "twice"), (9, "http://d", "twice"),
+         *[(i, f"http://{i}", f"page {i} " * 50) for i in range(20, 60)]]
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
-    return table_dir(spark, tmp_path_factory.mktemp("odd"), documents(spark))
+    path = tmp_path_factory.mktemp("odd")
+    table_dir(spark, path, spark.createDataFrame(PAGES, "page_id long, url string, html string"), "pages")
+    return table_dir(spark, path, documents(spark))
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +52,8 @@ def test_empty_tables(spark, empty_dir, name):
 def test_sql(spark, sf_dir, name):
     for path in (sf_dir, SF):
         con = duckdb.connect()
-        con.execute(f"create view documents as select * from '{path}/documents.parquet{'/*.parquet' if path == sf_dir else ''}'")
+        for name_ in ("documents", "pages"):
+            con.execute(f"create view {name_} as select * from '{path}/{name_}.parquet{'/*.parquet' if path == sf_dir else ''}'")
         got = queries.QUERIES[name](spark, path)
         assert collected(got) == sorted(con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall(), key=repr)
 
@@ -254,8 +262,7 @@ def test_pieces(spark, sf_dir):
 # ---- 6, 7 ----------------------------------------------------------------------------------------------------------
 
 def test_warc(spark, tmp_path):
-    pages = [(1, "http://a/x y", "<p>one</p>"), (7, "http://b", "<p>one</p>"), (3, None, None), (4, "u", ""), (None, "http://n", "<p>one</p>"), (None, "http://n", "null id"),
-             (5, "http://c", "é" * 5000), (9, "http://d", "twice"), (9, "http://d", "twice"), *[(i, f"http://{i}", f"page {i} " * 50) for i in range(20, 60)]]
+    pages = PAGES
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     largest = {}
