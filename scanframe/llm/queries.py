@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, sql, warc
+from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, sql, training_order, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -35,6 +35,12 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *per_kind, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    training_order.write(table(spark, sf_dir, "documents"), uri, tokenizer("word_bpe_49k.json"))
+    return training_order.pieces(spark, uri)
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -66,7 +72,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality,
+    f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op4_feistel_shards, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality,
                            op10_pitman_yor)}
 ORACLES: dict[str, str] = {
     "op2_line_runs": sql.line_runs(lines.MIN_WORDS),

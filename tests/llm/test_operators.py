@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from llm_fixtures import CLASHES, SCHEMA, documents, rows, sentence, table_dir
 
-from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, queries, secrets, simhash, warc
+from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, queries, secrets, simhash, training_order, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,6 +229,40 @@ def test_packing(spark, sf_dir, monkeypatch):
     check_packing([tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], queries.op5_cost_packing(spark, SF).collect())
 
 
+def test_feistel_slots_are_a_permutation():
+    for n in (1, 2, 3, 17, 64, 1000, 4097):
+        index = np.arange(n)
+        got = training_order.slots(index, n, 5)
+        assert sorted(got) == list(range(n)) and (training_order.slots(got, n, 5, back=True) == index).all()
+    assert (training_order.slots(np.arange(1000), 1000, 5) != training_order.slots(np.arange(1000), 1000, 6)).any()
+
+
+def test_training_order(spark, tmp_path):
+    from tokenizers import Tokenizer
+    file = queries.tokenizer("word_bpe_49k.json")
+    lib, docs = Tokenizer.from_file(file), documents(spark).repartition(3)
+    uri = f"{tmp_path}/slots"
+    manifest = training_order.write(docs, uri, file, key=9, length=64, per_shard=16).collect()
+    got = training_order.pieces(spark, uri, per_shard=16).collect()
+    every = {r.slot: np.frombuffer(r.ids, "<u2").astype("<u4") for r in training_order.read(spark, uri, per_shard=16).collect()}
+    assert sorted(every) == list(range(len(every))) and sum(m.seq == 0 for m in manifest) == -(-len(every) // 16)
+    want = collections.Counter()
+    for doc, text, *_ in rows():
+        want[doc, (*lib.encode(text or "", add_special_tokens=False).ids, 2)] += 1
+    parts = collections.defaultdict(list)
+    for p in got:
+        assert zlib.crc32(every[p.slot][p.offset:p.offset + p.length].tobytes()) == p.ids_crc32
+        parts[p.doc_id, p.doc_tokens].append((p.start, tuple(every[p.slot][p.offset:p.offset + p.length].tolist())))
+    for (doc, ids), times in want.items():
+        mine = collections.Counter(parts[doc, len(ids)])
+        for start, piece in mine:
+            assert any(piece == other[start:start + len(piece)] for d, other in want if d == doc and len(other) == len(ids))
+        assert sum(len(p) * n for (_, p), n in mine.items()) == len(ids) * sum(t for (d, o), t in want.items() if d == doc and len(o) == len(ids)) and times
+    resumed = [r.slot for r in training_order.read(spark, uri, 21, 45, per_shard=16).collect()]
+    assert sorted(resumed) == list(range(21, 45))
+    assert (every[30] == np.frombuffer(training_order.read(spark, uri, 30, 31, per_shard=16).first().ids, "<u2")).all()
+
+
 def test_placing_fills_every_sequence():
     r = random.Random(1)
     for n in (0, 1, 7, 300):
