@@ -167,7 +167,7 @@ def write(pages: DataFrame, uri: str, revisit_from: int = 0, shard_bytes: int =
     both = (rows.select("page_id", "digest", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
             .unionByName(revisits.select("page_id", "digest", F.lit(True).alias("revisit"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))))
     shard = shard_of(F.col("page_id")) if len(borders) else F.lit(0)
-    dealt = (both.withColumn("shard", shard).repartition(shards, "shard")
+    dealt = (both.withColumn("shard", shard).repartitionByRange(shards, "shard")
              .sortWithinPartitions("shard", "page_id", "digest", F.desc("revisit"), "url"))
     dealt.mapInArrow(lambda it: _write(it, uri, roll_bytes), MANIFEST).write.parquet(f"{uri}/written")
     spark = pages.sparkSession
