@@ -75,6 +75,15 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _packed(fps: np.ndarray) -> bytes:
+    """Entries in four bytes each where they fit, else in eight; the first byte says which."""
+    return b"\x04" + fps.astype("<u4").tobytes() if int(fps.max()) >> 32 == 0 else b"\x08" + fps.astype("<u8").tobytes()
+
+
+def _unpacked(members: bytes) -> np.ndarray:
+    return np.frombuffer(members, f"<u{members[0]}", offset=1).astype(np.uint64)
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of a partition come sorted by table and Gray rank; leaves don't cross from one table into the next."""
     from pyspark import TaskContext
@@ -83,7 +92,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def leaf(part: np.ndarray, table: int) -> tuple:
         shared = ~np.bitwise_or.reduce(part ^ part[0])
-        return table, first + seq, int(shared.view(np.int64)), int((part[0] & shared).view(np.int64)), part.tobytes()
+        return table, first + seq, int(shared.view(np.int64)), int((part[0] & shared).view(np.int64)), _packed(part)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -216,7 +225,7 @@ REDUCED = {"all": lambda u, v: (u, v), "connecting": spanning, "outermost": oute
 def _search(batches: Iterator[pa.RecordBatch], limit: int, links: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ma", "mb"))
+            a, b = (_unpacked(batch.column(c)[i].as_py()) for c in ("ma", "mb"))
             u, v = close_pairs(a, b, limit)
             if not len(u):
                 continue
