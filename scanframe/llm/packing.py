@@ -28,6 +28,8 @@ LENGTH = 4096
 END = 2
 #: Characters of text to a packing task. Its rests, two bytes an id, are held in memory: some tens of MB.
 TASK_CHARS = 1 << 25
+#: What a row counts for besides its text.
+ROW_CHARS = 64
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Words in a task's table of distinct words, and characters given to the tokenizer at once.
 TABLE, BATCH_CHARS = 3 << 19, 1 << 20
@@ -270,7 +272,7 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end: int =
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one shuffle of the rests' ids."""
     if length & (length - 1):
         raise ValueError("the sequence length has to be a power of two")
-    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + ROW_CHARS)).first()[0] or 0
     tasks = 1 + chars // TASK_CHARS
     cut = docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, tokenizer_file, tasks, length, end), _CUT)
     dealt = cut.repartition(tasks, "__task").sortWithinPartitions("__task", F.desc("length"), "doc_id", "start", "ids_crc32", "ids")
