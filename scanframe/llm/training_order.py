@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from scanframe.llm import warc
 from scanframe.llm.packing import _tokenised, _words
 
-LENGTH, END = 1024, 2
-SHARD_SLOTS = 1 << 14
+LENGTH, END = 4096, 2
+SHARD_SLOTS = 1 << 12
 ROUNDS = 6
 MAGIC = b"SLOTS1\0\0"
 HEADER = struct.Struct("<8sIIqq24x")  # magic, length, bytes of an id, first slot, slots
@@ -73,6 +73,17 @@ def slots(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray
 
 # ---- sequences -----------------------------------------------------------------------------------------------------
 
+def _packed(ids: bytes) -> bytes:
+    """Compressed for the way to the writer, which crosses the store once and a shuffle once."""
+    import zstandard
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(ids)
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zstandard
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], tokenizer_file: str, length: int, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     task, words, tail = TaskContext.get().partitionId(), _words(tokenizer_file), np.array([end], "<u2").tobytes()
@@ -93,13 +104,13 @@ def _sequences(batches: Iterator[pa.RecordBatch], tokenizer_file: str, length: i
                 parts.append({"doc_id": doc, "start": at, "length": take, "offset": filled, "doc_tokens": n})
                 at, filled = at + take, filled + take
                 if filled == length:
-                    rows.append((task, nth, b"".join(ids), parts))
+                    rows.append((task, nth, _packed(b"".join(ids)), parts))
                     nth, ids, parts, filled = nth + 1, [], [], 0
                     if len(rows) == 2048:
                         yield batch_of()
                         rows = []
     if filled:
-        rows.append((task, nth, b"".join(ids) + tail * (length - filled), parts))
+        rows.append((task, nth, _packed(b"".join(ids) + tail * (length - filled)), parts))
     yield batch_of()
 
 
@@ -131,6 +142,7 @@ def _write(batches: Iterator[pa.RecordBatch], uri: str, n: int, per_shard: int,
                 out.write(head)
                 sha.update(head)
                 size = len(head)
+            ids = _unpacked(ids)
             out.write(ids)
             sha.update(ids)
             size += len(ids)
