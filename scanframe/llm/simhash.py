@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from scanframe.llm.links import components
 SEED = 42
 LEAF, FAN, SUB = 512, 8, 16
 PART = 1 << 16
+BITMAP = 1 << 24
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------------
@@ -327,8 +329,32 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP))
+
+
+def _may_be_in(keys: DataFrame, key: Column) -> Column:
+    """Whether a text key may be among ``keys.text_key``, by a bitmap of a fixed size (2 MB) that is made in Spark.
+
+    It never says no to a key that is there. It spares all other texts a shuffle; what passes is joined exactly.
+    """
+    bits = keys.select(_bit(F.col("text_key")).alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = np.zeros(BITMAP >> 6, np.int64)
+    for r in bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        place = at.to_numpy(np.int64)
+        return pd.Series((words[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(_bit(key))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 2, miss: float = 0.02) -> DataFrame:
-    """(doc_id, text_key, root) of the different texts with their group; ``stays`` marks the one with the least doc_id.
+    """(doc_id, text_key, copies, root) of the different texts, with their least doc_id, the number of rows that have
+    them and their group; ``stays`` marks the one with the least doc_id.
 
     Texts are sketched by SimHash bits; several tables of fingerprints are searched through the index; pairs that meet
     in one, between the least text of each fingerprint and the others of it or the least of a near one, are compared by
@@ -340,7 +366,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     keyed = docs.select("doc_id", F.md5(text_of()).alias("text_key"), "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first")
     thin = keyed.mapInArrow(lambda it: _sketched(it, size, words), "doc_id long, text_key string, sketch binary")
-    entries = cut(cut(thin.groupBy("text_key").agg(first, F.first("sketch").alias("sketch"))).withColumn("id", F.monotonically_increasing_id()))
+    entries = cut(cut(thin.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))).withColumn("id", F.monotonically_increasing_id()))
     dealt = cut(entries.select("id", "sketch").mapInArrow(lambda it: _dealt(it, bits, tables), "t int, fp long, id long"))
     least = cut(dealt.groupBy("t", "fp").agg(F.min("id").alias("least")))
     links = near_fingerprints(least.select("t", "fp"), limit, "outermost")
@@ -356,13 +382,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
                 .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
     near = cut(compared.mapInArrow(lambda it: _near(it, far), "u long, v long"))
     wanted = cut(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
-    texts = cut(keyed.select("text_key", "text").join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
+    texts = cut(keyed.select("text_key", "text").filter(_may_be_in(wanted, F.col("text_key"))).join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
     beside = (near.join(texts.withColumnRenamed("text", "ta"), near["u"] == F.col("id")).drop("id")
               .join(texts.withColumnRenamed("text", "tb"), near["v"] == F.col("id")).drop("id"))
     roots = components(beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long"))
-    named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "first", F.coalesce("root", "id").alias("root"))
+    named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "copies", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("best"))
-    return named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
+    return named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "copies", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
 
 
 def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
@@ -374,8 +400,11 @@ def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatc
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """For the pipeline: of each group of near duplicates, the document with the least id; repeated rows count once."""
-    kept = near_duplicates(docs, **options).filter("stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-    kept = cut(kept)
+    marked = cut(near_duplicates(docs, **options))
+    kept = marked.filter("stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
     keyed = docs.withColumn("__text_key", F.md5(text_of()))
-    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__text_key"] == kept["__key"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    # a text that stays and stands in one row only needs no join
+    doubtful = _may_be_in(marked.filter("not stays or copies > 1"), F.col("__text_key"))
+    clear, asked = (keyed.filter(c) for c in (~doubtful, doubtful))
+    chosen = asked.join(kept, asked["doc_id"].eqNullSafe(kept["__doc"]) & (asked["__text_key"] == kept["__key"]), "left_semi")
+    return clear.unionByName(chosen.dropDuplicates(["doc_id", "__text_key"])).select(*docs.columns)
