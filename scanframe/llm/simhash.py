@@ -15,22 +15,24 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanframe.llm.common import cut, text_of
+from scanframe.llm.common import cut, shared_dir, text_of
 from scanframe.llm.links import components
 
 SEED = 42
 LEAF, FAN, SUB = 512, 8, 16
 PART = 1 << 16
 BITMAP = 1 << 24
+NEAREST = 4
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------------
@@ -122,11 +124,17 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([leaf(np.concatenate(held), kind)])
 
 
+def _groups(nodes: DataFrame) -> list[str]:
+    """Least and greatest group of a node's entries, where these have groups."""
+    return [c for c in ("lo", "hi") if c in nodes.columns]
+
+
 def _parents(nodes: DataFrame) -> DataFrame:
     """FAN neighbours to a parent: it shares the bits that are in every child's mask and equal in their patterns."""
     mask = F.expr("bit_and(mask) & ~(bit_or(pattern) ^ bit_and(pattern))")
-    return nodes.groupBy("t", "parent").agg(mask.alias("mask"), F.expr("bit_and(pattern)").alias("p")).select(
-        "t", F.col("parent").alias("node"), "mask", F.col("p").bitwiseAND(F.col("mask")).alias("pattern"))
+    ends = [f(c).alias(c) for f, c in zip((F.min, F.max), _groups(nodes), strict=False)]
+    return nodes.groupBy("t", "parent").agg(mask.alias("mask"), F.expr("bit_and(pattern)").alias("p"), *ends).select(
+        "t", F.col("parent").alias("node"), "mask", F.col("p").bitwiseAND(F.col("mask")).alias("pattern"), *_groups(nodes))
 
 
 def _levels(leaves: DataFrame) -> list[DataFrame]:
@@ -138,8 +146,8 @@ def _levels(leaves: DataFrame) -> list[DataFrame]:
         at += n
     shift = leaves.sparkSession.createDataFrame(base or [(0, 0)], "pid long, shift long")
     level = (leaves.drop("members").withColumn("pid", F.shiftrightunsigned("node", 32)).join(F.broadcast(shift), "pid")
-             .select("t", "node", (F.col("node") + F.col("shift")).alias("at"), "mask", "pattern"))
-    level = cut(level.select("t", F.col("node").alias("leaf"), F.col("at").alias("node"), F.floor(F.col("at") / FAN).alias("parent"), "mask", "pattern"))
+             .select("t", "node", (F.col("node") + F.col("shift")).alias("at"), "mask", "pattern", *_groups(leaves)))
+    level = cut(level.select("t", F.col("node").alias("leaf"), F.col("at").alias("node"), F.floor(F.col("at") / FAN).alias("parent"), "mask", "pattern", *_groups(leaves)))
     levels, n = [level], at
     while n > 1:
         up = _parents(levels[-1]).withColumn("parent", F.floor(F.col("node") / FAN))
@@ -148,19 +156,23 @@ def _levels(leaves: DataFrame) -> list[DataFrame]:
     return levels[::-1]
 
 
-def _differ(limit: int) -> Column:
-    return F.expr(f"bit_count((a.pattern ^ b.pattern) & a.mask & b.mask) <= {limit}")
+def _differ(limit: int, grouped: bool) -> Column:
+    near = F.expr(f"bit_count((a.pattern ^ b.pattern) & a.mask & b.mask) <= {limit}")
+    return near & F.expr("least(a.lo, b.lo) < greatest(a.hi, b.hi)") if grouped else near
 
 
 def surviving_leaves(leaves: DataFrame, limit: int) -> DataFrame:
-    """Pairs of leaves (a, b), a <= b, of one table whose patterns differ in ``limit`` bits or fewer at every level."""
-    levels = _levels(leaves)
+    """Pairs of leaves (a, b), a <= b, of one table whose patterns differ in ``limit`` bits or fewer at every level.
+
+    Where entries have groups, pairs that lie in one group altogether are dropped at the level that shows it.
+    """
+    levels, differ = _levels(leaves), _differ(limit, bool(_groups(leaves)))
     top = levels[0]
-    pairs = top.alias("a").join(top.alias("b"), (F.expr("a.t = b.t") & F.expr("a.parent = b.parent") & F.expr("a.node <= b.node") & _differ(limit)))
+    pairs = top.alias("a").join(top.alias("b"), (F.expr("a.t = b.t") & F.expr("a.parent = b.parent") & F.expr("a.node <= b.node") & differ))
     pairs = pairs.select(F.col("a.t").alias("t"), F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     for level in levels[1:]:
         left = pairs.join(level.alias("a"), (pairs["t"] == F.col("a.t")) & (pairs["x"] == F.col("a.parent")))
-        both = left.join(level.alias("b"), (F.col("a.t") == F.col("b.t")) & (pairs["y"] == F.col("b.parent")) & F.expr("a.node <= b.node") & _differ(limit))
+        both = left.join(level.alias("b"), (F.col("a.t") == F.col("b.t")) & (pairs["y"] == F.col("b.parent")) & F.expr("a.node <= b.node") & differ)
         pairs = cut(both.select(F.col("a.t").alias("t"), F.col("a.node").alias("x"), F.col("b.node").alias("y")))
     names = levels[-1].select("node", "leaf")
     return (pairs.join(names.withColumnRenamed("leaf", "a"), pairs["x"] == F.col("node")).drop("node")
@@ -212,13 +224,12 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def outermost(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every entry's links, those to its least and its greatest neighbour."""
-    x, y = np.concatenate([u, v]), np.concatenate([v, u])
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
+    """Of every entry's links, those to its least and its greatest neighbour; one that has more is linked with itself too."""
+    x, y = np.unique(np.stack([np.concatenate([u, v]), np.concatenate([v, u])]), axis=1)
     edge = np.flatnonzero(np.diff(x)) + 1
-    ends = np.unique(np.concatenate([[0], edge, edge - 1, [len(x) - 1]]))
-    return x[ends], y[ends]
+    starts, stops = np.concatenate([[0], edge]), np.concatenate([edge, [len(x)]])
+    ends, crowded = np.unique(np.concatenate([starts, stops - 1])), x[starts[stops - starts > 2]]
+    return np.concatenate([x[ends], crowded]), np.concatenate([y[ends], crowded])
 
 
 REDUCED = {"all": lambda u, v: (u, v), "connecting": spanning, "outermost": outermost}
@@ -252,6 +263,54 @@ def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting")
     return both.mapInArrow(lambda it: _search(it, limit, links), "t int, u long, v long")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves of entries (t, fp, id, group) that come sorted; many entries of one fingerprint fill several leaves."""
+    from pyspark import TaskContext
+    seq, held = TaskContext.get().partitionId() << 32, np.empty((0, 4), np.int64)
+
+    def leaf(part: np.ndarray) -> pa.RecordBatch:
+        nonlocal seq
+        fps = part[:, 1]
+        shared = ~np.bitwise_or.reduce(fps ^ fps[0])
+        values = [int(part[0, 0]), seq, int(shared), int(fps[0] & shared), int(part[:, 3].min()), int(part[:, 3].max()), np.ascontiguousarray(part[:, 1:]).tobytes()]
+        seq += 1
+        kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["t", "node", "mask", "pattern", "lo", "hi", "members"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "fp", "id", "group")], axis=1)
+        have = np.concatenate([held, rows])
+        parts = [p[i:i + LEAF] for p in np.split(have, np.flatnonzero(np.diff(have[:, 0])) + 1) for i in range(0, len(p), LEAF)]
+        held = parts.pop() if parts else held
+        yield from map(leaf, parts)
+    if len(held):
+        yield leaf(held)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ma, mb in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
+            (fa, ia, ga), (fb, ib, gb) = (np.frombuffer(m, np.int64).reshape(-1, 3).T for m in (ma, mb))
+            near = np.bitwise_count((fa[:, None] ^ fb[None, :]).view(np.uint64)) <= limit
+            i, j = np.nonzero(near & (ga[:, None] != gb[None, :]))
+            u, v = np.maximum(ia[i], ib[j]), np.minimum(ia[i], ib[j])
+            if len(u):
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def crossing_pairs(entries: DataFrame, limit: int) -> DataFrame:
+    """All (u, v), u > v, of ids whose fingerprints differ in ``limit`` bits or fewer in a table and that are in two
+    groups, of entries (t, fp, id, group). Blocks of entries are compared in tasks; a pair may appear more than once."""
+    order = ["t", "rank", "group", "id"]
+    dealt = entries.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    leaves = cut(dealt.select("t", "fp", "id", "group").mapInArrow(_blocks, "t int, node long, mask long, pattern long, lo long, hi long, members binary"))
+    pairs, part = surviving_leaves(leaves, limit), leaves.select("node", "members")
+    both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
+            .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("ma", "mb"))
+    return both.mapInArrow(lambda it: _crossing(it, limit), "u long, v long")
+
+
 def groups(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits, and the least ``doc_id`` reachable."""
     prints = cut(fingerprints(docs.select("doc_id", "text"), size))
@@ -357,8 +416,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     them and their group; ``stays`` marks the one with the least doc_id.
 
     Texts are sketched by SimHash bits; several tables of fingerprints are searched through the index; pairs that meet
-    in one, between the least text of each fingerprint and the others of it or the least of a near one, are compared by
-    their whole sketches and, if these come near, by the Jaccard similarity of their shingle sets.
+    in one are compared by their whole sketches and, if these come near, by the Jaccard similarity of their shingle sets.
+    First come pairs between the least text of each fingerprint and the others of it or the least of a near one. Then,
+    wherever that left a pair out, all pairs that meet and are in two groups still; of these, in rounds, those with each
+    text's nearest sketches are compared, until none is left between two groups.
     """
     n = docs.count()
     bits, tables = tables_for(n, similarity, limit, miss)
@@ -368,34 +429,78 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     thin = keyed.mapInArrow(lambda it: _sketched(it, size, words), "doc_id long, text_key string, sketch binary")
     entries = cut(cut(thin.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))).withColumn("id", F.monotonically_increasing_id()))
     dealt = cut(entries.select("id", "sketch").mapInArrow(lambda it: _dealt(it, bits, tables), "t int, fp long, id long"))
-    least = cut(dealt.groupBy("t", "fp").agg(F.min("id").alias("least")))
-    links = near_fingerprints(least.select("t", "fp"), limit, "outermost")
+    least = cut(dealt.groupBy("t", "fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    links = cut(near_fingerprints(least.select("t", "fp"), limit, "outermost"))
     inside = dealt.join(least, ["t", "fp"]).filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v"))
     ends = least.select("t", F.col("fp").alias("f"), "least")
-    across = (links.join(ends, (links["t"] == ends["t"]) & (links["u"] == ends["f"])).select(links["t"], F.col("v").alias("w"), F.col("least").alias("a")))
+    across = links.filter("u <> v")
+    across = (across.join(ends, (across["t"] == ends["t"]) & (across["u"] == ends["f"])).select(across["t"], F.col("v").alias("w"), F.col("least").alias("a")))
     across = across.join(ends, (across["t"] == ends["t"]) & (across["w"] == ends["f"])).select(F.greatest("a", "least").alias("u"), F.least("a", "least").alias("v"))
-    pairs = cut(inside.unionByName(across).distinct())
+    pairs = inside.unionByName(across).distinct()
 
     sketches = entries.select("id", F.col("sketch").alias("s"))
     far = math.ceil(64 * words * min(0.5, angle_share(similarity) + 0.05))
-    compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
-                .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
-    near = cut(compared.mapInArrow(lambda it: _near(it, far), "u long, v long"))
-    wanted = cut(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
-    texts = cut(keyed.select("text_key", "text").filter(_may_be_in(wanted, F.col("text_key"))).join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
-    beside = (near.join(texts.withColumnRenamed("text", "ta"), near["u"] == F.col("id")).drop("id")
-              .join(texts.withColumnRenamed("text", "tb"), near["v"] == F.col("id")).drop("id"))
-    roots = components(beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long"))
+
+    def near_of(pairs: DataFrame) -> DataFrame:
+        compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
+                    .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
+        return cut(compared.mapInArrow(lambda it: _near(it, far), "u long, v long, d int"))
+
+    def texts_of(near: DataFrame) -> DataFrame:
+        wanted = cut(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
+        return cut(keyed.select("text_key", "text").filter(_may_be_in(wanted, F.col("text_key"))).join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
+
+    def alike(near: DataFrame, texts: DataFrame) -> DataFrame:
+        beside = (near.join(texts.withColumnRenamed("text", "ta"), near["u"] == F.col("id")).drop("id")
+                  .join(texts.withColumnRenamed("text", "tb"), near["v"] == F.col("id")).drop("id"))
+        return beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long")
+
+    near = near_of(pairs)
+    roots = _stored(components(_stored(alike(near, texts_of(near)))))
+    # pairs were left out only within a fingerprint of several texts, between it and its neighbours, and between crowded ones
+    several = least.filter("n > 1").select("t", F.col("fp").alias("u"))
+    both = links.filter("u <> v").unionByName(links.filter("u <> v").select("t", F.col("v").alias("u"), F.col("u").alias("v")))
+    open_ = several.unionByName(both.join(several, ["t", "u"]).select("t", F.col("v").alias("u"))).unionByName(links.filter("u = v").select("t", "u"))
+    asked = dealt.join(open_.distinct().withColumnRenamed("u", "fp"), ["t", "fp"])
+    asked = asked.join(roots, asked["id"] == roots["node"], "left").select("t", "fp", "id", F.coalesce("root", "id").alias("group"))
+    left = near_of(crossing_pairs(asked, limit).distinct().join(near.select("u", "v"), ["u", "v"], "left_anti"))
+    if not left.isEmpty():
+        texts, most = texts_of(left), NEAREST
+        while True:
+            a, b = (roots.select(F.col("node").alias(e), F.col("root").alias(f"g{e}")) for e in ("u", "v"))
+            left = _stored(left.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v", "d"))
+            if left.isEmpty():
+                break
+            nearest = _nearest(left, most)
+            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = _stored(components(_stored(alike(nearest, texts).unionByName(known))))
+            left, most = left.join(nearest, ["u", "v"], "left_anti"), 4 * most
     named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "copies", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("best"))
     return named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "copies", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written and read back. Spark carries its estimate of a join's size through a checkpoint; in rounds of joins it
+    would grow to numbers of so many digits that planning takes longer than the work."""
+    path = f"{shared_dir(df.sparkSession)}/near-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _nearest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of pairs (u, v, d), those that are among the ``most`` of least d of one of their ends: (u, v)."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("end"), "u", "v", "d")
+    place = F.row_number().over(Window.partitionBy("end").orderBy("d", "u", "v"))  # cut before the shuffle
+    return cut(ends.withColumn("place", place).filter(F.col("place") <= most).select("u", "v").distinct())
+
+
 def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("su", "sv"))
-            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= far))
+            d = np.bitwise_count(a ^ b).sum(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(d)], names=["u", "v", "d"]).filter(pa.array(d <= far))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

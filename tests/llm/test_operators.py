@@ -138,6 +138,22 @@ def test_near_duplicates(spark):
     assert collections.Counter(x["root"] for x in got if x["stays"]) == collections.Counter(set(root.values()))
 
 
+def test_near_copies_that_only_the_original_joins(spark):
+    """Copies are alike to the original (Jaccard 0.84), not to each other (0.71), and it is not the least id."""
+    r = random.Random(17)
+    words = sentence(r, 300).split()
+    copies = []
+    for _ in range(1000):
+        copy, at = list(words), r.randrange(20)
+        for k in range(5):
+            copy[at + 55 * k + r.randrange(5, 40)] = f"new{r.random()}"
+        copies.append(" ".join(copy))
+    table = [*copies[:500], " ".join(words), *copies[500:]]
+    got = simhash.near_duplicates(spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(table)], SCHEMA)).collect()
+    root = {x["doc_id"]: x["root"] for x in got}
+    assert len(root) == 1001 and sum(g == root[500] for g in root.values()) >= 980
+
+
 # ---- 2, 3, 9 -------------------------------------------------------------------------------------------------------
 
 def test_line_runs_of_several_lines(spark):
