@@ -357,7 +357,8 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [sketch(shingle_hashes(t.as_py() or b"", size), words).tobytes() for t in batch.column("text").cast(pa.binary())]
+        # of the set of shingles, as the Jaccard similarity is
+        out = [sketch(np.unique(shingle_hashes(t.as_py() or b"", size)), words).tobytes() for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, pa.binary())], names=["doc_id", "text_key", "sketch"])
 
 

@@ -154,6 +154,13 @@ def test_near_copies_that_only_the_original_joins(spark):
     assert len(root) == 1001 and sum(g == root[500] for g in root.values()) >= 980
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    r = random.Random(23)
+    body, phrase = sentence(r, 300), sentence(r, 5)
+    docs = spark.createDataFrame([(i, f"{body} {' '.join([phrase] * n)}", "en", "a", 1) for i, n in enumerate((1, 40))], SCHEMA)
+    assert {x["doc_id"] for x in simhash.one_of_each(docs).collect()} == {0}
+
+
 # ---- 2, 3, 9 -------------------------------------------------------------------------------------------------------
 
 def test_line_runs_of_several_lines(spark):
