@@ -2,10 +2,11 @@
 
 A document is the sequence of its lines that have a word; blank lines are passed over and kept. Lines found only once in
 the corpus end a run. The suffixes of all sequences are ranked by prefix doubling: after round k the rank of a position
-orders, and names, the 2^k lines that start there. A block is the fewest lines from a position on that have
-``min_words`` words; positions whose blocks are equal form an interval of the suffix array whose longest common prefix
+orders, and names, the 2^k lines that start there. A block is the fewest lines from a position on, or up to one, that
+have ``min_words`` words; positions whose blocks are equal form an interval of the suffix array whose longest common prefix
 is at least that block, told by its size and two overlapping ranks of the largest power of two in it. Overlapping blocks add up to the
-maximal repeated runs. The first occurrence in order of (doc_id, text hash, line) stays; the lines of later ones go.
+maximal repeated runs: of a run's lines, those with ``min_words`` words from them to its end start a block in it, and the
+last ones lie in the block that ends with it. The first occurrence in order of (doc_id, text hash, line) stays; the lines of later ones go.
 
 Documents are keyed by (doc_id, hash of the text): rows that repeat both are one document and are cut alike; null ids
 are a key like any other and come last. A null or empty text has no lines. An empty table gives an empty result.
@@ -44,17 +45,18 @@ def _ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Positions of lines found twice or more: rank 0 and ``size``, the lines of the block that starts here (or null)."""
+    """Positions of lines found twice or more: rank 0, and ``size`` and ``back``, the lines of the blocks that start and end here (or null)."""
     every = cut(sequences(docs))
     often = cut(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"))
     ranks = _ranks(often, "h1", "h2")
     active = every.join(ranks, ["h1", "h2"]).select(*_AT, "line", "words", F.col("next").alias("rank")).dropDuplicates(_AT)
     doc = Window.partitionBy(*DOC).orderBy("pos")  # bounded by the lines of one text
     runs = (active.withColumn("run", F.col("pos") - F.row_number().over(doc))
-            .withColumn("upto", F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")))
-    block = Window.partitionBy(*DOC, "run").orderBy("upto").rangeBetween(0, min_words - 1)
-    sized = runs.withColumn("size", F.when(F.sum("words").over(block) >= min_words, F.count(F.lit(1)).over(block).cast("int")))
-    return cut(sized.select(*_AT, "line", "rank", "size"))
+            .withColumn("total", F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, 0))).withColumn("upto", F.col("total") - F.col("words")))
+    run = Window.partitionBy(*DOC, "run")
+    blocks = {"size": run.orderBy("upto").rangeBetween(0, min_words - 1), "back": run.orderBy("total").rangeBetween(1 - min_words, 0)}
+    sized = runs.withColumns({name: F.when(F.sum("words").over(block) >= min_words, F.count(F.lit(1)).over(block).cast("int")) for name, block in blocks.items()})
+    return cut(sized.select(*_AT, "line", "rank", "size", "back"))
 
 
 def _ahead(rows: DataFrame, ranks: DataFrame, by: Column) -> DataFrame:
@@ -66,22 +68,25 @@ def _ahead(rows: DataFrame, ranks: DataFrame, by: Column) -> DataFrame:
 
 def suffixes(start: DataFrame) -> list[DataFrame]:
     """The positions with their ranks of 1, 2, 4, ... lines, up to the largest power of two in any block."""
-    largest = start.agg(F.max("size")).first()[0] or 1
+    largest = start.agg(F.max(F.greatest("size", "back"))).first()[0] or 1
     levels, lines = [start], 1
     while 2 * lines <= largest:
         pairs = cut(_ahead(levels[-1], levels[-1], F.lit(lines)))
         named = _ranks(pairs, "rank", "second")
-        levels.append(cut(pairs.join(named, ["rank", "second"]).select(*_AT, "line", F.col("next").alias("rank"), "size")))
+        levels.append(cut(pairs.join(named, ["rank", "second"]).select(*_AT, F.col("next").alias("rank"))))
         lines *= 2
     return levels
 
 
 def intervals(levels: list[DataFrame]) -> DataFrame:
-    """(doc_id, text_key, pos, line, size, first, second): equal last three mean equal blocks, neighbours in the suffix array."""
-    out = None
+    """(doc_id, text_key, pos, size, first, second): equal last three mean equal blocks, neighbours in the suffix array."""
+    out, start = None, levels[0]
+    ending = start.select(*DOC, (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("size"))
+    sizes = cut(start.select(*_AT, "size").unionByName(ending).filter("size is not null").distinct())
     for level, ranks in enumerate(levels):
-        fit = ranks.filter((F.col("size") >= 1 << level) & (F.col("size") < 2 << level))
-        named = _ahead(fit, ranks, F.col("size") - (1 << level)).select(*_AT, "line", "size", F.col("rank").alias("first"), "second")
+        fit = sizes.filter((F.col("size") >= 1 << level) & (F.col("size") < 2 << level))
+        fit = _ahead(fit, ranks, F.lit(0)).withColumnRenamed("second", "first")
+        named = _ahead(fit, ranks, F.col("size") - (1 << level)).select(*_AT, "size", "first", "second")
         out = named if out is None else out.unionByName(named)
     return cut(out)
 

@@ -177,6 +177,17 @@ def test_line_runs_of_several_lines(spark):
     assert lines.dedup(docs).filter("doc_id = 5").select("n_chars").distinct().collect()[0][0] == 0
 
 
+def test_line_runs_are_found_to_their_end(spark):
+    r = random.Random(29)
+    table = []
+    for lengths in ((60, 3, 5), (30, 30, 10), (2, 49, 1, 1)):
+        run = [sentence(r, n) for n in lengths]
+        table += [[*run, "own " + sentence(r, 9)], ["more " + sentence(r, 9), *run, "after " + sentence(r, 3)]]
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "a", 1) for i, t in enumerate(table)], SCHEMA)
+    got = {x["own"]["doc_id"]: x["deleted"] for x in lines.without_copies(docs).collect()}
+    assert got == {0: None, 1: [1, 2, 3], 2: None, 3: [1, 2, 3], 4: None, 5: [1, 2, 3, 4]}
+
+
 def plain_spans(text):
     out = []
     for k, (name, (pattern, group, least)) in enumerate(secrets.KINDS.items()):
