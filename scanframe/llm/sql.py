@@ -72,3 +72,29 @@ select page_id, strlen(t)::bigint as payload_bytes, array_to_string([substr('ABC
   (((('0x' || substr(x, (5 * (k // 4) + 1)::int, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31) + 1)::int, 1) for k in range(32)], '') as payload_digest,
   case when last is null or page_id is not distinct from last then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from last then last end as refers_to from h"""
+
+
+def interactions() -> str:
+    return rf"""
+with marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [letter for letter in [
+      case when len(ws) < 200 then 'A' end, case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' end,
+      case when 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) then 'C' end,
+      case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+      case when d.doc_id > min(d.doc_id) over (partition by t) then 'E' end] if letter is not null] as fails from d left join marks using (doc_id)),
+sets as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || e.x || g.x as filter_order from letters a, letters b, letters c, letters e, letters g
+           where len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+steps as (select filter_order, step, filter_order[step] as x, [filter_order[i] for i in range(1, step)] as earlier from orders, range(1, 6) s(step)),
+rows as (select part, filter_order, step, x,
+         coalesce(sum(n) filter (not list_has_any(fails, earlier) and not list_contains(fails, x)), 0)::bigint as kept,
+         coalesce(sum(n) filter (not list_has_any(fails, earlier) and list_contains(fails, x)), 0)::bigint as removed,
+         coalesce(sum(n) filter (list_has_any(fails, earlier) and list_contains(fails, x)), 0)::bigint as redundant,
+         coalesce(sum(n) filter (fails = [x]), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (not list_has_any(fails, earlier) and list_contains(fails, x)), 0)::bigint as good_lost,
+         coalesce(sum(toxic) filter (not list_has_any(fails, earlier) and list_contains(fails, x)), 0)::bigint as toxic_lost
+         from sets, steps group by all)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, x))::bigint as shapley from rows"""

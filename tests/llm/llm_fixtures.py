@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+LABEL_SCHEMA = "doc_id long, quality int, toxic int"
+#: Twice labelled, in contradiction, without a value, without an id, without a document.
+LABELS = [*[(i, i % 2, int(i % 5 == 0)) for i in range(0, 30, 2)], (3, 1, 0), (3, 0, 1), (3, None, None), (5, None, 1), (None, 1, 1), (999, 1, 1)]
 #: Names that operators use themselves.
 CLASHES = ["kept", "base", "spans", "rank", "pos", "line", "deleted", "lines", "own", "id", "fp", "h", "c", "p", "n", "score", "rare", "media", "ids", "n_words",
            "n_tokens", "component_id", "root", "stays", "new", "text_key", "sequence_id", "feature", "__place"]

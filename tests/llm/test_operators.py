@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from llm_fixtures import CLASHES, SCHEMA, documents, rows, sentence, table_dir
+from llm_fixtures import CLASHES, LABEL_SCHEMA, LABELS, SCHEMA, documents, rows, sentence, table_dir
 
 from scanframe.llm import avi, lines, packing, pieces, pitman_yor, quality, queries, secrets, simhash, training_order, warc
 
@@ -29,6 +29,7 @@ PAGES = [(1, "http://a/x y", "<p>one</p>"), (7, "http://b", "<p>one</p>"), (3, N
 def sf_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("odd")
     table_dir(spark, path, spark.createDataFrame(PAGES, "page_id long, url string, html string"), "pages")
+    table_dir(spark, path, spark.createDataFrame(LABELS, LABEL_SCHEMA), "labels")
     return table_dir(spark, path, documents(spark))
 
 
@@ -36,6 +37,7 @@ def sf_dir(spark, tmp_path_factory):
 def empty_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([], LABEL_SCHEMA).write.parquet(f"{path}/labels.parquet")
     return table_dir(spark, path, spark.createDataFrame([], SCHEMA))
 
 
@@ -52,7 +54,7 @@ def test_empty_tables(spark, empty_dir, name):
 def test_sql(spark, sf_dir, name):
     for path in (sf_dir, SF):
         con = duckdb.connect()
-        for name_ in ("documents", "pages"):
+        for name_ in ("documents", "pages", "labels"):
             con.execute(f"create view {name_} as select * from '{path}/{name_}.parquet{'/*.parquet' if path == sf_dir else ''}'")
         got = queries.QUERIES[name](spark, path)
         assert collected(got) == sorted(con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall(), key=repr)
