@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,38 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for key in keys:
         condition = condition & left[key].eqNullSafe(right[key])
     return condition
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder while it runs: read back, the plan behind them is forgotten.
+
+    Spark carries its estimate of a join's size through a checkpoint; in rounds of joins it would grow to numbers of so
+    many digits that planning takes longer than the work. A table that was read from files starts anew.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self._written(df, f"{self.root}/{self.n}")
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of tables of this scratch folder that nothing reads any more; others are left alone."""
+        for folder in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
+            if self.root.split("://")[-1] in folder:
+                self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The operator's result, stored beside the folder, which goes."""
+        out = self._written(df, f"{self.root}-result")
+        self._delete(self.root)
+        return out

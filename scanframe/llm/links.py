@@ -1,11 +1,17 @@
-"""Connected components of a table of links, in rounds of large-star and small-star steps."""
+"""Connected components of a table of links, and links that are asked for in rounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import cut
+from scanframe.llm.common import Scratch, cut
+
+BITMAP = 1 << 24
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +28,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (u, v) whose component is larger than itself; root is its least node.
+    """(node, root) of every node of ``links`` (u, v) but the least of its component, which is the root.
 
     A node of any degree is aggregated before the shuffle and joined back by a join that Spark can split. Rounds go on
     until the links are stars; each is written to the shared folder.
@@ -35,3 +41,43 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+
+
+def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame, int], DataFrame], verified: Callable[[DataFrame], DataFrame], roots: DataFrame, scratch: Scratch, most: int = 4) -> DataFrame:
+    """``roots`` (node, root) merged along verified links until ``nearest`` finds no pair between two groups.
+
+    ``nearest(roots, after, most)`` gives (u, v, d): for every u that asks, its ``most`` first pairs in order of (d, v)
+    whose ends lie in two groups and that come after u's place in ``after`` (u, after_d, after_v). So a round holds few
+    pairs per node, a rejected pair is never asked again, and none is remembered. ``verified`` gives the linked pairs.
+    """
+    after = scratch.spark.createDataFrame([], "u long, after_d int, after_v long")
+    while True:
+        asked = scratch.store(nearest(roots, after, most))
+        if asked.isEmpty():
+            return roots
+        good = verified(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        found = scratch.store(good.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        last = after.unionByName(asked.select("u", F.col("d").alias("after_d"), F.col("v").alias("after_v")))
+        last = scratch.store(last.groupBy("u").agg(F.max(F.struct("after_d", "after_v")).alias("m")).select("u", "m.after_d", "m.after_v"))
+        merged = scratch.store(components(found))
+        scratch.drop(asked, found, after, roots)
+        roots, after, most = merged, last, 4 * most
+
+
+def may_be_in(keys: DataFrame, name: str) -> Column:
+    """Whether the key in column ``name`` may be among those of ``keys``, by a bitmap of a fixed size (2 MB) made in Spark.
+
+    It never says no to a key that is there. It spares all other rows a shuffle; what passes is joined exactly.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(BITMAP))
+    bits = keys.select(bit.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = np.zeros(BITMAP >> 6, np.int64)
+    for r in bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        place = at.to_numpy(np.int64)
+        return pd.Series((words[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(bit)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm import alignment, audit, avi, lines, packing, pieces, pitman_yor, quality, secrets, simhash, sql, training_order, warc
+from scanframe.llm import alignment, audit, avi, lines, minhash, packing, pieces, pitman_yor, quality, secrets, simhash, sql, training_order, warc
 from scanframe.llm.common import shared_dir, table
 
 
@@ -71,6 +71,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,7 +86,7 @@ def op13_run_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_gray_simhash, op2_line_runs, op3_markov_secrets, op4_feistel_shards, op5_cost_packing, op6_warc_shards, op7_avi_clips, op8_distinct_chunks, op9_adaptive_quality,
-                           op10_pitman_yor, op12_path_counts, op13_run_skipping)}
+                           op10_pitman_yor, op11_minhash_bands, op12_path_counts, op13_run_skipping)}
 ORACLES: dict[str, str] = {
     "op2_line_runs": sql.line_runs(lines.MIN_WORDS),
     "op6_warc_shards": sql.warc(),
