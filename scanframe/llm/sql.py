@@ -48,16 +48,17 @@ from q left join f on q.lang is not distinct from f.lang and q.source is not dis
 
 
 def line_runs(min_words: int) -> str:
+    """Lines of maximal stretches of ``min_words`` words or more that equal an earlier stretch line by line, by all pairs of equal lines."""
     return rf"""
 with d as (select doc_id, coalesce(text, '') as t, count(*) as copies from documents group by all),
 split as (select doc_id, t, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) - 1 as line from d),
 full_lines as (select doc_id, t, line, l, len(regexp_extract_all(l, '{_WORD}')) as words, row_number() over (partition by doc_id, t order by line) as pos
                from split where regexp_matches(l, '{_WORD}')),
-summed as (select *, sum(words) over (partition by doc_id, t order by pos) - words as upto from full_lines),
-blocks as (select doc_id, t, pos, count(*) over b as size, sum(words) over b as block_words, list(l) over b as block from summed
-           window b as (partition by doc_id, t order by upto range between current row and {min_words - 1} following)),
-later as (select doc_id, t, pos, size from (select *, row_number() over (partition by block order by doc_id, t, pos) as nth from blocks where block_words >= {min_words}) where nth > 1),
-gone as (select distinct doc_id, t, unnest(range(pos, pos + size)) as pos from later),
+placed as (select *, row_number() over (order by doc_id, t, pos) as place, dense_rank() over (order by doc_id, t) as doc from full_lines),
+equal as (select b.doc_id, b.t, b.pos, b.words, b.pos - a.pos as apart, a.doc as from_doc, b.doc from placed a join placed b on a.l = b.l and a.place < b.place),
+stretches as (select *, pos - row_number() over (partition by from_doc, doc, apart order by pos) as stretch from equal),
+runs as (select doc_id, t, min(pos) as first, max(pos) as last from stretches group by doc_id, t, from_doc, doc, apart, stretch having sum(words) >= {min_words}),
+gone as (select distinct doc_id, t, unnest(range(first, last + 1)) as pos from runs),
 flagged as (select s.doc_id, s.t, s.line, s.l, g.pos is not null as gone from split s left join full_lines f on s.doc_id is not distinct from f.doc_id and s.t = f.t and s.line = f.line
             left join gone g on f.doc_id is not distinct from g.doc_id and f.t = g.t and f.pos = g.pos),
 per as (select doc_id, t, count(*) as n_lines, count(*) filter (gone) as n_deleted, coalesce(string_agg(line::varchar, ',' order by line) filter (gone), '') as deleted_lines,
