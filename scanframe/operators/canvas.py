@@ -115,7 +115,12 @@ def fold(rows: DataFrame, keys: list[str], fields: str, start: Callable, add: Ca
 
 
 def compose(pieces: DataFrame, tile: int = 1024) -> DataFrame:
-    """Canvas tiles (sample_id, tile_col, tile_row, size, n_channels, data, covered): last write wins per pixel."""
+    """Canvas tiles (sample_id, tile_col, tile_row, size, n_channels, data, covered): last write wins per pixel.
+
+    Pieces with a ``mask`` write only where it is set. A tile gets the pieces that touch it, whose number the overlap bounds.
+    """
+    masked = "mask" in pieces.columns
+
     def start(row):
         return {"value": np.zeros((tile, tile, row.n_channels), np.uint8), "order": np.full((tile, tile), -1, np.int64)}
 
@@ -124,6 +129,8 @@ def compose(pieces: DataFrame, tile: int = 1024) -> DataFrame:
         order = np.broadcast_to(np.frombuffer(row.write_order, "<i8")[None, :], (row.h, row.w))
         at = (slice(row.py, row.py + row.h), slice(row.px, row.px + row.w))
         wins = order > state["order"][at]
+        if masked:
+            wins &= np.frombuffer(row.mask, np.uint8).reshape(row.h, row.w) > 0
         state["value"][at][wins] = part[wins]
         state["order"][at][wins] = order[wins]
 

@@ -49,6 +49,13 @@ def rotate(frames: DataFrame, keys: list[str], turns: list[str]) -> DataFrame:
     return map_frames(frames, keys, "width int, height int, n_channels int, data binary", one)
 
 
+def transpose(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames mirrored along the diagonal."""
+    def one(img, _):
+        yield img.shape[0], img.shape[1], img.shape[2], np.ascontiguousarray(img.transpose(1, 0, 2)).tobytes()
+    return map_frames(frames, keys, "width int, height int, n_channels int, data binary", one)
+
+
 def resize(frames: DataFrame, keys: list[str], scale: float) -> DataFrame:
     """Area mean for a scale below 1, bilinear above; a scale that is not positive counts as 1."""
     if scale <= 0 or scale == 1.0:

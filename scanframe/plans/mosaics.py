@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import bands, geometry, names
-from scanframe.operators import align, canvas, ordered, pairs as pair_ops, sequence
+from scanframe.operators import align, canvas, frames as frame_ops, layers as layer_ops, ordered, pairs as pair_ops, sequence
 from scanframe.session import cut_lineage
 
 SAMPLE = "sample_id"
@@ -75,6 +77,44 @@ def assemble(frames: DataFrame, pairs: DataFrame, tile: int = 1024, center_rule:
     return canvas.compose(canvas.cut_pieces(frames, placed, tile, center_rule), tile)
 
 
+@dataclass(frozen=True)
+class GridMosaic:
+    """A grid of frames put together in two levels; keys are those of the frames given."""
+    frame_pairs: DataFrame    # (sample_id, layer, pair_idx, x_overlap, y_offset, score) inside the layers
+    layer_tiles: DataFrame    # canvas tiles of every layer (sample_id, seq, tile_col, ...)
+    layer_pairs: DataFrame    # (sample_id, pair_idx, overlap, shift, score, ...) between the layers
+    placed: DataFrame         # (sample_id, seq, width, height, x_pos, y_pos) of the layers
+    tiles: DataFrame          # canvas tiles of the whole
+
+
+def grid_mosaic(frames: DataFrame, by: str = "y", search: align.Search = align.Search(), layer_search: align.Search | None = None,
+                tile: int = 1024, center_rule: bool = False, at_least: int = 2) -> GridMosaic:
+    """Rows (``by="y"``) or columns (``by="x"``) of frames (sample_id, layer, seq, pixels), then the panorama of these.
+
+    Frames of a layer are aligned along it and assembled; layers are numbered 0, 1, ... by ``layer``, those of fewer than
+    ``at_least`` frames left out, aligned by their edges and assembled again. Neither level holds a layer in one task.
+    Columns are rows of the transposed frames. Every level is stored once.
+    """
+    if by == "x":
+        frames = frame_ops.transpose(frames, [SAMPLE, "layer", "seq"])
+    count = frames.groupBy(SAMPLE, "layer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
+    numbered = cut_lineage(ordered.range_index(count.drop("n"), [SAMPLE], ["layer"], "place"))
+    rows = cut_lineage(numbered.withColumn("__row", F.monotonically_increasing_id()))  # stored: the number of a layer in this table
+    own = frames.join(rows, [SAMPLE, "layer"]).select(F.col("__row").alias(SAMPLE), "seq", "width", "height", "n_channels", "data")
+    found = cut_lineage(align.find_alignments(align.strips(own, max_overlap=search.max_overlap), search))
+    placed = cut_lineage(canvas.placements(own.select(SAMPLE, "seq", "width", "height"), found))
+    tiles = cut_lineage(canvas.compose(canvas.cut_pieces(own, placed, tile, center_rule), tile))
+    back = rows.withColumnRenamed(SAMPLE, "__sample")
+    home = lambda df: df.join(back, df[SAMPLE] == back["__row"]).drop(SAMPLE, "__row").withColumnRenamed("__sample", SAMPLE)
+    layer_tiles = cut_lineage(home(tiles).drop("layer").withColumnRenamed("place", "seq"))
+    meta = cut_lineage(home(canvas.extents(placed)).select(SAMPLE, F.col("place").alias("seq"), F.col("canvas_w").cast("int").alias("width"), F.col("canvas_h").cast("int").alias("height")))
+    layer_pairs = cut_lineage(layer_ops.align_layers(layer_tiles, meta, layer_search or search, tile))
+    stacked = cut_lineage(layer_ops.place_layers(meta, layer_pairs))
+    whole = layer_ops.compose_layers(layer_tiles, stacked, tile)
+    frame_pairs = home(found).drop("place").select(SAMPLE, "layer", "pair_idx", "x_overlap", "y_offset", "score")
+    return GridMosaic(frame_pairs, layer_tiles, layer_pairs, stacked, layer_ops.transposed_tiles(whole) if by == "x" else whole)
+
+
 def gap_report(gaps: DataFrame) -> DataFrame:
     """Every gap with its sample's gap statistics and whether it is unusual."""
     return sequence.unusual(gaps, "gap_size", [SAMPLE])

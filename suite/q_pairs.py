@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from scanframe.operators import align, canvas, frames as frame_ops, ordered, pairs as pair_ops, sequence
+from scanframe.operators import align, canvas, frames as frame_ops, layers, ordered, pairs as pair_ops, sequence
 from scanframe.plans import mosaics
 from suite import fixtures as fx
 from suite.registry import query
@@ -434,3 +436,73 @@ def overlap_ncc_relational(spark, sf):
     sums = align.overlap_sums(px, F.sequence(F.lit(3), F.lit(8)), F.sequence(F.lit(-1), F.lit(1)), 8)
     score = align.correlation_of(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     return sums.select("sample_id", "pair_idx", "overlap", "dy", "n", F.coalesce(F.round(score, 6), F.lit(-2.0)).alias("score"))
+
+
+# ---- rows of frames, and the panorama of the rows ------------------------------------------------------------------
+
+def _grid(spark, sf, by, per_layer=5):
+    """Frames of a sample as a grid: ``per_layer`` in every row (or column), in order."""
+    frames = _gray_sequence(spark, sf)
+    cells = frames.withColumns({"layer": F.floor(F.col("seq") / per_layer).cast("bigint"), "seq": F.col("seq") % per_layer})
+    return mosaics.grid_mosaic(cells, by, align.small_search(), align.small_search(), tile=16)
+
+
+def _grid_sql(by: str, per_layer: int = 5) -> dict[str, str]:
+    """The two levels on pixels; the transposed grid swaps x and y of every frame."""
+    x, y = ("x", "y") if by == "y" else ("y", "x")
+    level = lambda text, names: re.sub(r"\b(cand|ncc|coarse|bounds|grid|fine|found|px)\b", lambda m: names + m[0], text)
+    first = {"a_" + k: level(v, "a_") for k, v in ALIGN.items() if k != "px"}
+    cells = f"""SELECT sample_id * 100000 + seq // {per_layer} AS sample_id, seq % {per_layer} AS seq, frame_id, {x} AS x, {y} AS y, g
+      FROM (SELECT *, dense_rank() OVER (PARTITION BY sample_id ORDER BY frame_id) - 1 AS seq FROM fx_px)"""
+    pixels = "SELECT * FROM a_cells QUALIFY max(seq) OVER (PARTITION BY sample_id) >= 1"
+    placed = """SELECT f.sample_id, seq, sum(coalesce(8 - x_overlap, 0)) OVER (PARTITION BY f.sample_id ORDER BY seq)::BIGINT AS x_pos, coalesce(y_offset, 0)::BIGINT AS y_pos
+      FROM (SELECT DISTINCT sample_id, seq FROM a_px) f LEFT JOIN a_found a ON a.sample_id = f.sample_id AND a.pair_idx + 1 = f.seq"""
+    rows = """SELECT sample_id, x_pos + x AS x, y_pos - low + y AS y, arg_max(g, seq) AS g FROM a_placed JOIN a_px USING (sample_id, seq)
+      JOIN (SELECT sample_id, min(y_pos) AS low FROM a_placed GROUP BY 1) USING (sample_id) GROUP BY 1, 2, 3"""
+    size = """SELECT layer // 100000 AS sample_id, (row_number() OVER (PARTITION BY layer // 100000 ORDER BY layer) - 1)::BIGINT AS seq, layer, w, h
+      FROM (SELECT sample_id AS layer, max(x) + 1 AS w, max(y) + 1 AS h FROM row_px GROUP BY 1)"""
+    full = """SELECT s.sample_id, s.seq, s.w, s.h, c.x, c.y, coalesce(p.g, 0) AS g FROM sizes s JOIN (SELECT sample_id AS layer, a.x, b.y
+      FROM (SELECT sample_id, unnest(range(w)) AS x, h FROM (SELECT layer AS sample_id, w, h FROM sizes)) a, LATERAL (SELECT unnest(range(a.h)) AS y) b) c USING (layer)
+      LEFT JOIN row_px p ON p.sample_id = s.layer AND p.x = c.x AND p.y = c.y"""
+    pairs = """SELECT a.sample_id, a.seq AS pair_idx, a.h AS ha, a.w AS wa, b.w AS wb, (least(a.h, b.h) * 0.3::DOUBLE)::DOUBLE AS l0, (least(a.h, b.h) * 0.95::DOUBLE)::DOUBLE AS h0
+      FROM sizes a JOIN sizes b ON b.sample_id = a.sample_id AND b.seq = a.seq + 1"""
+    cand = """SELECT p.sample_id, p.pair_idx, ov, dy, count(*) AS n, sum(a.g)::BIGINT AS sa, sum(b.g)::BIGINT AS sb, sum(a.g * a.g)::BIGINT AS saa,
+      sum(b.g * b.g)::BIGINT AS sbb, sum(a.g * b.g)::BIGINT AS sab, any_value(p.lo0) AS lo0, any_value(p.hi0) AS hi0 FROM (SELECT sample_id, pair_idx, ha, wa, wb,
+      trunc(l0)::INTEGER AS lo0, trunc(h0)::INTEGER AS hi0 FROM row_pairs) p JOIN full_px a ON a.sample_id = p.sample_id AND a.seq = p.pair_idx,
+      LATERAL (SELECT unnest(range(1, p.hi0 + 1)) AS ov) o, (SELECT unnest(range(-3, 4)) AS dy) d JOIN full_px b
+      ON b.sample_id = p.sample_id AND b.seq = p.pair_idx + 1 AND b.y = a.y - (p.ha - ov) AND b.x = a.x - dy GROUP BY 1, 2, 3, 4 HAVING count(*) > ov * 3"""
+    second = {"b_" + k: level(v, "b_") for k, v in ALIGN.items() if k not in ("px", "cand")} | {"b_cand": cand}
+    second["b_coarse"] = """SELECT sample_id, pair_idx, ov AS co, s AS cs, lo0, hi0 FROM b_ncc WHERE dy = 0 AND ov >= lo0 AND ov < hi0 AND s IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY sample_id, pair_idx ORDER BY s DESC, ov) = 1"""
+    second["b_bounds"] = """SELECT sample_id, pair_idx, co, cs, greatest(lo0, co - 2) AS lo, least(hi0, co + 2) AS hi, CASE WHEN cs > 0.96 THEN 1 ELSE 2 END AS r FROM b_coarse"""
+    order = ["cand", "ncc", "coarse", "bounds", "grid", "fine", "found"]
+    return {"a_cells": cells, "a_px": pixels, **{f"a_{k}": first[f"a_{k}"] for k in order}, "a_placed": placed, "row_px": rows, "sizes": size, "full_px": full, "row_pairs": pairs,
+            **{f"b_{k}": second[f"b_{k}"] for k in order},
+            "stacked": """SELECT s.sample_id, s.seq, s.layer, sum(coalesce(prev_h - x_overlap, 0)) OVER w::BIGINT AS y_pos, sum(coalesce(y_offset, 0)) OVER w::BIGINT AS x_pos FROM (
+              SELECT *, lag(h) OVER (PARTITION BY sample_id ORDER BY seq) AS prev_h FROM sizes) s LEFT JOIN b_found f ON f.sample_id = s.sample_id AND f.pair_idx + 1 = s.seq
+              WINDOW w AS (PARTITION BY s.sample_id ORDER BY s.seq)"""}
+
+
+@query("layer_alignment", "C20", sql("""
+SELECT sample_id, pair_idx, x_overlap AS overlap, y_offset AS shift, round(score, 6) AS score, co::INTEGER AS coarse_overlap, round(cs, 6) AS coarse_score FROM b_found""",
+  "fx_px", **_grid_sql("y")))
+def layer_alignment(spark, sf):
+    return _grid(spark, sf, "y").layer_pairs.select("sample_id", "pair_idx", "overlap", "shift", F.round("score", 6).alias("score"), "coarse_overlap", F.round("coarse_score", 6).alias("coarse_score"))
+
+
+def _grid_tiles(by: str) -> str:
+    x, y = ("cx", "cy") if by == "y" else ("cy", "cx")
+    return sql(f"""SELECT sample_id, ({x} // 16)::INTEGER AS tile_col, ({y} // 16)::INTEGER AS tile_row, count(*) AS n_covered, sum(g)::BIGINT AS total,
+      sum(g * (({y} % 16) * 16 + {x} % 16 + 1))::BIGINT AS weighted FROM (SELECT s.sample_id, s.x_pos - low + p.x AS cx, s.y_pos + p.y AS cy, arg_max(p.g, s.seq) AS g FROM stacked s
+      JOIN (SELECT sample_id, min(x_pos) AS low FROM stacked GROUP BY 1) USING (sample_id) JOIN row_px p ON p.sample_id = s.layer GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+               "fx_px", **_grid_sql(by))
+
+
+@query("row_panorama", "C20 C14", _grid_tiles("y"))
+def row_panorama(spark, sf):
+    return layers.tile_checksums(_grid(spark, sf, "y").tiles, ["sample_id"])
+
+
+@query("column_panorama", "C20 C14", _grid_tiles("x"))
+def column_panorama(spark, sf):
+    return layers.tile_checksums(_grid(spark, sf, "x").tiles, ["sample_id"])
