@@ -39,26 +39,34 @@ class Search:
         return self.y_tiers[3]
 
 
-def strips(frames: DataFrame, axis: str = "x", rotate: int = 0, max_overlap: float = 0.95) -> DataFrame:
-    """Pairs with both gray strips, turned upright: one row per (sample_id, pair_idx).
-
-    ``frames`` carry sample_id and seq. Every frame is decoded once and sends its right strip to the pair it opens and
-    its left strip to the pair it closes, so one shuffle moves only the compared columns, two rows per key.
-    """
+def edge_strips(frames: DataFrame, axis: str = "x", rotate: int = 0, max_overlap: float = 0.95) -> DataFrame:
+    """Gray strips of every frame (sample_id, seq), turned upright: side 0 is its right one, which meets the next frame, side 1 its left one."""
     turns = geometry.rotations(axis, rotate)
 
     def one(img, key):
         g = kernels.gray(kernels.turned(img, turns))
         keep = min(int(g.shape[1] * max_overlap), g.shape[1])
-        for side, pair, part in ((0, key["seq"], g[:, g.shape[1] - keep:]), (1, key["seq"] - 1, g[:, :keep])):
-            if pair >= 0:
-                yield pair, side, part.shape[1], part.shape[0], g.shape[1], g.shape[0], np.ascontiguousarray(part).tobytes()
+        for side, part in ((0, g[:, g.shape[1] - keep:]), (1, g[:, :keep])):
+            yield side, part.shape[1], part.shape[0], g.shape[1], g.shape[0], np.ascontiguousarray(part).tobytes()
+
+    return map_frames(frames, ["sample_id", "seq"], "side int, w int, h int, full_w int, full_h int, data binary", one)
+
 
-    cut = map_frames(frames, ["sample_id", "seq"], "pair_idx long, side int, w int, h int, full_w int, full_h int, data binary",
-                     one)
+def paired(strips: DataFrame) -> DataFrame:
+    """Strips (sample_id, pair_idx, side, ...) put side by side: one row per pair that has both."""
     side = lambda s: F.any_value(F.when(F.col("side") == s, F.struct("w", "h", "full_w", "full_h", "data")), True)
     # shuffled before it is aggregated: with two rows per key there is nothing to combine, or to sort, on the map side
-    return cut.repartition(*PAIR).groupBy(*PAIR).agg(side(0).alias("a"), side(1).alias("b")).filter("a is not null and b is not null")
+    return strips.repartition(*PAIR).groupBy(*PAIR).agg(side(0).alias("a"), side(1).alias("b")).filter("a is not null and b is not null")
+
+
+def strips(frames: DataFrame, axis: str = "x", rotate: int = 0, max_overlap: float = 0.95) -> DataFrame:
+    """Pairs of consecutive frames with both gray strips: one row per (sample_id, pair_idx).
+
+    ``frames`` carry sample_id and seq. Every frame is decoded once and sends its right strip to the pair it opens and
+    its left strip to the pair it closes, so one shuffle moves only the compared columns, two rows per key.
+    """
+    cut = edge_strips(frames, axis, rotate, max_overlap).withColumn("pair_idx", (F.col("seq") - F.col("side")).cast("bigint"))
+    return paired(cut.filter("pair_idx >= 0"))
 
 
 def map_pairs(rows: DataFrame, keep: list[str], fields: str, one) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import bands, geometry, names
-from scanframe.operators import align, canvas, frames as frame_ops, layers as layer_ops, ordered, pairs as pair_ops, sequence
+from scanframe.operators import align, canvas, frames as frame_ops, layers as layer_ops, ordered, pairs as pair_ops, select, sequence
 from scanframe.session import cut_lineage
 
 SAMPLE = "sample_id"
@@ -115,6 +115,57 @@ def grid_mosaic(frames: DataFrame, by: str = "y", search: align.Search = align.S
     return GridMosaic(frame_pairs, layer_tiles, layer_pairs, stacked, layer_ops.transposed_tiles(whole) if by == "x" else whole)
 
 
+@dataclass(frozen=True)
+class TreeMosaic:
+    plan: DataFrame           # (sample_id, level, node, left, right, x_overlap, y_offset, score, action); left and right are the frames that meet
+    placed: DataFrame         # (sample_id, seq, width, height, x_pos, y_pos) of the frames that are in the picture
+    tiles: DataFrame          # its canvas tiles
+
+
+def merge_by_tree(frames: DataFrame, search: align.Search = align.Search(), min_score: float = 0.1, axis: str = "x", rotate: int = 0, tile: int = 1024,
+                  center_rule: bool = False) -> TreeMosaic:
+    """Neighbours are merged two by two, level by level, until a sample is one picture; where a merge fails its right half is left out.
+
+    What two halves have in common lies between the last frame that is left in one and the first of the other, so a merge
+    looks at the edges of these two, which are cut and stored once. A level has half the pairs of the one before; their number
+    of rounds is the logarithm of the longest sample. The final positions are running sums over the frames that are left.
+    """
+    edges = cut_lineage(align.edge_strips(frames, axis, rotate, search.max_overlap))
+    nodes = cut_lineage(frames.select(SAMPLE, F.col("seq").alias("node"), F.col("seq").alias("first"), F.col("seq").alias("last")))
+    longest, plan, level = nodes.agg(F.max("node")).first()[0] or 0, None, 0
+    while longest >> level:
+        level += 1
+        half = lambda side: F.max(F.when(F.col("node") % 2 == side, F.struct("first", "last")))
+        both = cut_lineage(nodes.groupBy(SAMPLE, F.floor(F.col("node") / 2).cast("bigint").alias("pair_idx")).agg(half(0).alias("l"), half(1).alias("r")))
+        meet = both.filter("r is not null").select(*align.PAIR, F.explode(F.array(
+            F.struct(F.col("l.last").alias("seq"), F.lit(0).alias("side")), F.struct(F.col("r.first").alias("seq"), F.lit(1).alias("side")))).alias("m"))
+        cut = edges.join(meet.select(*align.PAIR, "m.seq", "m.side"), [SAMPLE, "seq", "side"])
+        found = align.find_alignments(align.paired(cut), search).select(*align.PAIR, "x_overlap", "y_offset", "score")
+        good = F.coalesce(F.col("score") >= min_score, F.lit(False))
+        action = F.when(F.col("r").isNull(), "carry").when(good, "merge").otherwise("keep_left")
+        merged = cut_lineage(both.join(found, align.PAIR, "left").withColumn("action", action))
+        rows = merged.select(SAMPLE, F.lit(level).alias("level"), F.col("pair_idx").alias("node"), F.col("l.last").alias("left"), F.col("r.first").alias("right"),
+                             "x_overlap", "y_offset", "score", "action")
+        plan = rows if plan is None else plan.unionByName(rows)
+        nodes = merged.select(SAMPLE, F.col("pair_idx").alias("node"), F.col("l.first").alias("first"),
+                              F.when(F.col("action") == "merge", F.col("r.last")).otherwise(F.col("l.last")).alias("last"))
+    members = frames.select(SAMPLE, "seq", "width", "height")
+    if plan is None:  # samples of one frame, or none
+        plan = nodes.select(SAMPLE, *[F.lit(None).cast(k).alias(c) for c, k in (
+            ("level", "int"), ("node", "long"), ("left", "long"), ("right", "long"), ("x_overlap", "int"), ("y_offset", "int"), ("score", "double"), ("action", "string"))]).limit(0)
+    plan = cut_lineage(plan)
+    # frames that are left, numbered anew; a frame's merge says where it lies against the one before
+    left = cut_lineage(ordered.range_index(select.tree_survivors(members, SAMPLE, "seq", plan), [SAMPLE], ["seq"], "place"))
+    steps = plan.filter("action = 'merge'").select(SAMPLE, F.col("right").alias("seq"), "x_overlap", "y_offset").join(left.select(SAMPLE, "seq", "place"), [SAMPLE, "seq"])
+    turn = turned_meta(left, axis, rotate).withColumn("was", F.col("seq")).withColumn("seq", F.col("place"))
+    placed = cut_lineage(canvas.placements(turn.select(SAMPLE, "seq", "was", "width", "height"), steps.select(
+        SAMPLE, (F.col("place") - 1).alias("pair_idx"), "x_overlap", "y_offset"), accumulate_y=True))
+    turned = frames if not geometry.rotations(axis, rotate) else frame_ops.rotate(frames, [SAMPLE, "seq"], geometry.rotations(axis, rotate))
+    kept = turned.join(placed.select(SAMPLE, F.col("was").alias("seq"), F.col("seq").alias("place")), [SAMPLE, "seq"])
+    pieces = canvas.cut_pieces(kept.select(SAMPLE, F.col("place").alias("seq"), "width", "height", "n_channels", "data"), placed, tile, center_rule)
+    return TreeMosaic(plan, placed.select(SAMPLE, F.col("was").alias("seq"), "width", "height", "x_pos", "y_pos"), canvas.compose(pieces, tile))
+
+
 def gap_report(gaps: DataFrame) -> DataFrame:
     """Every gap with its sample's gap statistics and whether it is unusual."""
     return sequence.unusual(gaps, "gap_size", [SAMPLE])
@@ -202,6 +253,12 @@ def manual_score(frames: DataFrame, offsets: DataFrame, axis: str = "x", rotate:
     return scored.withColumn("band", bands.manual_band(F.col("score")))
 
 
+def turned_meta(meta: DataFrame, axis: str, rotate: int) -> DataFrame:
+    """Widths and heights as they are once frames stand upright."""
+    w, h = turned_size(F.col("width"), F.col("height"), axis, rotate)
+    return meta.withColumns({"__w": w, "__h": h}).withColumns({"width": F.col("__w"), "height": F.col("__h")}).drop("__w", "__h")
+
+
 def turned_size(width: Column, height: Column, axis: str, rotate: int) -> tuple[Column, Column]:
     _, _, w, h = geometry.rotate_point(F.lit(0), F.lit(0), width, height, geometry.rotations(axis, rotate))
     return w, h

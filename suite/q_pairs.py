@@ -506,3 +506,55 @@ def row_panorama(spark, sf):
 @query("column_panorama", "C20 C14", _grid_tiles("x"))
 def column_panorama(spark, sf):
     return layers.tile_checksums(_grid(spark, sf, "x").tiles, ["sample_id"])
+
+
+# ---- neighbours merged two by two ----------------------------------------------------------------------------------
+
+TREE_SCORE, TREE_LEVELS = 0.3, 11
+
+
+def _tree_sql() -> dict[str, str]:
+    """One set of CTEs per level, enough for 2,048 frames of a sample."""
+    out = {"px": SEQ, "n0": "SELECT DISTINCT sample_id, seq AS node, seq AS first, seq AS last FROM px"}
+    for k in range(1, TREE_LEVELS + 1):
+        named = lambda text, k=k: re.sub(r"\b(cand|ncc|coarse|bounds|grid|fine|found)\b", lambda m: f"t{k}_{m[0]}", text)
+        out[f"t{k}_pair"] = f"""SELECT l.sample_id, l.node // 2 AS pair_idx, l.last AS fa, r.first AS fb FROM n{k - 1} l JOIN n{k - 1} r
+          ON r.sample_id = l.sample_id AND r.node = l.node + 1 WHERE l.node % 2 = 0"""
+        cand = CANDIDATES.replace("SELECT a.sample_id, a.seq AS pair_idx", "SELECT p.sample_id, p.pair_idx").replace("FROM px a,", f"FROM t{k}_pair p JOIN px a ON a.sample_id = p.sample_id AND a.seq = p.fa,")
+        cand = cand.replace("b.seq = a.seq + 1", "b.seq = p.fb")
+        out |= {f"t{k}_cand": cand} | {f"t{k}_{name}": named(text) for name, text in ALIGN.items() if name not in ("px", "cand")}
+        out[f"m{k}"] = f"""SELECT l.sample_id, {k} AS level, l.node // 2 AS node, l.last AS "left", r.first AS "right", f.x_overlap, f.y_offset, f.score,
+          CASE WHEN r.node IS NULL THEN 'carry' WHEN f.score >= {TREE_SCORE} THEN 'merge' ELSE 'keep_left' END AS action, l.first AS l_first, l.last AS l_last, r.last AS r_last
+          FROM n{k - 1} l LEFT JOIN n{k - 1} r ON r.sample_id = l.sample_id AND r.node = l.node + 1
+          LEFT JOIN t{k}_found f ON f.sample_id = l.sample_id AND f.pair_idx = l.node // 2 WHERE l.node % 2 = 0"""
+        out[f"n{k}"] = f"SELECT sample_id, node, l_first AS first, CASE WHEN action = 'merge' THEN r_last ELSE l_last END AS last FROM m{k}"
+    out["merges"] = " UNION ALL ".join(f"SELECT sample_id, level, node, \"left\", \"right\", x_overlap, y_offset, score, action FROM m{k}" for k in range(1, TREE_LEVELS + 1))
+    out["lost"] = """SELECT DISTINCT sample_id, unnest(range(node * (1 << level) + (1 << (level - 1)), (node + 1) * (1 << level))) AS seq FROM merges WHERE action = 'keep_left'"""
+    out["kept"] = """SELECT p.sample_id, p.seq, sum(coalesce(8 - x_overlap, 0)) OVER w::BIGINT AS x_pos, sum(coalesce(y_offset, 0)) OVER w::BIGINT AS y_pos
+      FROM (SELECT DISTINCT sample_id, seq FROM px ANTI JOIN lost USING (sample_id, seq)) p
+      LEFT JOIN merges m ON m.sample_id = p.sample_id AND m."right" = p.seq AND m.action = 'merge' WINDOW w AS (PARTITION BY p.sample_id ORDER BY p.seq)"""
+    return out
+
+
+def _tree_of(spark, sf):
+    return mosaics.merge_by_tree(_gray_sequence(spark, sf), align.small_search(), TREE_SCORE, tile=16)
+
+
+@query("tree_merges", "C21 J17", sql("""
+SELECT sample_id, level::INTEGER AS level, node, "left", "right", x_overlap, y_offset, round(score, 6) AS score, action FROM merges WHERE action <> 'carry'""", "fx_px", **_tree_sql()))
+def tree_merges(spark, sf):
+    return _tree_of(spark, sf).plan.filter("action <> 'carry'").withColumn("score", F.round("score", 6))
+
+
+@query("tree_positions", "C21 W8", sql("SELECT sample_id, seq, x_pos, y_pos FROM kept", "fx_px", **_tree_sql()))
+def tree_positions(spark, sf):
+    return _tree_of(spark, sf).placed.select("sample_id", "seq", "x_pos", "y_pos")
+
+
+@query("tree_mosaic", "C21 C14", sql("""
+SELECT sample_id, (cx // 16)::INTEGER AS tile_col, (cy // 16)::INTEGER AS tile_row, count(*) AS n_covered, sum(g)::BIGINT AS total,
+  sum(g * ((cy % 16) * 16 + cx % 16 + 1))::BIGINT AS weighted FROM (SELECT k.sample_id, k.x_pos + p.x AS cx, k.y_pos - low + p.y AS cy, arg_max(p.g, k.seq) AS g FROM kept k
+  JOIN (SELECT sample_id, min(y_pos) AS low FROM kept GROUP BY 1) USING (sample_id) JOIN px p USING (sample_id, seq) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+  "fx_px", **_tree_sql()))
+def tree_mosaic(spark, sf):
+    return layers.tile_checksums(_tree_of(spark, sf).tiles, ["sample_id"])
