@@ -94,11 +94,13 @@ class Marked:
 
 @functools.lru_cache(2)
 def _side(kind: type, path: str) -> tuple:
-    """The tokenizer, its tables by id (bytes, length, decimal id), once per worker process."""
+    """The tokenizer, its tables by id (bytes, length, decimal id with what follows it), once per worker process."""
     tokenizer = kind(path)
     size = max(tokenizer.bytes) + 1
     table = [tokenizer.bytes.get(i, b"") for i in range(size)]
-    return tokenizer, table, np.array([len(b) for b in table], np.int64), [str(i) for i in range(size)]
+    end = "|" if kind is ByteLevel else ";"
+    names = np.array([[f"{i}{sign}" for i in range(size)] for sign in (end, ",")], object)
+    return tokenizer, table, np.array([len(b) for b in table], np.int64), names
 
 
 # ---- one text ----------------------------------------------------------------------------------------------------------
@@ -110,48 +112,46 @@ def runs(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]
     be as long on both sides, then its ends differ before the last.
     """
     i = j = 0
-    out = []
-    while i < len(ends_a):
-        start, step = i, 1
-        shift = j - i
-        while ends_a[i:i + step] == ends_b[i + shift:i + shift + step]:
-            i = min(i + step, len(ends_a))
-            if i == len(ends_a):
-                break
-            step *= 2
-        while step > 1 and i < len(ends_a):  # the stretch that differs: down to its first difference
-            step //= 2
-            if ends_a[i:i + step] == ends_b[i + shift:i + shift + step]:
+    n, out = len(ends_a), []
+    while i < n:
+        a, b = i, j
+        if ends_a[i] == ends_b[j]:
+            shift, step = j - i, 2
+            i += 1
+            while ends_a[i:i + step] == ends_b[i + shift:i + shift + step]:
                 i += step
-        if i > start:
-            out.append((start, i, j, i + shift))
-            j = i + shift
-        if i == len(ends_a):
-            break
-        x, y, a, b = ends_a[i], ends_b[j], i, j
-        while x != y:
-            if x < y:
-                i += 1
-                x = ends_a[i]
+                if i >= n:
+                    i = n
+                    break
+                step *= 2
             else:
-                j += 1
-                y = ends_b[j]
-        i, j = i + 1, j + 1
+                while step > 1:  # the stretch that differs: down to its first difference
+                    step //= 2
+                    if ends_a[i:i + step] == ends_b[i + shift:i + shift + step]:
+                        i += step
+            j = i + shift
+        else:
+            x, y = ends_a[i], ends_b[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = ends_a[i]
+                else:
+                    j += 1
+                    y = ends_b[j]
+            i, j = i + 1, j + 1
         out.append((a, i, b, j))
     return out
 
 
-def grouped(found: list[tuple[int, int, int, int]], ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grouped(found: list[tuple[int, int, int, int]], ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the groups on both sides."""
-    cuts_a, cuts_b = [], []
-    for a, to_a, b, to_b in found:
-        if to_a - a == to_b - b and ends_a[a] == ends_b[b]:  # a run: an irregular group's first ends differ
-            cuts_a.extend(range(a, to_a))
-            cuts_b.extend(range(b, to_b))
-        else:
-            cuts_a.append(a)
-            cuts_b.append(b)
-    start_a, start_b = np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
+    a, to_a, b, to_b = np.array(found, np.int64).T
+    # an irregular group's first ends differ; a run is as many groups as it has tokens on a side
+    run = (to_a - a == to_b - b) & (ends_a[a] == ends_b[b])
+    count = np.where(run, to_a - a, 1)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start_a, start_b = np.repeat(a, count) + nth, np.repeat(b, count) + nth
     return start_a, np.diff(start_a, append=len(ends_a)), start_b, np.diff(start_b, append=len(ends_b))
 
 
@@ -176,12 +176,15 @@ def links(ids_a: np.ndarray, ids_b: np.ndarray, groups: tuple, width: int) -> tu
     return codes[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def written(groups: tuple, ids_a: list[int], ids_b: list[int], names_a: list[str], names_b: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    a, b = [names_a[i] for i in ids_a], [names_b[i] for i in ids_b]
-    start_a, n_a, start_b, n_b = (x.tolist() for x in groups)
-    return ";".join([f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i:i + m])}|{','.join(b[j:j + n])}"
-                     for i, m, j, n in zip(start_a, n_a, start_b, n_b, strict=True)])
+def written(groups: tuple, ids_a: np.ndarray, ids_b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``; names hold every id with the sign that follows it, at the end of a side and inside one."""
+    start_a, n_a, start_b, n_b = groups
+    out = np.empty(len(ids_a) + len(ids_b), object)
+    for ids, names, start, n, before in ((ids_a, names_a, start_a, n_a, start_b), (ids_b, names_b, start_b, n_b, start_a + n_a)):
+        inside = np.ones(len(ids), np.int64)
+        inside[start + n - 1] = 0
+        out[np.arange(len(ids)) + np.repeat(before, n)] = names[inside, ids]
+    return "".join(out.tolist())[:-1]
 
 
 def aligned(text: str, path_a: str, path_b: str) -> tuple | None:
@@ -194,10 +197,10 @@ def aligned(text: str, path_a: str, path_b: str) -> tuple | None:
         return None
     num_a, num_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
     # a token of no bytes would end where the one before it does; neither kind of vocabulary has any
-    ends_a, ends_b = np.cumsum(lengths_a[num_a]).tolist(), np.cumsum(lengths_b[num_b]).tolist()
-    groups = grouped(runs(ends_a, ends_b), ends_a, ends_b)
+    ends_a, ends_b = np.cumsum(lengths_a[num_a]), np.cumsum(lengths_b[num_b])
+    groups = grouped(runs(ends_a.tolist(), ends_b.tolist()), ends_a, ends_b)
     codes, times = links(num_a, num_b, groups, len(lengths_b))
-    digest = hashlib.sha256(written(groups, ids_a, ids_b, names_a, names_b).encode()).hexdigest()
+    digest = hashlib.sha256(written(groups, num_a, num_b, names_a, names_b).encode()).hexdigest()
     return len(ids_a), len(ids_b), len(groups[0]), int(times.sum()), digest, codes, times
 
 

@@ -84,7 +84,7 @@ def test_runs_against_common_ends():
         if r.random() < 0.5:  # long equal stretches with single differences
             b = sorted(set(a) ^ set(r.sample(range(1, last + 1), min(last, 2))))
             b = sorted({*b, last})
-        groups = alignment.grouped(alignment.runs(a, b), a, b)
+        groups = alignment.grouped(alignment.runs(a, b), alignment.np.array(a), alignment.np.array(b))
         got = [(int(i + m), int(j + n)) for i, m, j, n in zip(*groups, strict=True)]
         assert got == [(a.index(e) + 1, b.index(e) + 1) for e in sorted(set(a) & set(b))]
 
