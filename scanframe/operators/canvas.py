@@ -262,56 +262,158 @@ def stacked_pixels(tiles: DataFrame, stack: str, tile: int) -> DataFrame:
             .mapInPandas(run, f"stack {kind}, y int, x int, v int, source_seq long").withColumnRenamed("stack", stack))
 
 
+#: Source positions are rounded to 1 / FRACTION of a pixel; weights are whole numbers that add up to FRACTION squared.
+FRACTION = 32
+
+
+def adjugate(m: np.ndarray) -> np.ndarray:
+    """Inverse of a 3x3 map up to a factor, which a projective map does not need."""
+    a, b, c, d, e, f, g, h, i = m.ravel()
+    return np.array([[e * i - f * h, c * h - b * i, b * f - c * e], [f * g - d * i, a * i - c * g, c * d - a * f], [d * h - e * g, b * g - a * h, a * e - b * d]])
+
+
+def _shifted(key: dict) -> np.ndarray:
+    """The map onto the canvas: the frame's own, moved by tx and ty."""
+    m, tx, ty = np.asarray(key["matrix"], float).reshape(3, 3), float(key["tx"]), float(key["ty"])
+    return np.array([m[0] + tx * m[2], m[1] + ty * m[2], m[2]])
+
+
+def warp_sums(img: np.ndarray, back: np.ndarray, y0: int, y1: int, x0: int, x1: int, left: int = 0, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For the canvas pixels [y0, y1) x [x0, x1), the weighted sum of the pixels of ``img`` that their source positions lie between, and the weight.
+
+    ``img`` may be a part of a frame that starts at (left, top): what several parts give adds up.
+    """
+    rows, cols = img.shape[:2]
+    yy, xx = np.mgrid[y0:y1, x0:x1].astype(float)
+    w = back[2, 0] * xx + back[2, 1] * yy + back[2, 2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sx = np.floor((back[0, 0] * xx + back[0, 1] * yy + back[0, 2]) / w * FRACTION + 0.5)
+        sy = np.floor((back[1, 0] * xx + back[1, 1] * yy + back[1, 2]) / w * FRACTION + 0.5)
+    near = (sx > (left - 1) * FRACTION) & (sx < (left + cols) * FRACTION) & (sy > (top - 1) * FRACTION) & (sy < (top + rows) * FRACTION)
+    sx, sy = (np.where(near, v, 0).astype(np.int64) for v in (sx, sy))
+    ix, iy, ax, ay = sx // FRACTION, sy // FRACTION, sx % FRACTION, sy % FRACTION
+    total, weight = np.zeros((*near.shape, img.shape[2]), np.int64), np.zeros(near.shape, np.int64)
+    for dy, dx, part in ((0, 0, (FRACTION - ay) * (FRACTION - ax)), (0, 1, (FRACTION - ay) * ax), (1, 0, ay * (FRACTION - ax)), (1, 1, ay * ax)):
+        x, y = ix + dx - left, iy + dy - top
+        inside = near & (x >= 0) & (x < cols) & (y >= 0) & (y < rows)
+        part = np.where(inside, part, 0)
+        total += part[:, :, None] * img[np.where(inside, y, 0), np.where(inside, x, 0)]
+        weight += part
+    return total, weight
+
+
+def _warped(total: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values, 0 outside the frame, and which pixels have at least half their weight inside."""
+    unit = FRACTION * FRACTION
+    return ((total + unit // 2) // unit).astype(np.uint8), (2 * weight >= unit).astype(np.uint8)
+
+
+def _reach(matrix: np.ndarray, width: int, height: int, canvas_w: int, canvas_h: int) -> tuple[int, int, int, int]:
+    """Canvas columns and rows where a pixel of the frame can have weight: its corners, one pixel further out, span them."""
+    edge = matrix @ np.array([[-1, width, width, -1], [-1, -1, height, height], [1, 1, 1, 1]], float)
+    ex, ey = edge[0] / edge[2], edge[1] / edge[2]
+    return (max(0, int(np.floor(ex.min()))), min(canvas_w, int(np.ceil(ex.max())) + 1), max(0, int(np.floor(ey.min()))), min(canvas_h, int(np.ceil(ey.max())) + 1))
+
+
+def _located(frames: DataFrame, homographies: DataFrame, corners: DataFrame) -> DataFrame:
+    return (frames.join(homographies.select("sample_id", "seq", F.col("h").alias("matrix")), ["sample_id", "seq"])
+            .join(corners.select("sample_id", "tx", "ty", "canvas_w", "canvas_h"), "sample_id"))
+
+
 def warp_pieces(frames: DataFrame, homographies: DataFrame, tile: int = 1024) -> DataFrame:
     """Frames (sample_id, seq) mapped by their 3x3 matrix onto the canvas, cut into canvas tiles with a coverage mask.
 
-    Values are interpolated linearly with 0 outside; a pixel counts as covered where at least half its weight is inside.
-    The canvas is shifted only by the part of its extent that is negative.
+    Values are interpolated linearly, in whole numbers, with 0 outside; a pixel counts as covered where at least half its
+    weight is inside. The canvas is shifted only by the part of its extent that is negative.
     """
-    corners = warp_extents(frames, homographies)
-    located = (frames.join(homographies.select("sample_id", "seq", F.col("h").alias("matrix")), ["sample_id", "seq"])
-               .join(corners.select("sample_id", "tx", "ty", "canvas_w", "canvas_h"), "sample_id"))
+    located = _located(frames, homographies, warp_extents(frames, homographies))
     keys = ["sample_id", "seq", "matrix", "tx", "ty", "canvas_w", "canvas_h"]
 
     def one(img, key):
-        rows, cols = img.shape[:2]
-        shift = np.array([[1, 0, key["tx"]], [0, 1, key["ty"]], [0, 0, 1]], float)
-        matrix = shift @ np.asarray(key["matrix"], float).reshape(3, 3)
-        back = np.linalg.inv(matrix)
-        edge = matrix @ np.array([[0, cols, cols, 0], [0, 0, rows, rows], [1, 1, 1, 1]], float)
-        ex, ey = edge[0] / edge[2], edge[1] / edge[2]
-        x_lo, x_hi = max(0, int(np.floor(ex.min()))), min(int(key["canvas_w"]), int(np.ceil(ex.max())) + 1)
-        y_lo, y_hi = max(0, int(np.floor(ey.min()))), min(int(key["canvas_h"]), int(np.ceil(ey.max())) + 1)
-        padded = np.pad(img.astype(float), ((1, 1), (1, 1), (0, 0)))
-        inside = np.pad(np.ones((rows, cols)), 1)
+        matrix = _shifted(key)
+        back = adjugate(matrix)
+        x_lo, x_hi, y_lo, y_hi = _reach(matrix, img.shape[1], img.shape[0], int(key["canvas_w"]), int(key["canvas_h"]))
         for row in range(y_lo // tile, (max(y_hi, y_lo + 1) - 1) // tile + 1):
             for col in range(x_lo // tile, (max(x_hi, x_lo + 1) - 1) // tile + 1):
                 y0, y1 = max(y_lo, row * tile), min(y_hi, (row + 1) * tile)
                 x0, x1 = max(x_lo, col * tile), min(x_hi, (col + 1) * tile)
                 if y1 <= y0 or x1 <= x0:
                     continue
-                yy, xx = np.mgrid[y0:y1, x0:x1].astype(float)
-                w = back[2, 0] * xx + back[2, 1] * yy + back[2, 2]
-                sx = np.round((back[0, 0] * xx + back[0, 1] * yy + back[0, 2]) / w, 9)
-                sy = np.round((back[1, 0] * xx + back[1, 1] * yy + back[1, 2]) / w, 9)
-                fx, fy = np.clip(np.floor(sx), -1, cols - 1), np.clip(np.floor(sy), -1, rows - 1)
-                ax, ay = sx - fx, sy - fy
-                near = (ax >= 0) & (ax <= 1) & (ay >= 0) & (ay <= 1)
-                ix, iy = fx.astype(int) + 1, fy.astype(int) + 1
-                weights = ((1 - ay) * (1 - ax), (1 - ay) * ax, ay * (1 - ax), ay * ax)
-                spots = ((iy, ix), (iy, ix + 1), (iy + 1, ix), (iy + 1, ix + 1))
-                value = sum(wt[:, :, None] * padded[s] for wt, s in zip(weights, spots))
-                mask = near & (sum(wt * inside[s] for wt, s in zip(weights, spots)) >= 0.5)
-                if not mask.any():
-                    continue
-                data = np.rint(value).clip(0, 255).astype(np.uint8)
-                yield (col, row, x0 - col * tile, y0 - row * tile, x1 - x0, y1 - y0, img.shape[2], data.tobytes(),
-                       mask.astype(np.uint8).tobytes())
+                data, mask = _warped(*warp_sums(img, back, y0, y1, x0, x1))
+                if mask.any():
+                    yield col, row, x0 - col * tile, y0 - row * tile, x1 - x0, y1 - y0, img.shape[2], data.tobytes(), mask.tobytes()
 
     return map_frames(located, keys, "tile_col int, tile_row int, px int, py int, w int, h int, n_channels int, data binary, "
                                      "mask binary", one).drop(*keys[2:])
 
 
+def warp_stored_tiles(stored: DataFrame, sizes: DataFrame, homographies: DataFrame, source: int, tile: int = 1024) -> DataFrame:
+    """``warp_pieces`` for frames too large for one task, from their storage tiles (sample_id, seq, tile_col, tile_row, data, ...) of side ``source``.
+
+    Every canvas tile that a frame reaches is mapped back onto the frame; the storage tiles it meets there are joined by
+    equality. Each pair gives weighted sums, which add up to the frame's piece of the canvas tile. ``sizes`` has a row
+    (sample_id, seq, width, height) per frame.
+    """
+    located = _located(sizes.select("sample_id", "seq", "width", "height"), homographies, warp_extents(sizes, homographies))
+    key = "sample_id", "seq"
+    kind = ", ".join(f"{k} {stored.schema[k].dataType.simpleString()}" for k in key)
+    asks = "tile_col int, tile_row int, to_col int, to_row int, px int, py int, w int, h int, back array<double>"
+
+    def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                matrix = _shifted(r._asdict())
+                back = adjugate(matrix)
+                x_lo, x_hi, y_lo, y_hi = _reach(matrix, r.width, r.height, int(r.canvas_w), int(r.canvas_h))
+                for row in range(y_lo // tile, (max(y_hi, y_lo + 1) - 1) // tile + 1):
+                    for col in range(x_lo // tile, (max(x_hi, x_lo + 1) - 1) // tile + 1):
+                        y0, y1 = max(y_lo, row * tile), min(y_hi, (row + 1) * tile)
+                        x0, x1 = max(x_lo, col * tile), min(x_hi, (col + 1) * tile)
+                        if y1 <= y0 or x1 <= x0:
+                            continue
+                        at = back @ np.array([[x0, x1, x1, x0], [y0, y0, y1, y1], [1, 1, 1, 1]], float)
+                        span = [0, r.width - 1, 0, r.height - 1]
+                        if (at[2] > 0).all() or (at[2] < 0).all():  # else the tile holds the map's horizon: the whole frame is asked
+                            sx, sy = at[0] / at[2], at[1] / at[2]
+                            span = [max(0, int(np.floor(sx.min())) - 1), min(r.width - 1, int(np.ceil(sx.max())) + 1),
+                                    max(0, int(np.floor(sy.min())) - 1), min(r.height - 1, int(np.ceil(sy.max())) + 1)]
+                        out.extend((r.sample_id, r.seq, c, q, col, row, x0 - col * tile, y0 - row * tile, x1 - x0, y1 - y0, back.ravel().tolist())
+                                   for c in range(span[0] // source, span[1] // source + 1) for q in range(span[2] // source, span[3] // source + 1))
+            yield pd.DataFrame(out, columns=[*key, *[f.split()[0] for f in asks.split(", ")]])
+
+    asked = located.mapInPandas(meets, f"{kind}, {asks}")
+    parts = asked.join(stored.select(*key, "tile_col", "tile_row", F.col("w").alias("sw"), F.col("h").alias("sh"), "n_channels", "data"), [*key, "tile_col", "tile_row"])
+    fields = "to_col int, to_row int, px int, py int, w int, h int, n_channels int, sums binary, weights binary"
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                img = np.frombuffer(r.data, np.uint8).reshape(r.sh, r.sw, r.n_channels)
+                y, x = r.to_row * tile + r.py, r.to_col * tile + r.px
+                total, weight = warp_sums(img, np.asarray(r.back, float).reshape(3, 3), y, y + r.h, x, x + r.w, r.tile_col * source, r.tile_row * source)
+                if weight.any():
+                    out.append((r.sample_id, r.seq, r.to_col, r.to_row, r.px, r.py, r.w, r.h, r.n_channels, total.astype("<i4").tobytes(), weight.astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=[*key, *[f.split()[0] for f in fields.split(", ")]])
+
+    def start(row):
+        return {"row": row, "sum": np.zeros((row.h, row.w, row.n_channels), np.int64), "weight": np.zeros((row.h, row.w), np.int64)}
+
+    def add(state, row):
+        state["sum"] += np.frombuffer(row.sums, "<i4").reshape(row.h, row.w, row.n_channels)
+        state["weight"] += np.frombuffer(row.weights, "<i4").reshape(row.h, row.w)
+
+    def finish(state):
+        data, mask = _warped(state["sum"], state["weight"])
+        r = state["row"]
+        return r.px, r.py, r.w, r.h, r.n_channels, data.tobytes(), mask.tobytes()
+
+    pieces = fold(parts.mapInPandas(sums, f"{kind}, {fields}").withColumnsRenamed({"to_col": "tile_col", "to_row": "tile_row"}), [*key, "tile_col", "tile_row"],
+                  "px int, py int, w int, h int, n_channels int, data binary, mask binary", start, add, finish)
+    return pieces
+
+
 def warp_extents(frames: DataFrame, homographies: DataFrame) -> DataFrame:
     """Canvas of the mapped corners per sample: size and the shift that makes coordinates positive."""
     meta = frames.select("sample_id", "seq", "width", "height").join(homographies, ["sample_id", "seq"])

@@ -29,7 +29,14 @@ def image_maps(descriptors: DataFrame, images: DataFrame, ratio: float = 0.75, m
 def warp_blend(frames: DataFrame, maps: DataFrame, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Blended canvas tiles and, per sample, the box of covered pixels the picture is cropped to."""
     maps = cut_lineage(maps)            # one small row per image, needed for the canvas size and for the pixels
-    tiles = canvas.blend(canvas.warp_pieces(frames, maps, tile), tile)
+    tiles = cut_lineage(canvas.blend(canvas.warp_pieces(frames, maps, tile), tile))  # read for the picture and for its box
+    return tiles, canvas.covered_box(tiles)
+
+
+def warp_blend_tiles(stored: DataFrame, sizes: DataFrame, maps: DataFrame, source: int, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """``warp_blend`` for frames that lie in storage tiles of side ``source`` (``frames.cut_tiles``): no task holds a frame."""
+    maps = cut_lineage(maps)
+    tiles = cut_lineage(canvas.blend(canvas.warp_stored_tiles(stored, sizes, maps, source, tile), tile))
     return tiles, canvas.covered_box(tiles)
 
 

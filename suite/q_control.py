@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanframe.operators import canvas, control as ctl, match, ordered
+from scanframe.operators import canvas, control as ctl, frames as frame_ops, layers, match, ordered
 from scanframe.plans import control, panorama
 from scanframe.sources import logs
 from scanframe.streaming import twins
@@ -340,3 +340,39 @@ def warp_blend(spark, sf):
     frames = _gray_sequence(spark, sf)
     tiles, box = panorama.warp_blend(frames, match.global_homographies(_shifts(frames)), tile=16)
     return panorama.crop(canvas.canvas_pixels(tiles, ["sample_id"]), box)
+
+
+#: base, modulus, offset, divisor of the nine numbers of a frame's map: base + (frame_id % modulus - offset) / divisor.
+PROJECTIVE = [(1, 7, 3, 50), (0, 5, 2, 40), (0, 11, 5, 2), (0, 3, 1, 30), (1, 9, 4, 60), (0, 13, 6, 3), (0, 3, 1, 200), (0, 5, 2, 300), (1, 1, 0, 1)]
+
+
+def _projective(frames):
+    """A map with all eight degrees of freedom for every frame."""
+    return frames.select("sample_id", "seq", F.array(*[F.lit(float(b)) + (F.col("frame_id") % m - o).cast("double") / d for b, m, o, d in PROJECTIVE]).alias("h"))
+
+
+_M = "SELECT DISTINCT sample_id, frame_id, seq, " + ", ".join(f"{b}::DOUBLE + (frame_id % {m} - {o})::DOUBLE / {d} AS m{i}" for i, (b, m, o, d) in enumerate(PROJECTIVE)) + " FROM px"
+_BOX = """SELECT sample_id, floor(round(min(cx), 9))::INTEGER AS x_min, floor(round(min(cy), 9))::INTEGER AS y_min, ceil(round(max(cx), 9))::INTEGER AS x_max, ceil(round(max(cy), 9))::INTEGER AS y_max
+  FROM (SELECT sample_id, (m0 * x + m1 * y + m2) / (m6 * x + m7 * y + m8) AS cx, (m3 * x + m4 * y + m5) / (m6 * x + m7 * y + m8) AS cy
+    FROM maps, (SELECT unnest([0.0::DOUBLE, 8, 8, 0]) AS x, unnest([0.0::DOUBLE, 0, 8, 8]) AS y)) GROUP BY 1"""
+_CANVAS = """SELECT m.sample_id, frame_id, seq, x_max - x_min AS cw, y_max - y_min AS ch, m0 + tx * m6 AS a, m1 + tx * m7 AS b, m2 + tx * m8 AS c, m3 + ty * m6 AS d, m4 + ty * m7 AS e,
+  m5 + ty * m8 AS f, m6 AS g, m7 AS h, m8 AS i FROM maps m JOIN (SELECT *, greatest(0, -x_min)::DOUBLE AS tx, greatest(0, -y_min)::DOUBLE AS ty FROM box) USING (sample_id)"""
+_BACK = """SELECT sample_id, frame_id, cw, ch, e * i - f * h AS b0, c * h - b * i AS b1, b * f - c * e AS b2, f * g - d * i AS b3, a * i - c * g AS b4, c * d - a * f AS b5,
+  d * h - e * g AS b6, b * g - a * h AS b7, a * e - b * d AS b8 FROM onto"""
+_SOURCE = """SELECT *, (px // 32)::BIGINT AS ix, (py // 32)::BIGINT AS iy, px % 32 AS ax, py % 32 AS ay FROM (SELECT sample_id, frame_id, x, y,
+  floor((b0 * x + b1 * y + b2) / (b6 * x + b7 * y + b8) * 32 + 0.5) AS fx, floor((b3 * x + b4 * y + b5) / (b6 * x + b7 * y + b8) * 32 + 0.5) AS fy, (fx + 32000)::BIGINT AS px, (fy + 32000)::BIGINT AS py
+  FROM (SELECT *, unnest(range(cw)) AS x FROM back), LATERAL (SELECT unnest(range(ch)) AS y) WHERE fx > -32 AND fx < 256 AND fy > -32 AND fy < 256)"""
+_WARPED = """SELECT s.sample_id, s.frame_id, s.x, s.y, (sum(wt * g) + 512)::BIGINT // 1024 AS v FROM (SELECT *, unnest([0, 0, 1, 1]) AS oy, unnest([0, 1, 0, 1]) AS ox,
+  unnest([(32 - ay) * (32 - ax), (32 - ay) * ax, ay * (32 - ax), ay * ax]) AS wt FROM source) s JOIN fx_px p ON p.frame_id = s.frame_id AND p.x = s.ix - 1000 + ox AND p.y = s.iy - 1000 + oy
+  GROUP BY 1, 2, 3, 4 HAVING 2 * sum(wt) >= 1024"""
+
+
+@query("warp_projective", "C26 J12 A30 A31", sql("""
+SELECT sample_id, (x // 16)::INTEGER AS tile_col, (y // 16)::INTEGER AS tile_row, count(*) AS n_covered, sum(v)::BIGINT AS total, sum(v * ((y % 16) * 16 + x % 16 + 1))::BIGINT AS weighted
+FROM (SELECT sample_id, x, y, (sum(v) // count(*))::BIGINT AS v FROM warped GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+  "fx_px", px=SEQ, maps=_M, box=_BOX, onto=_CANVAS, back=_BACK, source=_SOURCE, warped=_WARPED))
+def warp_projective(spark, sf):
+    frames = _gray_sequence(spark, sf)
+    stored = frame_ops.cut_tiles(frames, ["sample_id", "seq"], 5)
+    tiles, _ = panorama.warp_blend_tiles(stored, frames.select("sample_id", "seq", "width", "height"), _projective(frames), 5, tile=16)
+    return layers.tile_checksums(tiles, ["sample_id"])
