@@ -188,30 +188,6 @@ def local_components(mask: np.ndarray) -> np.ndarray:
         label = jumped
 
 
-def solve_dlt(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """3x3 projective map src -> dst by the direct linear transform; None for degenerate points."""
-    def normaliser(p: np.ndarray) -> np.ndarray | None:
-        centre = p.mean(0)
-        spread = np.sqrt(((p - centre) ** 2).sum(1)).mean()
-        if not spread > 1e-9:
-            return None
-        s = 2 ** 0.5 / spread
-        return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
-
-    t_src, t_dst = normaliser(src), normaliser(dst)
-    if t_src is None or t_dst is None:
-        return None
-    to_h = lambda p: np.column_stack([p, np.ones(len(p))])
-    a, b = to_h(src) @ t_src.T, to_h(dst) @ t_dst.T
-    zero = np.zeros_like(a)
-    rows = np.concatenate([np.hstack([-a, zero, b[:, :1] * a]), np.hstack([zero, -a, b[:, 1:2] * a])])
-    _, values, vt = np.linalg.svd(rows, full_matrices=True)
-    if len(values) < 8 or values[7] < 1e-9 * max(values[0], 1e-30):
-        return None
-    h = np.linalg.inv(t_dst) @ vt[-1].reshape(3, 3) @ t_src
-    return None if abs(h[2, 2]) < 1e-12 or not np.isfinite(h).all() else h / h[2, 2]
-
-
 def hsv(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """8-bit HSV planes (hue 0..179) of whole-number channels."""
     v = np.maximum(np.maximum(r, g), b)

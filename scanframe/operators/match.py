@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanframe.functions import kernels
 from scanframe.session import cut_lineage
 
 PAIR = ["sample_id", "pair_idx"]
@@ -92,38 +91,65 @@ def _reprojection(h: Column, x: Column, y: Column, u: Column, v: Column) -> Colu
     return dx * dx + dy * dy
 
 
-def _hypotheses(points: DataFrame, counts: DataFrame, trials: int) -> DataFrame:
-    """Candidate maps per pair, one from each of ``trials`` draws of four matches.
+def _number(*parts: Column) -> Column:
+    """A whole number from the MD5 of some values: draws that any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
+
+
+def _basis(m: Column, x: str, y: str) -> tuple[list[Column], Column]:
+    """The 3x3 matrix (rows) that takes the unit triangle and the point (1, 1, 1) to four points; and the least area of any three."""
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = ((m[i][x], m[i][y]) for i in range(4))
+    area = lambda px, py, qx, qy, rx, ry: px * (qy - ry) + qx * (ry - py) + rx * (py - qy)
+    first, second, third = area(dx, dy, bx, by, cx, cy), area(ax, ay, dx, dy, cx, cy), area(ax, ay, bx, by, dx, dy)
+    least = F.least(F.abs(first), F.abs(second), F.abs(third), F.abs(area(ax, ay, bx, by, cx, cy)))
+    return [first * ax, second * bx, third * cx, first * ay, second * by, third * cy, first, second, third], least
+
+
+def exact_map(fours: DataFrame) -> DataFrame:
+    """Adds ``h``, the projective map that takes the second points of four matches (``m``: array of x1, y1, x2, y2) exactly to the first.
+
+    Both quadruples are images of one basis, so the map is one basis matrix times the adjugate of the other: no equations
+    are solved. Rows are left out where three points lie on a line.
+    """
+    to, wide = _basis(F.col("m"), "x1", "y1")
+    of, narrow = _basis(F.col("m"), "x2", "y2")
+    based = fours.withColumns({"__to": F.array(*to), "__of": F.array(*of), "__least": F.least(wide, narrow)}).filter("__least > 1e-6")
+    t, o = (lambda i: F.col("__to")[i]), (lambda i: F.col("__of")[i])
+    minor = lambda i, j, k, n: o(i) * o(j) - o(k) * o(n)
+    adjugate = [minor(4, 8, 5, 7), minor(2, 7, 1, 8), minor(1, 5, 2, 4), minor(5, 6, 3, 8), minor(0, 8, 2, 6), minor(2, 3, 0, 5), minor(3, 7, 4, 6), minor(1, 6, 0, 7), minor(0, 4, 1, 3)]
+    turned = based.withColumn("__adj", F.array(*adjugate))
+    g = lambda i: F.col("__adj")[i]
+    cells = [t(3 * i) * g(j) + t(3 * i + 1) * g(3 + j) + t(3 * i + 2) * g(6 + j) for i in range(3) for j in range(3)]
+    made = turned.withColumn("__h", F.array(*cells)).filter("abs(__h[8]) > 0")
+    return made.withColumn("h", F.transform("__h", lambda v: v / F.col("__h")[8])).drop("__to", "__of", "__least", "__adj", "__h")
+
+
+def hypotheses(points: DataFrame, trials: int) -> DataFrame:
+    """Candidate maps (sample_id, pair_idx, number, h), one from each of ``trials`` draws of four matches.
 
     All matches of a pair are dealt to the draws by hash, a pair of few matches several times over (about eight to a
-    draw at least); a draw keeps the four of lowest hash, so no task sees a pair's matches together.
+    draw at least); a draw keeps the four of lowest hash, so no task sees a pair's matches together. Of draws that keep the
+    same four the first counts.
     """
-    deals = points.join(counts, PAIR).withColumn("deal", F.explode(F.sequence(F.lit(1), F.ceil(8 * trials / F.col("n_matches")).cast("int"))))
-    drawn = deals.withColumn("draw", F.pmod(F.xxhash64("query", "train", "deal"), F.lit(trials))).dropDuplicates([*PAIR, "draw", "query", "train"])
-    pick = F.row_number().over(Window.partitionBy(*PAIR, "draw").orderBy(F.xxhash64("train", "query", "draw"), "query", "train"))
+    counts = points.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("__n"))
+    deals = points.join(counts, PAIR).withColumn("deal", F.explode(F.sequence(F.lit(1), F.ceil(8 * trials / F.col("__n")).cast("int"))))
+    drawn = deals.withColumn("draw", F.pmod(_number(F.col("query"), F.col("train"), F.col("deal")), F.lit(trials))).dropDuplicates([*PAIR, "draw", "query", "train"])
+    pick = F.row_number().over(Window.partitionBy(*PAIR, "draw").orderBy(_number(F.col("train"), F.col("query"), F.col("draw")), "query", "train"))
     sample = drawn.withColumn("pick", pick).filter(F.col("pick") <= 4)
-    kind = points.schema["sample_id"].dataType.simpleString()
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], set()
-        for _, four in rows.sort_values(["draw", "query", "train"]).groupby("draw"):
-            which = tuple(zip(four["query"], four["train"], strict=True))
-            if len(which) < 4 or which in seen:
-                continue
-            seen.add(which)
-            h = kernels.solve_dlt(four[["x2", "y2"]].to_numpy(float), four[["x1", "y1"]].to_numpy(float))
-            if h is not None:
-                out.append(h.ravel().tolist())
-        return pd.DataFrame([(key[0], key[1], out)], columns=["sample_id", "pair_idx", "hs"])
+    fours = sample.groupBy(*PAIR, "draw").agg(F.sort_array(F.collect_list(F.struct("query", "train", "x1", "y1", "x2", "y2"))).alias("m")).filter(F.size("m") == 4)
+    same = fours.groupBy(*PAIR, F.transform("m", lambda v: F.struct(v["query"], v["train"])).alias("which")).agg(F.min(F.struct("draw", "m")).alias("d"))
+    return exact_map(same.select(*PAIR, F.col("d.draw").alias("number"), F.col("d.m").alias("m"))).select(*PAIR, "number", "h")
 
-    return sample.groupBy(*PAIR).applyInPandas(solve, f"sample_id {kind}, pair_idx long, hs array<array<double>>")
 
+def count_inliers(points: DataFrame, hyps: DataFrame, reach_px: float) -> DataFrame:
+    """Matches within ``reach_px`` of every hypothesis (sample_id, pair_idx, number, h), counted before the shuffle.
 
-def count_inliers(points: DataFrame, hypotheses: DataFrame, reach_px: float) -> DataFrame:
-    """Matches within ``reach_px`` of every hypothesis (``hs``: array of maps per pair), counted before the shuffle."""
-    error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
-    return (points.join(hypotheses, PAIR).select(*PAIR, "x1", "y1", "x2", "y2", F.posexplode("hs").alias("number", "h"))
-            .filter(error <= reach_px * reach_px).groupBy(*PAIR, "number").agg(F.count(F.lit(1)).alias("inliers")))
+    A pair's hypotheses, as many as there are draws, travel as one row.
+    """
+    error = _reprojection(F.col("v.h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
+    listed = hyps.groupBy(*PAIR).agg(F.collect_list(F.struct("number", "h")).alias("hs"))
+    return (points.join(listed, PAIR).select(*PAIR, "x1", "y1", "x2", "y2", F.explode("hs").alias("v"))
+            .filter(error <= reach_px * reach_px).groupBy(*PAIR, F.col("v.number").alias("number")).agg(F.count(F.lit(1)).alias("inliers")))
 
 
 # rows of the direct linear transform as products: upper triangle of a symmetric 9x9 matrix
@@ -170,12 +196,12 @@ def pair_homographies(points: DataFrame, every_pair: DataFrame, min_matches: int
     points = cut_lineage(points)        # read four times below; matching again would cost far more than storing it
     counts = points.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_matches"))
     enough = points.join(counts.filter(F.col("n_matches") >= min_matches).select(*PAIR), PAIR, "left_semi")
-    hyps = cut_lineage(_hypotheses(enough, counts, trials))
+    hyps = cut_lineage(hypotheses(enough, trials))
     error = _reprojection(F.col("h"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
     votes = count_inliers(enough, hyps, reach_px)
     winner = votes.groupBy(*PAIR).agg(F.max_by("number", F.struct("inliers", -F.col("number"))).alias("number"),
                                       F.max("inliers").alias("n_inliers"))
-    best = winner.join(hyps, PAIR).select(*PAIR, "n_inliers", F.get("hs", F.col("number")).alias("h"))
+    best = winner.join(hyps, [*PAIR, "number"]).select(*PAIR, "n_inliers", "h")
     if refit:
         inliers = enough.join(best.select(*PAIR, "h"), PAIR).filter(error <= reach_px * reach_px)
         best = best.join(_least_squares(inliers), PAIR, "left").withColumn(

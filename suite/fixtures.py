@@ -81,9 +81,9 @@ def rgb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Scan frame names, one per line item."""
+    """Scan frame names, one per line item; dealt out by key, because the file may be one row group, which is one task."""
     item = (table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                                                      "l_extendedprice", "l_discount", "l_tax"))
+                                                      "l_extendedprice", "l_discount", "l_tax").repartition("l_orderkey"))
     f = F.floor("l_quantity").cast("bigint") * 100 + F.col("l_linenumber")
     name = F.concat(F.lit("Y"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.lit(" X"),
                     F.col("l_linenumber").cast("string"), F.lit(" Z29 F"), f.cast("string"), F.lit(".tiff"))

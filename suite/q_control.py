@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanframe.operators import canvas, control as ctl, frames as frame_ops, layers, match, ordered
@@ -291,27 +290,76 @@ def match_descriptors(spark, sf):
     return panorama.match_descriptors(_descriptors(spark, sf), 0.97).select("pair_idx", "query", "train", "x1", "y1", "x2", "y2")
 
 
+def _number(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+
+
+def _basis(x: str, y: str, p: str) -> str:
+    """The nine numbers of a quadruple's basis matrix, and the least area of any three of its points."""
+    at = lambda i: (f"{x}[{i}]", f"{y}[{i}]")
+    area = lambda p, q, r: f"({p[0]} * ({q[1]} - {r[1]}) + {q[0]} * ({r[1]} - {p[1]}) + {r[0]} * ({p[1]} - {q[1]}))"
+    a, b, c, d = (at(i) for i in (1, 2, 3, 4))
+    f = [area(d, b, c), area(a, d, c), area(a, b, d)]
+    cells = [f"{v} * {q[k]}" for k in (0, 1) for v, q in zip(f, (a, b, c), strict=True)] + f
+    least = "least(" + ", ".join(f"abs({v})" for v in [*f, area(a, b, c)]) + ")"
+    return ", ".join(f"{cell} AS {p}{i}" for i, cell in enumerate(cells)) + f", {least} AS {p}_least"
+
+
+def _draws(points: str, trials: int) -> dict[str, str]:
+    """Hypotheses hyp (pair_idx, number, h0 ... h8) from the matches ``points``."""
+    listed = ", ".join(f"list({c} ORDER BY query, train) AS {c}" for c in ("query", "train", "x1", "y1", "x2", "y2"))
+    pairs = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
+    minors = ", ".join(f"o{i} * o{j} - o{k} * o{n} AS g{at}" for at, (i, j, k, n) in enumerate(pairs))
+    cells = ", ".join(f"t{3 * i} * g{j} + t{3 * i + 1} * g{3 + j} + t{3 * i + 2} * g{6 + j} AS c{3 * i + j}" for i in range(3) for j in range(3))
+    return {
+        "pts": points,
+        "drawn": f"""SELECT DISTINCT pair_idx, query, train, x1, y1, x2, y2, {_number("query || ':' || train || ':' || deal")} % {trials} AS draw FROM (
+          SELECT pts.*, unnest(range(1, ceil({8 * trials}::DOUBLE / n)::BIGINT + 1)) AS deal FROM pts JOIN (SELECT pair_idx, count(*) AS n FROM pts GROUP BY 1) USING (pair_idx))""",
+        "fours": f"""SELECT pair_idx, draw, {listed} FROM (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY pair_idx, draw
+          ORDER BY {_number("train || ':' || query || ':' || draw")}, query, train) <= 4) GROUP BY 1, 2 HAVING count(*) = 4""",
+        "based": f"""SELECT pair_idx, number, {_basis('x1', 'y1', 't')}, {_basis('x2', 'y2', 'o')} FROM (SELECT pair_idx, min(draw) AS number, any_value(x1) AS x1, any_value(y1) AS y1,
+          any_value(x2) AS x2, any_value(y2) AS y2 FROM fours GROUP BY pair_idx, query, train)""",
+        "hyp": "SELECT pair_idx, number, " + ", ".join(f"c{i} / c8 AS h{i}" for i in range(9)) + f""" FROM (SELECT pair_idx, number, {cells} FROM (
+          SELECT *, {minors} FROM based WHERE t_least > 1e-6 AND o_least > 1e-6)) WHERE abs(c8) > 0""",
+    }
+
+
+def _votes(reach: float) -> str:
+    w = "nullif(h6 * x2 + h7 * y2 + h8, 0)"
+    return f"""SELECT pair_idx, number, count(*) AS inliers FROM hyp JOIN pts USING (pair_idx) WHERE ((h0 * x2 + h1 * y2 + h2) / {w} - x1) * ((h0 * x2 + h1 * y2 + h2) / {w} - x1)
+      + ((h3 * x2 + h4 * y2 + h5) / {w} - y1) * ((h3 * x2 + h4 * y2 + h5) / {w} - y1) <= {reach * reach} GROUP BY 1, 2"""
+
+
 @query("homography_inliers", "C24", sql("""
-SELECT m.pair_idx::BIGINT AS pair_idx, (rk - 1)::INTEGER AS number, count(*) AS inliers FROM m JOIN (SELECT pair_idx, x1 - x2 AS dx, y1 - y2 AS dy,
-  row_number() OVER (PARTITION BY pair_idx ORDER BY query) AS rk FROM m) h ON h.pair_idx = m.pair_idx AND h.rk <= 3
-WHERE (x2 + dx - x1) ** 2 + (y2 + dy - y1) ** 2 <= 14400 GROUP BY 1, 2""", "fx_desc", near=NEAREST, m=MATCHES))
+SELECT pair_idx::BIGINT AS pair_idx, number::BIGINT AS number, inliers FROM votes""", "fx_desc", near=NEAREST, m=MATCHES,
+  **_draws("SELECT * FROM m", 64), votes=_votes(40)))
 def homography_inliers(spark, sf):
     points = panorama.match_descriptors(_descriptors(spark, sf), 1.1)
-    rank = F.row_number().over(Window.partitionBy(*match.PAIR).orderBy("query"))
-    shift = F.array(*[F.lit(v) for v in (1.0, 0.0)], F.col("x1") - F.col("x2"), *[F.lit(v) for v in (0.0, 1.0)], F.col("y1") - F.col("y2"),
-                    *[F.lit(v) for v in (0.0, 0.0, 1.0)])
-    first = points.withColumn("rank", rank).filter("rank <= 3")
-    hyps = first.groupBy(*match.PAIR).agg(F.sort_array(F.collect_list(F.struct("rank", shift.alias("h")))).alias("s")).select(
-        *match.PAIR, F.transform("s", lambda v: v["h"]).alias("hs"))
-    return match.count_inliers(points, hyps, 120.0).select("pair_idx", "number", "inliers")
+    return match.count_inliers(points, match.hypotheses(points, 64), 40.0).select("pair_idx", "number", "inliers")
 
 
-@query("pair_homographies", "C24")
+@query("pair_homographies", "C24", sql("""
+SELECT p.pair_idx::BIGINT AS pair_idx, coalesce(n, 0) AS n_matches, coalesce(inliers, 0) AS n_inliers,
+  CASE WHEN h0 IS NOT NULL THEN 'fitted' WHEN coalesce(n, 0) < 8 THEN 'too few matches' ELSE 'nothing fits' END AS status, """ + ", ".join(
+      f"round(coalesce(h{i}, {float(i % 4 == 0)}), 5) AS h{i}" for i in range(8)) + """
+FROM (SELECT DISTINCT image_id - 1 AS pair_idx FROM fx_desc WHERE image_id > 0) p LEFT JOIN (SELECT pair_idx, count(*) AS n FROM m WHERE d < 0.99 * second GROUP BY 1) USING (pair_idx)
+LEFT JOIN (SELECT * FROM votes JOIN hyp USING (pair_idx, number) QUALIFY row_number() OVER (PARTITION BY pair_idx ORDER BY inliers DESC, number) = 1) USING (pair_idx)""",
+  "fx_desc", near=NEAREST, m=MATCHES, **_draws("SELECT * FROM m WHERE d < 0.99 * second QUALIFY count(*) OVER (PARTITION BY pair_idx) >= 8", 256), votes=_votes(5)))
 def pair_homographies(spark, sf):
+    out = _pair_maps(spark, sf, refit=False)
+    return out.select("pair_idx", "n_matches", "n_inliers", "status", *[F.round(F.col("h")[i], 5).alias(f"h{i}") for i in range(8)])
+
+
+def _pair_maps(spark, sf, refit):
     d = _descriptors(spark, sf)
-    points = panorama.match_descriptors(d, 0.99)
     pairs = d.select("sample_id", (F.col("seq") - 1).alias("pair_idx")).filter("pair_idx >= 0").distinct()
-    out = match.pair_homographies(points, pairs)
+    return match.pair_homographies(panorama.match_descriptors(d, 0.99), pairs, refit=refit)
+
+
+@query("fitted_homographies", "C24")
+def fitted_homographies(spark, sf):
+    """The winners fitted to all their inliers, by an eigenvector that SQL has no function for."""
+    out = _pair_maps(spark, sf, refit=True)
     return out.select("pair_idx", "n_matches", "n_inliers", "status", F.array_join(F.transform("h", lambda v: F.round(v, 4).cast("string")), " ").alias("h"))
 
 

@@ -50,8 +50,8 @@ def blocked_samples(spark, sf):
 
 
 @query("frame_sequence", "C12 W1 W2", sql("""
-SELECT sample_id, y AS coord, seq, path FROM fx_seq s ANTI JOIN (SELECT sample_id FROM gaps WHERE gap_size > 20) g USING (sample_id)""",
-  "fx_seq", gaps=GAPS))
+SELECT sample_id, y AS coord, seq, path FROM (SELECT sample_id, y, seq, path, max(gap) OVER (PARTITION BY sample_id) AS worst FROM (
+  SELECT sample_id, y, seq, path, lead(y) OVER (PARTITION BY sample_id ORDER BY y) - y - 1 AS gap FROM fx_seq)) WHERE coalesce(worst, 0) <= 20""", "fx_seq"))
 def frame_sequence(spark, sf):
     listing = fx.frames(spark, sf).select("sample_id", "name", "path")
     return mosaics.frame_sequence(listing, "Y", 20).select("sample_id", "coord", "seq", "path")

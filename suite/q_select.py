@@ -63,15 +63,15 @@ def folders_without_scores(spark, sf):
     return select.without_scores(_files(spark, sf))
 
 
-RANKED = """SELECT *, row_number() OVER (PARTITION BY folder ORDER BY f DESC, path) AS rk, avg(f) OVER (PARTITION BY folder) + 0.5 *
-  coalesce(stddev_samp(f) OVER (PARTITION BY folder), 0) AS t, max(f) OVER (PARTITION BY folder) * 0.7 AS r FROM scored"""
-TAGGED = """SELECT folder, path, 'all' AS strategy FROM files UNION ALL SELECT folder, path, 'top5' FROM ranked WHERE rk <= 5
-  UNION ALL SELECT folder, path, 'thresh_auto' FROM ranked WHERE f >= t - 1e-6 UNION ALL SELECT folder, path, 'thresh_70pct' FROM ranked WHERE f >= r - 1e-9"""
+MARKED = """SELECT folder, path, f, CASE WHEN f IS NOT NULL THEN row_number() OVER (PARTITION BY folder, f IS NULL ORDER BY f DESC, path) END AS rk,
+  avg(f) OVER (PARTITION BY folder) + 0.5 * coalesce(stddev_samp(f) OVER (PARTITION BY folder), 0) AS t, max(f) OVER (PARTITION BY folder) * 0.7 AS r
+  FROM (SELECT folder, path, CASE WHEN contains(name, 'F') THEN TRY_CAST(nullif(regexp_extract(name, 'F([\\d.]+)', 1), '') AS DOUBLE) END AS f FROM files)"""
 
 
-@query("selection_strategies", "C19 U6 K3 A23", sql("""
-SELECT folder, path, strategy FROM tagged QUALIFY count(*) OVER (PARTITION BY folder, strategy) >= 2
-UNION ALL SELECT folder, path, 'best_single' FROM ranked WHERE rk = 1""", "fx_frames", **_CT, ranked=RANKED, tagged=TAGGED))
+@query("selection_strategies", "C19 U6 K3 A23", sql(f"""
+SELECT folder, path, strategy FROM (SELECT folder, path, unnest(['all', CASE WHEN rk <= 5 THEN 'top5' END, CASE WHEN f >= t - 1e-6 THEN 'thresh_auto' END,
+  CASE WHEN f >= r - 1e-9 THEN 'thresh_70pct' END, CASE WHEN rk = 1 THEN 'best_single' END]) AS strategy FROM ({MARKED}))
+WHERE strategy IS NOT NULL QUALIFY strategy = 'best_single' OR count(*) OVER (PARTITION BY folder, strategy) >= 2""", "fx_frames", files=FILES))
 def selection_strategies(spark, sf):
     return selection.run_all_strategies(_files(spark, sf)).select("folder", "path", "strategy")
 
@@ -128,8 +128,8 @@ def merge_tree(spark, sf):
 
 
 @query("merge_survivors", "C21", sql("""
-SELECT sample_id, seq FROM fx_seq ANTI JOIN lost USING (sample_id, seq)""", "fx_seq", tree=TREE,
-  lost="""SELECT DISTINCT sample_id, unnest(range("right", "left" + (1 << level))) AS seq FROM tree WHERE action = 'keep_left' AND "right" >= 0"""))
+SELECT sample_id, seq FROM fx_seq WHERE len([k for k in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16] if (seq >> (k - 1)) % 2 = 1 AND ((seq >> k) + k + sample_id) % 17 = 0]) = 0""",
+  "fx_seq"))
 def merge_survivors(spark, sf):
     members, plan = _tree(spark, sf)
     return select.tree_survivors(members, "sample_id", "seq", plan)

@@ -2,18 +2,40 @@ import numpy as np
 import pytest
 from helpers import frame_row, frames_df, texture
 
-from scanframe.functions import kernels
 from scanframe.operators import canvas, match
 from scanframe.plans import panorama
 
 
-def test_dlt_restores_an_exact_map():
+def test_four_matches_give_the_exact_map(spark):
     h = np.array([[1.1, 0.02, 30], [-0.01, 0.95, -12], [1e-4, -5e-5, 1]])
     rng = np.random.default_rng(1)
-    src = rng.uniform(0, 600, (20, 2))
-    p = np.column_stack([src, np.ones(20)]) @ h.T
-    assert np.allclose(kernels.solve_dlt(src, p[:, :2] / p[:, 2:]), h, atol=1e-6)
-    assert kernels.solve_dlt(np.array([[0, 0], [1, 1], [2, 2], [3, 3]], float), np.ones((4, 2))) is None
+    rows = []
+    for number in range(50):
+        src = rng.uniform(0, 600, (4, 2))
+        if number % 10 == 0:
+            src[2] = 2 * src[1] - src[0]        # three on a line
+        p = np.column_stack([src, np.ones(4)]) @ h.T
+        rows.append((number, [(float(u / w), float(v / w), float(x), float(y)) for (u, v, w), (x, y) in zip(p, src)]))
+    fours = spark.createDataFrame(rows, "number long, m array<struct<x1 double, y1 double, x2 double, y2 double>>")
+    got = match.exact_map(fours).collect()
+    assert sorted(r.number for r in got) == [n for n in range(50) if n % 10]
+    assert all(np.allclose(np.array(r.h).reshape(3, 3), h, atol=1e-6) for r in got)
+
+
+def test_tiles_and_frames_warp_alike(spark):
+    """A projective map from storage tiles of any size gives the pieces that whole frames give."""
+    from scanframe.operators import frames as frame_ops
+    rows = [frame_row(0, texture(37, 53, 5), sample_id=1, seq=0), frame_row(1, np.dstack([texture(20, 31, k) for k in range(3)])[:, :, :1], sample_id=1, seq=1)]
+    frames = frames_df(spark, rows, "sample_id long, seq long")
+    maps = spark.createDataFrame([(1, 0, [1.1, 0.05, 3.3, -0.04, 0.93, 2.6, 0.002, -0.001, 1.0]), (1, 1, [0.8, -0.3, 20.2, 0.4, 0.9, -9.7, -0.001, 0.004, 1.0])],
+                                 "sample_id long, seq long, h array<double>")
+    whole, _ = panorama.warp_blend(frames, maps, 16)
+    want = sorted(map(tuple, canvas.canvas_pixels(whole, ["sample_id"]).collect()))
+    for source in (7, 64):
+        stored = frame_ops.cut_tiles(frames, ["sample_id", "seq"], source)
+        tiles, box = panorama.warp_blend_tiles(stored, frames.select("sample_id", "seq", "width", "height"), maps, source, 16)
+        assert sorted(map(tuple, canvas.canvas_pixels(tiles, ["sample_id"]).collect())) == want and len(want) > 1500
+        assert box.count() == 1
 
 
 def test_pair_maps_ignore_wrong_matches(spark):
