@@ -253,7 +253,7 @@ SELECT sample_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS n FR
   SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM fx_series WINDOW w AS (PARTITION BY sample_id ORDER BY ts, seq)))
 GROUP BY sample_id, s""", "fx_series"))
 def scan_sessions(spark, sf):
-    return twins.scan_sessions(fx.series(spark, sf), "6 hours")
+    return twins.scan_sessions_of_table(fx.series(spark, sf), "6 hours")
 
 
 @query("rolling_focus", "R7", sql("""

@@ -46,34 +46,48 @@ def stream_latest_capture(spark, sf):
     return out.groupBy("camera").agg(F.max_by("event_id", "batch_id").alias("event_id"))
 
 
-@query("stream_hot_windows", "R1", ORACLES["hot_windows"])
+def _closed(oracle: str, view: str, end: str, delay: str) -> str:
+    """Rows of a batch query that a stream has given out by the end of the table: those whose end the watermark has passed."""
+    return f"SELECT * FROM ({ORACLES[oracle]}) WHERE {end} <= ({sql(f'SELECT max(ts) FROM {view}', view)}) - INTERVAL {delay}"
+
+
+@query("stream_hot_windows", "R1", _closed("hot_windows", "fx_tilehits", "window_start + INTERVAL 1 DAY", "1 HOUR"))
 def stream_hot_windows(spark, sf):
-    hits = live.hot_tile_windows(fx.tile_hits_of(_events(spark, sf)), "1 day", 3, "40 days")
-    out = _run(hits, "update", "hot")
-    return out.groupBy("window_start", "grid_w", "grid_h", "col", "row").agg(F.max_by("hits", "batch_id").alias("hits"))
+    return _run(live.hot_tile_windows(fx.tile_hits_of(_events(spark, sf)), "1 day", 3, "1 hour"), "append", "hot").drop("batch_id")
 
 
-@query("stream_scan_sessions", "R6", ORACLES["scan_sessions"])
+@query("stream_scan_sessions", "R6", _closed("scan_sessions", "fx_series", "last_ts + INTERVAL 6 HOUR", "1 HOUR"))
 def stream_scan_sessions(spark, sf):
-    # sessions that are still open at the end count too: every batch gives all of them, the last one is whole
-    out = _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours"), "complete", "sessions")
-    last = out.groupBy().agg(F.max("batch_id").alias("last"))
-    return out.join(F.broadcast(last), F.col("batch_id") == F.col("last")).drop("batch_id", "last")
+    """Sessions are given once, when no more can come to them, and leave the state; those still open are not decided yet."""
+    return _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours", "1 hour"), "append", "sessions").drop("batch_id")
 
 
-@query("stream_rolling_focus", "R7", ORACLES["rolling_focus"])
+@query("stream_rolling_focus", "R7", _closed("rolling_focus", "fx_series", "window_start + INTERVAL 2 DAY", "1 HOUR"))
 def stream_rolling_focus(spark, sf):
-    # windows are given whenever they change; the last batch that has one has all of it
-    out = _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day", "40 days"), "update", "rolling")
-    last = out.groupBy("sample_id", "window_start").agg(F.max_by(F.struct("mean_hard", "max_soft", "n"), "batch_id").alias("v"))
-    return last.select("sample_id", "window_start", F.round("v.mean_hard", 6).alias("mean_hard"), "v.max_soft", "v.n")
+    out = _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day", "1 hour"), "append", "rolling")
+    return out.drop("batch_id").withColumn("mean_hard", F.round("mean_hard", 6))
 
 
-@query("stream_ack_timeouts", "R5")
-def stream_ack_timeouts(spark, sf):
-    ev = _events(spark, sf)
+def _replies(spark, sf):
     options = F.array(*[F.lit(r) for r in fx.ACK_REPLIES])
-    replies = _events(spark, sf).filter(F.col("event_type").isin("view", "error")).select(
-        F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"),
-        F.get(options, (F.col("event_id") % 4).cast("int")).alias("reply"))
-    return _run(live.ack_timeouts(fx.commands_of(ev), replies), "append", "timeouts").drop("batch_id")
+    return _events(spark, sf).filter(F.col("event_type").isin("view", "error")).select(
+        F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"), F.get(options, (F.col("event_id") % 4).cast("int")).alias("reply"))
+
+
+#: Commands whose hour, and the two hours in which it can be answered, lie before the watermark.
+_DECIDED = f"""SELECT a.* FROM ({ORACLES["ack_outcomes"]}) a JOIN ({sql("SELECT device, seq, ts FROM fx_cmdlog", "fx_cmdlog")}) c USING (device, seq)
+  WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 + 7200000000 <= ({sql("SELECT epoch_us(max(ts)) FROM fx_cmdlog", "fx_cmdlog")}) - 60000000"""
+
+
+@query("stream_ack_alerts", "R5 P50", _DECIDED)
+def stream_ack_alerts(spark, sf):
+    out = _run(live.ack_alerts(fx.commands_of(_events(spark, sf)), _replies(spark, sf), 7200, 3600), "append", "alerts")
+    return out.select("device", "seq", F.coalesce("reply_seq", F.lit(-1).cast("bigint")).alias("reply_seq"), F.coalesce("latency_s", F.lit(-1.0)).alias("latency_s"), "outcome")
+
+
+@query("stream_ack_timeouts", "R5", f"""SELECT a.device, a.seq, a.outcome FROM ({ORACLES["ack_outcomes"]}) a JOIN ({sql("SELECT device, seq, ts FROM fx_cmdlog", "fx_cmdlog")}) c USING (device, seq)
+  WHERE outcome = 'timeout' AND ts + INTERVAL 2 HOUR < (SELECT least((SELECT max(ts) FROM ({sql("SELECT * FROM fx_cmdlog", "fx_cmdlog")})),
+    (SELECT max(ts) FROM ({sql("SELECT * FROM fx_replies WHERE reply NOT LIKE 'echo%'", "fx_replies")})))) - INTERVAL 2 HOUR""")
+def stream_ack_timeouts(spark, sf):
+    out = _run(live.ack_timeouts(fx.commands_of(_events(spark, sf)), _replies(spark, sf), "7200 seconds"), "append", "timeouts")
+    return out.select("device", "seq", "outcome")
