@@ -32,40 +32,125 @@ def _nearest_two(queries: np.ndarray, trains: np.ndarray, ids: np.ndarray) -> li
     return found
 
 
-def two_nearest(descriptors: DataFrame) -> DataFrame:
-    """Exact two nearest descriptors (L2) of the next image for every descriptor: query, train, distance, rank.
+def _cells(descriptors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every image as cells around centres: the descriptors with their ``cell``, and (image, centres, radii, counts) per image.
 
-    ``descriptors``: sample_id, seq, kp_id, desc. Images are dealt into blocks of about BLOCK rows; a task compares one
-    block of an image with one block of the next and hands on two candidates per query, so neither an image nor the
-    product of two images ever meets in one place, and the result does not depend on the cut.
+    About one centre to BLOCK descriptors, picked by hash; a descriptor goes to the nearest. Parts of an image are dealt to
+    their cells in tasks of their own, each of which gets the image's centres.
     """
     image = ["sample_id", "seq"]
-    sizes = descriptors.groupBy(*image).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    shifted = lambda by: sizes.select("sample_id", (F.col("seq") + by).alias("seq"), F.col("n_blocks").alias("other"))
-    block = F.pmod(F.xxhash64("kp_id"), F.col("n_blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
-    own = descriptors.join(sizes, image)
-    queries = own.join(shifted(-1), image).select(
-        "sample_id", F.col("seq").alias("pair_idx"), block.alias("qb"), others.alias("tb"), "kp_id", "desc")
-    trains = own.join(shifted(1), image).select(
-        F.col("sample_id").alias("t_sample"), (F.col("seq") - 1).alias("t_pair"), others.alias("t_qb"), block.alias("t_tb"),
-        F.col("kp_id").alias("t_id"), F.col("desc").alias("t_desc"))
-
-    def nearest(k: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    n = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    sizes = descriptors.groupBy(*image).agg(n.alias("n_cells"))
+    keyed = descriptors.join(sizes, image).withColumn("part", F.pmod(F.xxhash64("kp_id"), F.col("n_cells")).cast("int"))
+    centres = keyed.groupBy(*image, "part").agg(F.min_by("desc", F.struct(F.xxhash64("kp_id", F.lit(7)), "kp_id")).alias("centre"))
+    listed = cut_lineage(centres.groupBy(*image).agg(F.sort_array(F.collect_list(F.struct("part", "centre"))).alias("c")).select(
+        *image, F.transform("c", lambda v: v["centre"]).alias("centres")))
+    copies = listed.join(sizes, image).select(
+        F.col("sample_id").alias("c_sample"), F.col("seq").alias("c_seq"), F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("c_part"), "centres")
+    kind = descriptors.schema["sample_id"].dataType.simpleString()
+
+    def dealt(key: tuple, rows: pd.DataFrame, image_centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=["sample_id", "seq", "kp_id", "desc", "cell", "away"])
+        c = np.stack(image_centres["centres"].iloc[0]).astype(np.float64)
+        a = np.stack(rows["desc"].to_numpy()).astype(np.float64)
+        rough = (a ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None] - 2.0 * (a @ c.T)
+        cell = rough.argmin(1)
+        return pd.DataFrame({"sample_id": key[0], "seq": key[1], "kp_id": rows["kp_id"], "desc": rows["desc"], "cell": cell, "away": np.sqrt(((a - c[cell]) ** 2).sum(1))})
+
+    placed = cut_lineage(keyed.select(*image, "part", "kp_id", "desc").groupBy(*image, "part").cogroup(copies.groupBy("c_sample", "c_seq", "c_part")).applyInPandas(
+        dealt, f"sample_id {kind}, seq long, kp_id long, desc array<double>, cell int, away double"))
+    found = placed.groupBy(*image, "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+    cells = found.groupBy(*image).agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "n"))).alias("cells"))
+    return placed, cut_lineage(listed.join(cells, image))
+
+
+#: A cell is searched if it may hold a nearer one; distances come with rounding of this relative size.
+SLACK = 1e-9
+
+
+def _asked(queries: DataFrame, cells: DataFrame, known: bool) -> DataFrame:
+    """(pair, cell, kp_id, desc) of the cells of the next image that a query has to search.
+
+    First the nearest cells that hold two descriptors together; once a query has a second nearest (``limit``), the others
+    whose lower bound, distance to the centre less radius, doesn't exceed it.
+    """
+    kind = queries.schema["sample_id"].dataType.simpleString()
+    spread = F.pmod(F.xxhash64("kp_id"), F.greatest("parts", F.lit(1))).cast("int")
+    parts = queries.groupBy("sample_id", "pair_idx").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = queries.join(parts, PAIR).withColumn("part", spread)
+    targets = cells.select("sample_id", (F.col("seq") - 1).alias("pair_idx"), "centres", "cells").join(parts, PAIR).select(
+        F.col("sample_id").alias("c_sample"), F.col("pair_idx").alias("c_pair"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c_part"), "centres", "cells")
+
+    def plan(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(t):
+            info = t["cells"].iloc[0]
+            number, radius, n = (np.array([c[f] for c in info]) for f in ("cell", "radius", "n"))
+            c = np.stack(t["centres"].iloc[0]).astype(np.float64)[number]
+            a = np.stack(q["desc"].to_numpy()).astype(np.float64)
+            for i, (kp, desc) in enumerate(zip(q["kp_id"], q["desc"], strict=True)):
+                away = np.sqrt(((c - a[i]) ** 2).sum(1))
+                order = np.argsort(away, kind="stable")
+                first = order[:np.searchsorted(np.cumsum(n[order]), min(2, n.sum())) + 1]
+                if known:
+                    limit = q["limit"].iloc[i]
+                    near = np.flatnonzero(away - radius <= limit + SLACK * (away + limit))
+                    wanted = np.setdiff1d(near, first)
+                else:
+                    wanted = first
+                out.extend((key[0], key[1], int(number[w]), kp, desc) for w in wanted)
+        return pd.DataFrame(out, columns=["sample_id", "pair_idx", "cell", "query", "q_desc"])
+
+    return rows.groupBy(*PAIR, "part").cogroup(targets.groupBy("c_sample", "c_pair", "c_part")).applyInPandas(
+        plan, f"sample_id {kind}, pair_idx long, cell int, query long, q_desc array<double>")
+
+
+def _searched(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """The two nearest of every (query, cell) that is asked for. Queries of a busy cell are dealt out; each part reads the cell."""
+    kind = placed.schema["sample_id"].dataType.simpleString()
+    load = asked.groupBy(*PAIR, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("loads"))
+    trains = placed.select("sample_id", (F.col("seq") - 1).alias("pair_idx"), "cell", "kp_id", "desc").join(load, [*PAIR, "cell"]).select(
+        F.col("sample_id").alias("c_sample"), F.col("pair_idx").alias("c_pair"), F.col("cell").alias("c_cell"), F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("c_part"),
+        "kp_id", "desc")
+    rows = asked.join(load, [*PAIR, "cell"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("loads")).cast("int")).drop("loads")
+
+    def nearest(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(q) and len(t):
-            a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (q["desc"], t["t_desc"]))
-            ids, who = t["t_id"].to_numpy(), q["kp_id"].to_numpy()
+            a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (q["q_desc"], t["desc"]))
+            ids, who = t["kp_id"].to_numpy(), q["query"].to_numpy()
             for lo in range(0, len(a), 256):
                 for i, pair in enumerate(_nearest_two(a[lo:lo + 256], b, ids)):
-                    rows.extend((k[0], k[1], who[lo + i], train, distance) for train, distance in pair)
-        return pd.DataFrame(rows, columns=["sample_id", "pair_idx", "query", "train", "distance"])
+                    out.extend((key[0], key[1], who[lo + i], train, distance) for train, distance in pair)
+        return pd.DataFrame(out, columns=["sample_id", "pair_idx", "query", "train", "distance"])
 
-    kind = descriptors.schema["sample_id"].dataType.simpleString()
-    found = queries.groupBy(*PAIR, "qb", "tb").cogroup(trains.groupBy("t_sample", "t_pair", "t_qb", "t_tb")).applyInPandas(
-        nearest, f"sample_id {kind}, pair_idx long, query long, train long, distance double")
-    rank = F.row_number().over(Window.partitionBy(*PAIR, "query").orderBy("distance", "train"))  # two rows per block
-    return found.withColumn("rank", rank).filter("rank <= 2")
+    keys = [*PAIR, "cell", "part"]
+    return rows.groupBy(*keys).cogroup(trains.groupBy("c_sample", "c_pair", "c_cell", "c_part")).applyInPandas(nearest, f"sample_id {kind}, pair_idx long, query long, train long, distance double")
+
+
+def two_nearest(descriptors: DataFrame) -> DataFrame:
+    """Exact two nearest descriptors (L2) of the next image for every descriptor: query, train, distance, rank.
+
+    ``descriptors``: sample_id, seq, kp_id, desc. Images are cut into cells of near descriptors. A query first searches the
+    nearest cell or cells; with the second distance found there it skips every cell that lies further away altogether, so
+    of two large images that look like anything most cells never meet. Results do not depend on the cut.
+    """
+    return _two_nearest(descriptors)[0]
+
+
+def _two_nearest(descriptors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The result, and what the first and the second search asked for."""
+    placed, cells = _cells(descriptors.select("sample_id", F.col("seq").cast("bigint").alias("seq"), F.col("kp_id").cast("bigint").alias("kp_id"), F.col("desc").cast("array<double>").alias("desc")))
+    queries = placed.select("sample_id", F.col("seq").alias("pair_idx"), "kp_id", "desc")
+    first = cut_lineage(_asked(queries, cells, False))
+    near = cut_lineage(_searched(first, placed))
+    # with fewer than two in the whole image there is nothing more to find; the bound is the second of those found
+    place = F.row_number().over(Window.partitionBy(*PAIR, "query").orderBy("distance", "train"))  # two rows per cell
+    second = near.withColumn("rank", place).filter("rank = 2").select(*PAIR, F.col("query").alias("kp_id"), F.col("distance").alias("limit"))
+    more = cut_lineage(_asked(queries.join(second, [*PAIR, "kp_id"]), cells, True))
+    every = near.unionByName(_searched(more, placed))
+    return every.withColumn("rank", place).filter("rank <= 2"), first, more
 
 
 def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helpers import frame_row, frames_df, texture
 
+from scanframe.functions import kernels
 from scanframe.operators import canvas, match
 from scanframe.plans import panorama
 
@@ -68,6 +69,24 @@ def test_two_nearest_does_not_depend_on_blocks(spark, monkeypatch):
     assert one == many and len(one) == 160
 
 
+def test_two_nearest_skips_far_cells(spark, monkeypatch):
+    """Descriptors that lie in clusters: most cells are never searched, and what is found is what all pairs give."""
+    monkeypatch.setattr(match, "BLOCK", 10)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(scale=10, size=(30, 6))
+    points = {(s, 1000 * s + k): middles[k % 30] + rng.normal(scale=0.05, size=6) for s in range(2) for k in range(600)}
+    points[0, 5000], points[1, 5001], points[1, 5002] = (np.full(6, 100.0),) * 3  # far from all, and a tie
+    d = spark.createDataFrame([(0, s, k, 0.0, 0.0, v.tolist()) for (s, k), v in points.items()], "sample_id int, seq long, kp_id long, px double, py double, desc array<double>")
+    found, first, more = match._two_nearest(d)
+    got = {(r["query"], r["rank"]): (r["train"], r["distance"]) for r in found.collect()}
+    for (s, k), v in points.items():
+        if s == 0:
+            want = sorted((float(np.sqrt(((v - w) ** 2).sum())), t) for (u, t), w in points.items() if u == 1)[:2]
+            assert [got[k, r][0] for r in (1, 2)] == [t for _, t in want] and abs(got[k, 2][1] - want[1][0]) < 1e-9
+    assert len(got) == 2 * 601
+    assert first.count() + more.count() < 0.25 * 601 * 60
+
+
 def test_few_key_points_fall_back_to_identity(spark):
     d = spark.createDataFrame([(0, 0, 1, 0., 0., [1., 2.]), (0, 1, 2, 0., 0., [1., 2.])],
                               "sample_id int, seq long, kp_id long, px double, py double, desc array<double>")
