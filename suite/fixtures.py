@@ -121,13 +121,14 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zsweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded focus sweeps: heights fall by one quantum per row, from above the start (16.00 mm) downwards."""
+    """Recorded focus sweeps: heights fall by one quantum per row from 5.60 mm above the start (16.00 mm) to as far below, rise again, and so on."""
     rows = ordered.dense_index(
         table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("stack_id"), "l_orderkey", "l_partkey",
                                             "l_linenumber", "l_extendedprice"),
         ["stack_id"], ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"],
         ordered.chunk_of(F.col("l_orderkey")), "seq")
-    return rows.select("stack_id", "seq", (1600 + 560 - 4 * F.col("seq")).cast("int").alias("z"),
+    turn = F.least(F.col("seq") % 560, 560 - F.col("seq") % 560)
+    return rows.select("stack_id", "seq", (1600 + 560 - 4 * turn).cast("int").alias("z"),
                        F.col("l_extendedprice").alias("score"))
 
 

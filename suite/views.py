@@ -25,7 +25,7 @@ VIEWS = {
         SELECT *, round_even(l_extendedprice * 100, 0)::BIGINT AS cents,
         lead(y) OVER (PARTITION BY sample_id ORDER BY y) AS next_y,
         lead(name) OVER (PARTITION BY sample_id ORDER BY y) AS next_name FROM fx_seq) WHERE next_y IS NOT NULL""",
-    "fx_zsweep": """SELECT stack_id, seq, (1600 + 560 - 4 * seq)::INTEGER AS z, score FROM (
+    "fx_zsweep": """SELECT stack_id, seq, (1600 + 560 - 4 * least(seq % 560, 560 - seq % 560))::INTEGER AS z, score FROM (
         SELECT l_suppkey AS stack_id, l_extendedprice AS score, (row_number() OVER (PARTITION BY l_suppkey
         ORDER BY l_orderkey, l_partkey, l_linenumber, l_extendedprice) - 1)::BIGINT AS seq FROM lineitem)""",
     "fx_events": """SELECT event_id, ts, user_id, event_type, value,
