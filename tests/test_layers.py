@@ -42,8 +42,7 @@ def picture(tiles, sample):
 SEARCH = align.small_search(min_overlap=0.2, x_range=6, grid=(1, 1), y_tiers=(2, 2, 3, 3))
 
 
-@pytest.mark.parametrize("by", ["y", "x"])
-@pytest.mark.parametrize("tile", [16, 64])
+@pytest.mark.parametrize(("by", "tile"), [("y", 16), ("x", 64)])
 def test_grid_comes_back_whole(spark, by, tile):
     """Three layers of four frames of 24 x 20 pixels, each layer shifted along itself; single frames of a layer are left out."""
     rows, whole = [], {}

@@ -87,3 +87,32 @@ def test_dashboard_feeds_every_sink(spark, folder, tmp_path):
                         str(tmp_path / "ck"), lambda n, e: errors.append(n))
     q.awaitTermination()
     assert sum(counts) == 1000 and errors == [1] * 5
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_alerts_over_batches_equal_the_batch_job(spark, folder, files):
+    """Commands are decided once, when their bucket's last deadline has passed, whatever the micro-batches are."""
+    from scanframe.operators import control as ctl
+    path, batch = folder
+
+    def answers(ev):
+        options = F.array(*[F.lit(r) for r in fx.ACK_REPLIES])
+        return ev.filter(F.col("event_type").isin("view", "error")).select(F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"),
+                                                                           F.get(options, (F.col("event_id") % 4).cast("int")).alias("reply"))
+
+    stream = live.read_table(spark, path, files)
+    got = live.run_available(live.ack_alerts(fx.commands_of(stream), answers(live.read_table(spark, path, files)), 7200, 3600, "1 hour"), name="alerts", partitions=4)
+    end = batch.agg(F.max(F.unix_micros("ts"))).first()[0] - 3_600_000_000
+    sent = fx.commands_of(batch)
+    decided = sent.filter((F.floor(F.unix_micros("ts") / 3_600_000_000) + 1) * 3_600_000_000 + 7_200_000_000 <= end).select("device", "seq")
+    want = ctl.ack_outcomes(sent, answers(batch), 7200.0, 3600).join(decided, ["device", "seq"])
+    columns = ("device", "seq", "reply_seq", "outcome")
+    order = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    assert order(got) == order(want) and {"timeout", "fault", "acknowledged"} == {r.outcome for r in got.select("outcome").distinct().collect()}
+
+
+def test_table_sessions_equal_the_windows(spark, folder):
+    _, batch = folder
+    series = fx.series_of(batch)
+    columns = ("sample_id", "session_start", "last_ts", "n")
+    assert rows(twins.scan_sessions_of_table(series, "6 hours"), *columns) == rows(twins.scan_sessions(series, "6 hours"), *columns)
