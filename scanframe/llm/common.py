@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -77,10 +78,16 @@ class Scratch:
         return self._written(df, f"{self.root}/{self.n}")
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes the files of tables of this scratch folder that nothing reads any more; others are left alone."""
+        """Deletes the files of tables of this scratch folder that nothing reads any more; others are left alone.
+
+        Spark removes the shuffle files of a plan once the driver has collected it, which a driver with room to spare does
+        late; in rounds of joins these files would pile up, so it is asked to do so here.
+        """
         for folder in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
             if self.root.split("://")[-1] in folder:
                 self._delete(folder)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _delete(self, folder: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)

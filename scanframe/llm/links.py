@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanframe.llm.common import Scratch, cut
@@ -43,41 +41,49 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame, int], DataFrame], verified: Callable[[DataFrame], DataFrame], roots: DataFrame, scratch: Scratch, most: int = 4) -> DataFrame:
+def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame, int], DataFrame], verified: Callable[[DataFrame], DataFrame], roots: DataFrame, scratch: Scratch, most: int = 16) -> DataFrame:
     """``roots`` (node, root) merged along verified links until ``nearest`` finds no pair between two groups.
 
     ``nearest(roots, after, most)`` gives (u, v, d): for every u that asks, its ``most`` first pairs in order of (d, v)
     whose ends lie in two groups and that come after u's place in ``after`` (u, after_d, after_v). So a round holds few
     pairs per node, a rejected pair is never asked again, and none is remembered. ``verified`` gives the linked pairs.
+    A round in which nobody had more than it was given for is the last.
     """
     after = scratch.spark.createDataFrame([], "u long, after_d int, after_v long")
     while True:
         asked = scratch.store(nearest(roots, after, most))
         if asked.isEmpty():
             return roots
+        whole = asked.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).isEmpty()
         good = verified(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         found = scratch.store(good.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        merged = scratch.store(components(found))
+        if whole:
+            scratch.drop(asked, found, after, roots)
+            return merged
         last = after.unionByName(asked.select("u", F.col("d").alias("after_d"), F.col("v").alias("after_v")))
         last = scratch.store(last.groupBy("u").agg(F.max(F.struct("after_d", "after_v")).alias("m")).select("u", "m.after_d", "m.after_v"))
-        merged = scratch.store(components(found))
         scratch.drop(asked, found, after, roots)
         roots, after, most = merged, last, 4 * most
 
 
-def may_be_in(keys: DataFrame, name: str) -> Column:
-    """Whether the key in column ``name`` may be among those of ``keys``, by a bitmap of a fixed size (2 MB) made in Spark.
+def crossing(pairs: DataFrame, roots: DataFrame, after: DataFrame, most: int) -> DataFrame:
+    """Of given pairs (u, v, d), for each u the ``most`` nearest between two groups after what it asked before."""
+    ends = roots.select(F.col("node").alias("u"), F.col("root").alias("gu")), roots.select(F.col("node").alias("v"), F.col("root").alias("gv"))
+    left = pairs.join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).join(after, "u", "left")
+    left = left.filter(F.col("after_d").isNull() | (F.struct("d", "v") > F.struct(F.col("after_d").alias("d"), F.col("after_v").alias("v")))).select("u", "v", "d")
+    place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+    return left.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Adds ``maybe``: whether the key in column ``name`` may be among those of ``keys``, by a bitmap made in Spark.
 
-    It never says no to a key that is there. It spares all other rows a shuffle; what passes is joined exactly.
+    It never says no to a key that is there. The bitmap has 2^18 words of 64 bits at most, whatever the number of keys, so it
+    can be broadcast. It spares all other rows a shuffle; what passes is joined exactly.
     """
-    bit = F.pmod(F.xxhash64(name), F.lit(BITMAP))
-    bits = keys.select(bit.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    words = np.zeros(BITMAP >> 6, np.int64)
-    for r in bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
-        words[r["word"]] = r["bits"]
-
-    @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        place = at.to_numpy(np.int64)
-        return pd.Series((words[place >> 6] >> (place & 63)) & 1 == 1)
-
-    return test(bit)
+    at = F.pmod(F.xxhash64(name), F.lit(BITMAP))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("__bits"))
+    flagged = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word", "left")
+    bit = F.expr("shiftright(__bits, cast(__at % 64 as int)) & 1L") == 1
+    return flagged.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("__word", "__bits", "__at")

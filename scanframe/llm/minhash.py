@@ -2,8 +2,10 @@
 
 A document is the set of its shingles. Each of ``HASHES`` universal hash functions gives the least value of the set; the
 share of equal minima estimates the Jaccard similarity of two sets. The minima are cut into bands of ``ROWS``; sets that
-agree in a whole band meet in its bucket. Pairs that meet are compared by their signatures (one byte of each minimum) and
-sizes, then exactly by their full sets; verified pairs go to alternating large-star and small-star rounds.
+agree in a whole band meet in its bucket. Pairs that meet are compared by their sizes, by their signatures (one byte of each
+minimum) and by their odd sketches (the parity of the hashes in each of ``BITS`` cells, whose Hamming distance tells how many
+shingles only one of two sets has), then exactly by their full sets; verified pairs go to alternating large-star and
+small-star rounds.
 
 Equal sets are one entry, so copies cost nothing. A bucket doesn't give all its pairs. First every entry is compared with
 the bucket's least one. Then, in buckets that hold several groups still, every entry outside the bucket's largest group
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanframe.llm.common import Scratch, cut, text_of
-from scanframe.llm.links import components, may_be_in, merged_in_rounds
+from scanframe.llm.links import crossing, maybe_in, merged_in_rounds
 
 SIZE, PERCENT = 5, 85
 ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
+BITS = 2048
+SKETCH = HASHES + BITS // 8
 #: Signatures that differ in more places are not compared exactly: six deviations beyond what the least similarity gives.
 FAR = int(HASHES * (1 - PERCENT / 100) + 6 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5) + 1
 #: Entries of a bucket that a task compares with the asking ones.
@@ -67,6 +71,20 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes in each of ``BITS`` cells, as bytes."""
+    return np.packbits(np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+
+
+def odd_limit(shingles_of_both: np.ndarray) -> np.ndarray:
+    """Hamming distance that the odd sketches of a pair at the least similarity exceed once in a billion, from the sum of their sizes."""
+    only_one = shingles_of_both * (100 - PERCENT) / (100 + PERCENT)
+    two, four = only_one * np.log1p(-2 / BITS), only_one * np.log1p(-4 / BITS)
+    mean = -BITS / 2 * np.expm1(two)
+    variance = -BITS / 4 * np.expm1(2 * two) + BITS * (BITS - 1) / 4 * (np.exp(four) - np.exp(2 * two))
+    return mean + 6 * np.sqrt(np.maximum(variance, 0)) + 3
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """(n, BANDS) keys of (n, HASHES) minima; the band is part of the key."""
     with np.errstate(over="ignore"):
@@ -80,9 +98,16 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 # ---- tasks -------------------------------------------------------------------------------------------------------------
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts: what a task holds besides its batch stays small."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets too small to have a similar one that differs (6 of 7 shingles are the fewest) get no keys."""
-    for batch in batches:
+    for batch in _slices(batches):
         sets = [shingles(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
         names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         large = [len(s) * (100 - PERCENT) >= PERCENT for s in sets]
@@ -91,24 +116,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([k if x else None for k, x in zip(keys, large, strict=True)], pa.list_(pa.int64())),
-             pa.array([s.tobytes() for s in signatures.astype(np.uint8)], pa.binary())],
+             pa.array([m.tobytes() + odd_sketch(s).tobytes() for m, s in zip(signatures.astype(np.uint8), sets, strict=True)], pa.binary())],
             names=["doc_id", "text_key", "set_key", "n_shingles", "keys", "signature"])
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two set sizes allow the similarity at all."""
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def compared(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of the odd sketches, and whether sizes, signatures and these allow the similarity (arrays, or one of a side)."""
+    d = np.bitwise_count(a[..., HASHES:] ^ b[..., HASHES:]).sum(-1, dtype=np.int32)
+    fit = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+    return d, fit & (d <= odd_limit(na + nb)) & ((a[..., :HASHES] != b[..., :HASHES]).sum(-1) <= FAR)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) whose sizes and signatures allow the similarity, with d, the places in which these differ."""
-    for batch in batches:
-        d = (_bytes(batch.column("su")) != _bytes(batch.column("sv"))).sum(1).astype(np.int32)
-        good = _fit(batch.column("nu").to_numpy(), batch.column("nv").to_numpy()) & (d <= FAR)
+    """Pairs (u, v) that may be similar, with the distance d of their odd sketches."""
+    for batch in _slices(batches, 4096):
+        d, good = compared(_bytes(batch.column("su")), batch.column("nu").to_numpy(), _bytes(batch.column("sv")), batch.column("nv").to_numpy())
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(d)], names=["u", "v", "d"]).filter(pa.array(good))
 
 
@@ -125,10 +151,10 @@ def _asked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         signatures = _bytes(ask.column("signature"))
         us, vs, ds = [], [], []
         for i in range(len(ask)):
-            fit = np.flatnonzero(_fit(n, column["n_shingles"][i]) & (group != column["group"][i]))
-            d = (s[fit] != signatures[i]).sum(1)
-            v = ids[fit]
-            on = np.flatnonzero((d <= FAR) & ((d > column["after_d"][i]) | ((d == column["after_d"][i]) & (v > column["after_v"][i]))))
+            other = np.flatnonzero(group != column["group"][i])
+            d, good = compared(s[other], n[other], signatures[i], column["n_shingles"][i])
+            v = ids[other]
+            on = np.flatnonzero(good & ((d > column["after_d"][i]) | ((d == column["after_d"][i]) & (v > column["after_v"][i]))))
             on = on[np.lexsort((v[on], d[on]))[:most]]
             us.append(np.full(len(on), column["id"][i]))
             vs.append(v[on])
@@ -153,7 +179,7 @@ def _asked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exactly, by full sets. Rows with one v mostly come together; its set is made once then."""
     last, made = None, None
-    for batch in batches:
+    for batch in _slices(batches, 256):
         good = []
         for v, a, b in zip(batch.column("v").to_pylist(), batch.column("ta").cast(pa.binary()).to_pylist(), batch.column("tb").cast(pa.binary()).to_pylist(), strict=True):
             if v != last:
@@ -228,30 +254,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = scratch.store(_first_pairs(members, sets))
     keyed = docs.select(F.md5(text_of()).alias("text_key"), "text")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = scratch.store(ids.join(sets.select("id", "text_key"), "id"))
-        return keyed.filter(may_be_in(wanted, "text_key")).join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text"))
-
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = scratch.store(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+        wanted = scratch.store(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id", "text_key"), "id"))
+        texts = scratch.store(maybe_in(keyed, wanted, "text_key").filter("maybe").drop("maybe").join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
         both = pairs.join(texts.toDF("u", "ta"), "u").join(texts.toDF("v", "tb"), "v")
-        return both.mapInArrow(_verified, "u long, v long")
+        good = scratch.store(both.mapInArrow(_verified, "u long, v long"))
+        scratch.drop(wanted, texts)
+        return good
 
     none = docs.sparkSession.createDataFrame([], "node long, root long")
-    roots = merged_in_rounds(lambda roots, after, most: _crossing(first, roots, after, most), verified, none, scratch)
+    roots = merged_in_rounds(lambda roots, after, most: crossing(first, roots, after, most), verified, none, scratch, BANDS)
     buckets = scratch.store(_open(members, roots))
+    scratch.drop(members, first)
     roots = merged_in_rounds(lambda roots, after, most: _nearest(buckets, sets, roots, after, most), verified, roots, scratch)
     named = sets.join(roots, sets["id"] == roots["node"], "left").select("set_key", F.coalesce("root", "id").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = scratch.store(named.join(least, "root").select("set_key", "component_id"))
     out = rows.join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return scratch.result(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-
-
-def _crossing(pairs: DataFrame, roots: DataFrame, after: DataFrame, most: int) -> DataFrame:
-    """Of given pairs (u, v, d), for each u the ``most`` nearest between two groups after what it asked before."""
-    ends = roots.select(F.col("node").alias("u"), F.col("root").alias("gu")), roots.select(F.col("node").alias("v"), F.col("root").alias("gv"))
-    left = pairs.join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).join(after, "u", "left")
-    left = left.filter(F.col("after_d").isNull() | (F.struct("d", "v") > F.struct(F.col("after_d").alias("d"), F.col("after_v").alias("v")))).select("u", "v", "d")
-    place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    return left.withColumn("place", place).filter(F.col("place") <= most).drop("place")

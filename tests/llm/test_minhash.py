@@ -2,14 +2,13 @@
 
 import random
 
-import pytest
 from llm_fixtures import SCHEMA, documents, rows, sentence
 from pyspark.sql import functions as F
 from test_operators import plain_components
 
 from scanframe.llm import minhash, queries
 from scanframe.llm.common import Scratch
-from scanframe.llm.links import merged_in_rounds
+from scanframe.llm.links import crossing, merged_in_rounds
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,10 +48,9 @@ def edited(r, words, share):
     return [f"new{r.random()}" if r.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("part", [minhash.PART, 16])
-def test_crowded_buckets(spark, monkeypatch, part):
-    """Chains of edits, copies around one text that isn't the least, texts that share much and are not alike."""
-    monkeypatch.setattr(minhash, "PART", part)
+def test_crowded_buckets(spark, monkeypatch):
+    """Chains of edits, copies around one text that isn't the least, texts that share much and are not alike; in small parts."""
+    monkeypatch.setattr(minhash, "PART", 16)
     r, texts = random.Random(1), []
     base = sentence(r, 300).split()
     texts += [edited(r, base, 0.02) for _ in range(150)] + [base]
@@ -79,7 +77,7 @@ def test_rounds_ask_for_every_pair(spark, tmp_path):
         return spark.createDataFrame([p for p in got if (p[0] - p[1]) % 5 == 0], "u long, v long")
 
     none = spark.createDataFrame([], "node long, root long")
-    roots = merged_in_rounds(lambda roots, after, most: minhash._crossing(table, roots, after, most), verified, none, Scratch(spark, "rounds"), 2)
+    roots = merged_in_rounds(lambda roots, after, most: crossing(table, roots, after, most), verified, none, Scratch(spark, "rounds"), 2)
     group = {x["node"]: x["root"] for x in roots.collect()}
     assert all(group.get(i, i) == i % 5 for i in range(20))
     assert len(asked) == len(set(asked))
@@ -95,5 +93,21 @@ def test_signatures_estimate_similarity():
         assert abs((minhash.minima(a) == minhash.minima(b)).mean() - both / (len(a) + len(b) - both)) < 0.15
 
 
+def test_sketches_never_reject_similar_pairs():
+    """Pairs just at the least similarity pass, whatever their size; those well below don't."""
+    r = minhash.np.random.default_rng(4)
+    for n in (40, 300, 3000, 30000):
+        for share, limit in ((15 / 185, True), (0.3, False)):
+            passed = 0
+            for _ in range(20):
+                common, own = int(n * (1 - share)), int(n * share)
+                made = [minhash.np.unique(x) for x in (r.integers(1 << 63, size=common + 2 * own, dtype=minhash.np.uint64),)][0]
+                r.shuffle(made)
+                a, b = minhash.np.sort(made[:common + own]), minhash.np.sort(minhash.np.concatenate([made[:common], made[common + own:]]))
+                sides = [minhash.np.concatenate([minhash.minima(x).astype(minhash.np.uint8), minhash.odd_sketch(x)]) for x in (a, b)]
+                passed += bool(minhash.compared(sides[0], len(a), sides[1], len(b))[1])
+            assert passed == 20 if limit else passed <= 2
+
+
 def test_empty_table(spark):
     assert minhash.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
