@@ -141,13 +141,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and part, a part's own entries before those that ask; ``most`` answers to each that asks.
 
+    A pair counts in the first band that it shares only: in its bucket there one of the two asks, in this round or before.
     One part and one batch are held at a time.
     """
     place, own = None, []
 
     def answers(ask: pa.RecordBatch) -> pa.RecordBatch:
         n, group, ids, s = (np.concatenate([o[k] for o in own]) for k in range(4))
-        column = {c: ask.column(c).to_numpy(zero_copy_only=False) for c in ("id", "group", "n_shingles", "after_d", "after_v")}
+        column = {c: ask.column(c).to_numpy(zero_copy_only=False) for c in ("id", "band", "group", "n_shingles", "after_d", "after_v")}
         signatures = _bytes(ask.column("signature"))
         us, vs, ds = [], [], []
         for i in range(len(ask)):
@@ -155,6 +156,8 @@ def _asked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             d, good = compared(s[other], n[other], signatures[i], column["n_shingles"][i])
             v = ids[other]
             on = np.flatnonzero(good & ((d > column["after_d"][i]) | ((d == column["after_d"][i]) & (v > column["after_v"][i]))))
+            shared = (s[other[on], :HASHES].reshape(-1, BANDS, ROWS) == signatures[i, :HASHES].reshape(BANDS, ROWS)).all(2)
+            on = on[shared.argmax(1) == column["band"][i]]
             on = on[np.lexsort((v[on], d[on]))[:most]]
             us.append(np.full(len(on), column["id"][i]))
             vs.append(v[on])
@@ -201,10 +204,10 @@ def _entries(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def _members(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, least, several) of the buckets that hold two entries or more."""
-    rows = sets.select("id", F.explode("keys").alias("key"))
+    """(key, band, id, least, several) of the buckets that hold two entries or more."""
+    rows = sets.select("id", F.posexplode("keys").alias("band", "key"))
     shared = scratch.store(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return scratch.store(rows.join(shared, "key").select("key", "id", "least", (F.col("n") > 2).alias("several")))
+    return scratch.store(rows.join(shared, "key").select("key", "band", "id", "least", (F.col("n") > 2).alias("several")))
 
 
 def _first_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,7 +219,7 @@ def _first_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, anchor, parts) of the buckets of three entries or more that hold several groups.
+    """(key, band, id, anchor, parts) of the buckets of three entries or more that hold several groups.
 
     The anchor is an entry of the bucket's largest group. It stays, whatever groups merge: who doesn't ask in a bucket is
     in the anchor's group, so who asks now has asked there in every round before.
@@ -225,20 +228,20 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     found = sizes.groupBy("key").agg(F.max_by("first", F.struct("n", "first")).alias("anchor"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
     found = cut(found.filter("groups > 1").select("key", "anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    return members.select("key", "id").join(found, "key")
+    return members.select("key", "band", "id").join(found, "key")
 
 
 def _nearest(buckets: DataFrame, sets: DataFrame, roots: DataFrame, after: DataFrame, most: int) -> DataFrame:
     """(u, v, d): for entries that are not in the group of a bucket's anchor, their ``most`` nearest of other groups, over all buckets."""
     grouped = buckets.join(roots.toDF("id", "group"), "id", "left").join(roots.toDF("anchor", "main"), "anchor", "left")
-    grouped = cut(grouped.select("key", "id", "parts", F.coalesce("group", "id").alias("group"), F.coalesce("main", "anchor").alias("main")))
+    grouped = cut(grouped.select("key", "band", "id", "parts", F.coalesce("group", "id").alias("group"), F.coalesce("main", "anchor").alias("main")))
     asking = grouped.filter(F.col("group") != F.col("main"))
     side = sets.select("id", "n_shingles", "signature")
     own = grouped.join(asking.select("key").distinct(), "key", "left_semi").join(side, "id").select(
-        "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "group", "n_shingles", "signature",
+        "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "band", "group", "n_shingles", "signature",
         F.lit(-1).alias("after_d"), F.lit(-1).cast("long").alias("after_v"))
     ask = asking.join(side, "id").join(after.withColumnRenamed("u", "id"), "id", "left").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "id", "group", "n_shingles", "signature",
+        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "id", "band", "group", "n_shingles", "signature",
         F.coalesce("after_d", F.lit(-1)).alias("after_d"), F.coalesce("after_v", F.lit(-1).cast("long")).alias("after_v"))
     dealt = own.unionByName(ask).repartition("key", "part").sortWithinPartitions("key", "part", "asks")
     found = dealt.mapInArrow(lambda it: _asked(it, most), "u long, v long, d int").distinct()
@@ -266,7 +269,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     roots = merged_in_rounds(lambda roots, after, most: crossing(first, roots, after, most), verified, none, scratch, BANDS)
     buckets = scratch.store(_open(members, roots))
     scratch.drop(members, first)
-    roots = merged_in_rounds(lambda roots, after, most: _nearest(buckets, sets, roots, after, most), verified, roots, scratch)
+    roots = merged_in_rounds(lambda roots, after, most: _nearest(buckets, sets, roots, after, most), verified, roots, scratch, 8)
     named = sets.join(roots, sets["id"] == roots["node"], "left").select("set_key", F.coalesce("root", "id").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = scratch.store(named.join(least, "root").select("set_key", "component_id"))
