@@ -15,24 +15,22 @@ gives an empty result.
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanframe.llm.common import cut, shared_dir, text_of
-from scanframe.llm.links import components
+from scanframe.llm.common import Scratch, cut, text_of
+from scanframe.llm.links import components, crossing, maybe_in, merged_in_rounds
 
+#: How a table that is read again is stored.
+Keep = Callable[[DataFrame], DataFrame]
 SEED = 42
 LEAF, FAN, SUB = 512, 8, 16
 PART = 1 << 16
-BITMAP = 1 << 24
-NEAREST = 4
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------------
@@ -137,7 +135,7 @@ def _parents(nodes: DataFrame) -> DataFrame:
         "t", F.col("parent").alias("node"), "mask", F.col("p").bitwiseAND(F.col("mask")).alias("pattern"), *_groups(nodes))
 
 
-def _levels(leaves: DataFrame) -> list[DataFrame]:
+def _levels(leaves: DataFrame, keep: Keep = cut) -> list[DataFrame]:
     """The index from its root level down to the leaves: (t, node, parent, mask, pattern)."""
     order = leaves.select("t", "node").withColumn("pid", F.shiftrightunsigned("node", 32)).groupBy("pid").agg(F.count(F.lit(1)).alias("n")).orderBy("pid")
     base, at = [], 0  # a number per partition: numbers leaves through
@@ -147,12 +145,12 @@ def _levels(leaves: DataFrame) -> list[DataFrame]:
     shift = leaves.sparkSession.createDataFrame(base or [(0, 0)], "pid long, shift long")
     level = (leaves.drop("members").withColumn("pid", F.shiftrightunsigned("node", 32)).join(F.broadcast(shift), "pid")
              .select("t", "node", (F.col("node") + F.col("shift")).alias("at"), "mask", "pattern", *_groups(leaves)))
-    level = cut(level.select("t", F.col("node").alias("leaf"), F.col("at").alias("node"), F.floor(F.col("at") / FAN).alias("parent"), "mask", "pattern", *_groups(leaves)))
+    level = keep(level.select("t", F.col("node").alias("leaf"), F.col("at").alias("node"), F.floor(F.col("at") / FAN).alias("parent"), "mask", "pattern", *_groups(leaves)))
     levels, n = [level], at
     while n > 1:
         up = _parents(levels[-1]).withColumn("parent", F.floor(F.col("node") / FAN))
         n = -(-n // FAN)
-        levels.append(cut(up))
+        levels.append(keep(up))
     return levels[::-1]
 
 
@@ -161,19 +159,19 @@ def _differ(limit: int, grouped: bool) -> Column:
     return near & F.expr("least(a.lo, b.lo) < greatest(a.hi, b.hi)") if grouped else near
 
 
-def surviving_leaves(leaves: DataFrame, limit: int) -> DataFrame:
+def surviving_leaves(leaves: DataFrame, limit: int, keep: Keep = cut) -> DataFrame:
     """Pairs of leaves (a, b), a <= b, of one table whose patterns differ in ``limit`` bits or fewer at every level.
 
     Where entries have groups, pairs that lie in one group altogether are dropped at the level that shows it.
     """
-    levels, differ = _levels(leaves), _differ(limit, bool(_groups(leaves)))
+    levels, differ = _levels(leaves, keep), _differ(limit, bool(_groups(leaves)))
     top = levels[0]
     pairs = top.alias("a").join(top.alias("b"), (F.expr("a.t = b.t") & F.expr("a.parent = b.parent") & F.expr("a.node <= b.node") & differ))
     pairs = pairs.select(F.col("a.t").alias("t"), F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     for level in levels[1:]:
         left = pairs.join(level.alias("a"), (pairs["t"] == F.col("a.t")) & (pairs["x"] == F.col("a.parent")))
         both = left.join(level.alias("b"), (F.col("a.t") == F.col("b.t")) & (pairs["y"] == F.col("b.parent")) & F.expr("a.node <= b.node") & differ)
-        pairs = cut(both.select(F.col("a.t").alias("t"), F.col("a.node").alias("x"), F.col("b.node").alias("y")))
+        pairs = keep(both.select(F.col("a.t").alias("t"), F.col("a.node").alias("x"), F.col("b.node").alias("y")))
     names = levels[-1].select("node", "leaf")
     return (pairs.join(names.withColumnRenamed("leaf", "a"), pairs["x"] == F.col("node")).drop("node")
             .join(names.withColumnRenamed("leaf", "b"), pairs["y"] == F.col("node")).select("t", "a", "b"))
@@ -247,7 +245,7 @@ def _search(batches: Iterator[pa.RecordBatch], limit: int, links: str) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["t", "u", "v"])
 
 
-def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting") -> DataFrame:
+def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting", keep: Keep = cut) -> DataFrame:
     """Links (t, u, v) between different fingerprints ``fp`` of the same table ``t`` that differ in ``limit`` bits or fewer.
 
     Each surviving pair of leaves gives links enough to connect what it connects, or all (an entry has a bounded number
@@ -255,18 +253,22 @@ def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting")
     """
     entries = entries.select("t", "fp").distinct().withColumn("rank", gray_rank(F.col("fp")))
     dealt = entries.repartitionByRange("t", "rank").sortWithinPartitions("t", "rank")
-    leaves = cut(dealt.select("t", "fp").mapInArrow(_leaves, "t int, node long, mask long, pattern long, members binary"))
-    pairs = surviving_leaves(leaves, limit)
+    leaves = keep(dealt.select("t", "fp").mapInArrow(_leaves, "t int, node long, mask long, pattern long, members binary"))
+    pairs = surviving_leaves(leaves, limit, keep)
     part = leaves.select("node", "members")
     both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
             .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("t", "ma", "mb"))
     return both.mapInArrow(lambda it: _search(it, limit, links), "t int, u long, v long")
 
 
+#: Longs of a member before its sketch: fingerprint, id, group, where its group stood at the start, and what it asked last.
+HEAD = 6
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of entries (t, fp, id, group) that come sorted; many entries of one fingerprint fill several leaves."""
+    """Leaves of entries (t, fp, id, group, start, after_d, after_v, sketch) that come sorted; many entries of one fingerprint fill several."""
     from pyspark import TaskContext
-    seq, held = TaskContext.get().partitionId() << 32, np.empty((0, 4), np.int64)
+    seq, held = TaskContext.get().partitionId() << 32, None
 
     def leaf(part: np.ndarray) -> pa.RecordBatch:
         nonlocal seq
@@ -278,37 +280,61 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["t", "node", "mask", "pattern", "lo", "hi", "members"])
 
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "fp", "id", "group")], axis=1)
-        have = np.concatenate([held, rows])
+        if not len(batch):
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "fp", "id", "group", "start", "after_d", "after_v")], axis=1)
+        rows = np.hstack([rows, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.int64).reshape(len(rows), -1)])
+        have = rows if held is None else np.concatenate([held, rows])
         parts = [p[i:i + LEAF] for p in np.split(have, np.flatnonzero(np.diff(have[:, 0])) + 1) for i in range(0, len(p), LEAF)]
-        held = parts.pop() if parts else held
+        held = parts.pop()
         yield from map(leaf, parts)
-    if len(held):
+    if held is not None:
         yield leaf(held)
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _nearest_in(a: np.ndarray, b: np.ndarray, limit: int, far: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, d) between two leaves: for every member, its ``most`` nearest of groups that stood after its own, from where it stopped."""
+    i, j = np.nonzero((np.bitwise_count((a[:, 0][:, None] ^ b[:, 0][None, :]).view(np.uint64)) <= limit) & (a[:, 2][:, None] != b[:, 2][None, :]))
+    out = []
+    for s in range(0, len(i), 1 << 15):
+        x, y = a[i[s:s + (1 << 15)]], b[j[s:s + (1 << 15)]]
+        d = np.bitwise_count((x[:, HEAD:] ^ y[:, HEAD:]).view(np.uint64)).sum(1).astype(np.int64)
+        ask = (x[:, 3] < y[:, 3])[:, None]
+        u, v = np.where(ask, x[:, :HEAD], y[:, :HEAD]), np.where(ask, y[:, :HEAD], x[:, :HEAD])
+        new = (d <= far) & ((d > u[:, 4]) | ((d == u[:, 4]) & (v[:, 1] > u[:, 5])))
+        out.append(np.stack([u[new, 1], d[new], v[new, 1]]))
+    found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((3, 0), np.int64)  # in order of (u, d, v)
+    first = np.flatnonzero(np.diff(found[0], prepend=-1))
+    keep = np.arange(found.shape[1]) - np.repeat(first, np.diff(first, append=found.shape[1])) < most
+    return found[0, keep], found[2, keep], found[1, keep]
+
+
+def _asked(batches: Iterator[pa.RecordBatch], limit: int, far: int, most: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ma, mb in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-            (fa, ia, ga), (fb, ib, gb) = (np.frombuffer(m, np.int64).reshape(-1, 3).T for m in (ma, mb))
-            near = np.bitwise_count((fa[:, None] ^ fb[None, :]).view(np.uint64)) <= limit
-            i, j = np.nonzero(near & (ga[:, None] != gb[None, :]))
-            u, v = np.maximum(ia[i], ib[j]), np.minimum(ia[i], ib[j])
+            u, v, d = _nearest_in(*(np.frombuffer(m, np.int64).reshape(-1, width) for m in (ma, mb)), limit, far, most)
             if len(u):
-                u, v = np.unique(np.stack([u, v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d, pa.int32())], names=["u", "v", "d"])
 
 
-def crossing_pairs(entries: DataFrame, limit: int) -> DataFrame:
-    """All (u, v), u > v, of ids whose fingerprints differ in ``limit`` bits or fewer in a table and that are in two
-    groups, of entries (t, fp, id, group). Blocks of entries are compared in tasks; a pair may appear more than once."""
+def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, most: int, limit: int, far: int, words: int, keep: Keep) -> DataFrame:
+    """(u, v, d) of entries (t, fp, id, start, sketch) that meet in a table and are in two groups: for each u its ``most`` nearest.
+
+    Of two groups, the members of the one with the lesser ``start`` ask. That never changes, so every pair has one that asks
+    for it in every round. Sketches travel with the leaves: distances are taken, and cut down to ``most``, inside the tasks.
+    """
     order = ["t", "rank", "group", "id"]
-    dealt = entries.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(*order).sortWithinPartitions(*order)
-    leaves = cut(dealt.select("t", "fp", "id", "group").mapInArrow(_blocks, "t int, node long, mask long, pattern long, lo long, hi long, members binary"))
-    pairs, part = surviving_leaves(leaves, limit), leaves.select("node", "members")
+    grouped = entries.join(roots.toDF("id", "group"), "id", "left").join(after.withColumnRenamed("u", "id"), "id", "left").select(
+        "t", "fp", "id", F.coalesce("group", "id").alias("group"), "start", F.coalesce("after_d", F.lit(-1)).alias("after_d"), F.coalesce("after_v", F.lit(-1).cast("long")).alias("after_v"),
+        "sketch", gray_rank(F.col("fp")).alias("rank"))
+    dealt = grouped.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
+    leaves = keep(dealt.mapInArrow(_blocks, "t int, node long, mask long, pattern long, lo long, hi long, members binary"))
+    pairs, part = surviving_leaves(leaves, limit, keep), leaves.select("node", "members")
     both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
             .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("ma", "mb"))
-    return both.mapInArrow(lambda it: _crossing(it, limit), "u long, v long")
+    found = both.mapInArrow(lambda it: _asked(it, limit, far, most, HEAD + words), "u long, v long, d int").distinct()
+    place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))  # cut before the shuffle
+    return found.withColumn("place", place).filter(F.col("place") <= most).drop("place")
 
 
 def groups(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
@@ -389,29 +415,6 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP))
-
-
-def _may_be_in(keys: DataFrame, key: Column) -> Column:
-    """Whether a text key may be among ``keys.text_key``, by a bitmap of a fixed size (2 MB) that is made in Spark.
-
-    It never says no to a key that is there. It spares all other texts a shuffle; what passes is joined exactly.
-    """
-    bits = keys.select(_bit(F.col("text_key")).alias("at")).select(
-        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    words = np.zeros(BITMAP >> 6, np.int64)
-    for r in bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
-        words[r["word"]] = r["bits"]
-
-    @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        place = at.to_numpy(np.int64)
-        return pd.Series((words[place >> 6] >> (place & 63)) & 1 == 1)
-
-    return test(_bit(key))
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 2, miss: float = 0.02) -> DataFrame:
     """(doc_id, text_key, copies, root) of the different texts, with their least doc_id, the number of rows that have
     them and their group; ``stays`` marks the one with the least doc_id.
@@ -419,81 +422,59 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     Texts are sketched by SimHash bits; several tables of fingerprints are searched through the index; pairs that meet
     in one are compared by their whole sketches and, if these come near, by the Jaccard similarity of their shingle sets.
     First come pairs between the least text of each fingerprint and the others of it or the least of a near one. Then,
-    wherever that left a pair out, all pairs that meet and are in two groups still; of these, in rounds, those with each
-    text's nearest sketches are compared, until none is left between two groups.
+    wherever that left pairs out, texts ask for their nearest sketches of other groups among all they meet, a few a round,
+    until no pair that meets lies between two groups.
     """
+    scratch = Scratch(docs.sparkSession, "near")
+    keep = scratch.store
     n = docs.count()
     bits, tables = tables_for(n, similarity, limit, miss)
     words = max(10, -(-bits * tables // 64))
     keyed = docs.select("doc_id", F.md5(text_of()).alias("text_key"), "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("first")
     thin = keyed.mapInArrow(lambda it: _sketched(it, size, words), "doc_id long, text_key string, sketch binary")
-    entries = cut(cut(thin.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))).withColumn("id", F.monotonically_increasing_id()))
-    dealt = cut(entries.select("id", "sketch").mapInArrow(lambda it: _dealt(it, bits, tables), "t int, fp long, id long"))
-    least = cut(dealt.groupBy("t", "fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    links = cut(near_fingerprints(least.select("t", "fp"), limit, "outermost"))
+    same = thin.groupBy("text_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    entries = keep(same.withColumn("id", F.monotonically_increasing_id()))
+    dealt = keep(entries.select("id", "sketch").mapInArrow(lambda it: _dealt(it, bits, tables), "t int, fp long, id long"))
+    least = keep(dealt.groupBy("t", "fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    links = keep(near_fingerprints(least.select("t", "fp"), limit, "outermost", keep))
     inside = dealt.join(least, ["t", "fp"]).filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v"))
     ends = least.select("t", F.col("fp").alias("f"), "least")
     across = links.filter("u <> v")
     across = (across.join(ends, (across["t"] == ends["t"]) & (across["u"] == ends["f"])).select(across["t"], F.col("v").alias("w"), F.col("least").alias("a")))
     across = across.join(ends, (across["t"] == ends["t"]) & (across["w"] == ends["f"])).select(F.greatest("a", "least").alias("u"), F.least("a", "least").alias("v"))
-    pairs = inside.unionByName(across).distinct()
 
     sketches = entries.select("id", F.col("sketch").alias("s"))
     far = math.ceil(64 * words * min(0.5, angle_share(similarity) + 0.05))
-
-    def near_of(pairs: DataFrame) -> DataFrame:
-        compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
-                    .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
-        return cut(compared.mapInArrow(lambda it: _near(it, far), "u long, v long, d int"))
-
-    def texts_of(near: DataFrame) -> DataFrame:
-        wanted = cut(near.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
-        return cut(keyed.select("text_key", "text").filter(_may_be_in(wanted, F.col("text_key"))).join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
-
-    def alike(near: DataFrame, texts: DataFrame) -> DataFrame:
-        beside = (near.join(texts.withColumnRenamed("text", "ta"), near["u"] == F.col("id")).drop("id")
-                  .join(texts.withColumnRenamed("text", "tb"), near["v"] == F.col("id")).drop("id"))
-        return beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long")
-
-    near = near_of(pairs)
-    roots = _stored(components(_stored(alike(near, texts_of(near)))))
+    pairs = inside.unionByName(across).distinct()
+    compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
+                .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
+    near = keep(compared.mapInArrow(lambda it: _near(it, far), "u long, v long, d int"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
+        texts = keep(maybe_in(keyed.select("text_key", "text"), wanted, "text_key").filter("maybe").drop("maybe").join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text")))
+        beside = (pairs.join(texts.withColumnRenamed("text", "ta"), pairs["u"] == F.col("id")).drop("id")
+                  .join(texts.withColumnRenamed("text", "tb"), pairs["v"] == F.col("id")).drop("id"))
+        good = keep(beside.mapInArrow(lambda it: _verified(it, size, similarity), "u long, v long"))
+        scratch.drop(wanted, texts)
+        return good
+
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = merged_in_rounds(lambda roots, after, most: crossing(near, roots, after, most), alike, roots, scratch, 64)
     # pairs were left out only within a fingerprint of several texts, between it and its neighbours, and between crowded ones
     several = least.filter("n > 1").select("t", F.col("fp").alias("u"))
     both = links.filter("u <> v").unionByName(links.filter("u <> v").select("t", F.col("v").alias("u"), F.col("u").alias("v")))
     open_ = several.unionByName(both.join(several, ["t", "u"]).select("t", F.col("v").alias("u"))).unionByName(links.filter("u = v").select("t", "u"))
-    asked = dealt.join(open_.distinct().withColumnRenamed("u", "fp"), ["t", "fp"])
-    asked = asked.join(roots, asked["id"] == roots["node"], "left").select("t", "fp", "id", F.coalesce("root", "id").alias("group"))
-    left = near_of(crossing_pairs(asked, limit).distinct().join(near.select("u", "v"), ["u", "v"], "left_anti"))
-    if not left.isEmpty():
-        texts, most = texts_of(left), NEAREST
-        while True:
-            a, b = (roots.select(F.col("node").alias(e), F.col("root").alias(f"g{e}")) for e in ("u", "v"))
-            left = _stored(left.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v", "d"))
-            if left.isEmpty():
-                break
-            nearest = _nearest(left, most)
-            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = _stored(components(_stored(alike(nearest, texts).unionByName(known))))
-            left, most = left.join(nearest, ["u", "v"], "left_anti"), 4 * most
+    grouped = entries.select("id", "sketch").join(roots.toDF("id", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("n", "group").sortWithinPartitions("n", "group")
+    stands = keep(sizes.select("group", F.monotonically_increasing_id().alias("start")))
+    asked = keep(dealt.join(open_.distinct().withColumnRenamed("u", "fp"), ["t", "fp"]).join(grouped.join(stands, "group").select("id", "start", "sketch"), "id"))
+    scratch.drop(dealt, least, links, near, stands)
+    roots = merged_in_rounds(lambda roots, after, most: nearest_crossing(asked, roots, after, most, limit, far, words, keep), alike, roots, scratch)
     named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "copies", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("best"))
-    return named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "copies", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays"))
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written and read back. Spark carries its estimate of a join's size through a checkpoint; in rounds of joins it
-    would grow to numbers of so many digits that planning takes longer than the work."""
-    path = f"{shared_dir(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _nearest(pairs: DataFrame, most: int) -> DataFrame:
-    """Of pairs (u, v, d), those that are among the ``most`` of least d of one of their ends: (u, v)."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("end"), "u", "v", "d")
-    place = F.row_number().over(Window.partitionBy("end").orderBy("d", "u", "v"))  # cut before the shuffle
-    return cut(ends.withColumn("place", place).filter(F.col("place") <= most).select("u", "v").distinct())
+    return scratch.result(named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "copies", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays")))
 
 
 def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
@@ -506,11 +487,12 @@ def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatc
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """For the pipeline: of each group of near duplicates, the document with the least id; repeated rows count once."""
-    marked = cut(near_duplicates(docs, **options))
+    marked = near_duplicates(docs, **options)
     kept = marked.filter("stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
     keyed = docs.withColumn("__text_key", F.md5(text_of()))
     # a text that stays and stands in one row only needs no join
-    doubtful = _may_be_in(marked.filter("not stays or copies > 1"), F.col("__text_key"))
-    clear, asked = (keyed.filter(c) for c in (~doubtful, doubtful))
+    doubtful = marked.filter("not stays or copies > 1").select(F.col("text_key").alias("__text_key"))
+    keyed = maybe_in(keyed, doubtful, "__text_key").withColumnRenamed("maybe", "__maybe")
+    clear, asked = keyed.filter("not __maybe"), keyed.filter("__maybe")
     chosen = asked.join(kept, asked["doc_id"].eqNullSafe(kept["__doc"]) & (asked["__text_key"] == kept["__key"]), "left_semi")
     return clear.unionByName(chosen.dropDuplicates(["doc_id", "__text_key"])).select(*docs.columns)
