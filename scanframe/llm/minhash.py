@@ -76,9 +76,9 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
 
 
-def odd_limit(shingles_of_both: np.ndarray) -> np.ndarray:
+def odd_limit(shingles_of_both: np.ndarray, percent: float = PERCENT) -> np.ndarray:
     """Hamming distance that the odd sketches of a pair at the least similarity exceed once in a billion, from the sum of their sizes."""
-    only_one = shingles_of_both * (100 - PERCENT) / (100 + PERCENT)
+    only_one = shingles_of_both * (100 - percent) / (100 + percent)
     two, four = only_one * np.log1p(-2 / BITS), only_one * np.log1p(-4 / BITS)
     mean = -BITS / 2 * np.expm1(two)
     variance = -BITS / 4 * np.expm1(2 * two) + BITS * (BITS - 1) / 4 * (np.exp(four) - np.exp(2 * two))

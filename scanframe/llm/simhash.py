@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from scanframe.llm.common import Scratch, cut, text_of
 from scanframe.llm.links import components, crossing, maybe_in, merged_in_rounds
+from scanframe.llm.minhash import BITS, odd_limit, odd_sketch
 
 #: How a table that is read again is stored.
 Keep = Callable[[DataFrame], DataFrame]
@@ -292,16 +293,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield leaf(held)
 
 
-def _nearest_in(a: np.ndarray, b: np.ndarray, limit: int, far: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest_in(a: np.ndarray, b: np.ndarray, limit: int, far: int, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, d) between two leaves: for every member, its ``most`` nearest of groups that stood after its own, from where it stopped."""
     i, j = np.nonzero((np.bitwise_count((a[:, 0][:, None] ^ b[:, 0][None, :]).view(np.uint64)) <= limit) & (a[:, 2][:, None] != b[:, 2][None, :]))
     out = []
     for s in range(0, len(i), 1 << 15):
         x, y = a[i[s:s + (1 << 15)]], b[j[s:s + (1 << 15)]]
-        d = np.bitwise_count((x[:, HEAD:] ^ y[:, HEAD:]).view(np.uint64)).sum(1).astype(np.int64)
+        d, good = _distances(x[:, HEAD:], y[:, HEAD:], far, similarity)
         ask = (x[:, 3] < y[:, 3])[:, None]
         u, v = np.where(ask, x[:, :HEAD], y[:, :HEAD]), np.where(ask, y[:, :HEAD], x[:, :HEAD])
-        new = (d <= far) & ((d > u[:, 4]) | ((d == u[:, 4]) & (v[:, 1] > u[:, 5])))
+        new = good & ((d > u[:, 4]) | ((d == u[:, 4]) & (v[:, 1] > u[:, 5])))
         out.append(np.stack([u[new, 1], d[new], v[new, 1]]))
     found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((3, 0), np.int64)  # in order of (u, d, v)
     first = np.flatnonzero(np.diff(found[0], prepend=-1))
@@ -309,15 +310,15 @@ def _nearest_in(a: np.ndarray, b: np.ndarray, limit: int, far: int, most: int) -
     return found[0, keep], found[2, keep], found[1, keep]
 
 
-def _asked(batches: Iterator[pa.RecordBatch], limit: int, far: int, most: int, width: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], limit: int, far: int, similarity: float, most: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ma, mb in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-            u, v, d = _nearest_in(*(np.frombuffer(m, np.int64).reshape(-1, width) for m in (ma, mb)), limit, far, most)
+            u, v, d = _nearest_in(*(np.frombuffer(m, np.int64).reshape(-1, width) for m in (ma, mb)), limit, far, similarity, most)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d, pa.int32())], names=["u", "v", "d"])
 
 
-def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, most: int, limit: int, far: int, words: int, keep: Keep) -> DataFrame:
+def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, most: int, limit: int, far: int, similarity: float, words: int, keep: Keep) -> DataFrame:
     """(u, v, d) of entries (t, fp, id, start, sketch) that meet in a table and are in two groups: for each u its ``most`` nearest.
 
     Of two groups, the members of the one with the lesser ``start`` ask. That never changes, so every pair has one that asks
@@ -332,7 +333,7 @@ def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, mos
     pairs, part = surviving_leaves(leaves, limit, keep), leaves.select("node", "members")
     both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
             .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("ma", "mb"))
-    found = both.mapInArrow(lambda it: _asked(it, limit, far, most, HEAD + words), "u long, v long, d int").distinct()
+    found = both.mapInArrow(lambda it: _asked(it, limit, far, similarity, most, HEAD + words + BITS // 64 + 1), "u long, v long, d int").distinct()
     place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))  # cut before the shuffle
     return found.withColumn("place", place).filter(F.col("place") <= most).drop("place")
 
@@ -384,7 +385,9 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # of the set of shingles, as the Jaccard similarity is
-        out = [sketch(np.unique(shingle_hashes(t.as_py() or b"", size)), words).tobytes() for t in batch.column("text").cast(pa.binary())]
+        sets = [np.unique(shingle_hashes(t.as_py() or b"", size)) for t in batch.column("text").cast(pa.binary())]
+        # the bits of the tables, then the parities that tell how far two sets are apart, then the set's size
+        out = [sketch(s, words).tobytes() + odd_sketch(s).tobytes() + len(s).to_bytes(8, "little") for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, pa.binary())], names=["doc_id", "text_key", "sketch"])
 
 
@@ -449,7 +452,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     pairs = inside.unionByName(across).distinct()
     compared = (pairs.join(sketches.withColumnRenamed("s", "su"), pairs["u"] == F.col("id")).drop("id")
                 .join(sketches.withColumnRenamed("s", "sv"), pairs["v"] == F.col("id")).drop("id"))
-    near = keep(compared.mapInArrow(lambda it: _near(it, far), "u long, v long, d int"))
+    near = keep(compared.mapInArrow(lambda it: _near(it, far, similarity), "u long, v long, d int"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(entries.select("id", "text_key"), "id"))
@@ -471,18 +474,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lim
     stands = keep(sizes.select("group", F.monotonically_increasing_id().alias("start")))
     asked = keep(dealt.join(open_.distinct().withColumnRenamed("u", "fp"), ["t", "fp"]).join(grouped.join(stands, "group").select("id", "start", "sketch"), "id"))
     scratch.drop(dealt, least, links, near, stands)
-    roots = merged_in_rounds(lambda roots, after, most: nearest_crossing(asked, roots, after, most, limit, far, words, keep), alike, roots, scratch)
+    roots = merged_in_rounds(lambda roots, after, most: nearest_crossing(asked, roots, after, most, limit, far, similarity, words, keep), alike, roots, scratch, 4)
     named = entries.join(roots, entries["id"] == roots["node"], "left").select("text_key", "copies", "first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("best"))
     return scratch.result(named.join(best, "root").select(F.col("first.doc_id").alias("doc_id"), "text_key", "copies", "root", (F.col("text_key") == F.col("best.text_key")).alias("stays")))
 
 
-def _near(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+def _distances(a: np.ndarray, b: np.ndarray, far: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Differing table bits of sketches (rows of longs), and whether bits, parities and sizes allow the similarity."""
+    x, odd = (a ^ b).view(np.uint64), -1 - BITS // 64
+    d = np.bitwise_count(x[:, :odd]).sum(1).astype(np.int64)
+    apart = np.bitwise_count(x[:, odd:-1]).sum(1)
+    return d, (d <= far) & (apart <= odd_limit(a[:, -1] + b[:, -1], 100 * similarity))
+
+
+def _near(batches: Iterator[pa.RecordBatch], far: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("su", "sv"))
-            d = np.bitwise_count(a ^ b).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(d)], names=["u", "v", "d"]).filter(pa.array(d <= far))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(len(batch), -1) for c in ("su", "sv"))
+            d, good = _distances(a, b, far, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(d.astype(np.int32))], names=["u", "v", "d"]).filter(pa.array(good))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
