@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 
 def fixed(v: Column, decimals: int) -> Column:
-    """Fixed decimals, ties to even (the formatter itself would round ties up)."""
-    return F.format_string(f"%.{decimals}f", F.bround(v.cast("double"), decimals))
+    """Fixed decimals of the exact binary value, true ties to even, as C's printf gives them.
+
+    Neither the formatter nor ``bround`` does: both look at the shortest decimal text, for which 0.95 is a tie. What the
+    scaled product loses by rounding is found by splitting the value, so a product at a half is decided exactly.
+    """
+    v, scale = v.cast("double"), float(10 ** decimals)
+    size = F.abs(v)
+    product = size * scale
+    shifted = size * 134217729.0
+    high = shifted - (shifted - size)
+    lost = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    signed = F.when(v < 0, 0.0 - rounded).otherwise(rounded)
+    return F.format_string(f"%.{decimals}f", F.when(product < float(1 << 50), signed).otherwise(v))
 
 
 def confidence(n_flags: Column, score: Column) -> Column:

@@ -54,3 +54,21 @@ def test_selection_needs_two_frames_and_a_known_strategy(spark):
     assert sorted(r.path for r in selection.select_frames(files, "threshold", threshold=4.0).collect()) == ["a/2", "b/1"]
     with pytest.raises(ValueError):
         selection.select_frames(files, "nope")
+
+
+def test_fixed_decimals_follow_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    from scanframe.functions import bands
+    values = [0.95, 0.25, 0.35, 1.45, -0.95, 2.5, 1.25, 7.0, 1e20, 1234.05]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", bands.fixed(F.col("v"), 1).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == {v: f"{v:.1f}" for v in values}  # 0.95 lies below the tie: 0.9
+
+
+def test_detection_text_rounds_as_printf_and_sums_in_mark_order(spark):
+    from pyspark.sql import functions as F
+
+    from scanframe.sources import sinks
+    marks = spark.createDataFrame([(1, 3, 0.3, 2.675), (1, 1, 0.1, 1.005), (1, 2, 0.2, 4.0)], "frame_id long, component long, cx double, cy double")
+    text = sinks.detection_text(marks.repartition(3), F.lit("a"), ["frame_id"], "component").first().value
+    assert text == f"a:\n  Mark 1: (0.10, {1.005:.2f})\n  Mark 2: (0.20, 4.00)\n  Mark 3: (0.30, {2.675:.2f})\n  Mean center X: {(0.1 + 0.2 + 0.3) / 3:.2f}"
