@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scanframe.functions import bands
@@ -67,61 +69,44 @@ def ack_timeouts(commands: DataFrame, replies: DataFrame, deadline: str = "60 se
         "c.device", "c.seq", "c.ts", "c.line", F.lit("timeout").alias("outcome"))
 
 
-class AckState(StatefulProcessor):
-    """Commands of a device's time bucket and the replies that can answer them, until no more of either can come.
-
-    A timer at the deadline of the bucket's last command decides all of them in one pass and drops the state; so a key holds
-    the rows of one bucket, however busy or long-lived its device is.
-    """
-    fields = "micros long, is_reply boolean, number long, kind string"
-
-    def __init__(self, deadline_us: int, bucket_us: int, columns: list[str]):
-        self.deadline_us, self.bucket_us, self.columns = deadline_us, bucket_us, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.rows = handle, handle.getListState("rows", self.fields)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for chunk in rows:
-            self.rows.appendList([(int(r.micros), bool(r.is_reply), int(r.number), r.kind) for r in chunk.itertuples(index=False)])
-        self.handle.registerTimer(-(-((int(key[1]) + 1) * self.bucket_us + self.deadline_us) // 1000))
-        yield pd.DataFrame([], columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = list(self.rows.get())
-        replies = sorted((r[0], r[2], r[3]) for r in held if r[1])
-        times, out = [r[0] for r in replies], []
-        for micros, _, seq, _ in (r for r in held if not r[1]):
-            at = bisect.bisect_right(times, micros)  # the first that came later
-            if at < len(times) and times[at] - micros <= self.deadline_us:
-                out.append((key[0], seq, replies[at][1], (times[at] - micros) / 1e6, "fault" if replies[at][2] == "error" else "acknowledged"))
-            else:
-                out.append((key[0], seq, None, None, "timeout"))
-        self.rows.clear()
-        yield pd.DataFrame(out, columns=self.columns).astype({"reply_seq": "Int64"})
-
-    def close(self) -> None:
-        pass
+def _decided(batches: Iterator[pa.RecordBatch], key_type: pa.DataType, deadline_us: int) -> Iterator[pa.RecordBatch]:
+    """Outcome of every command of a device's time bucket, from its rows and the replies that can answer them, in one pass."""
+    schema = pa.schema([("device", key_type), ("seq", pa.int64()), ("reply_seq", pa.int64()), ("latency_s", pa.float64()), ("outcome", pa.string())])
+    for batch in batches:
+        out: list[tuple] = []
+        for device, held in zip(batch.column("device").to_pylist(), batch.column("held").to_pylist(), strict=True):
+            replies = sorted((r["micros"], r["number"], r["kind"]) for r in held if r["is_reply"])
+            times = [r[0] for r in replies]
+            for micros, seq in ((r["micros"], r["number"]) for r in held if not r["is_reply"]):
+                at = bisect.bisect_right(times, micros)  # the first that came later
+                if at < len(times) and times[at] - micros <= deadline_us:
+                    out.append((device, seq, replies[at][1], (times[at] - micros) / 1e6, "fault" if replies[at][2] == "error" else "acknowledged"))
+                else:
+                    out.append((device, seq, None, None, "timeout"))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def ack_alerts(commands: DataFrame, replies: DataFrame, deadline_s: int = 60, bucket_s: int = 60, delay: str = "60 seconds") -> DataFrame:
     """Outcome (acknowledged, fault, timeout) of every command, from one stream, once its time bucket can get no more rows.
 
-    The streaming form of ``control.ack_outcomes``: the same rules, keyed by device and bucket; a reply is also sent to the
-    buckets its deadline reaches back to.
+    The streaming form of ``control.ack_outcomes``: the same rules, keyed by device and a window of a time bucket and the
+    deadline after it. Commands count in the window that starts with their bucket, replies in every window that has them.
+    Spark's own aggregation keeps a window's rows until the watermark has passed its end, then they are decided in one pass
+    and leave the state; so a key holds the rows of one window, however busy or long-lived its device is.
     """
-    keyed_state_store(commands.sparkSession)
-    bucket = F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000)).cast("bigint")
-    reach = -(-deadline_s // bucket_s)
+    bucket_us, deadline_us = bucket_s * 1_000_000, deadline_s * 1_000_000
+    reach = -(-deadline_s // bucket_s) * bucket_s  # whole buckets, so that windows start where buckets do
     sent = commands.select("device", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("number"), F.lit(False).alias("is_reply"), F.lit(None).cast("string").alias("kind"))
     heard = replies.withColumn("kind", bands.response_class(F.col("reply"))).filter(F.col("kind").isin("ok", "processing", "error")).select(
         "device", F.col("ts").cast("timestamp").alias("ts"), F.col("reply_seq").cast("bigint").alias("number"), F.lit(True).alias("is_reply"), "kind")
     rows = sent.unionByName(heard).withWatermark("ts", delay)
-    buckets = F.when(F.col("is_reply"), F.sequence(bucket - reach, bucket)).otherwise(F.array(bucket))
-    keyed = rows.withColumn("bucket", F.explode(buckets)).select("device", "bucket", F.unix_micros("ts").alias("micros"), "is_reply", "number", "kind")
-    output = f"device {commands.schema['device'].dataType.simpleString()}, seq long, reply_seq long, latency_s double, outcome string"
-    processor = AckState(deadline_s * 1_000_000, bucket_s * 1_000_000, [c.split()[0] for c in output.split(", ")])
-    return keyed.groupBy("device", "bucket").transformWithStateInPandas(processor, output, "Append", "EventTime")
+    windowed = rows.withColumn("w", F.window("ts", f"{bucket_s + reach} seconds", f"{bucket_s} seconds"))
+    own = F.col("is_reply") | (F.unix_micros("ts") < F.unix_micros("w.start") + bucket_us)
+    held = windowed.filter(own).groupBy("device", "w").agg(F.collect_list(F.struct(F.unix_micros("ts").alias("micros"), "is_reply", "number", "kind")).alias("held"))
+    key = commands.schema["device"].dataType
+    key_type = to_arrow_type(key)
+    return held.select("device", "held").mapInArrow(lambda batches: _decided(batches, key_type, deadline_us),
+                                                    f"device {key.simpleString()}, seq long, reply_seq long, latency_s double, outcome string")
 
 
 class _Fold(StatefulProcessor):

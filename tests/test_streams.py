@@ -116,3 +116,12 @@ def test_table_sessions_equal_the_windows(spark, folder):
     series = fx.series_of(batch)
     columns = ("sample_id", "session_start", "last_ts", "n")
     assert rows(twins.scan_sessions_of_table(series, "6 hours"), *columns) == rows(twins.scan_sessions(series, "6 hours"), *columns)
+
+
+def test_alerts_call_no_python_per_key(spark, folder):
+    """A device's hour is a key; at 0.1 GB a call into Python for each of them took longer than the limit."""
+    path, _ = folder
+    stream = live.read_table(spark, path, 1)
+    heard = stream.select(F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"), F.lit("ok").alias("reply"))
+    plan = live.ack_alerts(fx.commands_of(stream), heard, 7200, 3600)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan
