@@ -35,12 +35,13 @@ def read_table(spark: SparkSession, pattern: str, max_files: int = 64) -> DataFr
     return spark.readStream.schema(spark.read.parquet(pattern).schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
-def on_event_time(stream: DataFrame, delay: str = "60 seconds", ts: str = "ts") -> DataFrame:
-    """Watermark on ``ts``, which may come without a zone."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+def on_event_time(stream: DataFrame, delay: str | None = "60 seconds", ts: str = "ts") -> DataFrame:
+    """Watermark on ``ts``, which may come without a zone. Without a ``delay`` no row is ever late and every window stays open."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed if delay is None else timed.withWatermark(ts, delay)
 
 
-def hot_tile_windows(hits: DataFrame, duration: str, min_hits: int, delay: str = "60 seconds") -> DataFrame:
+def hot_tile_windows(hits: DataFrame, duration: str, min_hits: int, delay: str | None = "60 seconds") -> DataFrame:
     return twins.hot_tile_windows(on_event_time(hits, delay), duration, min_hits)
 
 
@@ -48,11 +49,11 @@ def latest_capture(captures: DataFrame, keys: list[str]) -> DataFrame:
     return twins.latest_capture(captures, keys)
 
 
-def scan_sessions(events: DataFrame, idle: str, delay: str = "60 seconds") -> DataFrame:
+def scan_sessions(events: DataFrame, idle: str, delay: str | None = "60 seconds") -> DataFrame:
     return twins.scan_sessions(on_event_time(events, delay), idle)
 
 
-def rolling_focus(series: DataFrame, length: str, slide: str, delay: str = "60 seconds") -> DataFrame:
+def rolling_focus(series: DataFrame, length: str, slide: str, delay: str | None = "60 seconds") -> DataFrame:
     return twins.rolling_focus(on_event_time(series, delay), length, slide)
 
 
@@ -232,7 +233,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", partitions: int | None = None) -> DataFrame:
     """Runs a stream over everything that is there and returns what it wrote, with ``batch_id``.
 
-    Every micro-batch replaces its own folder, so a batch that is run again after a failure leaves no doubles.
+    Every micro-batch replaces its own folder, so a batch that is run again after a failure leaves no doubles. In ``complete``
+    mode a batch has the whole result, so it replaces the one before.
     ``partitions`` is the number of state partitions, which a stream keeps for its whole life; by default the session's.
     """
     spark = stream.sparkSession
@@ -240,7 +242,10 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream",
     before = spark.conf.get("spark.sql.shuffle.partitions")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        if mode == "complete":
+            batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/out")
+        else:
+            batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
     try:
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions or before))

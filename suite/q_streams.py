@@ -46,26 +46,25 @@ def stream_latest_capture(spark, sf):
     return out.groupBy("camera").agg(F.max_by("event_id", "batch_id").alias("event_id"))
 
 
-def _closed(oracle: str, view: str, end: str, delay: str) -> str:
-    """Rows of a batch query that a stream has given out by the end of the table: those whose end the watermark has passed."""
-    return f"SELECT * FROM ({ORACLES[oracle]}) WHERE {end} <= ({sql(f'SELECT max(ts) FROM {view}', view)}) - INTERVAL {delay}"
-
-
-@query("stream_hot_windows", "R1", _closed("hot_windows", "fx_tilehits", "window_start + INTERVAL 1 DAY", "1 HOUR"))
+@query("stream_hot_windows", "R1", ORACLES["hot_windows"])
 def stream_hot_windows(spark, sf):
-    return _run(live.hot_tile_windows(fx.tile_hits_of(_events(spark, sf)), "1 day", 3, "1 hour"), "append", "hot").drop("batch_id")
+    """Windows are given whenever they change, the open ones too; the last batch that has one has all of it."""
+    out = _run(live.hot_tile_windows(fx.tile_hits_of(_events(spark, sf)), "1 day", 3, None), "update", "hot")
+    return out.groupBy("window_start", "grid_w", "grid_h", "col", "row").agg(F.max_by("hits", "batch_id").alias("hits"))
 
 
-@query("stream_scan_sessions", "R6", _closed("scan_sessions", "fx_series", "last_ts + INTERVAL 6 HOUR", "1 HOUR"))
+@query("stream_scan_sessions", "R6", ORACLES["scan_sessions"])
 def stream_scan_sessions(spark, sf):
-    """Sessions are given once, when no more can come to them, and leave the state; those still open are not decided yet."""
-    return _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours", "1 hour"), "append", "sessions").drop("batch_id")
+    """All sessions, those still open at the end of the table too; a batch gives all of them and replaces the one before."""
+    return _run(live.scan_sessions(fx.series_of(_events(spark, sf)), "6 hours", None), "complete", "sessions").drop("batch_id")
 
 
-@query("stream_rolling_focus", "R7", _closed("rolling_focus", "fx_series", "window_start + INTERVAL 2 DAY", "1 HOUR"))
+@query("stream_rolling_focus", "R7", ORACLES["rolling_focus"])
 def stream_rolling_focus(spark, sf):
-    out = _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day", "1 hour"), "append", "rolling")
-    return out.drop("batch_id").withColumn("mean_hard", F.round("mean_hard", 6))
+    """As ``stream_hot_windows``: every window, open or closed, as of the last batch that changed it."""
+    out = _run(live.rolling_focus(fx.series_of(_events(spark, sf)), "2 days", "1 day", None), "update", "rolling")
+    last = out.groupBy("sample_id", "window_start").agg(F.max_by(F.struct("mean_hard", "max_soft", "n"), "batch_id").alias("v"))
+    return last.select("sample_id", "window_start", F.round("v.mean_hard", 6).alias("mean_hard"), "v.max_soft", "v.n")
 
 
 def _replies(spark, sf):

@@ -125,3 +125,26 @@ def test_alerts_call_no_python_per_key(spark, folder):
     heard = stream.select(F.col("user_id").alias("device"), "ts", F.col("event_id").alias("reply_seq"), F.lit("ok").alias("reply"))
     plan = live.ack_alerts(fx.commands_of(stream), heard, 7200, 3600)._jdf.queryExecution().logical().toString()
     assert "TransformWithState" not in plan and "Aggregate" in plan
+
+
+def _backwards(folder, tmp_path):
+    """The same five files, read newest first."""
+    import os
+    import shutil
+    from pathlib import Path
+    for i in range(5):
+        file = tmp_path / f"{i}.parquet"
+        shutil.copy(Path(folder[0]).parent / f"{4 - i}.parquet", file)
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(tmp_path / "*.parquet")
+
+
+@pytest.mark.parametrize("name", ["hot_windows", "rolling_focus", "scan_sessions"])
+def test_windows_and_sessions_are_whole_over_batches_in_any_order(spark, folder, tmp_path, monkeypatch, name):
+    """Open ones count and no file is late: the query over five batches, newest first, equals the batch query."""
+    from suite import q_streams
+    from suite.all_queries import QUERIES
+    path = _backwards(folder, tmp_path)
+    monkeypatch.setattr(q_streams, "_events", lambda s, sf: live.read_table(s, path, 1))
+    got, want = QUERIES[f"stream_{name}"](spark, SF), QUERIES[name](spark, SF)
+    assert rows(got, *sorted(want.columns)) == rows(want, *sorted(want.columns)) and want.count() > 0
