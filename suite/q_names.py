@@ -111,7 +111,8 @@ def _template_truth() -> str:
 @query("template_report", "P8", _template_truth())
 def template_report(spark, sf):
     options = F.array(*[F.lit(t) for t in TEMPLATES])
-    rows = fx.table(spark, sf, "part").select(
+    parts = fx.table(spark, sf, "part").select("p_partkey", "p_name")  # dealt out, because the file may be one row group
+    rows = parts.repartition(spark.sparkContext.defaultParallelism * 4, "p_partkey").select(
         "p_partkey", F.concat("p_name", F.lit(" "), F.get(options, (F.col("p_partkey") % len(TEMPLATES)).cast("int"))).alias("template"))
     return rows.select("p_partkey", "template", names.template_report(F.col("template"), strict=True).alias("r")).select(
         "p_partkey", "template", "r.is_valid", F.array_join("r.issues", " ").alias("issues"),

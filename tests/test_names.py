@@ -73,3 +73,10 @@ def test_rotations_and_ranges(spark):
     assert geometry.rotations("y", 90) == ["ccw", "cw"] and geometry.rotations("x") == []
     r = lambda a, b, s: one(spark, geometry.inclusive_range(F.lit(a), F.lit(b), F.lit(s)))
     assert r(0, 10, 4) == [0, 4, 8, 12] and r(10, 0, 5) == [10, 5, 0] and r(3, 3, 2) == [3]
+
+
+def test_report_of_a_long_template_takes_one_pass(spark):
+    import time
+    start = time.time()
+    r = one(spark, names.template_report(F.lit("{x}" + "a" * 12000 + "}")))
+    assert r.issues == ["Unmatched '}' at position 12003.", "Unbalanced braces detected."] and time.time() - start < 10
