@@ -60,3 +60,27 @@ def test_no_products(spark):
     for name in ("sampling_report", "match_descriptors", "overlap_ncc_relational", "neighbour_constraints", "hot_update", "manual_score"):
         text = plan(QUERIES[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_listings_get_more_tasks_with_more_rows(spark, monkeypatch):
+    from suite import fixtures as fx
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 100)
+    rows = fx.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    want = -(-rows // 100)
+    for made in (fx.frames, fx.listing):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == want > 8
+
+
+def test_gaps_carry_coordinates_only(spark):
+    from suite.all_queries import QUERIES
+    plan = QUERIES["sequence_gaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct" not in plan and "count(" in plan  # no frame is chosen
+
+
+def test_mosaic_groups_are_not_joined_by_group(spark):
+    from scanframe.plans import selection
+    results = spark.createDataFrame([(f"X{i}Y1_all.tiff", f"p{i}") for i in range(6)], "key string, path string")
+    out = selection.mosaic_groups(results, "all")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the ranges' offsets, which carry the sizes too
+    assert sorted((r.place, r.group_size) for r in out.collect()) == [(i, 6) for i in range(6)]
