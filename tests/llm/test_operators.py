@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_fixtures import CLASHES, LABEL_SCHEMA, LABELS, SCHEMA, documents, rows, sentence, table_dir
@@ -428,6 +429,30 @@ def test_language_model(spark, sf_dir, monkeypatch, shares):
     assert math.isclose((10 ** listed).sum() + sum(10 ** r.p for r in rare.collect()) + (10 ** model.unseen).sum(), pitman_yor.CLASSES, rel_tol=1e-6)
 
 
+def test_tokens_in_parts(monkeypatch):
+    # different words are looked up once a part, however often they occur; parts end anywhere between texts
+    texts = ["  The cat\tthe\x0bCAT ", "", None, "É é\x85x\xa0y", "\n", "a " * 40, "the end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    plain = [[*(t or "").encode().lower().split(), pitman_yor.END] for t in texts]
+    asked = []
+    monkeypatch.setattr(pitman_yor, "class_of", lambda w, of=pitman_yor.class_of: asked.append(w) or of(w))
+    for size in (1, 30, 1 << 23):
+        monkeypatch.setattr(pitman_yor, "PART", size)
+        symbols, got = pitman_yor.Symbols([(b"the", 9), (b"a", 9), (pitman_yor.END, 9)], 27), []
+        for _, t in pitman_yor._tokens(iter([batch])):
+            asked.clear()
+            context, symbol, at, _ = symbols.read(t)
+            assert len(asked) == len({w[-3:] for w in asked})
+            for start, stop in zip(t.starts, t.starts[1:]):
+                words = [t.words[int(c)].as_py() for c in t.code[start:stop]]
+                before = [0, *[symbols.context[symbols.index[w]] if w in (b"the", b"a") else -1 for w in words[:-1]]]
+                want = [next(int(x) for x in before[i::-1] if x >= 0) for i in range(len(words))]
+                assert context[start:stop].tolist() == want
+                assert at[start:stop].tolist() == [symbols.index.get(w, -1) for w in words]
+                got.append(words)
+        assert got == plain
+
+
 # ---- columns -------------------------------------------------------------------------------------------------------
 
 def test_clashing_names(spark):
