@@ -41,37 +41,47 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame, int], DataFrame], verified: Callable[[DataFrame], DataFrame], roots: DataFrame, scratch: Scratch, most: int = 16) -> DataFrame:
+def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame | None, int], DataFrame], verified: Callable[[DataFrame], DataFrame], roots: DataFrame, scratch: Scratch, most: int = 16) -> DataFrame:
     """``roots`` (node, root) merged along verified links until ``nearest`` finds no pair between two groups.
 
     ``nearest(roots, after, most)`` gives (u, v, d): for every u that asks, its ``most`` first pairs in order of (d, v)
     whose ends lie in two groups and that come after u's place in ``after`` (u, after_d, after_v). So a round holds few
     pairs per node, a rejected pair is never asked again, and none is remembered. ``verified`` gives the linked pairs.
-    A round in which nobody had more than it was given for is the last.
+    In the first round (``after`` is None) all ask, then those only that had as many pairs as they could be given: groups
+    only grow, so the others have no pair left. A round that links nothing leaves the groups as they are.
     """
-    after = scratch.spark.createDataFrame([], "u long, after_d int, after_v long")
+    after = None
     while True:
         asked = scratch.store(nearest(roots, after, most))
         if asked.isEmpty():
             return roots
-        whole = asked.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).isEmpty()
+        more = asked.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "v")).alias("m")).filter(F.col("n") >= most)
+        last = scratch.store(more.select("u", F.col("m.d").alias("after_d"), F.col("m.v").alias("after_v")))
         good = verified(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        found = scratch.store(good.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        merged = scratch.store(components(found))
-        if whole:
-            scratch.drop(asked, found, after, roots)
-            return merged
-        last = after.unionByName(asked.select("u", F.col("d").alias("after_d"), F.col("v").alias("after_v")))
-        last = scratch.store(last.groupBy("u").agg(F.max(F.struct("after_d", "after_v")).alias("m")).select("u", "m.after_d", "m.after_v"))
-        scratch.drop(asked, found, after, roots)
-        roots, after, most = merged, last, 4 * most
-
-
-def crossing(pairs: DataFrame, roots: DataFrame, after: DataFrame, most: int) -> DataFrame:
+        gone = [asked, good] + [after] * (after is not None)
+        if not good.isEmpty():
+            found = scratch.store(good.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            gone += [found, roots]
+            roots = scratch.store(components(found))
+        done = last.isEmpty()
+        scratch.drop(*gone)
+        if done:
+            return roots
+        after, most = last, 4 * most
+
+
+def asking(rows: DataFrame, after: DataFrame | None, name: str = "u") -> DataFrame:
+    """Of ``rows`` those that ask in this round, with the place where they stopped."""
+    if after is None:
+        return rows.withColumns({"after_d": F.lit(-1), "after_v": F.lit(-1).cast("long")})
+    return rows.join(after.withColumnRenamed("u", name), name)
+
+
+def crossing(pairs: DataFrame, roots: DataFrame, after: DataFrame | None, most: int) -> DataFrame:
     """Of given pairs (u, v, d), for each u the ``most`` nearest between two groups after what it asked before."""
     ends = roots.select(F.col("node").alias("u"), F.col("root").alias("gu")), roots.select(F.col("node").alias("v"), F.col("root").alias("gv"))
-    left = pairs.join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).join(after, "u", "left")
-    left = left.filter(F.col("after_d").isNull() | (F.struct("d", "v") > F.struct(F.col("after_d").alias("d"), F.col("after_v").alias("v")))).select("u", "v", "d")
+    left = asking(pairs, after).join(ends[0], "u", "left").join(ends[1], "v", "left").filter(F.coalesce("gu", "u") != F.coalesce("gv", "v"))
+    left = left.filter(F.struct("d", "v") > F.struct(F.col("after_d").alias("d"), F.col("after_v").alias("v"))).select("u", "v", "d")
     place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
     return left.withColumn("place", place).filter(F.col("place") <= most).drop("place")
 

@@ -218,8 +218,8 @@ def _first_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_compared, "u long, v long, d int")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, band, id, anchor, parts) of the buckets of three entries or more that hold several groups.
+def _open(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, band, id, anchor, parts, n_shingles, signature) of the buckets of three entries or more that hold several groups.
 
     The anchor is an entry of the bucket's largest group. It stays, whatever groups merge: who doesn't ask in a bucket is
     in the anchor's group, so who asks now has asked there in every round before.
@@ -228,22 +228,25 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     found = sizes.groupBy("key").agg(F.max_by("first", F.struct("n", "first")).alias("anchor"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
     found = cut(found.filter("groups > 1").select("key", "anchor", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    return members.select("key", "band", "id").join(found, "key")
+    return members.select("key", "band", "id").join(found, "key").join(sets.select("id", "n_shingles", "signature"), "id")
 
 
-def _nearest(buckets: DataFrame, sets: DataFrame, roots: DataFrame, after: DataFrame, most: int) -> DataFrame:
+def _nearest(buckets: DataFrame, roots: DataFrame, after: DataFrame | None, most: int) -> DataFrame:
     """(u, v, d): for entries that are not in the group of a bucket's anchor, their ``most`` nearest of other groups, over all buckets."""
-    grouped = buckets.join(roots.toDF("id", "group"), "id", "left").join(roots.toDF("anchor", "main"), "anchor", "left")
-    grouped = cut(grouped.select("key", "band", "id", "parts", F.coalesce("group", "id").alias("group"), F.coalesce("main", "anchor").alias("main")))
-    asking = grouped.filter(F.col("group") != F.col("main"))
-    side = sets.select("id", "n_shingles", "signature")
-    own = grouped.join(asking.select("key").distinct(), "key", "left_semi").join(side, "id").select(
-        "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "band", "group", "n_shingles", "signature",
-        F.lit(-1).alias("after_d"), F.lit(-1).cast("long").alias("after_v"))
-    ask = asking.join(side, "id").join(after.withColumnRenamed("u", "id"), "id", "left").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "id", "band", "group", "n_shingles", "signature",
-        F.coalesce("after_d", F.lit(-1)).alias("after_d"), F.coalesce("after_v", F.lit(-1).cast("long")).alias("after_v"))
-    dealt = own.unionByName(ask).repartition("key", "part").sortWithinPartitions("key", "part", "asks")
+    known = roots.toDF("id", "group")
+    if after is None:
+        placed, known = buckets, known.withColumns({"after_d": F.lit(-1), "after_v": F.lit(-1).cast("long")})
+    else:  # buckets in which nobody asks any more stay out
+        keys = buckets.select("key", F.col("id").alias("u")).join(after.select("u"), "u", "left_semi").select("key").distinct()
+        placed, known = buckets.join(keys, "key", "left_semi"), known.join(after.withColumnRenamed("u", "id"), "id", "full")
+    grouped = placed.join(known, "id", "left").join(roots.toDF("anchor", "main"), "anchor", "left").withColumns(
+        {"group": F.coalesce("group", "id"), "main": F.coalesce("main", "anchor"), "on": F.lit(True) if after is None else F.col("after_d").isNotNull()})
+    # an entry lies in one part of its bucket, and asks in all of them
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.struct(part.alias("part"), F.lit(True).alias("asks")))
+    rows = grouped.withColumn("at", F.explode(F.when(F.col("on") & (F.col("group") != F.col("main")), F.concat(own, asks)).otherwise(own)))
+    dealt = rows.select("key", "at.part", "at.asks", "id", "band", "group", "n_shingles", "signature", F.coalesce("after_d", F.lit(-1)).alias("after_d"),
+                        F.coalesce("after_v", F.lit(-1).cast("long")).alias("after_v")).repartition("key", "part").sortWithinPartitions("key", "part", "asks")
     found = dealt.mapInArrow(lambda it: _asked(it, most), "u long, v long, d int").distinct()
     place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))  # cut before the shuffle
     return found.withColumn("place", place).filter(F.col("place") <= most).drop("place")
@@ -267,9 +270,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     none = docs.sparkSession.createDataFrame([], "node long, root long")
     roots = merged_in_rounds(lambda roots, after, most: crossing(first, roots, after, most), verified, none, scratch, BANDS)
-    buckets = scratch.store(_open(members, roots))
+    buckets = scratch.store(_open(members, sets, roots))
     scratch.drop(members, first)
-    roots = merged_in_rounds(lambda roots, after, most: _nearest(buckets, sets, roots, after, most), verified, roots, scratch, 8)
+    roots = merged_in_rounds(lambda roots, after, most: _nearest(buckets, roots, after, most), verified, roots, scratch, BANDS)
     named = sets.join(roots, sets["id"] == roots["node"], "left").select("set_key", F.coalesce("root", "id").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = scratch.store(named.join(least, "root").select("set_key", "component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanframe.llm.common import Scratch, cut, text_of
-from scanframe.llm.links import components, crossing, maybe_in, merged_in_rounds
+from scanframe.llm.links import asking, components, crossing, maybe_in, merged_in_rounds
 from scanframe.llm.minhash import BITS, odd_limit, odd_sketch
 
 #: How a table that is read again is stored.
@@ -264,6 +264,8 @@ def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting",
 
 #: Longs of a member before its sketch: fingerprint, id, group, where its group stood at the start, and what it asked last.
 HEAD = 6
+#: A distance past all others, for members that ask no more.
+DONE = (1 << 31) - 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +298,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _nearest_in(a: np.ndarray, b: np.ndarray, limit: int, far: int, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, d) between two leaves: for every member, its ``most`` nearest of groups that stood after its own, from where it stopped."""
     i, j = np.nonzero((np.bitwise_count((a[:, 0][:, None] ^ b[:, 0][None, :]).view(np.uint64)) <= limit) & (a[:, 2][:, None] != b[:, 2][None, :]))
-    out = []
+    ask = a[i, 3] < b[j, 3]
+    on = np.where(ask, a[i, 4], b[j, 4]) < DONE
+    i, j, ask, out = i[on], j[on], ask[on], []
     for s in range(0, len(i), 1 << 15):
-        x, y = a[i[s:s + (1 << 15)]], b[j[s:s + (1 << 15)]]
+        e = slice(s, s + (1 << 15))
+        x, y, first = a[i[e]], b[j[e]], ask[e, None]
         d, good = _distances(x[:, HEAD:], y[:, HEAD:], far, similarity)
-        ask = (x[:, 3] < y[:, 3])[:, None]
-        u, v = np.where(ask, x[:, :HEAD], y[:, :HEAD]), np.where(ask, y[:, :HEAD], x[:, :HEAD])
+        u, v = np.where(first, x[:, :HEAD], y[:, :HEAD]), np.where(first, y[:, :HEAD], x[:, :HEAD])
         new = good & ((d > u[:, 4]) | ((d == u[:, 4]) & (v[:, 1] > u[:, 5])))
         out.append(np.stack([u[new, 1], d[new], v[new, 1]]))
     found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((3, 0), np.int64)  # in order of (u, d, v)
@@ -325,9 +329,12 @@ def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, mos
     for it in every round. Sketches travel with the leaves: distances are taken, and cut down to ``most``, inside the tasks.
     """
     order = ["t", "rank", "group", "id"]
-    grouped = entries.join(roots.toDF("id", "group"), "id", "left").join(after.withColumnRenamed("u", "id"), "id", "left").select(
-        "t", "fp", "id", F.coalesce("group", "id").alias("group"), "start", F.coalesce("after_d", F.lit(-1)).alias("after_d"), F.coalesce("after_v", F.lit(-1).cast("long")).alias("after_v"),
-        "sketch", gray_rank(F.col("fp")).alias("rank"))
+    if after is None:
+        placed = asking(entries, None)
+    else:  # who doesn't ask any more stays to be found
+        placed = entries.join(after.withColumnRenamed("u", "id"), "id", "left").withColumns({"after_d": F.coalesce("after_d", F.lit(DONE)), "after_v": F.coalesce("after_v", F.lit(-1).cast("long"))})
+    grouped = placed.join(roots.toDF("id", "group"), "id", "left").select(
+        "t", "fp", "id", F.coalesce("group", "id").alias("group"), "start", "after_d", "after_v", "sketch", gray_rank(F.col("fp")).alias("rank"))
     dealt = grouped.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
     leaves = keep(dealt.mapInArrow(_blocks, "t int, node long, mask long, pattern long, lo long, hi long, members binary"))
     pairs, part = surviving_leaves(leaves, limit, keep), leaves.select("node", "members")

@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from llm_fixtures import SCHEMA, documents, rows, sentence
 from pyspark.sql import functions as F
 from test_operators import plain_components
 
-from scanframe.llm import minhash, queries
+from scanframe.llm import links, minhash, queries
 from scanframe.llm.common import Scratch
 from scanframe.llm.links import crossing, merged_in_rounds
 
@@ -111,3 +112,19 @@ def test_sketches_never_reject_similar_pairs():
 
 def test_empty_table(spark):
     assert minhash.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rounds_ask_only_who_has_more(spark, tmp_path, monkeypatch):
+    # 1 has as many pairs as it can be given, 2 has fewer: in the second round 1 alone asks; rounds that link nothing leave the groups alone
+    monkeypatch.setattr(links, "components", lambda found: pytest.fail("no links"))
+    scratch, rounds = Scratch(spark, "rounds"), []
+    pairs = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (1, 12, 7), (2, 10, 9)], "u long, v long, d int")
+    roots = spark.createDataFrame([(7, 3)], "node long, root long")
+
+    def nearest(roots, after, most):
+        rounds.append(after and sorted(map(tuple, after.collect())))
+        return links.crossing(pairs, roots, after, most)
+
+    got = links.merged_in_rounds(nearest, lambda asked: scratch.store(asked.filter("u < 0").select("u", "v")), roots, scratch, 2)
+    assert rounds == [None, [(1, 6, 11)]]
+    assert [tuple(r) for r in got.collect()] == [(7, 3)]
