@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from llm_fixtures import SCHEMA, documents, rows, table_dir
 from test_operators import check_packing, plain_spans
@@ -60,3 +61,11 @@ def test_empty_table(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_members_that_ask_no_more_are_still_found():
+    width = simhash.HEAD + 10 + simhash.BITS // 64 + 1
+    member = lambda i, group, start, after: [0, i, group, start, after, -1, *[0] * (width - simhash.HEAD - 1), 100]
+    a, b = (np.array(x, np.int64) for x in ([member(1, 1, 1, simhash.DONE), member(2, 1, 1, -1)], [member(3, 3, 5, simhash.DONE)]))
+    u, v, d = simhash._nearest_in(a, b, 2, 100, 0.8, 4)
+    assert (u.tolist(), v.tolist(), d.tolist()) == ([2], [3], [0])
