@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import cut, same, text_of, without_spaces, words_of
+from scanframe.llm.common import cut, few, same, text_of, without_spaces, words_of
 
 MIN_WORDS = 50
 DOC = ["doc_id", "text_key"]
@@ -38,9 +38,9 @@ def sequences(docs: DataFrame) -> DataFrame:
                        F.size(words_of(x)).cast("bigint").alias("words"))
 
 
-def _ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, rank) of the different pairs: ranks rise with the pair. Ordered by range, numbered in place, stored."""
-    ordered = rows.select(a, b).distinct().repartitionByRange(a, b).sortWithinPartitions(a, b)
+def _ranks(rows: DataFrame, a: str, b: str, n: int) -> DataFrame:
+    """(a, b, next) of the different pairs of ``n`` rows: ranks rise with the pair. Ordered by range, numbered in place, stored."""
+    ordered = few(rows.select(a, b).distinct(), n).repartitionByRange(a, b).sortWithinPartitions(a, b)
     return cut(ordered.withColumn("next", F.monotonically_increasing_id()))
 
 
@@ -48,7 +48,7 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Positions of lines found twice or more: rank 0, and ``size`` and ``back``, the lines of the blocks that start and end here (or null)."""
     every = cut(sequences(docs))
     often = cut(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"))
-    ranks = _ranks(often, "h1", "h2")
+    ranks = _ranks(often, "h1", "h2", often.count())
     active = every.join(ranks, ["h1", "h2"]).select(*_AT, "line", "words", F.col("next").alias("rank")).dropDuplicates(_AT)
     doc = Window.partitionBy(*DOC).orderBy("pos")  # bounded by the lines of one text
     runs = (active.withColumn("run", F.col("pos") - F.row_number().over(doc))
@@ -68,12 +68,12 @@ def _ahead(rows: DataFrame, ranks: DataFrame, by: Column) -> DataFrame:
 
 def suffixes(start: DataFrame) -> list[DataFrame]:
     """The positions with their ranks of 1, 2, 4, ... lines, up to the largest power of two in any block."""
-    largest = start.agg(F.max(F.greatest("size", "back"))).first()[0] or 1
-    levels, lines = [start], 1
-    while 2 * lines <= largest:
-        pairs = cut(_ahead(levels[-1], levels[-1], F.lit(lines)))
-        named = _ranks(pairs, "rank", "second")
-        levels.append(cut(pairs.join(named, ["rank", "second"]).select(*_AT, F.col("next").alias("rank"))))
+    largest, n = start.agg(F.max(F.greatest("size", "back")), F.count(F.lit(1))).first()
+    levels, lines = [few(start, n)], 1
+    while 2 * lines <= (largest or 1):
+        pairs = few(cut(few(_ahead(levels[-1], levels[-1], F.lit(lines)), n)), n)
+        named = few(_ranks(pairs, "rank", "second", n), n)
+        levels.append(few(cut(few(pairs.join(named, ["rank", "second"]).select(*_AT, F.col("next").alias("rank")), n)), n))
         lines *= 2
     return levels
 
@@ -83,10 +83,13 @@ def intervals(levels: list[DataFrame]) -> DataFrame:
     out, start = None, levels[0]
     ending = start.select(*DOC, (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("size"))
     sizes = cut(start.select(*_AT, "size").unionByName(ending).filter("size is not null").distinct())
+    found = {r["level"]: r["n"] for r in sizes.groupBy((F.length(F.bin("size")) - 1).alias("level")).agg(F.count(F.lit(1)).alias("n")).coalesce(1).collect()}
+    sizes = few(sizes, sum(found.values()))
     for level, ranks in enumerate(levels):
+        n = found.get(level, 0)
         fit = sizes.filter((F.col("size") >= 1 << level) & (F.col("size") < 2 << level))
-        fit = _ahead(fit, ranks, F.lit(0)).withColumnRenamed("second", "first")
-        named = _ahead(fit, ranks, F.col("size") - (1 << level)).select(*_AT, "size", "first", "second")
+        fit = few(_ahead(fit, ranks, F.lit(0)).withColumnRenamed("second", "first"), n)
+        named = few(_ahead(fit, ranks, F.col("size") - (1 << level)).select(*_AT, "size", "first", "second"), n)
         out = named if out is None else out.unionByName(named)
     return cut(out)
 
@@ -95,8 +98,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, deleted): the sorted numbers of the lines that lie in a later copy of a repeated run."""
     start = positions(docs, min_words)
     blocks = intervals(suffixes(start))
+    n = blocks.count()
+    blocks = few(blocks, n)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "pos")
-    firsts = cut(blocks.groupBy("size", "first", "second").agg(F.min(order).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    firsts = few(cut(few(blocks.groupBy("size", "first", "second").agg(F.min(order).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), n)), n)
     later = blocks.join(firsts, ["size", "first", "second"]).filter(order != F.col("origin"))
     covered = later.select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
     lines = start.select(*_AT, "line")

@@ -7,34 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import Scratch, cut
+from scanframe.llm.common import Scratch, cut, few, freed
 
 BITMAP = 1 << 24
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Links (u, v) with u > v. Large star: neighbours above a node go to its least neighbour; small star: those below."""
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Links (u, v) with u > v. Large star: neighbours above a node go to its least neighbour; small star: those below.
+    ``n``: how many links there were at first, which sets the number of tasks."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     # stored, so that both sides of the join are plain exchanges and Spark can split a node with very many links
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = cut(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n))
     moved = both.join(least, "u")
     if large:
         moved = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.filter(F.col("u") != F.col("v")).distinct()
+    return few(few(moved.filter(F.col("u") != F.col("v")), n).distinct(), n)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v) but the least of its component, which is the root.
 
     A node of any degree is aggregated before the shuffle and joined back by a join that Spark can split. Rounds go on
-    until the links are stars; each is written to the shared folder.
+    until the links are stars; each is written to the shared folder, and has as many tasks as the links need.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
+    n = edges.count()
+    edges, before = few(edges, n), None
     while True:
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(_stars(edges, True, n), False, n))
+        freed(edges.sparkSession)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -53,11 +56,12 @@ def merged_in_rounds(nearest: Callable[[DataFrame, DataFrame | None, int], DataF
     after = None
     while True:
         asked = scratch.store(nearest(roots, after, most))
-        if asked.isEmpty():
+        n = asked.count()
+        if not n:
             return roots
         more = asked.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "v")).alias("m")).filter(F.col("n") >= most)
-        last = scratch.store(more.select("u", F.col("m.d").alias("after_d"), F.col("m.v").alias("after_v")))
-        good = verified(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last = scratch.store(few(more.select("u", F.col("m.d").alias("after_d"), F.col("m.v").alias("after_v")), n))
+        good = verified(few(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n))
         gone = [asked, good] + [after] * (after is not None)
         if not good.isEmpty():
             found = scratch.store(good.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanframe.llm.common import Scratch, cut, text_of
+from scanframe.llm.common import Scratch, cut, few, text_of
 from scanframe.llm.links import asking, components, crossing, maybe_in, merged_in_rounds
 from scanframe.llm.minhash import BITS, odd_limit, odd_sketch
 
@@ -138,9 +138,9 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 def _levels(leaves: DataFrame, keep: Keep = cut) -> list[DataFrame]:
     """The index from its root level down to the leaves: (t, node, parent, mask, pattern)."""
-    order = leaves.select("t", "node").withColumn("pid", F.shiftrightunsigned("node", 32)).groupBy("pid").agg(F.count(F.lit(1)).alias("n")).orderBy("pid")
+    order = leaves.select("t", "node").withColumn("pid", F.shiftrightunsigned("node", 32)).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     base, at = [], 0  # a number per partition: numbers leaves through
-    for pid, n in order.collect():
+    for pid, n in sorted(order.coalesce(1).collect()):
         base.append((pid, at - (pid << 32)))
         at += n
     shift = leaves.sparkSession.createDataFrame(base or [(0, 0)], "pid long, shift long")
@@ -151,7 +151,7 @@ def _levels(leaves: DataFrame, keep: Keep = cut) -> list[DataFrame]:
     while n > 1:
         up = _parents(levels[-1]).withColumn("parent", F.floor(F.col("node") / FAN))
         n = -(-n // FAN)
-        levels.append(keep(up))
+        levels.append(keep(few(up, n)))
     return levels[::-1]
 
 
@@ -264,6 +264,8 @@ def near_fingerprints(entries: DataFrame, limit: int, links: str = "connecting",
 
 #: Longs of a member before its sketch: fingerprint, id, group, where its group stood at the start, and what it asked last.
 HEAD = 6
+#: Pairs of leaves that a task compares at least, beyond a few tasks to a core.
+PAIRS_PER_TASK = 64
 #: A distance past all others, for members that ask no more.
 DONE = (1 << 31) - 1
 
@@ -337,9 +339,11 @@ def nearest_crossing(entries: DataFrame, roots: DataFrame, after: DataFrame, mos
         "t", "fp", "id", F.coalesce("group", "id").alias("group"), "start", "after_d", "after_v", "sketch", gray_rank(F.col("fp")).alias("rank"))
     dealt = grouped.repartitionByRange(*order).sortWithinPartitions(*order).drop("rank")
     leaves = keep(dealt.mapInArrow(_blocks, "t int, node long, mask long, pattern long, lo long, hi long, members binary"))
-    pairs, part = surviving_leaves(leaves, limit, keep), leaves.select("node", "members")
+    pairs, part = keep(surviving_leaves(leaves, limit, keep)), leaves.select("node", "members")
     both = (pairs.join(part.withColumnRenamed("members", "ma"), pairs["a"] == F.col("node")).drop("node")
             .join(part.withColumnRenamed("members", "mb"), pairs["b"] == F.col("node")).select("ma", "mb"))
+    # a leaf with very many pairs is split, in as many tasks as there are pairs to compare
+    both = both.coalesce(max(4 * leaves.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS_PER_TASK))
     found = both.mapInArrow(lambda it: _asked(it, limit, far, similarity, most, HEAD + words + BITS // 64 + 1), "u long, v long, d int").distinct()
     place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))  # cut before the shuffle
     return found.withColumn("place", place).filter(F.col("place") <= most).drop("place")

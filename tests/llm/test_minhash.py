@@ -128,3 +128,18 @@ def test_rounds_ask_only_who_has_more(spark, tmp_path, monkeypatch):
     got = links.merged_in_rounds(nearest, lambda asked: scratch.store(asked.filter("u < 0").select("u", "v")), roots, scratch, 2)
     assert rounds == [None, [(1, 6, 11)]]
     assert [tuple(r) for r in got.collect()] == [(7, 3)]
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    pairs = [(i, i - 1) for i in range(1, 40)] + [(100, 50), (100, 60), (7, 3)]
+    had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = links.components(spark.createDataFrame(pairs, "u long, v long"))
+        tasks, got = found.rdd.getNumPartitions(), {tuple(r) for r in found.collect()}
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert tasks == 1
+    assert got == {(i, 0) for i in range(1, 40)} | {(60, 50), (100, 50)}
