@@ -79,25 +79,38 @@ def candidate_sums(pieces: DataFrame, pairs: DataFrame, spec: DataFrame, tile: i
     kind = pieces.schema["sample_id"].dataType.simpleString()
     names = [*PAIR, "overlap", "shift", *SUMS[1:]]
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        head = part.iloc[0]
-        start, depth = int(head.band) * tile, int(head.high)
-        upper, lower = np.zeros((depth, tile), np.int64), np.zeros((depth, tile + 2 * reach), np.int64)
-        for r in part.itertuples(index=False):
-            into, x = (upper, r.x) if r.side == 0 else (lower, r.x + reach)
-            into[r.y:r.y + r.h, x:x + r.w] = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)
-        out = []
+    def column(head, upper: np.ndarray, lower: np.ndarray) -> Iterator[tuple]:
+        start, depth, end = int(head.band) * tile, int(head.high), (int(head.band) + 1) * tile
+        overlaps = range(max(1, int(head.o_from)), min(depth, int(head.o_to)) + 1, int(head.o_step))
         for shift in range(int(head.s_from), int(head.s_to) + 1, int(head.s_step)):
-            x0, x1 = max(start, shift, 0), min(start + tile, int(head.wa), int(head.wb) + shift)  # columns of the upper layer that both have
+            x0, x1 = max(start, shift, 0), min(end, int(head.wa), int(head.wb) + shift)  # columns of the upper layer that both have
             if x1 <= x0:
                 continue
-            for overlap in range(max(1, int(head.o_from)), min(depth, int(head.o_to)) + 1, int(head.o_step)):
-                a = upper[depth - overlap:, x0 - start:x1 - start]
-                b = lower[:overlap, x0 - start - shift + reach:x1 - start - shift + reach]
-                out.append((head.sample_id, head.pair_idx, overlap, shift, int(a.sum()), int(b.sum()), int((a * a).sum()), int((b * b).sum()), int((a * b).sum())))
-        return pd.DataFrame(out, columns=names)
+            a, b = upper[:, x0 - start:x1 - start], lower[:, x0 - start - shift + reach:x1 - start - shift + reach]
+            # rows from the bottom up and from the top down: an overlap's own sums are running ones
+            sa, saa = (np.cumsum(v.sum(1)[::-1]).tolist() for v in (a, a * a))
+            sb, sbb = (np.cumsum(v.sum(1)).tolist() for v in (b, b * b))
+            for o in overlaps:
+                yield head.sample_id, head.pair_idx, o, shift, sa[o - 1], sb[o - 1], saa[o - 1], sbb[o - 1], int(np.einsum("ij,ij->", a[depth - o:], b[:o]))
 
-    sums = rows.groupBy(*PAIR, "band").applyInPandas(one, f"sample_id {kind}, pair_idx long, overlap int, shift int, " + ", ".join(f"{c} long" for c in SUMS[1:]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, head, upper, lower = None, None, None, None
+        for batch in batches:  # rows come sorted: a column's pieces follow each other
+            out = []
+            for r in batch.itertuples(index=False):
+                if (r.sample_id, r.pair_idx, r.band) != key:
+                    if key is not None:
+                        out.extend(column(head, upper, lower))
+                    key, head = (r.sample_id, r.pair_idx, r.band), r
+                    upper, lower = np.zeros((int(r.high), tile), np.int64), np.zeros((int(r.high), tile + 2 * reach), np.int64)
+                into, x = (upper, r.x) if r.side == 0 else (lower, r.x + reach)
+                into[r.y:r.y + r.h, x:x + r.w] = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame(column(head, upper, lower), columns=names)
+
+    dealt = rows.repartition(*PAIR, "band").sortWithinPartitions(*PAIR, "band")
+    sums = dealt.mapInPandas(run, f"sample_id {kind}, pair_idx long, overlap int, shift int, " + ", ".join(f"{c} long" for c in SUMS[1:]))
     whole = sums.groupBy(*PAIR, "overlap", "shift").agg(*[F.sum(c).alias(c) for c in SUMS[1:]]).join(pairs.select(*PAIR, "wa", "wb"), PAIR)
     # columns that both layers have; where neither has a tile there is nothing to add to the sums, but the pixels count
     width = F.least("wa", F.col("wb") + F.col("shift")) - F.greatest(F.lit(0), "shift")

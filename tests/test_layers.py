@@ -105,3 +105,26 @@ def test_tile_checksums(spark):
     assert tuple(layers.tile_checksums(tiles, ["sample_id"]).first()) == (1, 0, 2, 3, 20, 5 + 21 + 32)
     back = layers.transposed_tiles(tiles).first()
     assert (back["tile_col"], back["tile_row"], list(back["data"]), list(back["covered"])) == (2, 0, [5, 7, 6, 8], [1, 1, 0, 1])
+
+
+def test_layer_columns_stream_through_small_batches(spark):
+    """A column's pieces may come in several batches; no column is a group of its own to pandas."""
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 256, (6, 40)) for _ in range(2))
+    pieces = [(1, 0, side, band + at, x, 0, w, 6, np.ascontiguousarray(img[:, c:c + w]).astype(np.uint8).tobytes())
+              for side, img in ((0, a), (1, b)) for band in range(5) for at, x, c, w in [(0, 0, 8 * band, 8)] + ([(-1, 8, 8 * band, 2), (1, -2, 8 * band + 6, 2)] if side else []) if 0 <= band + at]
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        sums = layers.candidate_sums(spark.createDataFrame(pieces, f"sample_id long, {layers.PIECE}"), spark.createDataFrame([(1, 0, 40, 40, 6)], "sample_id long, pair_idx long, wa int, wb int, high int"),
+                                     spark.createDataFrame([(1, 0, 2, 6, 2, -2, 2, 1)], "sample_id long, pair_idx long, " + ", ".join(f"{c} int" for c in layers.SPEC)), 8, 2, 3)
+        got, plan = {(r["overlap"], r["shift"]): tuple(r[c] for c in layers.SUMS) for r in sums.collect()}, sums._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    expected = {}
+    for o in (2, 4, 6):
+        for s in range(-2, 3):
+            x, y = a[6 - o:, max(0, s):40 + min(0, s)], b[:o, max(0, -s):40 - max(0, s)]
+            expected[o, s] = (x.size, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())
+    assert got == expected
+    assert "FlatMapGroupsInPandas" not in plan
