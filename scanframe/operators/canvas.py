@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scanframe.functions import kernels
 from scanframe.operators import ordered
@@ -16,6 +17,8 @@ from scanframe.operators.frames import map_frames
 
 TILE_KEY = ["sample_id", "tile_col", "tile_row"]
 LATER = 1 << 40   # priority step between the two passes
+FOLDED = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}   # what the fields of a fold may be
+HELD_ROWS, HELD_BYTES = 1024, 16 << 20   # folded rows that wait before they are handed on
 
 
 def placements(frames_meta: DataFrame, pairs: DataFrame, accumulate_y: bool = False) -> DataFrame:
@@ -98,20 +101,40 @@ def cut_pieces(frames: DataFrame, placed: DataFrame, tile: int = 1024, center_ru
 
 
 def fold(rows: DataFrame, keys: list[str], fields: str, start: Callable, add: Callable, finish: Callable) -> DataFrame:
-    """Grouped fold in constant memory: rows of a key stream through ``add(state, row)``; ``finish`` gives one row."""
-    out = T.StructType([rows.schema[k] for k in keys] + list(T._parse_datatype_string(fields).fields))
+    """Grouped fold in constant memory: rows of a key stream through ``add(state, row)``; ``finish`` gives one row.
+
+    Keys come sorted through one map: a key costs no call of its own, however few rows it has.
+    """
+    named = [f.split() for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = schema = None
+        done, held = [], 0
+
+        def handed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                state = start(row) if state is None else state
+            kind = namedtuple("Row", batch.schema.names, rename=True)
+            at = [batch.schema.names.index(k) for k in keys]
+            schema = schema or pa.schema([*[pa.field(k, batch.schema.field(k).type) for k in keys], *[pa.field(n, FOLDED[t]) for n, t in named]])
+            for row in map(kind._make, zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+                own = tuple([row[i] for i in at])
+                if own != key:
+                    if state is not None:
+                        done.append(key + tuple(finish(state)))
+                        held += sum(len(v) for v in done[-1] if isinstance(v, bytes))
+                        if len(done) >= HELD_ROWS or held >= HELD_BYTES:
+                            yield handed_on()
+                            done, held = [], 0
+                    key, state = own, start(row)
                 add(state, row)
-        yield pd.DataFrame([tuple(key) + tuple(finish(state))], columns=out.names)
+        if state is not None:
+            done.append(key + tuple(finish(state)))
+            yield handed_on()
 
-    # the iterator form is chosen by its type hints, which must be real types, not text
-    run.__annotations__ = {"key": tuple[object, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return rows.groupBy(*keys).applyInPandas(run, out)
+    out = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], fields])
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def compose(pieces: DataFrame, tile: int = 1024) -> DataFrame:
@@ -264,6 +287,7 @@ def stacked_pixels(tiles: DataFrame, stack: str, tile: int) -> DataFrame:
 
 #: Source positions are rounded to 1 / FRACTION of a pixel; weights are whole numbers that add up to FRACTION squared.
 FRACTION = 32
+AT_ONCE = 1 << 16   # canvas pixels that are mapped back in one go
 
 
 def adjugate(m: np.ndarray) -> np.ndarray:
@@ -278,28 +302,74 @@ def _shifted(key: dict) -> np.ndarray:
     return np.array([m[0] + tx * m[2], m[1] + ty * m[2], m[2]])
 
 
-def warp_sums(img: np.ndarray, back: np.ndarray, y0: int, y1: int, x0: int, x1: int, left: int = 0, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For the canvas pixels [y0, y1) x [x0, x1), the weighted sum of the pixels of ``img`` that their source positions lie between, and the weight.
+def _weighed(values: np.ndarray, first, rows, cols, left, top, back, xx: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the canvas pixels (xx, yy) have weight in their part of a frame, the weighted sums of its pixels there, and the weights.
 
-    ``img`` may be a part of a frame that starts at (left, top): what several parts give adds up.
+    A part lies in ``values`` (pixels by channels) from ``first`` on, has ``rows`` x ``cols`` pixels and starts at (left, top) of its frame; these and the
+    nine numbers of ``back`` are one for all pixels or an array.
     """
-    rows, cols = img.shape[:2]
-    yy, xx = np.mgrid[y0:y1, x0:x1].astype(float)
-    w = back[2, 0] * xx + back[2, 1] * yy + back[2, 2]
+    w = back[6] * xx + back[7] * yy + back[8]
     with np.errstate(divide="ignore", invalid="ignore"):
-        sx = np.floor((back[0, 0] * xx + back[0, 1] * yy + back[0, 2]) / w * FRACTION + 0.5)
-        sy = np.floor((back[1, 0] * xx + back[1, 1] * yy + back[1, 2]) / w * FRACTION + 0.5)
-    near = (sx > (left - 1) * FRACTION) & (sx < (left + cols) * FRACTION) & (sy > (top - 1) * FRACTION) & (sy < (top + rows) * FRACTION)
-    sx, sy = (np.where(near, v, 0).astype(np.int64) for v in (sx, sy))
-    ix, iy, ax, ay = sx // FRACTION, sy // FRACTION, sx % FRACTION, sy % FRACTION
-    total, weight = np.zeros((*near.shape, img.shape[2]), np.int64), np.zeros(near.shape, np.int64)
+        sx = np.floor((back[0] * xx + back[1] * yy + back[2]) / w * FRACTION + 0.5)
+        sy = np.floor((back[3] * xx + back[4] * yy + back[5]) / w * FRACTION + 0.5)
+    near = np.flatnonzero((sx > (left - 1) * FRACTION) & (sx < (left + cols) * FRACTION) & (sy > (top - 1) * FRACTION) & (sy < (top + rows) * FRACTION))
+    first, rows, cols, left, top = (v[near] if np.ndim(v) else v for v in (first, rows, cols, left, top))
+    sx, sy = (v[near].astype(np.int64) for v in (sx, sy))
+    ix, iy, ax, ay = sx // FRACTION - left, sy // FRACTION - top, sx % FRACTION, sy % FRACTION
+    total, weight = np.zeros((len(near), values.shape[1]), np.int64), np.zeros(len(near), np.int64)
     for dy, dx, part in ((0, 0, (FRACTION - ay) * (FRACTION - ax)), (0, 1, (FRACTION - ay) * ax), (1, 0, ay * (FRACTION - ax)), (1, 1, ay * ax)):
-        x, y = ix + dx - left, iy + dy - top
-        inside = near & (x >= 0) & (x < cols) & (y >= 0) & (y < rows)
+        x, y = ix + dx, iy + dy
+        inside = (x >= 0) & (x < cols) & (y >= 0) & (y < rows)
         part = np.where(inside, part, 0)
-        total += part[:, :, None] * img[np.where(inside, y, 0), np.where(inside, x, 0)]
+        total += part[:, None] * values[first + np.where(inside, y * cols + x, 0)]
         weight += part
-    return total, weight
+    return near, total, weight
+
+
+def warp_sums(img: np.ndarray, back: np.ndarray, y0: int, y1: int, x0: int, x1: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the canvas pixels [y0, y1) x [x0, x1), the weighted sum of the pixels of ``img`` that their source positions lie between, and the weight."""
+    yy, xx = (v.ravel() for v in np.mgrid[y0:y1, x0:x1].astype(float))
+    channels = img.shape[2]
+    total, weight = np.zeros((len(xx), channels), np.int64), np.zeros(len(xx), np.int64)
+    near, total[near], weight[near] = _weighed(img.reshape(-1, channels), 0, *img.shape[:2], 0, 0, back.ravel(), xx, yy)
+    return total.reshape(y1 - y0, x1 - x0, channels), weight.reshape(y1 - y0, x1 - x0)
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes add up to ``most`` or less; a larger one is alone."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if held:
+        yield slice(begin, len(sizes))
+
+
+def _pair_sums(pairs: pd.DataFrame, source: int, tile: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """For pairs of a canvas tile's window and a storage tile, of one number of channels: places in the window that have weight, sums and weights there.
+
+    What several storage tiles of a frame give adds up.
+    """
+    column = {c: pairs[c].to_numpy() for c in ("tile_col", "tile_row", "to_col", "to_row", "px", "py", "w", "sw", "sh")}
+    values = np.frombuffer(b"".join(pairs["data"]), np.uint8).reshape(-1, int(pairs["n_channels"].iloc[0]))
+    back = np.array(pairs["back"].tolist(), float)
+    stored, sizes = column["sw"].astype(np.int64) * column["sh"], column["w"].astype(np.int64) * pairs["h"].to_numpy()
+    first, ends = np.cumsum(stored) - stored, np.cumsum(sizes)
+    parts, count = [], np.zeros(len(pairs), np.int64)
+    for lo in range(0, int(ends[-1]), AT_ONCE):
+        pixel = np.arange(lo, min(lo + AT_ONCE, int(ends[-1])))
+        of = np.searchsorted(ends, pixel, "right")
+        at = {c: v[of] for c, v in column.items()}
+        place = pixel - (ends - sizes)[of]
+        y, x = np.divmod(place, at["w"])
+        near, total, weight = _weighed(values, first[of], at["sh"], at["sw"], at["tile_col"] * source, at["tile_row"] * source, back[of].T,
+                                       (x + at["px"] + at["to_col"] * tile).astype(float), (y + at["py"] + at["to_row"] * tile).astype(float))
+        parts.append((place[near].astype("<i4"), total.astype("<i4"), weight.astype("<i2")))
+        count += np.bincount(of[near], minlength=len(pairs))
+    cuts = np.cumsum(count)[:-1]
+    return tuple([v.tobytes() for v in np.split(np.concatenate(p), cuts)] for p in zip(*parts, strict=True))
 
 
 def _warped(total: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,36 +452,36 @@ def warp_stored_tiles(stored: DataFrame, sizes: DataFrame, homographies: DataFra
                                    for c in range(span[0] // source, span[1] // source + 1) for q in range(span[2] // source, span[3] // source + 1))
             yield pd.DataFrame(out, columns=[*key, *[f.split()[0] for f in asks.split(", ")]])
 
-    asked = located.mapInPandas(meets, f"{kind}, {asks}")
+    # dealt out by frames: whichever side the joins above sent whole, the work here is spread
+    asked = located.repartition(*key).mapInPandas(meets, f"{kind}, {asks}")
     parts = asked.join(stored.select(*key, "tile_col", "tile_row", F.col("w").alias("sw"), F.col("h").alias("sh"), "n_channels", "data"), [*key, "tile_col", "tile_row"])
-    fields = "to_col int, to_row int, px int, py int, w int, h int, n_channels int, sums binary, weights binary"
+    fields = "to_col int, to_row int, px int, py int, w int, h int, n_channels int, places binary, sums binary, weights binary"
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                img = np.frombuffer(r.data, np.uint8).reshape(r.sh, r.sw, r.n_channels)
-                y, x = r.to_row * tile + r.py, r.to_col * tile + r.px
-                total, weight = warp_sums(img, np.asarray(r.back, float).reshape(3, 3), y, y + r.h, x, x + r.w, r.tile_col * source, r.tile_row * source)
-                if weight.any():
-                    out.append((r.sample_id, r.seq, r.to_col, r.to_row, r.px, r.py, r.w, r.h, r.n_channels, total.astype("<i4").tobytes(), weight.astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=[*key, *[f.split()[0] for f in fields.split(", ")]])
+            for _, alike in batch.groupby("n_channels"):
+                for some in _runs((alike["w"] * alike["h"]).to_numpy(), AT_ONCE):
+                    pairs = alike.iloc[some]
+                    places, total, weight = _pair_sums(pairs, source, tile)
+                    out = pairs[[*key, "to_col", "to_row", "px", "py", "w", "h", "n_channels"]].assign(places=places, sums=total, weights=weight)
+                    yield out[[len(p) > 0 for p in places]]
 
     def start(row):
-        return {"row": row, "sum": np.zeros((row.h, row.w, row.n_channels), np.int64), "weight": np.zeros((row.h, row.w), np.int64)}
+        return {"row": row, "sum": np.zeros((row.h * row.w, row.n_channels), np.int64), "weight": np.zeros(row.h * row.w, np.int64)}
 
     def add(state, row):
-        state["sum"] += np.frombuffer(row.sums, "<i4").reshape(row.h, row.w, row.n_channels)
-        state["weight"] += np.frombuffer(row.weights, "<i4").reshape(row.h, row.w)
+        at = np.frombuffer(row.places, "<i4")  # no place twice
+        state["sum"][at] += np.frombuffer(row.sums, "<i4").reshape(-1, row.n_channels)
+        state["weight"][at] += np.frombuffer(row.weights, "<i2")
 
     def finish(state):
-        data, mask = _warped(state["sum"], state["weight"])
         r = state["row"]
+        data, mask = _warped(state["sum"], state["weight"])
         return r.px, r.py, r.w, r.h, r.n_channels, data.tobytes(), mask.tobytes()
 
     pieces = fold(parts.mapInPandas(sums, f"{kind}, {fields}").withColumnsRenamed({"to_col": "tile_col", "to_row": "tile_row"}), [*key, "tile_col", "tile_row"],
                   "px int, py int, w int, h int, n_channels int, data binary, mask binary", start, add, finish)
-    return pieces
+    return pieces.filter(F.contains("mask", F.lit(b"\x01")))  # weight below one half everywhere covers nothing
 
 
 def warp_extents(frames: DataFrame, homographies: DataFrame) -> DataFrame:

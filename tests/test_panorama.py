@@ -1,6 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import frame_row, frames_df, texture
+from pyspark.sql import functions as F
 
 from scanframe.functions import kernels
 from scanframe.operators import canvas, match
@@ -39,6 +41,51 @@ def test_tiles_and_frames_warp_alike(spark):
         assert box.count() == 1
 
 
+def test_gray_and_colour_tiles_warp_alike(spark):
+    """Storage tiles of samples with one and three channels meet in one batch; a canvas tile that a frame only grazes is not covered either way."""
+    from scanframe.operators import frames as frame_ops
+    rows = [frame_row(n, texture(24, 19, n) if n % 2 else np.dstack([texture(24, 19, n + k) for k in range(3)]), sample_id=n % 2, seq=n // 2) for n in range(6)]
+    frames = frames_df(spark, rows, "sample_id long, seq long")
+    maps = spark.createDataFrame([(n % 2, n // 2, [1.0 + n / 20, 0.1, 4.5 - n, -0.2, 0.9, n * 1.3, 0.001, -0.002, 1.0]) for n in range(6)], "sample_id long, seq long, h array<double>")
+    columns = ["sample_id", "tile_col", "tile_row", "n_channels", "data", "covered"]
+    whole, _ = panorama.warp_blend(frames, maps, 16)
+    tiles, _ = panorama.warp_blend_tiles(frame_ops.cut_tiles(frames, ["sample_id", "seq"], 7), frames.select("sample_id", "seq", "width", "height"), maps, 7, 16)
+    got, want = (sorted(tuple(map(repr, r)) for r in t.select(*columns).collect()) for t in (tiles, whole))
+    assert got == want and {r.n_channels for r in tiles.select("n_channels").distinct().collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 16])
+def test_pairs_are_weighed_together(monkeypatch, at_once):
+    """Storage tiles of a frame, taken in stretches of any number of pixels, add up to what the whole frame gives."""
+    monkeypatch.setattr(canvas, "AT_ONCE", at_once)
+    img, back = np.dstack([texture(13, 17, k) for k in range(2)]), np.array([[0.9, 0.2, -3.1], [-0.1, 1.1, 0.7], [0.003, -0.002, 1.0]])
+    pairs = pd.DataFrame([{"tile_col": x // 5, "tile_row": y // 5, "to_col": 1, "to_row": 0, "px": 2, "py": 3, "w": 6, "h": 5, "back": back.ravel(), "n_channels": 2,
+                           "sh": len(img[y:y + 5]), "sw": img[y:y + 5, x:x + 5].shape[1], "data": img[y:y + 5, x:x + 5].tobytes()} for y in (0, 5, 10) for x in (0, 5, 10, 15)])
+    total, weight = np.zeros((30, 2), np.int64), np.zeros(30, np.int64)
+    for places, sums, weights in zip(*canvas._pair_sums(pairs, 5, 8), strict=True):
+        at = np.frombuffer(places, "<i4")
+        total[at] += np.frombuffer(sums, "<i4").reshape(-1, 2)
+        weight[at] += np.frombuffer(weights, "<i2")
+    want_total, want_weight = canvas.warp_sums(img, back, 3, 8, 10, 16)
+    assert (total == want_total.reshape(30, 2)).all() and (weight == want_weight.ravel()).all() and weight.max() == 1024
+
+
+def test_fold_streams_keys(spark):
+    """Keys of one row and of thousands, one of them NULL, come out of one map; none is a pandas group of its own."""
+    key = F.when(F.col("id") % 5 == 0, F.lit(7)).when(F.col("id") % 11 > 0, F.col("id"))
+    rows = spark.range(20_000).select(key.alias("k"), F.col("id").alias("v"))
+
+    def add(state, row):
+        state[0] += 1
+        state[1] += row.v
+
+    folded = canvas.fold(rows, ["k"], "n int, total long", lambda row: [0, 0], add, tuple)
+    want = {r.k: (r.n, r.total) for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).collect()}
+    got = folded.collect()
+    assert {r.k: (r.n, r.total) for r in got} == want and len(got) == len(want) and None in want
+    assert "FlatMapGroups" not in folded._jdf.queryExecution().toString()
+
+
 def test_pair_maps_ignore_wrong_matches(spark):
     h = np.array([[1.0, 0.02, 40.0], [-0.02, 1.0, 7.0], [0, 0, 1.0]])
     rng = np.random.default_rng(2)
