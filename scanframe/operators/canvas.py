@@ -452,8 +452,9 @@ def warp_stored_tiles(stored: DataFrame, sizes: DataFrame, homographies: DataFra
                                    for c in range(span[0] // source, span[1] // source + 1) for q in range(span[2] // source, span[3] // source + 1))
             yield pd.DataFrame(out, columns=[*key, *[f.split()[0] for f in asks.split(", ")]])
 
-    # dealt out by frames: whichever side the joins above sent whole, the work here is spread
-    asked = located.repartition(*key).mapInPandas(meets, f"{kind}, {asks}")
+    # dealt out by frames, whichever side the joins above sent whole, and to a number of tasks that is kept: a frame's row is short, its work isn't
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = located.repartition(tasks, *key).mapInPandas(meets, f"{kind}, {asks}")
     parts = asked.join(stored.select(*key, "tile_col", "tile_row", F.col("w").alias("sw"), F.col("h").alias("sh"), "n_channels", "data"), [*key, "tile_col", "tile_row"])
     fields = "to_col int, to_row int, px int, py int, w int, h int, n_channels int, places binary, sums binary, weights binary"
 
