@@ -84,3 +84,21 @@ def test_mosaic_groups_are_not_joined_by_group(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the ranges' offsets, which carry the sizes too
     assert sorted((r.place, r.group_size) for r in out.collect()) == [(i, 6) for i in range(6)]
+
+
+def test_gaps_read_once_and_shuffle_stretches_only(spark):
+    from pyspark.sql import functions as F
+    from scanframe.operators import sequence
+    from suite.all_queries import QUERIES
+    text = plan(QUERIES["sequence_gaps"](spark, "/root/testdata/sf0.001"))
+    assert text.count("FileScan") == 2 and "REPARTITION" not in text  # both branches begin with the same shuffle, which Spark reuses
+    assert len({line.split("#")[0].split("- ")[-1] for line in text.splitlines() if "FileScan" in line}) == 1
+    # repeats, NULLs, a NULL sample, holes inside stretches and over several of them: as numbering and pairing give them
+    rows = [(1, c) for c in (5, 5, 6, 9, 4095, 4096, 4099, 20000, None)] + [(2, 7), (2, None), (3, None)] + [(None, c) for c in (3, 1, 1, 9000)]
+    got = sequence.coordinate_gaps(spark.createDataFrame(rows, "sample_id int, coord long")).withColumn("missing", F.size("missing"))
+    assert got.schema.simpleString() == "struct<sample_id:int,after_index:bigint,after_coord:bigint,before_coord:bigint,gap_size:bigint,missing:int>"
+    want = []
+    for sample in (1, 2, 3, None):
+        there = sorted({c for s, c in rows if s == sample and c is not None})
+        want += [(sample, i, a, b, b - a - 1, b - a - 1) for i, (a, b) in enumerate(zip(there, there[1:])) if b - a > 1]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
