@@ -429,6 +429,68 @@ def test_language_model(spark, sf_dir, monkeypatch, shares):
     assert math.isclose((10 ** listed).sum() + sum(10 ** r.p for r in rare.collect()) + (10 ** model.unseen).sum(), pitman_yor.CLASSES, rel_tol=1e-6)
 
 
+def plain_scores(table, model, rare):
+    """Every preceding word's restaurant as a dictionary, none of them divided; seats by the sampler, a dish at a time."""
+    m, s = model, model.symbols
+    number = lambda w: s.index[w] if w in s.index else int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64))
+    tokens, restaurants = [], collections.defaultdict(lambda: collections.defaultdict(list))
+    for doc, text, *_ in table:
+        before, context, own = pitman_yor.START, 0, []
+        for w in [*(text or "").encode().lower().split(), pitman_yor.END]:
+            i, k, n = s.index.get(w), pitman_yor.class_of(w), number(w)
+            base = 10.0 ** (float(m.contexts[k if i is None else s.symbol[i], context]) + (0.0 if i is None else m.words[i]))
+            own.append((before, n, None if i is not None else k, base))
+            if not pitman_yor.held_out(doc):
+                restaurants[before][n].append((base, None if i is not None else k))
+            before, context = n, s.context[i] if i is not None and s.context[i] else context
+        tokens.append((doc, own))
+    found = {}
+    for u, dishes in restaurants.items():
+        c = {w: len(x) for w, x in dishes.items()}
+        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d, total, tables = min(0.95, (ones + 3) / (ones + 2 * twos + 4)), sum(c.values()), len(c)
+        weight = {w: sum(b for b, _ in x) / len(x) * (1 if x[0][1] is None else min(1, len(x) / m.classes[x[0][1]])) for w, x in dishes.items()}
+        a, b = collections.Counter(), 0
+        for n in range(1, 6):
+            t = {w: 1 if c[w] == 1 else pitman_yor.seat(np.array([c[w]]), np.array([(1 + d * tables) * weight[w]]), d, pitman_yor.dish_key(np.array([u]), np.array([w])), n)[0] for w in c}
+            tables = sum(t.values())
+            if n > 2:
+                a.update({w: (c[w] - d * t[w]) / (1 + total) / 3 for w in c})
+                b += (1 + d * tables) / (1 + total) / 3
+        found[u] = a, b
+    out = []
+    for doc, own in tokens:
+        score = 0
+        for u, w, k, base in own:
+            a, b = found.get(u, ({}, 1))
+            score += math.log10(a.get(w, 0) + b * base * (1 if k is None else 10 ** rare.get(w, m.unseen[k])))
+        out.append((doc, score))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shares", [None, (1e-2, 2e-2)])
+def test_every_preceding_word_has_a_restaurant(spark, sf_dir, monkeypatch, shares):
+    if shares:
+        monkeypatch.setattr(pitman_yor, "TABLE_SHARE", shares[0])
+        monkeypatch.setattr(pitman_yor, "SYMBOL_SHARE", shares[1])
+    for path in (SF, sf_dir):
+        docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+        model, rare = pitman_yor.train(docs)
+        want = plain_scores([tuple(r) for r in docs.collect()], model, {r.h: r.p for r in rare.collect()})
+        got = collected(pitman_yor.score(docs, model, rare).select("doc_id", "score"))
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
+
+
+def test_order_of_words_that_are_not_frequent(spark):
+    # both words are under 1/256 of all tokens, so the nearest frequent word doesn't tell the two orders apart
+    ids = {held: [i for i in range(700) if pitman_yor.held_out(i) == held] for held in (False, True)}
+    told = [(i, "the of zebra quagga of the") for i in ids[False][:5]] + [(i, "the of quagga and zebra of the") for i in ids[False][5:10]]
+    rest = [(i, f"the of w{i} and the w{i % 50} of " * 4) for i in ids[False][10:]]
+    asked = [(ids[True][0], "the of zebra quagga of the"), (ids[True][1], "the of quagga zebra of the")]
+    got = dict(collected(pitman_yor.scores(spark.createDataFrame(told + rest + asked, "doc_id long, text string")).select("doc_id", "score")))
+    assert got[asked[0][0]] > got[asked[1][0]] + 1
+
+
 def test_tokens_in_parts(monkeypatch):
     # different words are looked up once a part, however often they occur; parts end anywhere between texts
     texts = ["  The cat\tthe\x0bCAT ", "", None, "É é\x85x\xa0y", "\n", "a " * 40, "the end"]
