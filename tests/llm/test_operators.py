@@ -491,6 +491,14 @@ def test_order_of_words_that_are_not_frequent(spark):
     assert got[asked[0][0]] > got[asked[1][0]] + 1
 
 
+def test_model_keeps_other_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).selectExpr("doc_id", "text", "doc_id as a", "cast(doc_id as string) as k", "array(doc_id) as word", "map(lang, doc_id) as bucket", "lang as tokens").cache()
+    model, rare = pitman_yor.train(docs)
+    got = pitman_yor.score(docs, model, rare)
+    other = [c for c in docs.columns if c != "text"]
+    assert collected(got.select(other)) == collected(docs.select(other)) and got.filter("score is null or base_score is null").count() == 0
+
+
 def test_tokens_in_parts(monkeypatch):
     # different words are looked up once a part, however often they occur; parts end anywhere between texts
     texts = ["  The cat\tthe\x0bCAT ", "", None, "É é\x85x\xa0y", "\n", "a " * 40, "the end"]
